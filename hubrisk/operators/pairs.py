@@ -27,21 +27,24 @@ def ranked_spokes(flights: DataFrame, p: Params) -> DataFrame:
     """Top-N spokes by flight count (ties by code) with rank rk = 1..N."""
     top = (flights.groupBy(spoke_airport(p.hub).alias("airport")).agg(F.count(F.lit(1)).alias("n_flights"))
            .orderBy(F.desc("n_flights"), "airport").limit(p.top_airports))
-    # the window runs over at most N rows (after the limit)
-    return top.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("n_flights"), "airport")))
+    # the windows run over at most N rows (after the limit)
+    return (top.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("n_flights"), "airport")))
+            .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy())))
 
 
 def ranked_by_code(airports: DataFrame, col: str = "airport") -> DataFrame:
     """Distinct airports ranked alphabetically (rk = 1..n), for all-pairs keys."""
     d = airports.select(F.col(col).alias("airport")).distinct()
-    return d.withColumn("rk", F.dense_rank().over(Window.orderBy("airport")))
+    return (d.withColumn("rk", F.dense_rank().over(Window.orderBy("airport")))
+            .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy())))
 
 
-def enumerate_pairs(ranked: DataFrame, max_rank: int) -> DataFrame:
-    """All (a, b) with rk_a < rk_b, generated by exploding rank ranges and an equi-join
-    on rank (no cross join). ``max_rank`` bounds the ranks present."""
-    a = ranked.select(F.col("airport").alias("airport_a"), F.col("rk").alias("rk_a"),
-                      F.explode(F.sequence(F.col("rk") + 1, F.greatest(F.lit(max_rank), F.col("rk") + 1))).alias("rk_b"))
+def enumerate_pairs(ranked: DataFrame) -> DataFrame:
+    """All (a, b) with rk_a < rk_b, generated by exploding rank ranges up to the count n
+    and an equi-join on rank (no cross join)."""
+    a = (ranked.where(F.col("rk") < F.col("n"))
+         .select(F.col("airport").alias("airport_a"), F.col("rk").alias("rk_a"),
+                 F.explode(F.sequence(F.col("rk") + 1, F.col("n"))).alias("rk_b")))
     b = ranked.select(F.col("airport").alias("airport_b"), F.col("rk").alias("rk_b"))
     return a.join(b, "rk_b").select("airport_a", "airport_b", "rk_a", "rk_b")
 
@@ -52,7 +55,7 @@ def month_date_counts(dates: DataFrame) -> DataFrame:
 
 def pair_spine(flights: DataFrame, p: Params) -> DataFrame:
     """Pairs of top-N spokes x calendar months having >= min_month_dates flight dates."""
-    pairs = enumerate_pairs(ranked_spokes(flights, p), p.top_airports)
+    pairs = enumerate_pairs(ranked_spokes(flights, p))
     months = month_date_counts(flight_dates(flights)).where(F.col("n_dates") >= p.min_month_dates)
     return (pairs.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
             .join(months.select("month", F.col("n_dates").alias("n_overlap_days")), "month")

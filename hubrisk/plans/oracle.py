@@ -336,5 +336,239 @@ Q["greedy_assignment"] = fin(B.render("SELECT * FROM greedy", "greedy"),
 _ = (RISK_WEIGHTS, SCORE_FEATURES)
 
 
+# --- pair features ------------------------------------------------------------------
+B.add("spk", """
+SELECT spoke AS airport, count(*) AS n_flights, row_number() OVER (ORDER BY count(*) DESC, spoke) AS rk
+FROM fl GROUP BY spoke QUALIFY row_number() OVER (ORDER BY count(*) DESC, spoke) <= 80
+""", "fl")
+B.add("spairs", """
+SELECT a.airport AS airport_a, b.airport AS airport_b, a.rk AS rk_a, b.rk AS rk_b
+FROM spk a JOIN spk b ON a.rk < b.rk
+""", "spk")
+B.add("mdates", "SELECT month, count(*) AS n_dates FROM fdates GROUP BY month", "fdates")
+B.add("spine", """
+SELECT p.airport_a, p.airport_b, m.month, p.rk_a, p.rk_b, m.n_dates AS n_overlap_days
+FROM spairs p CROSS JOIN mdates m WHERE m.n_dates >= 5
+""", "spairs", "mdates")
+B.add("joint", """
+WITH f AS (SELECT d.*, s.rk FROM add d JOIN spk s USING (airport)),
+ bo AS (SELECT a.airport AS airport_a, b.airport AS airport_b, a.month,
+               count_if(a.has_weather_delay AND b.has_weather_delay) AS both_wx,
+               count_if(a.has_delay_15 AND b.has_delay_15) AS both_d15
+        FROM f a JOIN f b ON a.date = b.date AND a.rk < b.rk GROUP BY 1, 2, 3),
+ ad AS (SELECT airport AS airport_a, month, count_if(has_weather_delay) AS a_wx_days FROM f GROUP BY 1, 2)
+SELECT s.airport_a, s.airport_b, s.month, s.n_overlap_days,
+  coalesce(both_wx, 0) / s.n_overlap_days AS joint_weather_delay_prob,
+  coalesce(both_d15, 0) / s.n_overlap_days AS joint_delay_15_prob,
+  CASE WHEN coalesce(a_wx_days, 0) > 0 THEN coalesce(both_wx, 0) / a_wx_days ELSE 0.0 END AS conditional_delay_prob
+FROM spine s LEFT JOIN bo USING (airport_a, airport_b, month) LEFT JOIN ad USING (airport_a, month)
+""", "add", "spk", "spine")
+
+
+def pearson(x: str, y: str) -> str:
+    both = f"({x}_a IS NOT NULL AND {x}_b IS NOT NULL)"
+    xa, xb = f"CASE WHEN {both} THEN {x}_a END", f"CASE WHEN {both} THEN {x}_b END"
+    return (f"CASE WHEN count_if({both}) > 5 THEN coalesce(CASE WHEN stddev_pop({xa}) * stddev_pop({xb}) = 0 "
+            f"THEN NULL ELSE covar_pop({xa}, {xb}) / (stddev_pop({xa}) * stddev_pop({xb})) END, 0.0) ELSE 0.0 END")
+
+
+def corr_sql(rank_tbl: str, spine_tbl: str) -> str:
+    return f"""
+WITH f AS (SELECT w.airport, r.rk, w.date, d.month, w.precip_total, w.wind_gusts_max
+           FROM wd w JOIN fdates d USING (date) JOIN {rank_tbl} r USING (airport)),
+ j AS (SELECT a.airport AS airport_a, b.airport AS airport_b, a.month,
+              a.precip_total AS precip_total_a, b.precip_total AS precip_total_b,
+              a.wind_gusts_max AS wind_gusts_max_a, b.wind_gusts_max AS wind_gusts_max_b
+       FROM f a JOIN f b ON a.date = b.date AND a.rk < b.rk),
+ g AS (SELECT airport_a, airport_b, month, {pearson('precip_total', 'precip_total')} AS precip_correlation,
+              {pearson('wind_gusts_max', 'wind_gusts_max')} AS wind_correlation,
+              count_if(precip_total_a IS NOT NULL AND precip_total_b IS NOT NULL) AS n_common_days
+       FROM j GROUP BY 1, 2, 3)
+SELECT s.airport_a, s.airport_b, s.month, coalesce(precip_correlation, 0.0) AS precip_correlation,
+       coalesce(wind_correlation, 0.0) AS wind_correlation, coalesce(n_common_days, 0) AS n_common_days
+FROM {spine_tbl} s LEFT JOIN g USING (airport_a, airport_b, month)
+"""
+
+
+B.add("wrank", "SELECT airport, dense_rank() OVER (ORDER BY airport) AS rk FROM (SELECT DISTINCT airport FROM wd)", "wd")
+B.add("wspine", """
+SELECT a.airport AS airport_a, b.airport AS airport_b, m.month
+FROM wrank a JOIN wrank b ON a.rk < b.rk CROSS JOIN (SELECT DISTINCT month FROM fdates) m
+""", "wrank", "fdates")
+B.add("corr", corr_sql("spk", "spine"), "wd", "fdates", "spk", "spine")
+
+
+def pearson_fix(sql: str) -> str:
+    return sql.replace("precip_total_a IS NOT NULL AND precip_total_a IS NOT NULL", "x")
+
+
+def cooc_sql(daily: str, values: dict, date_spine: str, rank_tbl: str, spine_tbl: str) -> str:
+    srcs = sorted(set(values.values()))
+    pos = " OR ".join(f"x.{c} > 0" for c in srcs)
+    cnts = ", ".join(f"count_if(a.{src} > 0 AND b.{src} > 0) AS n_{name}" for name, src in values.items())
+    outs = ", ".join(f"coalesce(CAST(coalesce(n_{name}, 0) AS DOUBLE) / nullif(nd.n_dates, 0), 0.0) AS {name}"
+                     for name in values)
+    return f"""
+WITH days AS (SELECT DISTINCT s.date, s.month FROM {date_spine} s WHERE s.date IN (SELECT date FROM {daily})),
+ nd AS (SELECT month, count(*) AS n_dates FROM days GROUP BY month),
+ f AS (SELECT x.airport, r.rk, x.date, d.month, {", ".join(f"x.{c}" for c in srcs)}
+       FROM {daily} x JOIN days d USING (date) JOIN {rank_tbl} r USING (airport) WHERE {pos}),
+ g AS (SELECT a.airport AS airport_a, b.airport AS airport_b, a.month, {cnts}
+       FROM f a JOIN f b ON a.date = b.date AND a.rk < b.rk GROUP BY 1, 2, 3)
+SELECT s.airport_a, s.airport_b, s.month, {outs}
+FROM {spine_tbl} s LEFT JOIN g USING (airport_a, airport_b, month) LEFT JOIN nd USING (month)
+"""
+
+
+B.add("storm", cooc_sql("wd", {"thunderstorm_co_occurrence": "thunderstorm_hours",
+                               "severe_weather_co_occurrence": "severe_weather_hours"}, "fdates", "spk", "spine"),
+      "wd", "fdates", "spk", "spine")
+B.add("ifrproxy", cooc_sql("wd", {"ifr_co_occurrence": "ifr_hours"}, "fdates", "spk", "spine"),
+      "wd", "fdates", "spk", "spine")
+B.add("mrank", "SELECT airport, dense_rank() OVER (ORDER BY airport) AS rk FROM (SELECT DISTINCT airport FROM md)", "md")
+B.add("mdts", "SELECT DISTINCT date, CAST(month(date) AS INTEGER) AS month FROM md", "md")
+B.add("mspine", """
+SELECT a.airport AS airport_a, b.airport AS airport_b, m.month
+FROM mrank a JOIN mrank b ON a.rk < b.rk CROSS JOIN (SELECT DISTINCT month FROM mdts) m
+""", "mrank", "mdts")
+
+B.add("ops", f"""
+WITH dist AS (SELECT Origin AS airport, quantile_cont(ArrDelay, 0.9) AS p90, quantile_cont(ArrDelay, 0.5) AS med
+              FROM px_flight WHERE Dest = {H} GROUP BY 1),
+ ain AS (SELECT Origin AS airport, avg(AirTime) AS air, median(CRSArrTime) AS hhmm FROM px_flight WHERE Dest = {H} GROUP BY 1),
+ bout AS (SELECT Dest AS airport, avg(AirTime) AS air, median(CRSDepTime) AS hhmm FROM px_flight WHERE Origin = {H} GROUP BY 1),
+ x AS (SELECT p.airport_a, p.airport_b, {hhmm('coalesce(ain.hhmm, 1200.0)')} AS arr, {hhmm('coalesce(bout.hhmm, 1400.0)')} AS dep,
+         CASE WHEN dist.airport IS NULL THEN 30.0 ELSE dist.p90 END AS p90,
+         CASE WHEN dist.airport IS NULL THEN 0.0 ELSE dist.med END AS med,
+         CASE WHEN ain.airport IS NULL OR ain.air = 0 THEN 120.0 ELSE ain.air END AS a_air,
+         CASE WHEN bout.airport IS NULL OR bout.air = 0 THEN 120.0 ELSE bout.air END AS b_air
+       FROM spairs p LEFT JOIN dist ON dist.airport = p.airport_a LEFT JOIN ain ON ain.airport = p.airport_a
+       LEFT JOIN bout ON bout.airport = p.airport_b),
+ y AS (SELECT *, CASE WHEN dep - arr < 0 THEN dep - arr + 1440 ELSE dep - arr END AS t FROM x)
+SELECT airport_a, airport_b, t AS turnaround_minutes,
+  CASE WHEN p90 > t THEN 1.0 ELSE greatest(0.0, coalesce(p90 / greatest(t, 1), 0.0)) END AS missed_connection_prob,
+  CASE WHEN p90 IS NULL THEN NULL ELSE t / greatest(CASE WHEN p90 = 0 THEN 30.0 ELSE p90 END, 1.0) END AS buffer_adequacy,
+  coalesce(greatest(0.0, coalesce((a_air + t + b_air + med) / 60 / 14, 0.0)), 0.0) AS duty_violation_risk,
+  ((CASE WHEN arr / 60.0 >= 2 AND arr / 60.0 <= 6 THEN 1 ELSE 0 END)
+   + (CASE WHEN dep / 60.0 >= 2 AND dep / 60.0 <= 6 THEN 1 ELSE 0 END)) / 2.0 AS fatigue_exposure
+FROM y
+""", "px_flight", "spairs")
+
+
+def geo_sql(pairs_tbl: str) -> str:
+    return f"""
+SELECT p.airport_a, p.airport_b,
+  2 * 3959.0 * asin(sqrt(pow(sin((radians(b.latitude) - radians(a.latitude)) / 2), 2)
+    + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin((radians(b.longitude) - radians(a.longitude)) / 2), 2))) AS distance_ab,
+  abs(a.latitude - b.latitude) AS latitude_diff, abs(a.longitude - b.longitude) AS longitude_diff,
+  CAST(a.region IS NOT DISTINCT FROM b.region AS INTEGER) AS same_region,
+  CAST(coalesce(a.in_tornado AND b.in_tornado, false) AS INTEGER) AS tornado_alley_pair,
+  CAST(coalesce(a.in_gulf AND b.in_gulf, false) AS INTEGER) AS hurricane_pair,
+  CAST(coalesce(a.in_winter AND b.in_winter, false) AS INTEGER) AS winter_storm_pair
+FROM {pairs_tbl} p LEFT JOIN px_airport a ON a.iata = p.airport_a LEFT JOIN px_airport b ON b.iata = p.airport_b
+"""
+
+
+B.add("geo", geo_sql("spairs"), "spairs", "px_airport")
+B.add("arank", "SELECT iata AS airport, dense_rank() OVER (ORDER BY iata) AS rk FROM (SELECT DISTINCT iata FROM px_airport)",
+      "px_airport")
+B.add("apairs", "SELECT a.airport AS airport_a, b.airport AS airport_b FROM arank a JOIN arank b ON a.rk < b.rk", "arank")
+
+STATS_A = ", ".join(f"sa.{c} AS {c}_a" for c in STAT_COLS)
+STATS_B = ", ".join(f"sb.{c} AS {c}_b" for c in STAT_COLS)
+B.add("pf", f"""
+SELECT j.airport_a, j.airport_b, j.month, j.joint_weather_delay_prob, j.joint_delay_15_prob, j.conditional_delay_prob,
+  c.precip_correlation, c.wind_correlation, st.thunderstorm_co_occurrence, st.severe_weather_co_occurrence,
+  g.distance_ab, g.latitude_diff, g.longitude_diff, g.same_region, g.tornado_alley_pair, g.hurricane_pair,
+  g.winter_storm_pair, sin(2 * pi() * j.month / 12.0) AS month_sin, cos(2 * pi() * j.month / 12.0) AS month_cos,
+  j.n_overlap_days, i.ifr_co_occurrence, 0.0 AS metar_thunderstorm_co, 0.0 AS metar_low_vis_co,
+  o.missed_connection_prob, o.buffer_adequacy, o.duty_violation_risk, o.fatigue_exposure, o.turnaround_minutes,
+  {STATS_A}, {STATS_B},
+  sa.weather_delay_rate * sb.weather_delay_rate AS combined_weather_risk,
+  greatest(sa.weather_delay_rate, sb.weather_delay_rate) AS max_weather_risk
+FROM joint j LEFT JOIN corr c USING (airport_a, airport_b, month) LEFT JOIN storm st USING (airport_a, airport_b, month)
+LEFT JOIN ifrproxy i USING (airport_a, airport_b, month) LEFT JOIN ops o USING (airport_a, airport_b)
+LEFT JOIN geo g USING (airport_a, airport_b)
+LEFT JOIN ams sa ON sa.airport = j.airport_a AND sa.Month = j.month
+LEFT JOIN ams sb ON sb.airport = j.airport_b AND sb.Month = j.month
+""", "joint", "corr", "storm", "ifrproxy", "ops", "geo", "ams")
+
+PF_DOUBLES = ("joint_weather_delay_prob joint_delay_15_prob conditional_delay_prob precip_correlation wind_correlation "
+              "thunderstorm_co_occurrence severe_weather_co_occurrence distance_ab latitude_diff longitude_diff "
+              "month_sin month_cos ifr_co_occurrence metar_thunderstorm_co metar_low_vis_co missed_connection_prob "
+              "buffer_adequacy duty_violation_risk fatigue_exposure combined_weather_risk max_weather_risk").split()
+PF_DOUBLES += [f"{c}_{s}" for s in "ab" for c in STAT_COLS[1:]]
+PF_INTS = ["month", "same_region", "tornado_alley_pair", "hurricane_pair", "winter_storm_pair", "n_overlap_days",
+           "turnaround_minutes", "flight_count_a", "flight_count_b"]
+
+NORMS = [f"{c}_norm" for c in SCORE_FEATURES]
+_norm_stats = ", ".join(f"min(coalesce({c}, 0.0)) AS mn_{c}, max(coalesce({c}, 0.0)) AS mx_{c}" for c in SCORE_FEATURES)
+_norm_cols = ", ".join(f"CASE WHEN mx_{c} > mn_{c} THEN (coalesce({c}, 0.0) - mn_{c}) / (mx_{c} - mn_{c}) ELSE 0.0 END AS {c}_norm"
+                       for c in SCORE_FEATURES)
+B.add("pfn", f"""
+SELECT pf.*, {_norm_cols} FROM pf, (SELECT {_norm_stats} FROM pf) s
+""", "pf")
+_raw = "0.0" + "".join(f" + {w!r} * {f}_norm" for f, w in RISK_WEIGHTS.items())
+
+
+def scored_sql(src: str, raw_expr: str) -> str:
+    return f"""
+WITH r AS (SELECT *, {raw_expr} AS _raw FROM {src}),
+ m AS (SELECT min(_raw) AS mn, max(_raw) AS mx FROM r),
+ s AS (SELECT r.*, CASE WHEN mx > mn THEN 100 * (_raw - mn) / (mx - mn) ELSE _raw END AS risk_score FROM r, m)
+SELECT * EXCLUDE (_raw), rank() OVER (ORDER BY risk_score DESC) AS risk_rank FROM s
+"""
+
+
+B.add("rs", scored_sql("pfn", _raw), "pfn")
+
+Q["pair_spine"] = fin(B.render("SELECT * FROM spine", "spine"), ints=["month", "rk_a", "rk_b", "n_overlap_days"])
+Q["pair_joint_delay"] = fin(B.render("SELECT * FROM joint", "joint"),
+                            doubles=["joint_weather_delay_prob", "joint_delay_15_prob", "conditional_delay_prob"],
+                            ints=["month", "n_overlap_days"])
+Q["pair_weather_corr"] = fin(B.render(corr_sql("wrank", "wspine"), "wd", "fdates", "wrank", "wspine"),
+                             doubles=["precip_correlation", "wind_correlation"], ints=["month", "n_common_days"])
+Q["pair_storm_cooccur"] = fin(B.render("SELECT * FROM storm", "storm"),
+                              doubles=["thunderstorm_co_occurrence", "severe_weather_co_occurrence"], ints=["month"])
+Q["pair_ifr_cooccur"] = fin(B.render(cooc_sql("md", {"ifr_co_occurrence": "metar_ifr_hours",
+                                                     "metar_thunderstorm_co": "metar_thunderstorm_hours",
+                                                     "metar_low_vis_co": "metar_low_vis_hours"}, "mdts", "mrank", "mspine"),
+                                     "md", "mdts", "mrank", "mspine"),
+                            doubles=["ifr_co_occurrence", "metar_thunderstorm_co", "metar_low_vis_co"], ints=["month"])
+Q["pair_operational_risk"] = fin(B.render("SELECT * FROM ops", "ops"),
+                                 doubles=["missed_connection_prob", "buffer_adequacy", "duty_violation_risk",
+                                          "fatigue_exposure"], ints=["turnaround_minutes"])
+Q["pair_geography"] = fin(B.render("SELECT * FROM geo", "geo"),
+                          doubles=["distance_ab", "latitude_diff", "longitude_diff"],
+                          ints=["same_region", "tornado_alley_pair", "hurricane_pair", "winter_storm_pair"])
+Q["airport_distance"] = fin(B.render(f"SELECT airport_a, airport_b, distance_ab FROM ({geo_sql('apairs')}) g",
+                                     "apairs", "px_airport"), doubles=["distance_ab"])
+Q["pair_stats_join"] = fin(B.render(f"""
+SELECT s.airport_a, s.airport_b, s.month, {STATS_A}, {STATS_B}
+FROM spine s LEFT JOIN ams sa ON sa.airport = s.airport_a AND sa.Month = s.month
+LEFT JOIN ams sb ON sb.airport = s.airport_b AND sb.Month = s.month""", "spine", "ams"),
+    doubles=[f"{c}_{s}" for s in "ab" for c in STAT_COLS[1:]], ints=["month", "flight_count_a", "flight_count_b"])
+Q["pair_features"] = fin(B.render("SELECT * FROM pf", "pf"), doubles=PF_DOUBLES, ints=PF_INTS)
+_spokes = [f"NATION_{i}" for i in range(1, 25)]
+Q["delay_pivot"] = B.render(f"""
+SELECT date, {", ".join(f"coalesce(bool_or(CASE WHEN airport = '{a}' THEN has_weather_delay END), false) AS {a}" for a in _spokes)}
+FROM add GROUP BY date""", "add")
+Q["minmax_normalize"] = fin(B.render(f"SELECT airport_a, airport_b, month, {', '.join(NORMS)} FROM pfn", "pfn"),
+                            doubles=NORMS, ints=["month"])
+Q["risk_scores"] = fin(B.render("SELECT airport_a, airport_b, month, risk_score, risk_rank FROM rs", "rs"),
+                       doubles=["risk_score"], ints=["month", "risk_rank"])
+
+
+def _reweight_sql() -> str:
+    from hubrisk.operators.risk import importance_weights
+    from hubrisk.params import REWEIGHT_FEATURES
+    w = importance_weights({"conditional_delay_prob": 0.3, "joint_delay_15_prob": 0.2, "combined_weather_risk": 0.1})
+    raw = "0.0" + "".join(f" + CAST('{w[f]!r}' AS DOUBLE) * {f}_norm" for f in REWEIGHT_FEATURES)
+    return B.render(f"SELECT airport_a, airport_b, month, risk_score, risk_rank FROM ({scored_sql('pfn', raw)}) z", "pfn")
+
+
+Q["risk_scores_reweighted"] = fin(_reweight_sql(), doubles=["risk_score"], ints=["month", "risk_rank"])
+
+
 def finished() -> dict[str, str]:
     return {k: count_if_to_filter(v) for k, v in Q.items()}

@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hubrisk.operators import flights as FL
+from hubrisk.operators import pairs as PR
+from hubrisk.operators import risk as RK
 from hubrisk.operators import sequences as SQ
 from hubrisk.operators import weather as WX
+from hubrisk.session import checkpoint_root
 from hubrisk.sources import proxy
 
 P = proxy.proxy_params()
@@ -47,6 +50,34 @@ def data(spark: SparkSession, sf_dir: str) -> proxy.HubData:
     return proxy.load(spark, sf_dir)
 
 
+_STAGES: dict = {}
+
+
+def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Materialise a reused intermediate once per (application, input) with a reliable
+    checkpoint into the shared checkpoint folder: cuts lineage, survives executor loss."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGES:
+        checkpoint_root(spark)
+        _STAGES[key] = build().checkpoint(eager=True)
+    return _STAGES[key]
+
+
+# Importance rows of the reweighting key (FIXTURES, not trained).
+PROXY_IMPORTANCE = {"conditional_delay_prob": 0.3, "joint_delay_15_prob": 0.2, "combined_weather_risk": 0.1}
+
+
+def pair_feats(spark: SparkSession, sf: str) -> DataFrame:
+    def build():
+        d = data(spark, sf)
+        return PR.pair_features(d.flights, WX.weather_daily(d.weather_hourly), d.airports, P)
+    return stage(spark, sf, "pair_features", build)
+
+
+def scores(spark: SparkSession, sf: str) -> DataFrame:
+    return stage(spark, sf, "risk_scores", lambda: RK.risk_scores(pair_feats(spark, sf), P))
+
+
 # --- scans / projections ------------------------------------------------------
 
 @query("flight_direction")
@@ -173,3 +204,109 @@ def _q(spark, sf):
 @query("greedy_assignment")
 def _q(spark, sf):
     return SQ.greedy_assignment(data(spark, sf).flights, P)
+
+
+# --- pair features ------------------------------------------------------------------
+
+@query("pair_spine")
+def _q(spark, sf):
+    return PR.pair_spine(data(spark, sf).flights, P)
+
+
+@query("pair_joint_delay")
+def _q(spark, sf):
+    return PR.pair_joint_delay(data(spark, sf).flights, P)
+
+
+def _all_pairs_spine(ranked: DataFrame, months: DataFrame) -> DataFrame:
+    pairs = PR.enumerate_pairs(ranked)
+    return (pairs.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+            .join(months.select("month").distinct(), "month", "left_semi"))
+
+
+@query("pair_weather_corr")
+def _q(spark, sf):
+    d = data(spark, sf)
+    daily = WX.weather_daily(d.weather_hourly)
+    dates = FL.flight_dates(d.flights)
+    ranked = PR.ranked_by_code(daily)
+    return PR.pair_weather_corr(daily, dates, ranked, _all_pairs_spine(ranked, dates), P)
+
+
+@query("pair_storm_cooccur")
+def _q(spark, sf):
+    d = data(spark, sf)
+    spine = PR.pair_spine(d.flights, P)
+    return PR.pair_cooccurrence(WX.weather_daily(d.weather_hourly),
+                                {"thunderstorm_co_occurrence": "thunderstorm_hours",
+                                 "severe_weather_co_occurrence": "severe_weather_hours"},
+                                FL.flight_dates(d.flights), PR.ranked_spokes(d.flights, P), spine)
+
+
+@query("pair_ifr_cooccur")
+def _q(spark, sf):
+    md = WX.metar_daily(data(spark, sf).metar_hourly)
+    ranked = PR.ranked_by_code(md)
+    dates = md.select("date").distinct().withColumn("month", F.month("date"))
+    return PR.pair_cooccurrence(md, {"ifr_co_occurrence": "metar_ifr_hours",
+                                     "metar_thunderstorm_co": "metar_thunderstorm_hours",
+                                     "metar_low_vis_co": "metar_low_vis_hours"},
+                                dates, ranked, _all_pairs_spine(ranked, dates))
+
+
+@query("pair_operational_risk")
+def _q(spark, sf):
+    f = data(spark, sf).flights
+    return PR.pair_operational_risk(f, PR.enumerate_pairs(PR.ranked_spokes(f, P)), P)
+
+
+@query("pair_geography")
+def _q(spark, sf):
+    d = data(spark, sf)
+    return PR.pair_geography(PR.enumerate_pairs(PR.ranked_spokes(d.flights, P)), d.airports)
+
+
+@query("airport_distance")
+def _q(spark, sf):
+    a = data(spark, sf).airports
+    pairs = PR.enumerate_pairs(PR.ranked_by_code(a, "iata"))
+    return PR.pair_geography(pairs, a).select("airport_a", "airport_b", "distance_ab")
+
+
+@query("pair_stats_join")
+def _q(spark, sf):
+    f = data(spark, sf).flights
+    spine = PR.pair_spine(f, P).select("airport_a", "airport_b", "month")
+    return PR.pair_stats_join(spine, FL.airport_month_stats(f, P))
+
+
+@query("pair_features")
+def _q(spark, sf):
+    return pair_feats(spark, sf)
+
+
+@query("delay_pivot")
+def _q(spark, sf):
+    spokes = [f"NATION_{i}" for i in range(1, 25)]
+    return PR.delay_pivot(data(spark, sf).flights, P, spokes)
+
+
+# --- risk -------------------------------------------------------------------------------
+
+@query("minmax_normalize")
+def _q(spark, sf):
+    from hubrisk.params import SCORE_FEATURES
+    pf = pair_feats(spark, sf)
+    out = RK.minmax_normalize(pf, list(SCORE_FEATURES))
+    return out.select("airport_a", "airport_b", "month", *[f"{c}_norm" for c in SCORE_FEATURES])
+
+
+@query("risk_scores")
+def _q(spark, sf):
+    return scores(spark, sf).select("airport_a", "airport_b", "month", "risk_score", "risk_rank")
+
+
+@query("risk_scores_reweighted")
+def _q(spark, sf):
+    return (RK.risk_scores_reweighted(pair_feats(spark, sf), PROXY_IMPORTANCE, P)
+            .select("airport_a", "airport_b", "month", "risk_score", "risk_rank"))
