@@ -570,5 +570,312 @@ def _reweight_sql() -> str:
 Q["risk_scores_reweighted"] = fin(_reweight_sql(), doubles=["risk_score"], ints=["month", "risk_rank"])
 
 
+# --- impact, baseline, case study, recommendations, reports --------------------------
+KS = "(SELECT unnest([50, 100, 200, 500]) AS k)"
+SEASON_CASE = ("CASE WHEN month IN (3, 4, 5) THEN 'Spring (Mar-May)' WHEN month IN (6, 7, 8) THEN 'Summer (Jun-Aug)' "
+               "WHEN month IN (9, 10, 11) THEN 'Fall (Sep-Nov)' ELSE 'Winter (Dec-Feb)' END")
+SHORT_SEASON_CASE = ("CASE WHEN month IN (12, 1, 2) THEN 'Winter' WHEN month IN (3, 4, 5) THEN 'Spring' "
+                     "WHEN month IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END")
+BAND = "CASE WHEN risk_score >= 80 THEN 'CRIT' WHEN risk_score >= 65 THEN 'HIGH' ELSE 'MOD' END"
+
+
+def topk_sql(src: str, score: str) -> str:
+    return f"""
+SELECT least(airport_a, airport_b) AS pair_a, greatest(airport_a, airport_b) AS pair_b, month, {score} AS score,
+       row_number() OVER (ORDER BY {score} DESC, airport_a, airport_b, month) AS pos
+FROM {src} QUALIFY row_number() OVER (ORDER BY {score} DESC, airport_a, airport_b, month) <= 500
+"""
+
+
+B.add("topk", topk_sql("rs", "risk_score"), "rs")
+B.add("best", "SELECT pair_a, pair_b, min(pos) AS best_pos FROM topk GROUP BY pair_a, pair_b", "topk")
+B.add("cadb", "SELECT cad.*, best.best_pos FROM cad LEFT JOIN best USING (pair_a, pair_b)", "cad", "best")
+B.add("ik", f"""
+SELECT k, count(*) AS total_cascade_events, count_if(best_pos <= k) AS prevented_events,
+  count_if(best_pos <= k) / greatest(count(*), 1) * 100 AS pct_events_prevented,
+  coalesce(sum(cascade_minutes), 0.0) AS total_cascade_minutes,
+  coalesce(sum(CASE WHEN best_pos <= k THEN cascade_minutes END), 0.0) AS prevented_minutes,
+  coalesce(sum(CASE WHEN best_pos <= k THEN cascade_minutes END), 0.0) / greatest(coalesce(sum(cascade_minutes), 0.0), 1.0) * 100
+    AS pct_minutes_prevented,
+  coalesce(sum(CASE WHEN best_pos <= k THEN cascade_minutes END), 0.0) * 75.0 AS dollar_savings
+FROM cadb CROSS JOIN {KS} ks GROUP BY k
+""", "cadb")
+B.add("im", f"""
+WITH agg AS (SELECT month, k, count(*) AS total_events, count_if(best_pos <= k) AS prevented_events,
+                    coalesce(sum(CASE WHEN best_pos <= k THEN cascade_minutes END), 0.0) AS prevented_minutes
+             FROM cadb CROSS JOIN {KS} ks GROUP BY month, k)
+SELECT ks.k, m.month, coalesce(total_events, 0) AS total_events, coalesce(prevented_events, 0) AS prevented_events,
+       coalesce(prevented_minutes, 0.0) AS prevented_minutes, coalesce(prevented_minutes, 0.0) * 75.0 AS dollar_savings
+FROM (SELECT CAST(range AS INTEGER) AS month FROM range(1, 13)) m CROSS JOIN {KS} ks LEFT JOIN agg USING (month, k)
+""", "cadb")
+B.add("iadj", """
+WITH d AS (SELECT avg(n) / 2 AS avg_daily FROM (SELECT count(*) AS n FROM px_flight GROUP BY FlightDate) x),
+ ap AS (SELECT CAST(count(*) AS DOUBLE) AS n_ap FROM (SELECT airport_in AS a FROM cad UNION SELECT airport_out FROM cad) x),
+ y AS (SELECT count(DISTINCT Year) AS years FROM px_flight),
+ pr AS (SELECT avg_daily / greatest(n_ap * (n_ap - 1) / 2, 1.0) AS prob FROM d, ap)
+SELECT k, dollar_savings, prevented_events, prob AS assignment_prob, dollar_savings * prob AS adjusted_savings,
+       prevented_events * prob AS adjusted_prevented_events, dollar_savings / greatest(years, 1) AS annual_savings_upper,
+       dollar_savings * prob / greatest(years, 1) AS annual_savings_adjusted
+FROM ik, pr, y
+""", "px_flight", "cad", "ik")
+B.add("apm", """
+SELECT pair_a, pair_b, month, count(*) AS actual_events, sum(outbound_delay) AS actual_minutes
+FROM cad GROUP BY pair_a, pair_b, month
+""", "cad")
+B.add("naive", """
+WITH r AS (SELECT airport, Month AS month, weather_delay_rate FROM ams),
+ med AS (SELECT month, median(weather_delay_rate) AS month_median_rate FROM r GROUP BY month)
+SELECT s.airport_a, s.airport_b, s.month, coalesce(ra.weather_delay_rate, 0.0) AS a_rate,
+       coalesce(rb.weather_delay_rate, 0.0) AS b_rate,
+       coalesce(ra.weather_delay_rate, 0.0) * coalesce(rb.weather_delay_rate, 0.0) AS naive_score, med.month_median_rate
+FROM rs s LEFT JOIN r ra ON ra.airport = s.airport_a AND ra.month = s.month
+LEFT JOIN r rb ON rb.airport = s.airport_b AND rb.month = s.month LEFT JOIN med ON med.month = s.month
+""", "ams", "rs")
+B.add("ntopk", topk_sql("naive", "naive_score"), "naive")
+B.add("worst", f"""
+SELECT FlightDate AS date, count(*) AS wx_inbound FROM px_flight WHERE Dest = {H} AND WeatherDelay > 0
+GROUP BY FlightDate ORDER BY wx_inbound DESC, date LIMIT 1
+""", "px_flight")
+B.add("cc", """
+SELECT g.date, origin, dest, inbound_weather_delay, inbound_arr_delay, turnaround_gap,
+  greatest(0.0, inbound_arr_delay - turnaround_gap) AS propagated_delay, outbound_dep_delay,
+  greatest(0.0, inbound_arr_delay - turnaround_gap) + outbound_dep_delay AS total_cascade_minutes,
+  coalesce(r.risk_score, 0.0) AS risk_score, inbound_arr_time, outbound_dep_time
+FROM greedy g JOIN worst w ON g.date = w.date
+LEFT JOIN rs r ON least(r.airport_a, r.airport_b) = least(g.origin, g.dest)
+  AND greatest(r.airport_a, r.airport_b) = greatest(g.origin, g.dest) AND r.month = g.month
+""", "greedy", "worst", "rs")
+B.add("avoid", f"""
+WITH f AS (SELECT *, {SEASON_CASE} AS season FROM rs WHERE risk_score >= 65),
+ hc AS (SELECT airport_a AS lo, airport_b AS hi, month, cascade_cost FROM cprop WHERE cascade_cost > 10000),
+ j AS (SELECT f.*, hc.cascade_cost AS ccost FROM f LEFT JOIN hc ON hc.lo = least(f.airport_a, f.airport_b)
+        AND hc.hi = greatest(f.airport_a, f.airport_b) AND hc.month = f.month)
+SELECT season, month, airport_a, airport_b, risk_score,
+  coalesce(nullif(concat_ws('; ',
+    CASE WHEN joint_weather_delay_prob > 0.05 THEN 'correlated weather delays' END,
+    CASE WHEN missed_connection_prob > 0.5 THEN 'tight turnaround / missed connection risk' END,
+    CASE WHEN duty_violation_risk > 0.8 THEN 'duty time violation risk' END,
+    CASE WHEN fatigue_exposure > 0 THEN 'fatigue / WOCL exposure' END,
+    CASE WHEN thunderstorm_co_occurrence > 0.05 THEN 'thunderstorm co-occurrence' END), ''),
+    'elevated composite risk') AS reason,
+  coalesce(ccost, 0.0) AS cascade_cost
+FROM j QUALIFY row_number() OVER (PARTITION BY season, airport_a, airport_b ORDER BY risk_score DESC, month) = 1
+""", "rs", "cprop")
+B.add("cand", """
+SELECT month, airport_a AS origin, airport_b AS other, risk_score FROM rs
+UNION ALL SELECT month, airport_b AS origin, airport_a AS other, risk_score FROM rs
+""", "rs")
+B.add("swaps", f"""
+SELECT season, av.airport_a AS avoid_origin, av.airport_b AS avoid_dest, av.risk_score AS avoid_risk,
+       c.other AS swap_dest, c.risk_score AS swap_risk, av.risk_score - c.risk_score AS risk_reduction
+FROM avoid av JOIN cand c ON c.month = av.month AND c.origin = av.airport_a
+WHERE c.other <> av.airport_b AND c.risk_score < 30
+  AND c.other IN (SELECT DISTINCT Dest FROM px_flight WHERE Origin = {H})
+QUALIFY row_number() OVER (PARTITION BY season, av.airport_a, av.airport_b ORDER BY c.risk_score, c.other) = 1
+""", "avoid", "cand", "px_flight")
+
+CAD_D = ["inbound_weather_delay", "inbound_avg_delay", "outbound_delay", "outbound_avg_delay", "cascade_minutes"]
+Q["topk_flag"] = fin(B.render("""
+SELECT date, airport_in, airport_out, pair_a, pair_b, best_pos, coalesce(best_pos <= 50, false) AS flagged_k50,
+  coalesce(best_pos <= 100, false) AS flagged_k100, coalesce(best_pos <= 200, false) AS flagged_k200,
+  coalesce(best_pos <= 500, false) AS flagged_k500 FROM cadb""", "cadb"), ints=["best_pos"])
+IK_D = ["pct_events_prevented", "total_cascade_minutes", "prevented_minutes", "pct_minutes_prevented", "dollar_savings"]
+Q["impact_by_k"] = fin(B.render("SELECT * FROM ik", "ik"), doubles=IK_D, ints=["k", "total_cascade_events", "prevented_events"])
+Q["impact_by_month"] = fin(B.render("SELECT * FROM im", "im"), doubles=["prevented_minutes", "dollar_savings"],
+                           ints=["k", "month", "total_events", "prevented_events"])
+Q["impact_adjusted"] = fin(B.render("SELECT * FROM iadj", "iadj"),
+                           doubles=["dollar_savings", "assignment_prob", "adjusted_savings", "adjusted_prevented_events",
+                                    "annual_savings_upper", "annual_savings_adjusted"], ints=["k", "prevented_events"])
+Q["top_cascading_pairs"] = fin(B.render("""
+SELECT pair_a, pair_b, count(*) AS total_events, sum(cascade_minutes) AS total_delay_minutes,
+       avg(cascade_minutes) AS avg_delay FROM cad GROUP BY pair_a, pair_b""", "cad"),
+    doubles=["total_delay_minutes", "avg_delay"], ints=["total_events"])
+Q["actual_pair_month"] = fin(B.render("SELECT * FROM apm", "apm"), doubles=["actual_minutes"], ints=["month", "actual_events"])
+Q["naive_scores"] = fin(B.render("SELECT * FROM naive", "naive"),
+                        doubles=["a_rate", "b_rate", "naive_score", "month_median_rate"], ints=["month"])
+Q["baseline_comparison"] = fin(B.render(f"""
+WITH j AS (SELECT apm.*, o.pos AS our_pos, n.pos AS naive_pos FROM apm
+           LEFT JOIN topk o USING (pair_a, pair_b, month) LEFT JOIN ntopk n USING (pair_a, pair_b, month)),
+ g AS (SELECT k, count_if(our_pos <= k) AS our_events_caught, count_if(naive_pos <= k) AS naive_events_caught,
+              coalesce(sum(CASE WHEN our_pos <= k THEN actual_minutes END), 0.0) AS our_minutes_caught,
+              coalesce(sum(CASE WHEN naive_pos <= k THEN actual_minutes END), 0.0) AS naive_minutes_caught,
+              coalesce(sum(actual_minutes), 0.0) AS total_minutes
+       FROM j CROSS JOIN {KS} ks GROUP BY k)
+SELECT *, our_minutes_caught / greatest(total_minutes, 1.0) * 100 AS our_pct,
+       naive_minutes_caught / greatest(total_minutes, 1.0) * 100 AS naive_pct,
+       (our_minutes_caught - naive_minutes_caught) / greatest(naive_minutes_caught, 1.0) * 100 AS improvement_pct
+FROM g""", "apm", "topk", "ntopk"),
+    doubles=["our_minutes_caught", "naive_minutes_caught", "total_minutes", "our_pct", "naive_pct", "improvement_pct"],
+    ints=["k", "our_events_caught", "naive_events_caught"])
+Q["ranking_overlap"] = fin(B.render("""
+WITH o AS (SELECT DISTINCT pair_a, pair_b FROM topk), n AS (SELECT DISTINCT pair_a, pair_b FROM ntopk)
+SELECT count_if(o.pair_a IS NOT NULL AND n.pair_a IS NOT NULL) AS in_both,
+       count_if(o.pair_a IS NOT NULL AND n.pair_a IS NULL) AS only_model,
+       count_if(o.pair_a IS NULL AND n.pair_a IS NOT NULL) AS only_naive
+FROM o FULL OUTER JOIN n ON o.pair_a = n.pair_a AND o.pair_b = n.pair_b""", "topk", "ntopk"),
+    ints=["in_both", "only_model", "only_naive"])
+Q["worst_day"] = fin(B.render("SELECT * FROM worst", "worst"), ints=["wx_inbound"])
+CC_D = ["inbound_weather_delay", "inbound_arr_delay", "propagated_delay", "outbound_dep_delay", "total_cascade_minutes",
+        "risk_score"]
+Q["case_cascades"] = fin(B.render("SELECT * FROM cc", "cc"), doubles=CC_D,
+                         ints=["turnaround_gap", "inbound_arr_time", "outbound_dep_time"])
+Q["case_study_summary"] = fin(B.render(f"""
+WITH d AS (SELECT * FROM px_flight WHERE FlightDate IN (SELECT date FROM worst)),
+ tr AS (SELECT FlightDate AS date, count(*) AS total_flights, count_if(Dest = {H}) AS inbound_flights,
+               count_if(Origin = {H}) AS outbound_flights, count_if(Dest = {H} AND WeatherDelay > 0) AS wx_inbound,
+               coalesce(sum(CASE WHEN Dest = {H} AND WeatherDelay > 0 THEN WeatherDelay END), 0.0) AS wx_delay_total,
+               avg(CASE WHEN Dest = {H} AND WeatherDelay > 0 THEN WeatherDelay END) AS wx_delay_mean,
+               count_if(Origin = {H} AND DepDelay > 15) AS delayed_outbound,
+               coalesce(sum(CASE WHEN Origin = {H} AND DepDelay > 15 THEN DepDelay END), 0.0) AS dep_delay_total
+        FROM d GROUP BY FlightDate),
+ th AS (SELECT k, min(score) AS threshold FROM topk CROSS JOIN {KS} ks WHERE pos <= k GROUP BY k),
+ pk AS (SELECT date, count(*) AS cascading_sequences, count_if(propagated_delay > 0) AS propagated_sequences,
+               sum(total_cascade_minutes) AS total_cascade_minutes FROM cc GROUP BY date),
+ flg AS (SELECT date, th.k, count(*) AS flagged_sequences, sum(total_cascade_minutes) AS flagged_minutes
+         FROM cc JOIN th ON cc.risk_score >= th.threshold GROUP BY date, th.k)
+SELECT tr.date, ks.k, total_flights, inbound_flights, outbound_flights, wx_inbound,
+  wx_inbound / nullif(inbound_flights, 0) * 100 AS wx_inbound_pct, wx_delay_total, wx_delay_mean, delayed_outbound,
+  delayed_outbound / nullif(outbound_flights, 0) * 100 AS delayed_outbound_pct, dep_delay_total,
+  coalesce(cascading_sequences, 0) AS cascading_sequences, coalesce(propagated_sequences, 0) AS propagated_sequences,
+  coalesce(total_cascade_minutes, 0.0) AS total_cascade_minutes, coalesce(total_cascade_minutes, 0.0) * 75.0 AS total_cost,
+  coalesce(flagged_sequences, 0) AS flagged_sequences, coalesce(flagged_minutes, 0.0) AS flagged_minutes,
+  coalesce(flagged_minutes, 0.0) / greatest(coalesce(total_cascade_minutes, 0.0), 1.0) * 100 AS flagged_pct,
+  coalesce(flagged_minutes, 0.0) * 75.0 AS flagged_savings
+FROM tr CROSS JOIN {KS} ks LEFT JOIN pk ON pk.date = tr.date LEFT JOIN flg ON flg.date = tr.date AND flg.k = ks.k""",
+    "worst", "px_flight", "topk", "cc"),
+    doubles=["wx_inbound_pct", "wx_delay_total", "wx_delay_mean", "delayed_outbound_pct", "dep_delay_total",
+             "total_cascade_minutes", "total_cost", "flagged_minutes", "flagged_pct", "flagged_savings"],
+    ints=["k", "total_flights", "inbound_flights", "outbound_flights", "wx_inbound", "delayed_outbound",
+          "cascading_sequences", "propagated_sequences", "flagged_sequences"])
+Q["case_pair_summary"] = fin(B.render("""
+SELECT date, origin, dest, count(*) AS n_sequences, sum(total_cascade_minutes) AS total_cascade,
+       avg(total_cascade_minutes) AS avg_cascade, avg(risk_score) AS risk_score,
+       CASE WHEN avg(risk_score) >= 65 THEN 'FLAGGED' ELSE 'MISSED' END AS status
+FROM cc GROUP BY date, origin, dest""", "cc"), doubles=["total_cascade", "avg_cascade", "risk_score"], ints=["n_sequences"])
+Q["hourly_timeline"] = fin(B.render("""
+WITH h AS (SELECT date, CAST(floor(inbound_arr_time / 60) AS INTEGER) AS hour, count(*) AS n_cascades,
+                  sum(total_cascade_minutes) AS total_delay FROM cc GROUP BY 1, 2),
+ t AS (SELECT w.date, s.hour, coalesce(h.n_cascades, 0) AS n_cascades, coalesce(h.total_delay, 0.0) AS total_delay
+       FROM worst w CROSS JOIN (SELECT CAST(range AS INTEGER) AS hour FROM range(6, 22)) s
+       LEFT JOIN h ON h.date = w.date AND h.hour = s.hour),
+ r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY total_delay DESC, hour) AS rn FROM t)
+SELECT date, hour, n_cascades, total_delay,
+       total_delay >= coalesce(max(CASE WHEN rn = 2 THEN total_delay END) OVER (PARTITION BY date), total_delay) AS is_peak
+FROM r""", "cc", "worst"), doubles=["total_delay"], ints=["hour", "n_cascades"])
+Q["avoid_list"] = fin(B.render("SELECT * FROM avoid", "avoid"), doubles=["risk_score", "cascade_cost"], ints=["month"])
+Q["swap_recommendations"] = fin(B.render("SELECT * FROM swaps", "swaps"),
+                                doubles=["avoid_risk", "swap_risk", "risk_reduction"])
+Q["risk_feed"] = fin(B.render(f"""
+WITH t AS (SELECT month, airport_a, airport_b, risk_score,
+                  row_number() OVER (PARTITION BY month ORDER BY risk_score DESC, airport_a, airport_b) AS rank
+           FROM rs QUALIFY row_number() OVER (PARTITION BY month ORDER BY risk_score DESC, airport_a, airport_b) <= 5),
+ sw AS (SELECT t.month, t.airport_a, t.airport_b, c.other AS swap_dest, c.risk_score AS swap_risk
+        FROM t JOIN cand c ON c.month = t.month AND c.origin = t.airport_a
+        WHERE c.other <> t.airport_b AND c.risk_score < 30
+        QUALIFY row_number() OVER (PARTITION BY t.month, t.airport_a, t.airport_b ORDER BY c.risk_score, c.other) = 1)
+SELECT t.month, t.rank, t.airport_a, t.airport_b, t.risk_score, {BAND} AS band,
+       coalesce(ca.city, t.airport_a) AS city_a, coalesce(cb.city, t.airport_b) AS city_b, sw.swap_dest, sw.swap_risk
+FROM t LEFT JOIN sw ON sw.month = t.month AND sw.airport_a = t.airport_a AND sw.airport_b = t.airport_b
+LEFT JOIN px_airport ca ON ca.iata = t.airport_a LEFT JOIN px_airport cb ON cb.iata = t.airport_b""",
+    "rs", "cand", "px_airport"), doubles=["risk_score", "swap_risk"], ints=["month", "rank"])
+Q["forecast_screen"] = fin(B.render("""
+WITH adv AS (SELECT airport, CAST(month(valid) AS INTEGER) AS month, is_ifr FROM mobs
+             QUALIFY row_number() OVER (PARTITION BY airport ORDER BY valid DESC) = 1),
+ ends AS (SELECT airport_a, airport_b, month, risk_score, unnest([airport_a, airport_b]) AS advisory_airport
+          FROM rs WHERE risk_score >= 65)
+SELECT ends.* FROM ends JOIN adv ON adv.airport = ends.advisory_airport AND adv.month = ends.month AND adv.is_ifr""",
+    "mobs", "rs"), doubles=["risk_score"], ints=["month"])
+Q["seasonal_summary"] = fin(B.render(f"""
+WITH g AS (SELECT {SEASON_CASE} AS season, airport_a, airport_b, avg(risk_score) AS avg_risk, max(risk_score) AS max_risk,
+                  first(month ORDER BY risk_score DESC, month) AS peak_month
+           FROM rs GROUP BY 1, 2, 3),
+ t AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY avg_risk DESC, airport_a, airport_b) AS rank FROM g
+       QUALIFY row_number() OVER (PARTITION BY season ORDER BY avg_risk DESC, airport_a, airport_b) <= 10)
+SELECT season, rank, airport_a, airport_b, avg_risk, max_risk, peak_month,
+  CASE WHEN coalesce(ra.region, 'Unknown') = coalesce(rb.region, 'Unknown')
+       THEN 'Same region (' || coalesce(ra.region, 'Unknown') || ')'
+       ELSE 'Cross-region (' || coalesce(ra.region, 'Unknown') || ' / ' || coalesce(rb.region, 'Unknown') || ')' END
+    AS geographic_pattern
+FROM t LEFT JOIN px_airport ra ON ra.iata = t.airport_a LEFT JOIN px_airport rb ON rb.iata = t.airport_b""",
+    "rs", "px_airport"), doubles=["avg_risk", "max_risk"], ints=["rank", "peak_month"])
+Q["objective_coverage"] = fin(B.render("""
+WITH av AS (SELECT DISTINCT airport_a, airport_b FROM avoid),
+ j AS (SELECT rs.*, av.airport_a IS NOT NULL AS cov FROM rs LEFT JOIN av
+       ON av.airport_a = rs.airport_a AND av.airport_b = rs.airport_b),
+ o AS (SELECT 'delay_propagation' AS objective, airport_a, airport_b, cov FROM j WHERE joint_weather_delay_prob > 0.05
+       UNION ALL SELECT 'duty_violations', airport_a, airport_b, cov FROM j WHERE duty_violation_risk > 0.8
+       UNION ALL SELECT 'missed_connections', airport_a, airport_b, cov FROM j WHERE missed_connection_prob > 0.5
+       UNION ALL SELECT 'fatigue_risk', airport_a, airport_b, cov FROM j WHERE fatigue_exposure > 0),
+ g AS (SELECT objective, count(DISTINCT airport_a || '|' || airport_b) AS total_risky,
+              count(DISTINCT CASE WHEN cov THEN airport_a || '|' || airport_b END) AS in_avoid_list FROM o GROUP BY objective)
+SELECT s.objective, coalesce(total_risky, 0) AS total_risky, coalesce(in_avoid_list, 0) AS in_avoid_list,
+       coalesce(in_avoid_list, 0) / greatest(coalesce(total_risky, 0), 1) * 100 AS coverage
+FROM (SELECT unnest(['delay_propagation', 'duty_violations', 'missed_connections', 'fatigue_risk']) AS objective) s
+LEFT JOIN g USING (objective)""", "avoid", "rs"), doubles=["coverage"], ints=["total_risky", "in_avoid_list"])
+Q["pair_explorer"] = fin(B.render("""
+SELECT least(airport_a, airport_b) AS pair_a, greatest(airport_a, airport_b) AS pair_b, avg(risk_score) AS avg_risk,
+       max(risk_score) AS peak_risk, first(month ORDER BY risk_score DESC, month) AS peak_month,
+       avg(joint_weather_delay_prob) AS avg_joint_weather_delay_prob, count(*) AS n_months
+FROM rs GROUP BY 1, 2""", "rs"), doubles=["avg_risk", "peak_risk", "avg_joint_weather_delay_prob"],
+    ints=["peak_month", "n_months"])
+Q["month_top_pairs"] = fin(B.render("""
+SELECT month, airport_a, airport_b, risk_score, n_overlap_days,
+       row_number() OVER (PARTITION BY month ORDER BY risk_score DESC, airport_a, airport_b) AS rank
+FROM rs WHERE n_overlap_days >= 5
+QUALIFY row_number() OVER (PARTITION BY month ORDER BY risk_score DESC, airport_a, airport_b) <= 10""", "rs"),
+    doubles=["risk_score"], ints=["month", "n_overlap_days", "rank"])
+Q["risk_bands"] = fin(B.render(f"SELECT month, {BAND} AS band, count(*) AS n_pairs FROM rs GROUP BY 1, 2", "rs"),
+                      ints=["month", "n_pairs"])
+Q["route_segments"] = fin(B.render(f"""
+WITH t AS (SELECT month, airport_a, airport_b, risk_score,
+                  row_number() OVER (PARTITION BY month ORDER BY risk_score DESC, airport_a, airport_b) AS rank
+           FROM rs QUALIFY row_number() OVER (PARTITION BY month ORDER BY risk_score DESC, airport_a, airport_b) <= 200),
+ hub AS (SELECT latitude AS hub_lat, longitude AS hub_lon FROM px_airport WHERE iata = {H})
+SELECT t.month, t.rank, t.airport_a, t.airport_b, t.risk_score, a.latitude AS lat_a, a.longitude AS lon_a,
+       b.latitude AS lat_b, b.longitude AS lon_b, hub.hub_lat, hub.hub_lon, {BAND} AS band,
+       CASE WHEN risk_score >= 80 THEN 2.5 WHEN risk_score >= 65 THEN 1.8 ELSE 1.2 END AS line_width
+FROM t JOIN px_airport a ON a.iata = t.airport_a JOIN px_airport b ON b.iata = t.airport_b LEFT JOIN hub ON true""",
+    "rs", "px_airport"), doubles=["risk_score", "lat_a", "lon_a", "lat_b", "lon_b", "hub_lat", "hub_lon", "line_width"],
+    ints=["month", "rank"])
+_months = ", ".join(f"avg(CASE WHEN month = {m} THEN risk_score END) AS m{m:02d}" for m in range(1, 13))
+Q["risk_heatmap"] = fin(B.render(f"""
+WITH top AS (SELECT airport_a, airport_b FROM rs GROUP BY 1, 2 ORDER BY avg(risk_score) DESC, airport_a, airport_b LIMIT 15)
+SELECT airport_a, airport_b, {_months} FROM rs SEMI JOIN top USING (airport_a, airport_b) GROUP BY 1, 2""", "rs"),
+    doubles=[f"m{m:02d}" for m in range(1, 13)])
+Q["season_distribution"] = fin(B.render(f"""
+SELECT {SHORT_SEASON_CASE} AS season, quantile_cont(risk_score, 0.0) AS risk_min, quantile_cont(risk_score, 0.25) AS risk_q1,
+       quantile_cont(risk_score, 0.5) AS risk_median, quantile_cont(risk_score, 0.75) AS risk_q3,
+       quantile_cont(risk_score, 1.0) AS risk_max FROM rs GROUP BY 1""", "rs"),
+    doubles=["risk_min", "risk_q1", "risk_median", "risk_q3", "risk_max"])
+Q["savings_tiers"] = fin(B.render("""
+WITH m AS (SELECT * FROM im WHERE k = 500),
+ q AS (SELECT quantile_cont(dollar_savings, 0.7) AS q7, quantile_cont(dollar_savings, 0.4) AS q4 FROM m)
+SELECT k, month, dollar_savings,
+       CASE WHEN dollar_savings > q7 THEN 'high' WHEN dollar_savings > q4 THEN 'mid' ELSE 'low' END AS tier
+FROM m, q""", "im"), doubles=["dollar_savings"], ints=["k", "month"])
+Q["kpi_summary"] = fin(B.render("""
+WITH c AS (SELECT month, count_if(risk_score >= 80) AS critical_pairs FROM rs GROUP BY month),
+ av AS (SELECT month, count(*) AS avoid_count FROM avoid GROUP BY month),
+ a AS (SELECT max(annual_savings_upper) AS annual_savings_upper, max(annual_savings_adjusted) AS annual_savings_adjusted
+       FROM iadj WHERE k = 200),
+ sw AS (SELECT avg(risk_reduction) AS avg_swap_reduction FROM swaps)
+SELECT c.month, critical_pairs, coalesce(avoid_count, 0) AS avoid_count, annual_savings_upper, annual_savings_adjusted,
+       avg_swap_reduction
+FROM c LEFT JOIN av USING (month) CROSS JOIN a CROSS JOIN sw""", "rs", "avoid", "iadj", "swaps"),
+    doubles=["annual_savings_upper", "annual_savings_adjusted", "avg_swap_reduction"],
+    ints=["month", "critical_pairs", "avoid_count"])
+Q["airport_degree"] = fin(B.render("""
+WITH e AS (SELECT month, unnest([airport_a, airport_b]) AS airport FROM rs WHERE risk_score >= 65)
+SELECT month, airport, count(*) AS n_pairs, least(greatest(count(*), 6), 20) AS marker_size FROM e GROUP BY 1, 2""",
+    "rs"), ints=["month", "n_pairs", "marker_size"])
+Q["top_pairs"] = fin(B.render("""
+SELECT airport_a, airport_b, month, risk_score, risk_rank FROM rs
+ORDER BY risk_score DESC, airport_a, airport_b, month LIMIT 20""", "rs"), doubles=["risk_score"], ints=["month", "risk_rank"])
+Q["top_pairs_by_max"] = fin(B.render("""
+SELECT airport_a, airport_b, max(risk_score) AS max_risk, avg(risk_score) AS mean_risk FROM rs GROUP BY 1, 2
+ORDER BY max_risk DESC, airport_a, airport_b LIMIT 15""", "rs"), doubles=["max_risk", "mean_risk"])
+Q["airport_universe"] = B.render("SELECT airport_a AS airport FROM rs UNION SELECT airport_b FROM rs", "rs")
+
+
 def finished() -> dict[str, str]:
     return {k: count_if_to_filter(v) for k, v in Q.items()}

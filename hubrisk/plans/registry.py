@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hubrisk.operators import casestudy as CS
 from hubrisk.operators import flights as FL
+from hubrisk.operators import impact as IM
+from hubrisk.operators import recommend as RC
+from hubrisk.operators import report as RP
 from hubrisk.operators import pairs as PR
 from hubrisk.operators import risk as RK
 from hubrisk.operators import sequences as SQ
@@ -310,3 +314,211 @@ def _q(spark, sf):
 def _q(spark, sf):
     return (RK.risk_scores_reweighted(pair_feats(spark, sf), PROXY_IMPORTANCE, P)
             .select("airport_a", "airport_b", "month", "risk_score", "risk_rank"))
+
+
+# --- impact and baseline ------------------------------------------------------------------
+
+def cad(spark, sf) -> DataFrame:
+    return SQ.cascade_airport_days(data(spark, sf).flights, P)
+
+
+def naive(spark, sf) -> DataFrame:
+    return IM.naive_scores(scores(spark, sf), data(spark, sf).flights, P)
+
+
+@query("topk_flag")
+def _q(spark, sf):
+    ks = sorted(P.top_k)
+    best = (IM.top_k_positions(scores(spark, sf), "risk_score", max(ks)).groupBy("pair_a", "pair_b")
+            .agg(F.min("pos").alias("best_pos")))
+    c = cad(spark, sf).select("date", "airport_in", "airport_out", "pair_a", "pair_b").join(
+        F.broadcast(best), ["pair_a", "pair_b"], "left")
+    return c.withColumns({f"flagged_k{k}": F.coalesce(F.col("best_pos") <= k, F.lit(False)) for k in ks})
+
+
+@query("impact_by_k")
+def _q(spark, sf):
+    return IM.impact_by_k(cad(spark, sf), scores(spark, sf), P)
+
+
+@query("impact_by_month")
+def _q(spark, sf):
+    return IM.impact_by_month(cad(spark, sf), scores(spark, sf), P)
+
+
+@query("impact_adjusted")
+def _q(spark, sf):
+    c = cad(spark, sf)
+    return IM.impact_adjusted(data(spark, sf).flights, c, IM.impact_by_k(c, scores(spark, sf), P), P)
+
+
+@query("top_cascading_pairs")
+def _q(spark, sf):
+    return IM.top_cascading_pairs(cad(spark, sf))
+
+
+@query("actual_pair_month")
+def _q(spark, sf):
+    return IM.actual_pair_month(cad(spark, sf))
+
+
+@query("naive_scores")
+def _q(spark, sf):
+    return naive(spark, sf)
+
+
+@query("baseline_comparison")
+def _q(spark, sf):
+    return IM.baseline_comparison(IM.actual_pair_month(cad(spark, sf)), scores(spark, sf), naive(spark, sf), P)
+
+
+@query("ranking_overlap")
+def _q(spark, sf):
+    return IM.ranking_overlap(scores(spark, sf), naive(spark, sf), 500)
+
+
+# --- case studies ---------------------------------------------------------------------------
+
+def worst(spark, sf) -> DataFrame:
+    return CS.worst_day(data(spark, sf).flights, P)
+
+
+def case_rows(spark, sf) -> DataFrame:
+    return CS.case_cascades(data(spark, sf).flights, scores(spark, sf), P, worst(spark, sf))
+
+
+@query("worst_day")
+def _q(spark, sf):
+    return worst(spark, sf)
+
+
+@query("case_cascades")
+def _q(spark, sf):
+    return case_rows(spark, sf)
+
+
+@query("case_study_summary")
+def _q(spark, sf):
+    return CS.case_study_summary(data(spark, sf).flights, scores(spark, sf), case_rows(spark, sf), P, worst(spark, sf))
+
+
+@query("case_pair_summary")
+def _q(spark, sf):
+    return CS.case_pair_summary(case_rows(spark, sf), P)
+
+
+@query("hourly_timeline")
+def _q(spark, sf):
+    return CS.hourly_timeline(case_rows(spark, sf), worst(spark, sf))
+
+
+# --- recommendations ------------------------------------------------------------------------
+
+def avoid(spark, sf) -> DataFrame:
+    prop = SQ.cascade_propagation(SQ.cascade_events(data(spark, sf).flights, P), P)
+    return RC.avoid_list(scores(spark, sf), P, prop)
+
+
+def swaps(spark, sf) -> DataFrame:
+    return RC.swap_recommendations(scores(spark, sf), avoid(spark, sf), data(spark, sf).flights, P)
+
+
+@query("avoid_list")
+def _q(spark, sf):
+    return avoid(spark, sf)
+
+
+@query("swap_recommendations")
+def _q(spark, sf):
+    return swaps(spark, sf)
+
+
+@query("risk_feed")
+def _q(spark, sf):
+    return RC.risk_feed(scores(spark, sf), data(spark, sf).airports, P)
+
+
+def advisory(spark, sf) -> DataFrame:
+    """Stations whose latest METAR observation is IFR, with that observation's month."""
+    obs = WX.metar_observations(data(spark, sf).metar_hourly)
+    last = obs.groupBy("airport").agg(F.max_by(F.struct("is_ifr", "valid"), "valid").alias("l"))
+    return last.where("l.is_ifr").select("airport", F.month("l.valid").alias("month"))
+
+
+@query("forecast_screen")
+def _q(spark, sf):
+    return RC.forecast_screen(scores(spark, sf), advisory(spark, sf), P)
+
+
+@query("seasonal_summary")
+def _q(spark, sf):
+    return RC.seasonal_summary(scores(spark, sf), data(spark, sf).airports, P)
+
+
+@query("objective_coverage")
+def _q(spark, sf):
+    return RC.objective_coverage(scores(spark, sf), avoid(spark, sf))
+
+
+# --- report tables ---------------------------------------------------------------------------
+
+@query("pair_explorer")
+def _q(spark, sf):
+    return RP.pair_explorer(scores(spark, sf))
+
+
+@query("month_top_pairs")
+def _q(spark, sf):
+    return RP.month_top_pairs(scores(spark, sf), n=10, min_overlap=5)
+
+
+@query("risk_bands")
+def _q(spark, sf):
+    return RP.risk_bands(scores(spark, sf), P)
+
+
+@query("route_segments")
+def _q(spark, sf):
+    return RP.route_segments(scores(spark, sf), data(spark, sf).airports, P, k=200)
+
+
+@query("risk_heatmap")
+def _q(spark, sf):
+    return RP.risk_heatmap(scores(spark, sf), 15)
+
+
+@query("season_distribution")
+def _q(spark, sf):
+    return RP.season_distribution(scores(spark, sf))
+
+
+@query("savings_tiers")
+def _q(spark, sf):
+    return RP.savings_tiers(IM.impact_by_month(cad(spark, sf), scores(spark, sf), P))
+
+
+@query("kpi_summary")
+def _q(spark, sf):
+    c = cad(spark, sf)
+    adj = IM.impact_adjusted(data(spark, sf).flights, c, IM.impact_by_k(c, scores(spark, sf), P), P)
+    return RP.kpi_summary(scores(spark, sf), adj, avoid(spark, sf), swaps(spark, sf), P, k=200)
+
+
+@query("airport_degree")
+def _q(spark, sf):
+    return RP.airport_degree(scores(spark, sf), P)
+
+
+@query("top_pairs")
+def _q(spark, sf):
+    return RP.top_pairs(scores(spark, sf), 20)
+
+
+@query("top_pairs_by_max")
+def _q(spark, sf):
+    return RP.top_pairs_by_max(scores(spark, sf), 15)
+
+
+@query("airport_universe")
+def _q(spark, sf):
+    return RP.airport_universe(scores(spark, sf))
