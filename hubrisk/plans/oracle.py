@@ -877,5 +877,118 @@ ORDER BY max_risk DESC, airport_a, airport_b LIMIT 15""", "rs"), doubles=["max_r
 Q["airport_universe"] = B.render("SELECT airport_a AS airport FROM rs UNION SELECT airport_b FROM rs", "rs")
 
 
+# --- enrichment, splits, metrics ------------------------------------------------------------
+def _enriched_sql() -> str:
+    from hubrisk.operators.pairs import PAIR_FEATURE_ORDER
+    pf_cols = list(PAIR_FEATURE_ORDER[3:]) + [f"{c}_{s}" for s in "ab" for c in STAT_COLS] + [
+        "combined_weather_risk", "max_weather_risk"]
+    wx = []
+    for pre, al in (("wx_a_", "wa"), ("wx_b_", "wb"), ("wx_hub_", "wh")):
+        wx += [f"{al}.{c} AS {pre}{c}" for c in WD_MEASURES + WD_COUNTS]
+    return B.render(f"""
+SELECT s.*, pf.airport_a AS pair_airport_a, pf.airport_b AS pair_airport_b, {", ".join("pf." + c for c in pf_cols)},
+  {", ".join(wx)},
+  sin(2 * pi() * s.inbound_arr_time / 1440.0) AS hour_sin, cos(2 * pi() * s.inbound_arr_time / 1440.0) AS hour_cos,
+  sin(2 * pi() * s.day_of_week / 7.0) AS dow_sin, cos(2 * pi() * s.day_of_week / 7.0) AS dow_cos
+FROM seq s LEFT JOIN pf ON least(pf.airport_a, pf.airport_b) = least(s.airport_a, s.airport_b)
+  AND greatest(pf.airport_a, pf.airport_b) = greatest(s.airport_a, s.airport_b) AND pf.month = s.month
+LEFT JOIN wd wa ON wa.airport = s.airport_a AND wa.date = s.date
+LEFT JOIN wd wb ON wb.airport = s.airport_b AND wb.date = s.date
+LEFT JOIN (SELECT * FROM wd WHERE airport = {H}) wh ON wh.date = s.date""", "seq", "pf", "wd")
+
+
+_wxd = [f"{p}{c}" for p in ("wx_a_", "wx_b_", "wx_hub_") for c in WD_MEASURES]
+_wxi = [f"{p}{c}" for p in ("wx_a_", "wx_b_", "wx_hub_") for c in WD_COUNTS]
+Q["sequences_enriched"] = fin(_enriched_sql(),
+                              doubles=SEQ_D + PF_DOUBLES + _wxd + ["hour_sin", "hour_cos", "dow_sin", "dow_cos"],
+                              ints=SEQ_I + [c for c in PF_INTS if c != "month"] + _wxi)
+TRAIN_YEARS = "(1995, 1996, 1997, 1998, 1999, 2000)"
+Q["temporal_split"] = fin(B.render(f"""
+SELECT CASE WHEN year IN {TRAIN_YEARS} THEN 'train' WHEN year = 2001 AND month <= 6 THEN 'validation'
+            WHEN year = 2001 THEN 'test' END AS split, count(*) AS n_rows, count_if(cascading_delay = 1) AS n_positive
+FROM seq GROUP BY 1""", "seq"), ints=["n_rows", "n_positive"])
+Q["class_weight"] = fin(B.render(f"""
+SELECT count_if(cascading_delay = 0) AS n_neg, count_if(cascading_delay = 1) AS n_pos,
+       count_if(cascading_delay = 0) / greatest(count_if(cascading_delay = 1), 1) AS scale_pos_weight
+FROM seq WHERE year IN {TRAIN_YEARS}""", "seq"), doubles=["scale_pos_weight"], ints=["n_neg", "n_pos"])
+B.add("det", """
+SELECT cascading_delay AS label, ((connection_minutes * 7 + inbound_arr_time * 3) % 1000) / 1000.0 AS score,
+       CAST(((connection_minutes * 7 + inbound_arr_time * 3) % 1000) / 1000.0 >= 0.5 AS INTEGER) AS predicted
+FROM seq WHERE year = 2001 AND month > 6
+""", "seq")
+B.add("dcum", """
+WITH g AS (SELECT score, count_if(label = 1) AS pos, count_if(label <> 1) AS neg FROM det GROUP BY score)
+SELECT score, pos, neg,
+  coalesce(sum(pos) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_below,
+  coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below,
+  sum(pos) OVER () AS P, sum(neg) OVER () AS N
+FROM g
+""", "det")
+B.add("dtp", "SELECT *, P - pos_below AS tp, N - neg_below AS fp FROM dcum", "dcum")
+Q["auc_roc"] = fin(B.render("""
+SELECT CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (neg_below + 0.5 * neg)) / (sum(pos) * sum(neg))
+            ELSE 0.0 END AS auc_roc FROM dcum""", "dcum"), doubles=["auc_roc"])
+Q["average_precision"] = fin(B.render("""
+SELECT coalesce(sum(CASE WHEN P > 0 THEN pos / P * tp / (tp + fp) END), 0.0) AS average_precision FROM dtp""", "dtp"),
+    doubles=["average_precision"])
+Q["roc_curve"] = fin(B.render("""
+SELECT score AS threshold, fp / nullif(N, 0) AS fpr, tp / nullif(P, 0) AS tpr FROM dtp""", "dtp"),
+    doubles=["threshold", "fpr", "tpr"])
+Q["pr_curve"] = fin(B.render("""
+SELECT score AS threshold, tp / (tp + fp) AS precision, tp / nullif(P, 0) AS recall FROM dtp""", "dtp"),
+    doubles=["threshold", "precision", "recall"])
+Q["confusion_matrix"] = fin(B.render("""
+SELECT l.label, p.predicted, count_if(d.label = l.label AND d.predicted = p.predicted) AS n
+FROM (SELECT unnest([0, 1]) AS label) l CROSS JOIN (SELECT unnest([0, 1]) AS predicted) p CROSS JOIN det d
+GROUP BY l.label, p.predicted""", "det"), ints=["label", "predicted", "n"])
+Q["classification_report"] = fin(B.render("""
+WITH c AS (SELECT count_if(label = 0 AND predicted = 0) AS c00, count_if(label = 0 AND predicted = 1) AS c01,
+                  count_if(label = 1 AND predicted = 0) AS c10, count_if(label = 1 AND predicted = 1) AS c11 FROM det),
+ k AS (SELECT '0' AS class, coalesce(c00 / nullif(c00 + c10, 0), 0.0) AS precision,
+              coalesce(c00 / nullif(c00 + c01, 0), 0.0) AS recall, c00 + c01 AS support, c00 + c01 + c10 + c11 AS total FROM c
+       UNION ALL
+       SELECT '1', coalesce(c11 / nullif(c11 + c01, 0), 0.0), coalesce(c11 / nullif(c11 + c10, 0), 0.0), c10 + c11,
+              c00 + c01 + c10 + c11 FROM c),
+ kf AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1_score FROM k)
+SELECT class, precision, recall, f1_score, support FROM kf
+UNION ALL SELECT 'accuracy', a, a, a, t FROM (SELECT coalesce((c00 + c11) / nullif(c00 + c01 + c10 + c11, 0), 0.0) AS a,
+                                                     c00 + c01 + c10 + c11 AS t FROM c)
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score), max(total) FROM kf
+UNION ALL SELECT 'weighted avg', coalesce(sum(precision * support) / nullif(max(total), 0), 0.0),
+                 coalesce(sum(recall * support) / nullif(max(total), 0), 0.0),
+                 coalesce(sum(f1_score * support) / nullif(max(total), 0), 0.0), max(total) FROM kf""", "det"),
+    doubles=["precision", "recall", "f1_score"], ints=["support"])
+
+# --- streaming (batch equivalents) and file ingests --------------------------------------------
+Q["live_metar"] = fin(B.render("""
+WITH o AS (SELECT 'K' || station AS icao, station AS iata, CASE WHEN vsby >= 10 THEN 10.0 ELSE coalesce(vsby, 10.0) END AS vis_sm,
+                  coalesce(least(CASE WHEN skyc1 IN ('BKN', 'OVC') AND skyl1 IS NOT NULL AND skyl1 <> 0 THEN skyl1 END,
+                                 CASE WHEN skyc2 IN ('BKN', 'OVC') AND skyl2 IS NOT NULL AND skyl2 <> 0 THEN skyl2 END),
+                           99999.0) AS ceiling,
+                  sknt AS wind_kt, gust AS gust_kt, strftime(valid, '%Y-%m-%d %H:%M:%S.%f') AS report_time
+           FROM px_metar_hourly)
+SELECT icao, iata, vis_sm, CASE WHEN ceiling < 99999 THEN ceiling END AS ceiling_ft,
+  CASE WHEN ceiling < 500 OR vis_sm < 1 THEN 'LIFR' WHEN ceiling < 1000 OR vis_sm < 3 THEN 'IFR'
+       WHEN ceiling < 3000 OR vis_sm < 5 THEN 'MVFR' ELSE 'VFR' END AS category, wind_kt, gust_kt, report_time
+FROM o QUALIFY row_number() OVER (PARTITION BY icao ORDER BY report_time DESC) = 1""", "px_metar_hourly"),
+    doubles=["vis_sm", "ceiling_ft", "wind_kt", "gust_kt"])
+_mds_d = [c for c in MD_DOUBLES if not c.endswith("_p10")]
+Q["metar_daily_stream"] = fin(B.render(f"SELECT airport, date, {', '.join(MD_COUNTS + _mds_d)} FROM md", "md"),
+                              doubles=_mds_d, ints=MD_COUNTS)
+Q["stream_risk_screen"] = fin(B.render("""
+SELECT m.airport, CAST(month(m.valid) AS INTEGER) AS month, strftime(m.valid, '%Y-%m-%d %H:%M:%S.%f') AS valid,
+       r.airport_a, r.airport_b, r.risk_score
+FROM mobs m JOIN (SELECT unnest([airport_a, airport_b]) AS airport, month, airport_a, airport_b, risk_score
+                  FROM rs WHERE risk_score >= 65) r ON r.airport = m.airport AND r.month = month(m.valid)
+WHERE m.is_ifr""", "mobs", "rs"), doubles=["risk_score"], ints=["month"])
+Q["stream_cascade"] = Q["cascade_events"]
+Q["ingest_weather_json"] = fin(B.render("SELECT * FROM px_weather_hourly", "px_weather_hourly"),
+                               doubles=["temperature_2m", "dew_point_2m", "relative_humidity_2m", "precipitation", "rain",
+                                        "snowfall", "snow_depth", "cloud_cover", "cloud_cover_low", "wind_speed_10m",
+                                        "wind_gusts_10m", "surface_pressure"], ints=["weather_code"])
+Q["ingest_metar"] = fin(B.render("SELECT * FROM px_metar_hourly", "px_metar_hourly"),
+                        doubles=["skyl1", "skyl2", "vsby", "gust", "sknt"], ints=["k"])
+
+
 def finished() -> dict[str, str]:
     return {k: count_if_to_filter(v) for k, v in Q.items()}

@@ -16,14 +16,17 @@ from pyspark.sql import types as T
 from hubrisk.operators import casestudy as CS
 from hubrisk.operators import flights as FL
 from hubrisk.operators import impact as IM
+from hubrisk.operators import ml as ML
 from hubrisk.operators import recommend as RC
 from hubrisk.operators import report as RP
 from hubrisk.operators import pairs as PR
 from hubrisk.operators import risk as RK
 from hubrisk.operators import sequences as SQ
 from hubrisk.operators import weather as WX
-from hubrisk.session import checkpoint_root
+from hubrisk.session import checkpoint_root, scratch_path
+from hubrisk.sources import ingest as IN
 from hubrisk.sources import proxy
+from hubrisk.streaming import metar_stream as ST
 
 P = proxy.proxy_params()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -522,3 +525,200 @@ def _q(spark, sf):
 @query("airport_universe")
 def _q(spark, sf):
     return RP.airport_universe(scores(spark, sf))
+
+
+# --- enrichment and classifier ------------------------------------------------------------
+
+def seqs(spark, sf) -> DataFrame:
+    return SQ.sequences(data(spark, sf).flights, P)
+
+
+def enriched(spark, sf) -> DataFrame:
+    d = data(spark, sf)
+    return SQ.sequences_enriched(seqs(spark, sf), pair_feats(spark, sf), WX.weather_daily(d.weather_hourly), P)
+
+
+@query("sequences_enriched")
+def _q(spark, sf):
+    return enriched(spark, sf)
+
+
+@query("temporal_split")
+def _q(spark, sf):
+    s = ML.temporal_split(seqs(spark, sf), P)
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("cascading_delay") == 1).alias("n_positive"))
+
+
+@query("class_weight")
+def _q(spark, sf):
+    s = ML.temporal_split(seqs(spark, sf), P)
+    return ML.class_weight(s.where(F.col("split") == "train"))
+
+
+SMOKE_TREES = 10  # boosted-tree rounds for the registered smoke run (library default: 500 + early stop)
+_MODELS: dict = {}
+
+
+def model(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        enr = stage(spark, sf, "sequences_enriched", lambda: enriched(spark, sf))
+        _MODELS[key] = (*ML.train_classifier(enr, P, max_iter=SMOKE_TREES), enr)
+    return _MODELS[key]
+
+
+def _test_scored(spark, sf) -> DataFrame:
+    m, feats, enr = model(spark, sf)
+    test = ML.temporal_split(enr, P).where(F.col("split") == "test")
+    return ML.score_sequences(m, test, feats)
+
+
+@query("train_classifier")
+def _q(spark, sf):
+    sc = _test_scored(spark, sf).select(F.col("cascading_delay").alias("label"), F.col("predicted_proba").alias("score"))
+    return ML.auc_roc(sc).select("auc_roc", ML.average_precision(sc).select("average_precision").scalar()
+                                 .alias("average_precision"))
+
+
+@query("score_sequences")
+def _q(spark, sf):
+    return _test_scored(spark, sf).select("date", "in_flight_id", "out_flight_id", "airport_a", "airport_b", "month",
+                                          "cascading_delay", "predicted_proba", "predicted")
+
+
+@query("feature_importance")
+def _q(spark, sf):
+    m, feats, _ = model(spark, sf)
+    imp = ML.feature_importance(m, feats)
+    return imp.withColumn("hub_weather", F.col("feature").startswith("wx_hub_"))
+
+
+def det(spark, sf) -> DataFrame:
+    return ML.deterministic_scores(seqs(spark, sf), P)
+
+
+@query("auc_roc")
+def _q(spark, sf):
+    return ML.auc_roc(det(spark, sf))
+
+
+@query("average_precision")
+def _q(spark, sf):
+    return ML.average_precision(det(spark, sf))
+
+
+@query("roc_curve")
+def _q(spark, sf):
+    return ML.roc_curve(det(spark, sf))
+
+
+@query("pr_curve")
+def _q(spark, sf):
+    return ML.pr_curve(det(spark, sf))
+
+
+@query("confusion_matrix")
+def _q(spark, sf):
+    return ML.confusion_matrix(det(spark, sf))
+
+
+@query("classification_report")
+def _q(spark, sf):
+    return ML.classification_report(det(spark, sf))
+
+
+# --- streaming (inputs: JSON files landed from the proxy tables in a fresh shared folder) -----
+
+def _landed_json(df: DataFrame, spark, label: str) -> tuple[str, str]:
+    base = scratch_path(spark, label)
+    df.write.mode("overwrite").json(f"{base}/input")
+    return base, f"{base}/input"
+
+
+@query("live_metar")
+def _q(spark, sf):
+    base, inp = _landed_json(ST.to_live_json_rows(data(spark, sf).metar_hourly), spark, "live-metar")
+    return ST.live_metar_stream(spark, inp, f"{base}/out", f"{base}/chk")
+
+
+def _metar_json(spark, sf) -> DataFrame:
+    m = data(spark, sf).metar_hourly
+    return m.select(*[F.date_format("valid", ST.TS_FORMAT).alias("valid") if c == "valid" else F.col(c)
+                      for c in ST.METAR_SCHEMA.fieldNames()])
+
+
+@query("metar_daily_stream")
+def _q(spark, sf):
+    base, inp = _landed_json(_metar_json(spark, sf), spark, "metar-stream")
+    return ST.metar_daily_stream(spark, inp, f"{base}/out", f"{base}/chk")
+
+
+@query("stream_risk_screen")
+def _q(spark, sf):
+    risky = (scores(spark, sf).where(F.col("risk_score") >= P.avoid_threshold)
+             .select(F.explode(F.array("airport_a", "airport_b")).alias("airport"), "month", "airport_a", "airport_b",
+                     "risk_score"))
+    base, inp = _landed_json(_metar_json(spark, sf), spark, "risk-screen")
+    return ST.stream_risk_screen(spark, inp, risky, f"{base}/out", f"{base}/chk")
+
+
+@query("stream_cascade")
+def _q(spark, sf):
+    f = data(spark, sf).flights
+    rows = f.select(*[F.col(c).cast("string").alias(c) if c == "FlightDate" else F.col(c)
+                      for c in ST.FLIGHT_SCHEMA.fieldNames()])
+    base, inp = _landed_json(rows, spark, "cascade-stream")
+    return ST.stream_cascade(spark, inp, P, f"{base}/out", f"{base}/chk")
+
+
+# --- file ingest (inputs: files landed from the proxy tables in a fresh shared folder) -----------
+
+LOWER_HEADERS = {"FlightDate": "fl_date", "Year": "year", "Month": "month", "Origin": "origin", "Dest": "dest",
+                 "CRSDepTime": "crs_dep_time", "CRSArrTime": "crs_arr_time", "ArrDelay": "arr_delay",
+                 "DepDelay": "dep_delay", "WeatherDelay": "delay_due_weather",
+                 "LateAircraftDelay": "late_aircraft_delay", "AirTime": "air_time", "Cancelled": "cancelled"}
+
+
+@query("ingest_flights")
+def _q(spark, sf):
+    f = data(spark, sf).flights
+    base = scratch_path(spark, "flight-csv")
+    as_str = [F.col(c).cast("string").alias(c) for c in f.columns]
+    f.where(F.col("Year") % 2 == 0).select(*as_str).write.option("header", True).csv(f"{base}/canonical")
+    f.where(F.col("Year") % 2 == 1).select(*[F.col(c).cast("string").alias(LOWER_HEADERS.get(c, c)) for c in f.columns]) \
+        .write.option("header", True).csv(f"{base}/aliased")
+    return IN.read_flight_csvs(spark, [f"{base}/canonical", f"{base}/aliased"], P)
+
+
+def _field(name: str):
+    return lambda x: x[name]
+
+
+@query("ingest_weather_json")
+def _q(spark, sf):
+    w = data(spark, sf).weather_hourly
+    docs = (w.withColumn("_b", F.pmod(F.xxhash64(*w.columns), F.lit(1024)))
+            .groupBy("airport", F.to_date("time").alias("_d"), "_b")
+            .agg(F.collect_list(F.struct(F.date_format("time", "yyyy-MM-dd'T'HH:mm").alias("time"),
+                                         *[F.col(v).cast("double").alias(v) for v in IN.WEATHER_VARS])).alias("h")))
+    hourly = F.struct(*[F.transform("h", _field(v)).alias(v) for v in ("time", *IN.WEATHER_VARS)])
+    base = scratch_path(spark, "weather-json")
+    docs.select("airport", F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"),
+                hourly.alias("hourly")).write.json(base)
+    return IN.read_weather_json(spark, base).drop("latitude", "longitude")
+
+
+@query("ingest_metar")
+def _q(spark, sf):
+    m = data(spark, sf).metar_hourly
+    base = scratch_path(spark, "metar-csv")
+    (m.select(*[F.date_format("valid", ST.TS_FORMAT).alias("valid") if c == "valid" else F.col(c) for c in m.columns])
+     .write.option("header", True).option("nullValue", "M").csv(base))
+    out = IN.read_metar_csv(spark, base)
+    return out.withColumn("k", F.col("k").try_cast("int"))
+
+
+@query("materialize_stage")
+def _q(spark, sf):
+    daily = WX.weather_daily(data(spark, sf).weather_hourly).withColumn("year", F.year("date"))
+    return IN.materialize(daily, scratch_path(spark, "stage-weather-daily"), ["year"]).drop("year")
