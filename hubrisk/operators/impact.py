@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hubrisk.functions.exprs import pair_hi, pair_lo
+from hubrisk.operators.common import one_row
 from hubrisk.operators.flights import airport_month_stats
 from hubrisk.params import Params
 
@@ -83,9 +84,9 @@ def impact_adjusted(flights: DataFrame, cascading: DataFrame, by_k: DataFrame, p
     daily = flights.groupBy("FlightDate").agg(F.count(F.lit(1)).alias("n"))
     airports = (cascading.select(F.col("airport_in").alias("a"))
                 .unionByName(cascading.select(F.col("airport_out").alias("a"))).distinct())
-    avg_daily = daily.select(F.avg("n") / 2).scalar()
-    n_ap = airports.select(F.count(F.lit(1)).cast("double")).scalar()
-    years = flights.select(F.count_distinct("Year")).scalar()
+    avg_daily = F.lit(one_row(daily, (F.avg("n") / 2).alias("v"))["v"]).cast("double")
+    n_ap = F.lit(float(one_row(airports, F.count(F.lit(1)).alias("v"))["v"]))
+    years = F.lit(one_row(flights, F.count_distinct("Year").alias("v"))["v"]).cast("long")
     prob = avg_daily / F.greatest(n_ap * (n_ap - 1) / 2, F.lit(1.0))
     return by_k.select(
         "k", "dollar_savings", "prevented_events", prob.alias("assignment_prob"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubrisk.functions.exprs import pair_hi, pair_lo, season_of, severity_band
+from hubrisk.operators.common import one_row
 from hubrisk.params import SHORT_SEASONS, Params
 
 
@@ -50,7 +51,8 @@ def route_segments(scores: DataFrame, airports: DataFrame, p: Params, k: int = 2
                               F.col("longitude").alias("lon_a")), "airport_a")
            .join(co.select(F.col("iata").alias("airport_b"), F.col("latitude").alias("lat_b"),
                            F.col("longitude").alias("lon_b")), "airport_b"))
-    hub_lat, hub_lon = hub.select("hub_lat").scalar(), hub.select("hub_lon").scalar()
+    h = one_row(hub, F.max("hub_lat").alias("lat"), F.max("hub_lon").alias("lon"))
+    hub_lat, hub_lon = F.lit(h["lat"]).cast("double"), F.lit(h["lon"]).cast("double")
     band = severity_band("risk_score", p.critical_threshold, p.avoid_threshold)
     return out.select("month", "rank", "airport_a", "airport_b", "risk_score", "lat_a", "lon_a", "lat_b", "lon_b",
                       hub_lat.alias("hub_lat"), hub_lon.alias("hub_lon"), band.alias("band"),
@@ -76,11 +78,12 @@ def season_distribution(scores: DataFrame, seasons: dict | None = None) -> DataF
 
 def savings_tiers(by_month: DataFrame, k: int | None = None) -> DataFrame:
     """Monthly savings at K (default: the largest K) tiered by the 0.7 / 0.4 quantiles."""
-    kk = k if k is not None else by_month.select(F.max("k")).scalar()
+    kk = k if k is not None else one_row(by_month, F.max("k").alias("k"))["k"]
     m = by_month.where(F.col("k") == kk)
-    q = m.select(F.percentile("dollar_savings", F.array(F.lit(0.7), F.lit(0.4)))).scalar()
+    q = one_row(m, F.percentile("dollar_savings", 0.7).alias("q7"), F.percentile("dollar_savings", 0.4).alias("q4"))
+    q7, q4 = F.lit(q["q7"]).cast("double"), F.lit(q["q4"]).cast("double")
     return m.select("k", "month", "dollar_savings",
-                    F.when(F.col("dollar_savings") > q[0], "high").when(F.col("dollar_savings") > q[1], "mid")
+                    F.when(F.col("dollar_savings") > q7, "high").when(F.col("dollar_savings") > q4, "mid")
                     .otherwise("low").alias("tier"))
 
 
@@ -90,8 +93,9 @@ def kpi_summary(scores: DataFrame, adjusted: DataFrame, avoid: DataFrame, swaps:
     crit = scores.groupBy("month").agg(F.count_if(F.col("risk_score") >= p.critical_threshold).alias("critical_pairs"))
     av = avoid.groupBy("month").agg(F.count(F.lit(1)).alias("avoid_count"))
     a = adjusted.where(F.col("k") == k)
-    upper, adj = a.select(F.max("annual_savings_upper")).scalar(), a.select(F.max("annual_savings_adjusted")).scalar()
-    red = swaps.select(F.avg("risk_reduction")).scalar()
+    sv = one_row(a, F.max("annual_savings_upper").alias("u"), F.max("annual_savings_adjusted").alias("a"))
+    upper, adj = F.lit(sv["u"]).cast("double"), F.lit(sv["a"]).cast("double")
+    red = F.lit(one_row(swaps, F.avg("risk_reduction").alias("r"))["r"]).cast("double")
     return (crit.join(av, "month", "left")
             .select("month", "critical_pairs", F.coalesce("avoid_count", F.lit(0)).alias("avoid_count"),
                     upper.alias("annual_savings_upper"), adj.alias("annual_savings_adjusted"),

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hubrisk.operators.common import one_row
 from hubrisk.params import REWEIGHT_FEATURES, RISK_WEIGHTS, SCORE_FEATURES, Params
 
 
 def minmax_normalize(df: DataFrame, cols: list[str], suffix: str = "_norm") -> DataFrame:
     """(x - min) / (max - min) over the whole table with NULL -> 0, constant column -> 0.
-    The global min/max come from one scalar subquery (a one-row aggregate), not a join."""
-    s = df.select(F.struct(*[e for i, c in enumerate(cols) for e in (
+    All global min/max come from ONE aggregate row (one job), used as literals: no join."""
+    s = one_row(df, *[e for i, c in enumerate(cols) for e in (
         F.min(F.coalesce(F.col(c), F.lit(0.0))).alias(f"mn{i}"),
-        F.max(F.coalesce(F.col(c), F.lit(0.0))).alias(f"mx{i}"))])).scalar()
+        F.max(F.coalesce(F.col(c), F.lit(0.0))).alias(f"mx{i}"))])
     out = {}
     for i, c in enumerate(cols):
-        mn, mx = s[f"mn{i}"], s[f"mx{i}"]
+        mn, mx = F.lit(s[f"mn{i}"]).cast("double"), F.lit(s[f"mx{i}"]).cast("double")
         x = F.coalesce(F.col(c), F.lit(0.0)).cast("double")
         out[f"{c}{suffix}"] = F.when(mx > mn, (x - mn) / (mx - mn)).otherwise(F.lit(0.0))
     return df.withColumns(out)
@@ -24,9 +25,9 @@ def minmax_normalize(df: DataFrame, cols: list[str], suffix: str = "_norm") -> D
 
 def scale_0_100(df: DataFrame, raw: str, out: str) -> DataFrame:
     """100 * (x - min) / (max - min) when the column is not constant, else unchanged."""
-    s = df.select(F.struct(F.min(raw).alias("mn"), F.max(raw).alias("mx"))).scalar()
-    return df.withColumn(out, F.when(s["mx"] > s["mn"], 100 * (F.col(raw) - s["mn"]) / (s["mx"] - s["mn"]))
-                         .otherwise(F.col(raw)))
+    s = one_row(df, F.min(raw).alias("mn"), F.max(raw).alias("mx"))
+    mn, mx = F.lit(s["mn"]).cast("double"), F.lit(s["mx"]).cast("double")
+    return df.withColumn(out, F.when(mx > mn, 100 * (F.col(raw) - mn) / (mx - mn)).otherwise(F.col(raw)))
 
 
 def competition_rank(df: DataFrame, score: str, out: str) -> DataFrame:

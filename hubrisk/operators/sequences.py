@@ -81,11 +81,23 @@ def _cap_per_day(df: DataFrame, id_col: str, n: int, seed: int | None) -> DataFr
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def sequences(flights: DataFrame, p: Params, cap: int | None = None, seed: int | None = None) -> DataFrame:
-    """Same-day inbound x outbound with gap >= min_turnaround and A != B, labelled cascading."""
+def sequences(flights: DataFrame, p: Params, cap: int | None = None, seed: int | None = None,
+              inbound_extra: list | None = None, outbound_extra: list | None = None) -> DataFrame:
+    """Same-day inbound x outbound with gap >= min_turnaround and A != B, labelled cascading.
+
+    ``inbound_extra`` / ``outbound_extra`` are lists of (lookup DataFrame, join keys) left-joined
+    to the narrow legs BEFORE the range join, so extra per-leg columns never cost a shuffle
+    of the (much larger) pair output."""
     inb, outb = _inbound_legs(flights, p), _outbound_legs(flights, p)
     if cap is not None:
         inb, outb = _cap_per_day(inb, "in_flight_id", cap, seed), _cap_per_day(outb, "out_flight_id", cap, seed)
+    extra = []
+    for lookup, keys in inbound_extra or []:
+        inb = inb.join(lookup, keys, "left")
+        extra += [c for c in lookup.columns if c not in keys]
+    for lookup, keys in outbound_extra or []:
+        outb = outb.join(lookup, keys, "left")
+        extra += [c for c in lookup.columns if c not in keys]
     j = (same_day_range_join(inb, outb, "inbound_arr_time", "outbound_dep_time", p.min_turnaround, None, p)
          .where(F.col("airport_a") != F.col("airport_b")))
     th = p.delay_threshold
@@ -98,7 +110,7 @@ def sequences(flights: DataFrame, p: Params, cap: int | None = None, seed: int |
         (F.col("outbound_dep_time") - F.col("inbound_arr_time")).alias("connection_minutes"),
         "inbound_arr_delay", "outbound_dep_delay", "inbound_weather_delay",
         "inbound_late_aircraft_delay", "outbound_weather_delay",
-        flag(cascading).cast("int").alias("cascading_delay"), "in_flight_id", "out_flight_id")
+        flag(cascading).cast("int").alias("cascading_delay"), "in_flight_id", "out_flight_id", *extra)
 
 
 def cascade_events(flights: DataFrame, p: Params) -> DataFrame:
@@ -216,29 +228,37 @@ def greedy_assignment(flights: DataFrame, p: Params, days: DataFrame | None = No
                     "inbound_weather_delay", "inbound_arr_delay", "outbound_dep_delay"))
 
 
-def sequences_enriched(seqs: DataFrame, pair_feats: DataFrame, daily: DataFrame, p: Params) -> DataFrame:
-    """Sequences + pair features (canonical key, month) + day weather at A, B and hub + cyclic time."""
+SEQUENCE_COLUMNS = ("date", "month", "year", "day_of_week", "airport_a", "airport_b", "inbound_arr_time",
+                    "outbound_dep_time", "connection_minutes", "inbound_arr_delay", "outbound_dep_delay",
+                    "inbound_weather_delay", "inbound_late_aircraft_delay", "outbound_weather_delay",
+                    "cascading_delay", "in_flight_id", "out_flight_id")
+
+
+def sequences_enriched(flights: DataFrame, pair_feats: DataFrame, daily: DataFrame, p: Params,
+                       cap: int | None = None, seed: int | None = None) -> DataFrame:
+    """Sequences + pair features (canonical key, month) + day weather at A, B and the hub +
+    cyclic time features.
+
+    Day weather is attached to the inbound (A, hub) and outbound (B) legs before the range
+    join; the pair-feature table is broadcast: it has at most C(top_airports, 2) x 12 rows,
+    a bound fixed by the parameters, not by the data volume."""
+    measures = [c for c in daily.columns if c not in ("airport", "date")]
+    hub = daily.where(F.col("airport") == p.hub).select("date", *[F.col(c).alias(f"wx_hub_{c}") for c in measures])
+    wx_a = (daily.select(F.col("airport").alias("airport_a"), "date", *[F.col(c).alias(f"wx_a_{c}") for c in measures]))
+    wx_b = daily.select(F.col("airport").alias("airport_b"), "date", *[F.col(c).alias(f"wx_b_{c}") for c in measures])
+    seqs = sequences(flights, p, cap, seed, inbound_extra=[(wx_a, ["airport_a", "date"]), (hub, ["date"])],
+                     outbound_extra=[(wx_b, ["airport_b", "date"])])
     pf_cols = [c for c in pair_feats.columns if c not in ("airport_a", "airport_b", "month")]
     pf = pair_feats.select(pair_lo("airport_a", "airport_b").alias("_lo"), pair_hi("airport_a", "airport_b").alias("_hi"),
                            "month", F.col("airport_a").alias("pair_airport_a"),
                            F.col("airport_b").alias("pair_airport_b"), *pf_cols)
-    measures = [c for c in daily.columns if c not in ("airport", "date")]
-
-    def wx(prefix: str, key: str) -> DataFrame:
-        return daily.select(F.col("airport").alias(key), "date", *[F.col(c).alias(f"{prefix}{c}") for c in measures])
-
-    hub = daily.where(F.col("airport") == p.hub).select("date", *[F.col(c).alias(f"wx_hub_{c}") for c in measures])
     s = seqs.withColumns({"_lo": pair_lo("airport_a", "airport_b"), "_hi": pair_hi("airport_a", "airport_b")})
-    out = (s.join(pf, ["_lo", "_hi", "month"], "left")
-           .join(wx("wx_a_", "airport_a"), ["airport_a", "date"], "left")
-           .join(wx("wx_b_", "airport_b"), ["airport_b", "date"], "left")
-           .join(hub, "date", "left")
-           .withColumns({"hour_sin": cyclic_sin("inbound_arr_time", 1440.0),
-                         "hour_cos": cyclic_cos("inbound_arr_time", 1440.0),
-                         "dow_sin": cyclic_sin("day_of_week", 7.0),
-                         "dow_cos": cyclic_cos("day_of_week", 7.0)})
-           .drop("_lo", "_hi"))
-    return out
+    return (s.join(F.broadcast(pf), ["_lo", "_hi", "month"], "left")
+            .withColumns({"hour_sin": cyclic_sin("inbound_arr_time", 1440.0),
+                          "hour_cos": cyclic_cos("inbound_arr_time", 1440.0),
+                          "dow_sin": cyclic_sin("day_of_week", 7.0),
+                          "dow_cos": cyclic_cos("day_of_week", 7.0)})
+            .drop("_lo", "_hi"))
 
 
 _ = WEATHER_DAILY_MEASURES
