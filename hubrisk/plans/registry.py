@@ -60,6 +60,11 @@ def data(spark: SparkSession, sf_dir: str) -> proxy.HubData:
     return raw
 
 
+def source(spark: SparkSession, sf_dir: str) -> proxy.HubData:
+    """Inputs straight from the proxy views (for queries that do not read flights)."""
+    return proxy.load(spark, sf_dir)
+
+
 def daily_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, sf_dir, "weather_daily", lambda: WX.weather_daily(proxy.load(spark, sf_dir).weather_hourly))
 
@@ -108,7 +113,7 @@ def _q(spark, sf):
 
 @query("airport_dim")
 def _q(spark, sf):
-    a = data(spark, sf).airports
+    a = source(spark, sf).airports
     return a.select("iata", "latitude", "longitude", "tz_offset", "city",
                     F.coalesce("region", F.lit("Other")).alias("region"))
 
@@ -136,17 +141,17 @@ def _q(spark, sf):
 
 @query("weather_daily")
 def _q(spark, sf):
-    return WX.weather_daily(data(spark, sf).weather_hourly)
+    return WX.weather_daily(source(spark, sf).weather_hourly)
 
 
 @query("metar_daily")
 def _q(spark, sf):
-    return WX.metar_daily(data(spark, sf).metar_hourly)
+    return WX.metar_daily(source(spark, sf).metar_hourly)
 
 
 @query("ifr_top_airports")
 def _q(spark, sf):
-    return WX.ifr_top_airports(WX.metar_daily(data(spark, sf).metar_hourly))
+    return WX.ifr_top_airports(WX.metar_daily(source(spark, sf).metar_hourly))
 
 
 @query("airport_month_stats")
@@ -261,7 +266,7 @@ def _q(spark, sf):
 
 @query("pair_ifr_cooccur")
 def _q(spark, sf):
-    md = WX.metar_daily(data(spark, sf).metar_hourly)
+    md = WX.metar_daily(source(spark, sf).metar_hourly)
     ranked = PR.ranked_by_code(md)
     dates = md.select("date").distinct().withColumn("month", F.month("date"))
     return PR.pair_cooccurrence(md, {"ifr_co_occurrence": "metar_ifr_hours",
@@ -284,7 +289,7 @@ def _q(spark, sf):
 
 @query("airport_distance")
 def _q(spark, sf):
-    a = data(spark, sf).airports
+    a = source(spark, sf).airports
     pairs = PR.enumerate_pairs(PR.ranked_by_code(a, "iata"))
     return PR.pair_geography(pairs, a).select("airport_a", "airport_b", "distance_ab")
 
@@ -729,5 +734,5 @@ def _q(spark, sf):
 
 @query("materialize_stage")
 def _q(spark, sf):
-    daily = WX.weather_daily(data(spark, sf).weather_hourly).withColumn("year", F.year("date"))
+    daily = WX.weather_daily(source(spark, sf).weather_hourly).withColumn("year", F.year("date"))
     return IN.materialize(daily, scratch_path(spark, "stage-weather-daily"), ["year"]).drop("year")
