@@ -26,19 +26,38 @@ def _bin(t, width: int, cap: int):
 
 
 def same_day_range_join(inbound: DataFrame, outbound: DataFrame, t_in: str, t_out: str,
-                        lo: int, hi: int | None, p: Params) -> DataFrame:
-    """Pairs (inbound, outbound) of the same ``date`` with lo <= t_out - t_in <= hi (hi None: unbounded)."""
+                        lo: int, hi: int | None, p: Params, replicate: str = "auto") -> DataFrame:
+    """Pairs (inbound, outbound) of the same ``date`` with lo <= t_out - t_in <= hi (hi None: unbounded).
+
+    One side sits in exactly one time bin; the other is replicated over the bins its window
+    can reach, so every matching pair meets in exactly one (date, bin) key. ``replicate``
+    picks the replicated side ("in", "out", or "auto": the side with fewer columns, which
+    minimises shuffled bytes)."""
     width = max(1, int(p.time_bin_minutes))
     cap = DAY_MINUTES // width + 1
-    start = _bin(F.col(t_in) + lo, width, cap)
-    end = F.lit(cap) if hi is None else _bin(F.col(t_in) + hi, width, cap)
-    inb = inbound.withColumn("_bin", F.explode(F.sequence(start, end)))
-    outb = outbound.withColumn("_bin", _bin(F.col(t_out), width, cap))
+    if replicate == "auto":
+        replicate = "in" if len(inbound.columns) <= len(outbound.columns) else "out"
+    if replicate == "in":
+        start = _bin(F.col(t_in) + lo, width, cap)
+        end = F.lit(cap) if hi is None else _bin(F.col(t_in) + hi, width, cap)
+        inb = inbound.withColumn("_bin", F.explode(F.sequence(start, end)))
+        outb = outbound.withColumn("_bin", _bin(F.col(t_out), width, cap))
+    else:
+        start = F.lit(0) if hi is None else _bin(F.col(t_out) - hi, width, cap)
+        end = _bin(F.col(t_out) - lo, width, cap)
+        inb = inbound.withColumn("_bin", _bin(F.col(t_in), width, cap))
+        outb = outbound.withColumn("_bin", F.explode(F.sequence(start, F.greatest(start, end))))
     keys = ["date", "_bin"]
     if p.salt_buckets > 1:
+        # split the bin-replicated side by a hash salt; copy the single-bin side once per salt
         n = p.salt_buckets
-        inb = inb.withColumn("_salt", F.pmod(F.xxhash64(*inbound.columns), F.lit(n)).cast("int"))
-        outb = outb.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        salt = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        if replicate == "in":
+            inb = inb.withColumn("_salt", F.pmod(F.xxhash64(*inbound.columns), F.lit(n)).cast("int"))
+            outb = outb.withColumn("_salt", salt)
+        else:
+            outb = outb.withColumn("_salt", F.pmod(F.xxhash64(*outbound.columns), F.lit(n)).cast("int"))
+            inb = inb.withColumn("_salt", salt)
         keys.append("_salt")
     gap = F.col(t_out) - F.col(t_in)
     cond = gap >= lo if hi is None else gap.between(lo, hi)

@@ -101,3 +101,26 @@ def test_salted_range_join_same_result(make_flights, params):
     base = {tuple(r) for r in SQ.sequences(fl, params).collect()}
     salted = params.__class__(**{**params.__dict__, "salt_buckets": 4, "time_bin_minutes": 30})
     assert {tuple(r) for r in SQ.sequences(fl, salted).collect()} == base
+
+
+def test_replicated_side_choice_same_result(make_flights, params):
+    rnd = random.Random(5)
+    rows = []
+    for k in range(80):
+        m = rnd.randint(0, 1439)
+        rows.append(flight(f"i{k}", "2024-05-06", f"A{k % 6}", "HUB", crs=float((m // 60) * 100 + m % 60),
+                           arr_delay=float(rnd.randint(0, 500)), wx=5.0))
+        m = rnd.randint(0, 1439)
+        rows.append(flight(f"o{k}", "2024-05-06", "HUB", f"A{k % 5}", crs=float((m // 60) * 100 + m % 60),
+                           dep_delay=float(rnd.randint(1, 90)), wx=1.0))
+    fl = make_flights(rows)
+    inb = SQ._inbound_legs(fl, params)
+    outb = SQ._outbound_legs(fl, params)
+    for lo, hi in ((60, None), (45, 480)):
+        results = []
+        for side in ("in", "out"):
+            for salt in (1, 3):
+                p = params.__class__(**{**params.__dict__, "salt_buckets": salt, "time_bin_minutes": 45})
+                j = SQ.same_day_range_join(inb, outb, "inbound_arr_time", "outbound_dep_time", lo, hi, p, side)
+                results.append(sorted((r.in_flight_id, r.out_flight_id) for r in j.collect()))
+        assert all(r == results[0] for r in results) and results[0]
