@@ -4,6 +4,7 @@ and print ONE JSON line with per-query wall seconds. Each query is fully execute
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -34,6 +35,8 @@ def main() -> None:
         df = QUERIES[key](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         times[key] = round(time.time() - t0, 3)
+        del df
+        gc.collect()  # drop Python-side handles so Spark's cleaner can release shuffles and broadcasts
         print(f"{key}: {times[key]}s", file=sys.stderr, flush=True)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "headline_queries_total_wall", "value": round(sum(times.values()), 3), "unit": "sec",

@@ -31,12 +31,13 @@ def same_day_range_join(inbound: DataFrame, outbound: DataFrame, t_in: str, t_ou
 
     One side sits in exactly one time bin; the other is replicated over the bins its window
     can reach, so every matching pair meets in exactly one (date, bin) key. ``replicate``
-    picks the replicated side ("in", "out", or "auto": the side with fewer columns, which
-    minimises shuffled bytes)."""
+    picks the replicated side ("in", "out", or "auto": inbound, unless the outbound rows are
+    much narrower, e.g. when wide per-leg attributes ride on the inbound side; measured
+    faster at equal widths and fewer shuffled bytes otherwise)."""
     width = max(1, int(p.time_bin_minutes))
     cap = DAY_MINUTES // width + 1
     if replicate == "auto":
-        replicate = "in" if len(inbound.columns) <= len(outbound.columns) else "out"
+        replicate = "out" if len(outbound.columns) < 0.75 * len(inbound.columns) else "in"
     if replicate == "in":
         start = _bin(F.col(t_in) + lo, width, cap)
         end = F.lit(cap) if hi is None else _bin(F.col(t_in) + hi, width, cap)

@@ -27,6 +27,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        .config("spark.cleaner.periodicGC.interval", "60s")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
