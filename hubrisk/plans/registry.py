@@ -32,12 +32,19 @@ P = proxy.proxy_params()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def round6(c):
+    """Round half away from zero at 6 places in double arithmetic (the oracle's rule:
+    round(x * 1e6) / 1e6), codegen-friendly; + 0.0 folds -0.0."""
+    x = c.cast("double")
+    return F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5) / 1e6 + F.lit(0.0)
+
+
 def finalize(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            cols.append((F.round(c.cast("double"), 6) + F.lit(0.0)).alias(f.name))
+            cols.append(round6(c).alias(f.name))
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             cols.append(c.cast("long").alias(f.name))
         else:
