@@ -8,8 +8,6 @@ day and has no hot key) followed by one partial+final hash aggregation.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -265,5 +263,3 @@ def delay_pivot(flights: DataFrame, p: Params, airports: list[str], measure: str
     piv = day.groupBy("date").pivot("airport", airports).agg(F.bool_or(measure))
     return piv.fillna(False, subset=airports)
 
-
-_ = math

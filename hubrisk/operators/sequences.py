@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from hubrisk.functions.exprs import (cyclic_cos, cyclic_sin, direction, flag, hhmm_to_minutes,
                                      pair_hi, pair_lo, spoke_airport)
-from hubrisk.operators.weather import WEATHER_DAILY_MEASURES
 from hubrisk.params import Params
 
 DAY_MINUTES = 1440
@@ -280,5 +279,3 @@ def sequences_enriched(flights: DataFrame, pair_feats: DataFrame, daily: DataFra
                           "dow_cos": cyclic_cos("day_of_week", 7.0)})
             .drop("_lo", "_hi"))
 
-
-_ = WEATHER_DAILY_MEASURES

@@ -333,7 +333,6 @@ Q["greedy_assignment"] = fin(B.render("SELECT * FROM greedy", "greedy"),
                              doubles=["inbound_weather_delay", "inbound_arr_delay", "outbound_dep_delay"],
                              ints=["month", "inbound_arr_time", "outbound_dep_time", "turnaround_gap"])
 
-_ = (RISK_WEIGHTS, SCORE_FEATURES)
 
 
 # --- pair features ------------------------------------------------------------------
