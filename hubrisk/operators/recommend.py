@@ -27,7 +27,8 @@ def avoid_list(scores: DataFrame, p: Params, cascade_prop: DataFrame | None = No
     w = Window.partitionBy("season", "airport_a", "airport_b").orderBy(F.desc("risk_score"), "month")
     return (flagged.select("season", "month", "airport_a", "airport_b", "risk_score", reason.alias("reason"),
                            F.coalesce("cascade_cost", F.lit(0.0)).alias("cascade_cost"))
-            .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"))
+            .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+            .orderBy("season", F.desc("risk_score"), "airport_a", "airport_b"))
 
 
 def _candidates(scores: DataFrame, p: Params, active: DataFrame | None) -> DataFrame:
@@ -62,7 +63,8 @@ def swap_recommendations(scores: DataFrame, avoid: DataFrame, flights: DataFrame
     out = _best_swap(rows, _candidates(scores, p, active), "avoid_origin", "avoid_dest", "inner")
     return (out.where(F.col("swap_dest").isNotNull())
             .select("season", "avoid_origin", "avoid_dest", "avoid_risk", "swap_dest", "swap_risk",
-                    (F.col("avoid_risk") - F.col("swap_risk")).alias("risk_reduction")))
+                    (F.col("avoid_risk") - F.col("swap_risk")).alias("risk_reduction"))
+            .orderBy(F.desc("risk_reduction"), "season", "avoid_origin", "avoid_dest"))
 
 
 def risk_feed(scores: DataFrame, airports: DataFrame, p: Params, top_n: int = 5) -> DataFrame:
@@ -100,7 +102,7 @@ def seasonal_summary(scores: DataFrame, airports: DataFrame, p: Params, top_n: i
     top = (top.join(reg.select(F.col("iata").alias("airport_a"), F.col("region").alias("ra")), "airport_a", "left")
            .join(reg.select(F.col("iata").alias("airport_b"), F.col("region").alias("rb")), "airport_b", "left"))
     return top.select("season", "rank", "airport_a", "airport_b", "avg_risk", "max_risk", "peak_month",
-                      region_pattern("ra", "rb").alias("geographic_pattern"))
+                      region_pattern("ra", "rb").alias("geographic_pattern")).orderBy("season", "rank")
 
 
 OBJECTIVES = (
