@@ -389,11 +389,6 @@ FROM {spine_tbl} s LEFT JOIN g USING (airport_a, airport_b, month)
 """
 
 
-B.add("wrank", "SELECT airport, dense_rank() OVER (ORDER BY airport) AS rk FROM (SELECT DISTINCT airport FROM wd)", "wd")
-B.add("wspine", """
-SELECT a.airport AS airport_a, b.airport AS airport_b, m.month
-FROM wrank a JOIN wrank b ON a.rk < b.rk CROSS JOIN (SELECT DISTINCT month FROM fdates) m
-""", "wrank", "fdates")
 B.add("corr", corr_sql("spk", "spine"), "wd", "fdates", "spk", "spine")
 
 
@@ -424,12 +419,10 @@ B.add("storm", cooc_sql("wd", {"thunderstorm_co_occurrence": "thunderstorm_hours
       "wd", "fdates", "spk", "spine")
 B.add("ifrproxy", cooc_sql("wd", {"ifr_co_occurrence": "ifr_hours"}, "fdates", "spk", "spine"),
       "wd", "fdates", "spk", "spine")
-B.add("mrank", "SELECT airport, dense_rank() OVER (ORDER BY airport) AS rk FROM (SELECT DISTINCT airport FROM md)", "md")
 B.add("mdts", "SELECT DISTINCT date, CAST(month(date) AS INTEGER) AS month FROM md", "md")
 B.add("mspine", """
-SELECT a.airport AS airport_a, b.airport AS airport_b, m.month
-FROM mrank a JOIN mrank b ON a.rk < b.rk CROSS JOIN (SELECT DISTINCT month FROM mdts) m
-""", "mrank", "mdts")
+SELECT p.airport_a, p.airport_b, m.month FROM spairs p CROSS JOIN (SELECT DISTINCT month FROM mdts) m
+""", "spairs", "mdts")
 
 B.add("ops", f"""
 WITH dist AS (SELECT Origin AS airport, quantile_cont(ArrDelay, 0.9) AS p90, quantile_cont(ArrDelay, 0.5) AS med
@@ -525,14 +518,14 @@ Q["pair_spine"] = fin(B.render("SELECT * FROM spine", "spine"), ints=["month", "
 Q["pair_joint_delay"] = fin(B.render("SELECT * FROM joint", "joint"),
                             doubles=["joint_weather_delay_prob", "joint_delay_15_prob", "conditional_delay_prob"],
                             ints=["month", "n_overlap_days"])
-Q["pair_weather_corr"] = fin(B.render(corr_sql("wrank", "wspine"), "wd", "fdates", "wrank", "wspine"),
+Q["pair_weather_corr"] = fin(B.render("SELECT * FROM corr", "corr"),
                              doubles=["precip_correlation", "wind_correlation"], ints=["month", "n_common_days"])
 Q["pair_storm_cooccur"] = fin(B.render("SELECT * FROM storm", "storm"),
                               doubles=["thunderstorm_co_occurrence", "severe_weather_co_occurrence"], ints=["month"])
 Q["pair_ifr_cooccur"] = fin(B.render(cooc_sql("md", {"ifr_co_occurrence": "metar_ifr_hours",
                                                      "metar_thunderstorm_co": "metar_thunderstorm_hours",
-                                                     "metar_low_vis_co": "metar_low_vis_hours"}, "mdts", "mrank", "mspine"),
-                                     "md", "mdts", "mrank", "mspine"),
+                                                     "metar_low_vis_co": "metar_low_vis_hours"}, "mdts", "spk", "mspine"),
+                                     "md", "mdts", "spk", "mspine"),
                             doubles=["ifr_co_occurrence", "metar_thunderstorm_co", "metar_low_vis_co"], ints=["month"])
 Q["pair_operational_risk"] = fin(B.render("SELECT * FROM ops", "ops"),
                                  doubles=["missed_connection_prob", "buffer_adequacy", "duty_violation_risk",

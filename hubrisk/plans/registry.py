@@ -246,19 +246,12 @@ def _q(spark, sf):
     return PR.pair_joint_delay(data(spark, sf).flights, P)
 
 
-def _all_pairs_spine(ranked: DataFrame, months: DataFrame) -> DataFrame:
-    pairs = PR.enumerate_pairs(ranked)
-    return (pairs.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
-            .join(months.select("month").distinct(), "month", "left_semi"))
-
-
 @query("pair_weather_corr")
 def _q(spark, sf):
     d = data(spark, sf)
-    daily = daily_weather(spark, sf)
-    dates = FL.flight_dates(d.flights)
-    ranked = PR.ranked_by_code(daily)
-    return PR.pair_weather_corr(daily, dates, ranked, _all_pairs_spine(ranked, dates), P)
+    spine = PR.pair_spine(d.flights, P)
+    return PR.pair_weather_corr(daily_weather(spark, sf), FL.flight_dates(d.flights),
+                                PR.ranked_spokes(d.flights, P), spine, P)
 
 
 @query("pair_storm_cooccur")
@@ -273,13 +266,17 @@ def _q(spark, sf):
 
 @query("pair_ifr_cooccur")
 def _q(spark, sf):
-    md = WX.metar_daily(source(spark, sf).metar_hourly)
-    ranked = PR.ranked_by_code(md)
+    # spoke pairs (bounded by top_airports); the date spine is METAR's own dates because the
+    # proxy METAR month never meets a flight date
+    d = data(spark, sf)
+    md = WX.metar_daily(d.metar_hourly)
+    ranked = PR.ranked_spokes(d.flights, P)
     dates = md.select("date").distinct().withColumn("month", F.month("date"))
+    spine = (PR.enumerate_pairs(ranked).withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+             .join(dates.select("month").distinct(), "month", "left_semi"))
     return PR.pair_cooccurrence(md, {"ifr_co_occurrence": "metar_ifr_hours",
                                      "metar_thunderstorm_co": "metar_thunderstorm_hours",
-                                     "metar_low_vis_co": "metar_low_vis_hours"},
-                                dates, ranked, _all_pairs_spine(ranked, dates))
+                                     "metar_low_vis_co": "metar_low_vis_hours"}, dates, ranked, spine)
 
 
 @query("pair_operational_risk")
