@@ -83,7 +83,7 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
     """Materialise a reused intermediate once per (application, input) as a Parquet table in
     the shared checkpoint folder: one job (no recompute, unlike an un-persisted RDD
     checkpoint), cuts lineage, survives executor loss, and re-reads prune columns."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
     if key not in _STAGES:
         path = scratch_path(spark, f"stage-{name}")
         build().write.parquet(path)
@@ -578,7 +578,7 @@ _MODELS: dict = {}
 
 
 def model(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, id(spark), sf)
     if key not in _MODELS:
         enr = stage(spark, sf, "sequences_enriched", lambda: enriched(spark, sf))
         _MODELS[key] = (*ML.train_classifier(enr, P, max_iter=SMOKE_TREES), enr)
