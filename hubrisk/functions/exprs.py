@@ -12,7 +12,7 @@ __all__ = [
     "pair_lo", "pair_hi", "metar_ceiling", "live_ceiling", "is_ifr", "is_lifr", "is_vfr",
     "is_mvfr", "live_category", "wx_flags", "parse_visibility", "icao_to_iata",
     "spoke_airport", "direction", "season_of", "severity_band", "region_pattern",
-    "ratio", "flag",
+    "ratio", "flag", "format_local_time",
 ]
 
 EARTH_RADIUS_MILES = 3959.0
@@ -154,3 +154,18 @@ def region_pattern(region_a, region_b) -> Column:
     rb = F.coalesce(_c(region_b), F.lit("Unknown"))
     return F.when(ra == rb, F.concat(F.lit("Same region ("), ra, F.lit(")"))).otherwise(
         F.concat(F.lit("Cross-region ("), ra, F.lit(" / "), rb, F.lit(")")))
+
+
+def format_local_time(ts, micros: bool = True, sep: str = " ") -> Column:
+    """Clock-time text of a TIMESTAMP_NTZ ('yyyy-MM-dd HH:mm:ss.SSSSSS', or 'yyyy-MM-ddTHH:mm'
+    with micros=False, sep='T'), built from its fields: no session-time-zone conversion, so a
+    clock time inside a daylight-saving gap keeps its value."""
+    c = _c(ts)
+    if not micros:
+        return F.format_string(f"%04d-%02d-%02d{sep}%02d:%02d", F.year(c), F.month(c), F.dayofmonth(c),
+                               F.hour(c), F.minute(c))
+    sec = F.extract(F.lit("SECOND"), c)
+    whole = F.floor(sec)
+    frac = F.round((sec - whole) * 1000000).cast("int")
+    return F.format_string(f"%04d-%02d-%02d{sep}%02d:%02d:%02d.%06d", F.year(c), F.month(c), F.dayofmonth(c),
+                           F.hour(c), F.minute(c), whole.cast("int"), frac)

@@ -58,11 +58,13 @@ def weather_daily(hourly: DataFrame) -> DataFrame:
             ))
 
 
-def metar_observations(metar: DataFrame) -> DataFrame:
-    """Per observation: ceiling, flight-category and phenomena flags."""
+def metar_observations(metar: DataFrame, local_time: str | None = None) -> DataFrame:
+    """Per observation: ceiling, flight-category and phenomena flags (F1-F3). The date comes
+    from ``local_time`` when given (kept in the output), else from ``valid``."""
     layers = tuple(i for i in range(1, 5) if f"skyc{i}" in metar.columns and f"skyl{i}" in metar.columns)
     ceiling = X.metar_ceiling(present=layers)
-    df = metar.select(F.col("station").alias("airport"), F.to_date("valid").alias("date"), "valid",
+    extra = [local_time] if local_time else []
+    df = metar.select(F.col("station").alias("airport"), F.to_date(local_time or "valid").alias("date"), "valid", *extra,
                       ceiling.alias("ceiling_ft"), F.col("vsby").cast("double").alias("vsby"),
                       F.col("gust").cast("double").alias("gust"),
                       F.col("sknt").cast("double").alias("sknt"), "wxcodes")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hubrisk.functions import exprs as X
 from hubrisk.operators import casestudy as CS
 from hubrisk.operators import flights as FL
 from hubrisk.operators import impact as IM
@@ -664,7 +665,7 @@ def _q(spark, sf):
 
 def _metar_json(spark, sf) -> DataFrame:
     m = data(spark, sf).metar_hourly
-    return m.select(*[F.date_format("valid", ST.TS_FORMAT).alias("valid") if c == "valid" else F.col(c)
+    return m.select(*[X.format_local_time("valid").alias("valid") if c == "valid" else F.col(c)
                       for c in ST.METAR_SCHEMA.fieldNames()])
 
 
@@ -720,7 +721,7 @@ def _q(spark, sf):
     w = data(spark, sf).weather_hourly
     docs = (w.withColumn("_b", F.pmod(F.xxhash64(*w.columns), F.lit(1024)))
             .groupBy("airport", F.to_date("time").alias("_d"), "_b")
-            .agg(F.collect_list(F.struct(F.date_format("time", "yyyy-MM-dd'T'HH:mm").alias("time"),
+            .agg(F.collect_list(F.struct(X.format_local_time("time", micros=False, sep="T").alias("time"),
                                          *[F.col(v).cast("double").alias(v) for v in IN.WEATHER_VARS])).alias("h")))
     hourly = F.struct(*[F.transform("h", _field(v)).alias(v) for v in ("time", *IN.WEATHER_VARS)])
     base = scratch_path(spark, "weather-json")
@@ -733,7 +734,7 @@ def _q(spark, sf):
 def _q(spark, sf):
     m = data(spark, sf).metar_hourly
     base = scratch_path(spark, "metar-csv")
-    (m.select(*[F.date_format("valid", ST.TS_FORMAT).alias("valid") if c == "valid" else F.col(c) for c in m.columns])
+    (m.select(*[X.format_local_time("valid").alias("valid") if c == "valid" else F.col(c) for c in m.columns])
      .write.option("header", True).option("nullValue", "M").csv(base))
     out = IN.read_metar_csv(spark, base)
     return out.withColumn("k", F.col("k").try_cast("int"))

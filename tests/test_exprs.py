@@ -50,3 +50,15 @@ def test_haversine(spark):
     miles = df.select(X.haversine_miles("a", "b", "c", "d")).first()[0]
     assert abs(miles - 69.09) < 0.05
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_format_local_time_ignores_session_zone(spark):
+    import datetime as dt
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Chicago")
+    try:
+        df = spark.createDataFrame([(dt.datetime(1996, 4, 7, 2, 0, 0, 179575),)], "t timestamp_ntz")
+        r = df.select(X.format_local_time("t").alias("a"), X.format_local_time("t", micros=False, sep="T").alias("b")).first()
+        assert (r.a, r.b) == ("1996-04-07 02:00:00.179575", "1996-04-07T02:00")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
