@@ -236,6 +236,10 @@ SELECT Year, count(*) AS n_flights, count_if(Dest = {H}) AS n_inbound, count_if(
        count(DISTINCT spoke) AS n_spokes
 FROM fl GROUP BY Year""", "fl"), ints=["Year", "n_flights", "n_inbound", "n_outbound", "n_spokes"])
 
+Q["profile_regions"] = fin(B.render("""
+SELECT coalesce(region, 'Other') AS region, count(*) AS n_airports FROM px_airport GROUP BY 1""", "px_airport"),
+    ints=["n_airports"])
+
 Q["hub_filter"] = fin(B.render(f"""
 SELECT flight_id, FlightDate, Year, Month, CAST(day(FlightDate) AS INTEGER) AS DayofMonth,
        CAST(isodow(FlightDate) AS INTEGER) AS DayOfWeek, Origin, Dest

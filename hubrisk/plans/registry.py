@@ -131,6 +131,13 @@ def _q(spark, sf):
     return FL.profile_flights(data(spark, sf).flights, P)
 
 
+@query("profile_regions")
+def _q(spark, sf):
+    # Region frequency of the airport dimension (unmapped -> 'Other')
+    a = source(spark, sf).airports
+    return a.groupBy(F.coalesce("region", F.lit("Other")).alias("region")).agg(F.count(F.lit(1)).alias("n_airports"))
+
+
 @query("hub_filter")
 def _q(spark, sf):
     f = data(spark, sf).flights.select("flight_id", "FlightDate", "Origin", "Dest")
