@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from hubrisk.llm import packing as P
 from hubrisk.llm import quality_rules as Q
 from hubrisk.llm import secrets as S
+from hubrisk.llm import warc as W
 from hubrisk.llm.common import Registry, need, table
 
 
@@ -18,6 +22,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.secret_scan(need(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-QUERIES: Registry = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan)}
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.round_trip(need(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = need(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return P.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES: Registry = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_warc_archive, op10_packing)}
 
-ORACLES: dict[str, str] = {"op1_quality_rules": Q.oracle_sql()}
+ORACLES: dict[str, str] = {"op1_quality_rules": Q.oracle_sql(), "op3_warc_archive": W.oracle_sql()}
