@@ -10,6 +10,7 @@ from hubrisk.llm import jaccard_join as J
 from hubrisk.llm import packing as P
 from hubrisk.llm import quality_rules as Q
 from hubrisk.llm import secrets as S
+from hubrisk.llm import url_templates as U
 from hubrisk.llm import warc as W
 from hubrisk.llm.common import Registry, need, table
 
@@ -27,6 +28,11 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.round_trip(need(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = need(table(spark, sf_dir, "labels"), "doc_id", "quality", "toxic")
+    return U.url_filter(need(table(spark, sf_dir, "pages"), "page_id", "url"), U.table_labels(labels))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.jaccard_components(need(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
@@ -36,7 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: Registry = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_warc_archive, op9_ngram_jaccard_join,
-                                               op10_packing)}
+QUERIES: Registry = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_warc_archive, op5_url_filters,
+                                               op9_ngram_jaccard_join, op10_packing)}
 
 ORACLES: dict[str, str] = {"op1_quality_rules": Q.oracle_sql(), "op3_warc_archive": W.oracle_sql()}
