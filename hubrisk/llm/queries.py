@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
+from hubrisk.llm import decontaminate as D
 from hubrisk.llm import jaccard_join as J
 from hubrisk.llm import packing as P
 from hubrisk.llm import quality_rules as Q
@@ -28,6 +29,11 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.round_trip(need(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = need(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return D.leaks(docs, need(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = need(table(spark, sf_dir, "labels"), "doc_id", "quality", "toxic")
     return U.url_filter(need(table(spark, sf_dir, "pages"), "page_id", "url"), U.table_labels(labels))
@@ -42,7 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: Registry = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_warc_archive, op5_url_filters,
+QUERIES: Registry = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_warc_archive, op4_decontamination, op5_url_filters,
                                                op9_ngram_jaccard_join, op10_packing)}
 
 ORACLES: dict[str, str] = {"op1_quality_rules": Q.oracle_sql(), "op3_warc_archive": W.oracle_sql()}
