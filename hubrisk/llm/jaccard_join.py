@@ -4,10 +4,8 @@ Two sets of word shingles link when ``100 * intersection >= pct * union``. Then
 first n - ceil(pct * n / 100) + 1 shingles in one global order) share a shingle. The order is
 rare-first, so that prefixes of unrelated documents share nothing:
 
-1. ``repeated_marks``: every task sends the sorted 32-bit hashes of its documents' shingles, delta
-   coded, to hash ranges (about 2 bytes a shingle are shuffled). A range counts them and marks in its
-   slice of a fixed-size bitmap those found ``theta`` times or more; theta is 2 unless the slice
-   would fill up. A second, smaller bitmap marks very frequent ones.
+1. ``marks``: shingles of two documents or more are marked in a fixed-size bitmap, very frequent
+   ones in a second one. The order is: unmarked, marked, frequent; by hash within each.
 2. ``prepare``: per document its set's size, 128-bit name, prefix and 512-bit signature. An unmarked
    shingle of a range with theta 2 occurs in one document only, so it needs no partner search.
    Documents whose prefix has no other shingles drop out here. Equal sets share their name: copies
@@ -36,13 +34,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from hubrisk.llm.common import cut, map_batches
 from hubrisk.llm.components import components
+from hubrisk.llm.marks import MarkParams, Marks, repeated_marks
 from hubrisk.llm.shingles import WordHash, set_key, shingle_set
 
 
@@ -50,10 +48,7 @@ from hubrisk.llm.shingles import WordHash, set_key, shingle_set
 class JoinParams:
     width: int = 5
     pct: int = 75
-    mark_bits: int = 27        # log2 of the bitmap's size (2**27 bits are 16 MB)
-    often_bits: int = 22       # of the bitmap of very frequent shingles
-    often: int = 64            # "very frequent": theta * often documents
-    flush: int = 1 << 22       # hashes a task holds before it sends them
+    marks: MarkParams = MarkParams()
     block: int = 1500          # rows of one block of a hot shingle
 
 
@@ -61,96 +56,6 @@ def words_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
 
 
-# --- the global order ------------------------------------------------------------------------
-
-
-def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted uint32 values as byte planes of their differences (high planes are nearly all zero)."""
-    deltas = np.diff(values, prepend=np.uint32(0)).astype("<u4")
-    return deltas.view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def unpack_sorted(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
-
-
-@dataclass(frozen=True)
-class Marks:
-    """Bitmaps of repeated and of very frequent shingles; theta by hash range."""
-
-    repeated: np.ndarray
-    often: np.ndarray
-    theta: np.ndarray
-    mark_bits: int
-    often_bits: int
-
-    def level(self, shingles: np.ndarray) -> np.ndarray:
-        """0 unmarked, 1 repeated, 2 very frequent."""
-        def test(bits: np.ndarray, log2: int) -> np.ndarray:
-            at = (shingles >> np.uint64(64 - log2)).astype(np.int64)
-            return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-        return test(self.repeated, self.mark_bits) + test(self.often, self.often_bits)
-
-    def single(self, shingles: np.ndarray, level: np.ndarray) -> np.ndarray:
-        """True where a shingle occurs in one document only."""
-        part = (shingles >> np.uint64(64 - (len(self.theta) - 1).bit_length())).astype(np.int64) if len(
-            self.theta) > 1 else np.zeros(len(shingles), np.int64)
-        return (level == 0) & (self.theta[part] == 2)
-
-
-def repeated_marks(words: DataFrame, p: JoinParams) -> Marks:
-    spark = words.sparkSession
-    log2_ranges = max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    log2_ranges = min(log2_ranges, p.often_bits - 3)
-
-    def send(batches: Iterator[list[list]]) -> Iterator[dict]:
-        seen, held, size = WordHash(), [], 0
-
-        def out() -> dict:
-            values = np.sort(np.concatenate(held))
-            ends = np.searchsorted(values, np.arange(1, 1 << log2_ranges, dtype=np.uint64) << np.uint64(32 - log2_ranges))
-            parts = np.split(values, ends)
-            return {"part": range(len(parts)), "hashes": [pack_sorted(x) for x in parts]}
-        for (texts,) in batches:
-            for t in texts:
-                held.append((shingle_set(seen.of(t), p.width) >> np.uint64(32)).astype(np.uint32))
-                size += len(held[-1])
-            if size >= p.flush:
-                yield out()
-                held, size = [], 0
-        if size:
-            yield out()
-
-    mark_bits, often_bits, often = p.mark_bits, p.often_bits, p.often
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = int(pdf["part"].iloc[0])
-        values, n = np.unique(np.concatenate([unpack_sorted(b) for b in pdf["hashes"]]), return_counts=True)
-
-        def bitmap(chosen: np.ndarray, log2: int) -> bytes:
-            size = 1 << (log2 - log2_ranges)
-            bits = np.zeros(size, np.uint8)
-            bits[(chosen >> np.uint32(32 - log2)).astype(np.int64) - part * size] = 1
-            return np.packbits(bits, bitorder="little").tobytes()
-        theta = 2
-        while np.count_nonzero(n >= theta) > 1 << (mark_bits - log2_ranges - 2):  # a quarter of the slice
-            theta *= 2
-        return pd.DataFrame({"part": [part], "theta": [theta], "repeated": [bitmap(values[n >= theta], mark_bits)],
-                             "often": [bitmap(values[n >= theta * often], often_bits)]})
-
-    sent = map_batches(words.select("text"), send, "part int, hashes binary")
-    rows = sent.groupBy("part").applyInPandas(count, "part int, theta int, repeated binary, often binary").collect()
-    n = 1 << log2_ranges  # one row a range, slices of fixed size
-    repeated, often_map, theta = np.zeros((n, (1 << mark_bits) // n // 8), np.uint8), np.zeros(
-        (n, (1 << often_bits) // n // 8), np.uint8), np.full(n, 2, np.int64)
-    for r in rows:
-        repeated[r.part] = np.frombuffer(r.repeated, np.uint8)
-        often_map[r.part] = np.frombuffer(r.often, np.uint8)
-        theta[r.part] = r.theta
-    return Marks(repeated.ravel(), often_map.ravel(), theta, mark_bits, often_bits)
-
-
 # --- prefixes --------------------------------------------------------------------------------
 
 SIGNATURE = 8  # longs
@@ -166,11 +71,16 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def prepare(words: DataFrame, p: JoinParams) -> DataFrame:
     """One row per input row. Prefix, set and signature only where the prefix can meet another one."""
-    m = repeated_marks(words, p)
+    width, mp = p.width, p.marks
+
+    def reader():
+        seen = WordHash()
+        return lambda t: shingle_set(seen.of(t), width)
+    m = repeated_marks(words.select("text"), reader, mp)
     sent = words.sparkSession.sparkContext.broadcast((m.repeated, m.often, m.theta))  # fixed size
 
     def run(batches: Iterator[list[list]]) -> Iterator[dict]:
-        seen, marks = WordHash(), Marks(*sent.value, p.mark_bits, p.often_bits)
+        seen, marks = WordHash(), Marks(*sent.value, mp.mark_bits, mp.often_bits)
         for ids, texts in batches:
             out: dict[str, list] = {c.split()[0]: [] for c in PREPARED.split(", ")}
             out["doc_id"] = ids

@@ -12,6 +12,7 @@ from hubrisk.llm import licenses as L
 from hubrisk.llm import packing as P
 from hubrisk.llm import quality_rules as Q
 from hubrisk.llm import secrets as S
+from hubrisk.llm import suffix_dedup as X
 from hubrisk.llm import url_templates as U
 from hubrisk.llm import warc as W
 from hubrisk.llm.common import Registry, need, table
@@ -40,6 +41,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.url_filter(need(table(spark, sf_dir, "pages"), "page_id", "url"), U.table_labels(labels))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.dedup(need(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.license_scan(need(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
@@ -53,7 +58,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: Registry = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_warc_archive, op4_decontamination, op5_url_filters, op8_license_scan,
+QUERIES: Registry = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_warc_archive, op4_decontamination, op5_url_filters, op6_suffix_array_dedup,
+                                               op8_license_scan,
                                                op9_ngram_jaccard_join, op10_packing)}
 
 ORACLES: dict[str, str] = {"op1_quality_rules": Q.oracle_sql(), "op3_warc_archive": W.oracle_sql()}
