@@ -9,6 +9,7 @@ import public_tokenizers
 from hubrisk.llm import decontaminate as D
 from hubrisk.llm import jaccard_join as J
 from hubrisk.llm import licenses as L
+from hubrisk.llm import lm as M
 from hubrisk.llm import packing as P
 from hubrisk.llm import quality_rules as Q
 from hubrisk.llm import secrets as S
@@ -45,6 +46,11 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.dedup(need(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = need(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return M.lm_score(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.license_scan(need(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
@@ -58,8 +64,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: Registry = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_warc_archive, op4_decontamination, op5_url_filters, op6_suffix_array_dedup,
-                                               op8_license_scan,
-                                               op9_ngram_jaccard_join, op10_packing)}
+QUERIES: Registry = {f.__name__: f for f in (
+    op1_quality_rules, op2_secret_scan, op3_warc_archive, op4_decontamination, op5_url_filters, op6_suffix_array_dedup,
+    op7_lm_score, op8_license_scan, op9_ngram_jaccard_join, op10_packing)}
 
 ORACLES: dict[str, str] = {"op1_quality_rules": Q.oracle_sql(), "op3_warc_archive": W.oracle_sql()}
