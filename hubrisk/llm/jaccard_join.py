@@ -136,18 +136,19 @@ def star_pairs(posts: DataFrame, p: JoinParams) -> DataFrame:
     return out.distinct()
 
 
-def cross_pairs(posts: DataFrame, comps: DataFrame, p: JoinParams) -> DataFrame:
-    """Pairs of different components that share a prefix shingle and pass the length and positional filters."""
+def cross_pairs(posts: DataFrame, comps: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
+    """Pairs of different components that share a prefix shingle and pass the length, positional and
+    suffix filters."""
     named = posts.drop("rare").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
     named = cut(named, "postings")
     groups = named.groupBy("gram").agg(F.count("*").alias("rows"), F.min("component").alias("lo"),
                                        F.max("component").alias("hi")).filter("lo <> hi")
     groups = groups.select("gram", F.ceil(F.col("rows") / p.block).cast("int").alias("blocks"))
-    rows = named.join(groups, "gram").withColumn("own", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int"))
+    rows = named.join(groups, "gram").join(nodes.select("key", "signature"), "key").withColumn("own", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("gram", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"),
-                       (F.col("own") <= F.col("other")).alias("left"), "key", "component", "n", "place")
+                       (F.col("own") <= F.col("other")).alias("left"), "key", "component", "n", "place", "signature")
     # Rows of a group (gram, b1, b2) meet; left rows are block b1, the others block b2.
     spread = rows.repartition("gram", "b1", "b2").sortWithinPartitions("gram", "b1", "b2")
     pct = p.pct
@@ -164,6 +165,7 @@ def cross_pairs(posts: DataFrame, comps: DataFrame, p: JoinParams) -> DataFrame:
                 rn, rp = (np.array([r[k] for r in right], np.int64) for k in (6, 7))
                 names = {c: i for i, c in enumerate({r[5] for r in left} | {r[5] for r in right})}
                 rc = np.array([names[r[5]] for r in right])
+                rs = np.array([r[8] for r in right], np.int64).view(np.uint64)
                 for k, r in enumerate(left):
                     n, place = r[6], r[7]
                     ok = (rc != names[r[5]]) & (100 * np.minimum(n, rn) >= pct * np.maximum(n, rn))
@@ -171,7 +173,10 @@ def cross_pairs(posts: DataFrame, comps: DataFrame, p: JoinParams) -> DataFrame:
                     ok &= (100 + pct) * most >= pct * (n + rn)
                     if diagonal:
                         ok[:k + 1] = False
-                    for j in np.nonzero(ok)[0]:
+                    near = np.nonzero(ok)[0]
+                    # intersection >= pct / (100 + pct) * total: the sets differ in at most the rest
+                    differ = np.bitwise_count(rs[near] ^ np.array(r[8], np.int64).view(np.uint64)).sum(1, dtype=np.int64)
+                    for j in near[differ * (100 + pct) <= (n + rn[near]) * (100 - pct)]:
                         x, y = r[4], right[j][4]
                         out.add((x, y) if x < y else (y, x))
             return {"a": [x for x, _ in out], "b": [y for _, y in out]}
@@ -219,7 +224,7 @@ def near(prepared: DataFrame, p: JoinParams) -> DataFrame:
     posts = cut(postings(nodes), "postings")
     first = cut(verify(star_pairs(posts, p), nodes, p), "links")
     comps = cut(components(first), "components")
-    more = cut(verify(cross_pairs(posts, comps, p), nodes, p), "links")
+    more = cut(verify(cross_pairs(posts, comps, nodes, p), nodes, p), "links")
     if more.isEmpty():
         return comps
     return components(first.unionByName(more))
