@@ -21,9 +21,7 @@ ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table. Text rows may be long, so Arrow batches are kept to a few hundred rows:
-    a Python worker then holds some MB of text at a time, whatever the partition's size."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    """One input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,7 +41,10 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[dict]], ddl: str) -> DataFrame:
     """``mapInArrow`` over plain Python columns: ``fn`` gets an iterator of batches (one list per
-    column, None for null) and yields dicts of lists or numpy arrays for ``ddl``'s columns."""
+    column, None for null) and yields dicts of lists or numpy arrays for ``ddl``'s columns. Text
+    rows may be long, so Arrow batches are kept to a few hundred rows: a Python worker then holds some
+    MB of text at a time, whatever the partition's size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

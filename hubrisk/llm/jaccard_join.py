@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from hubrisk.llm.common import cut, map_batches
+from hubrisk.llm.common import cut, map_batches, sized_hint
 from hubrisk.llm.components import components
 from hubrisk.llm.marks import MarkParams, Marks, repeated_marks
 from hubrisk.llm.shingles import WordHash, set_key, shingle_set
@@ -244,3 +244,20 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), doc_i
     names = table.join(lowest, "component").select("key", "component_id")
     return rows.join(names, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, params: JoinParams = JoinParams(), doc_id: str = "doc_id", text: str = "text",
+                         broadcast_rows: int = 500_000) -> DataFrame:
+    """One document of each component stays, that of the smallest id. Rows of one id count as one
+    document: equal texts among them are reduced to one row. Rows with a null id stay."""
+    classes = cut(jaccard_components(docs, params, doc_id, text), "classes")
+    drop = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
+    twice = classes.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_drop")).count().filter("count > 1").drop("count")
+    drop, twice = cut(drop, "drop"), cut(twice, "twice")
+    i = F.col(f"`{doc_id}`")
+    drop = sized_hint(drop, drop.count(), broadcast_rows)
+    kept = docs.join(drop, i == F.col("_drop"), "left_anti")
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, i == F.col("_drop"), "left_semi").dropDuplicates([doc_id, text])
+    return kept.join(twice, i == F.col("_drop"), "left_anti").unionByName(again)

@@ -144,6 +144,16 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     return apply_rules(metrics(docs, text), rules, base)
 
 
+def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, base: BaseRules = BaseRules()) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, columns as they were. The verdict filters through a
+    generator: a plain filter would be pushed below the projections, and the metric expressions copied
+    into it, where they would be evaluated again for every window of a text."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    renamed = docs.select(F.col(f"`{text}`").alias("_text"), F.struct(*columns).alias("_row"))
+    judged = quality_rules(renamed, "_text", rules, base)
+    return judged.select("_row", F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("_one")).select("_row.*")
+
+
 def oracle_sql(rules: tuple[Rule, ...] = RULES, base: BaseRules = BaseRules()) -> str:
     """The same table as DuckDB SQL over ``documents``."""
     def fails(r: Rule) -> str:

@@ -230,9 +230,10 @@ def secret_scan(docs: DataFrame, params: SecretParams = SecretParams(), doc_id:
 
 
 def redact(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text",
-           mark: str = "<secret>") -> DataFrame:
-    """``docs`` with every span (overlaps merged) of whole texts replaced by ``mark``; documents
-    without spans are unchanged, byte for byte. ``spans``: one row per document of ``secret_scan``."""
+           mark: str = "<secret>", length: str | None = None) -> DataFrame:
+    """``docs`` with every span (overlaps merged) of whole texts replaced by ``mark``, and the column
+    ``length`` (if any) set to the new text's code points; documents without spans are unchanged, byte
+    for byte. ``spans``: rows of ``secret_scan``. Texts that share an id must be equal."""
     names = docs.columns
     hit = need(spans.filter("spans <> ''"), "doc_id", "spans").dropDuplicates(["doc_id"]).withColumnsRenamed(
         {"doc_id": "_id", "spans": "_spans"})
@@ -256,4 +257,6 @@ def redact(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str
         return pd.Series(out)
 
     dirty = both.filter("_spans IS NOT NULL").withColumn(text, mask(F.col(f"`{text}`"), F.col("_spans")))
+    if length in names:
+        dirty = dirty.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
     return both.filter("_spans IS NULL").unionByName(dirty).select(*[F.col(f"`{n}`") for n in names])
