@@ -36,33 +36,75 @@ class PackParams:
     linear: float = 1.0            # cost of a token outside attention
     quadratic: float = 1.0 / 4096  # cost of a token pair inside one piece, in the same unit
     pool_tokens: int = 1 << 21
-    cache_words: int = 300_000
+    cache_words: int = 700_000
 
 
 class WordIds:
     """Subword ids of texts, word by word with a cache. Exact for tokenizers whose pieces never span a
-    blank or line feed (they drop white space before merging); the tokenizer sees each new word once."""
+    blank or line feed (they drop white space before merging); ``tokenizers`` sees each new word once.
+
+    New words of letters go to it many at a time, joined by blanks: each ends in exactly one token that
+    carries the word-end mark, which is where the ids are cut. If the marks do not add up (or the
+    tokenizer has none), and for all other words, it gets them one by one."""
+
+    MARK, TAIL, JOIN = "</w>", ".,;:!?", 256
 
     def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(self.MARK) for i in range(size)])
+        self.tail = {c: self.alone([c])[0] for c in self.TAIL} if self.ends.any() else {}
+        self.tail[""] = b""
         self.reset()
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
+        self.cores: dict[str, tuple[bytes, bool]] = {}  # ids, whether in one piece
         self.flat, self.start = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
         self.size, self.used = np.zeros(1 << 14, np.int64), 0
 
+    def alone(self, words: list[str]) -> list[bytes]:
+        """Ids (int32 bytes, which the garbage collector need not follow) of each text."""
+        return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def letters(self, words: list[str]) -> list[tuple[bytes, bool]]:
+        """Ids of words of letters only, and whether the word is one piece."""
+        out: list[tuple[bytes, bool]] = []
+        groups = [words[i:i + self.JOIN] for i in range(0, len(words), self.JOIN)]
+        for group, ids in zip(groups, self.alone([" ".join(g) for g in groups])):
+            at = 4 * (np.flatnonzero(self.ends[np.frombuffer(ids, np.int32)]) + 1)
+            if len(at) == len(group) and at[-1] == len(ids):
+                cuts = [0, *at.tolist()]
+                out += [(ids[a:b], True) for a, b in zip(cuts, cuts[1:])]
+            else:
+                out += [(i, np.count_nonzero(self.ends[np.frombuffer(i, np.int32)]) == 1) for i in self.alone(group)]
+        return out
+
     def learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        n, sizes = len(self.index), np.fromiter(map(len, ids), np.int64, len(ids))
+        parts = []
+        for w in words:
+            core, tail = (w[:-1], w[-1]) if w[-1] in self.tail else (w, "")
+            # The tokenizer lower-cases; letters beyond ASCII are left to it.
+            parts.append((core.lower() if core.isascii() else core, tail) if core.isalpha() else (None, ""))
+        new = list({core for core, _ in parts if core} - self.cores.keys()) if len(self.tail) > 1 else []
+        self.cores.update(zip(new, self.letters(new)))
+        ids: list[bytes | None] = []
+        for core, tail in parts:
+            found, whole = self.cores.get(core, (None, False))
+            # A letter that lower-cases to more than letters takes the mark after it into one piece.
+            ids.append(found + self.tail[tail] if whole or found is not None and not tail else None)
+        other = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(other, self.alone([words[k] for k in other])):
+            ids[k] = x
+        n, sizes = len(self.index), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         while n + len(words) > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
         total = int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used:self.used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
+        self.flat[self.used:self.used + total] = np.frombuffer(b"".join(ids), np.int32)
         self.size[n:n + len(words)] = sizes
         self.start[n:n + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
