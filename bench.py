@@ -9,6 +9,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -28,6 +29,8 @@ def main() -> None:
     from hubrisk.plans.registry import QUERIES
 
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    if not spark.conf.get("spark.checkpoint.dir", None):  # a single-machine run may use its own folder
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hubrisk-bench-"))
     spark.range(1000).selectExpr("sum(id)").collect()  # JVM warm-up
     times, rows = {}, {}
     for key in HEADLINE:

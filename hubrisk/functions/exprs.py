@@ -32,6 +32,12 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
+def number(c) -> Column:
+    """Text or number -> finite double; bad text, NaN and infinities are NULL."""
+    x = _c(c).try_cast("double")
+    return F.when(F.abs(x) < float("inf"), x)  # NaN sorts above infinity
+
+
 def hhmm_to_minutes(t) -> Column:
     """HHMM clock number -> minutes after midnight (integer truncation of t first)."""
     ti = _c(t).cast("int")

@@ -3,10 +3,10 @@ D4, D6, D12, D13, D21, E6)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hubrisk.functions.exprs import direction, flag, hhmm_to_minutes, spoke_airport
+from hubrisk.functions.exprs import direction, flag, hhmm_to_minutes, number, spoke_airport
 from hubrisk.params import Params
 
 CAUSE_DELAYS = ("CarrierDelay", "WeatherDelay", "NASDelay", "SecurityDelay", "LateAircraftDelay")
@@ -16,30 +16,39 @@ NUMERIC_COLS = ("DepDelay", "ArrDelay", "DepDel15", "ArrDel15", "Distance", "Air
 
 def hub_filter(flights: DataFrame, p: Params) -> DataFrame:
     """Keep flights touching the hub, drop excluded years, derive calendar columns when absent."""
-    df = flights.where((F.col("Origin") == p.hub) | (F.col("Dest") == p.hub))
+    df = with_calendar(flights.where((F.col("Origin") == p.hub) | (F.col("Dest") == p.hub)))
+    return df.where(year_kept(p))
+
+
+def with_calendar(flights: DataFrame) -> DataFrame:
+    """Calendar columns that the flights lack, derived from the flight date."""
     derived = {
         "Year": F.year("FlightDate"), "Month": F.month("FlightDate"),
         "DayofMonth": F.dayofmonth("FlightDate"), "DayOfWeek": F.weekday("FlightDate") + 1,
     }
-    df = df.withColumns({k: v.cast("int") for k, v in derived.items() if k not in df.columns})
-    if p.excluded_years:
-        df = df.where(~F.col("Year").isin(*p.excluded_years))
-    return df
+    if "FlightDate" not in flights.columns:
+        return flights
+    return flights.withColumns({k: v.cast("int") for k, v in derived.items() if k not in flights.columns})
+
+
+def year_kept(p: Params) -> Column:
+    """False for an excluded year; a row without a year stays."""
+    return F.coalesce(~F.col("Year").isin(*p.excluded_years), F.lit(True)) if p.excluded_years else F.lit(True)
 
 
 def coerce_flights(raw: DataFrame) -> DataFrame:
-    """Typed flights from string columns: bad numerics -> NULL, cause delays NULL/bad -> 0."""
+    """Typed flights from string columns: bad or non-finite numbers -> NULL, then 0 for cause delays."""
     casts = {}
     for c in raw.columns:
         if c in CAUSE_DELAYS:
-            casts[c] = F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
+            casts[c] = F.coalesce(number(c), F.lit(0.0))
         elif c in NUMERIC_COLS:
-            casts[c] = F.col(c).try_cast("double")
+            casts[c] = number(c)
         elif c == "FlightDate":
             casts[c] = F.coalesce(F.col(c).try_cast("date"),
                                   F.try_to_timestamp(F.col(c)).cast("date"))
         elif c in ("Year", "Month", "DayofMonth", "DayOfWeek"):
-            casts[c] = F.col(c).try_cast("double").cast("int")
+            casts[c] = number(c).cast("int")
     return raw.withColumns(casts)
 
 
@@ -144,7 +153,7 @@ def time_band_risk(flights: DataFrame, p: Params) -> DataFrame:
     """Per (spoke, month, 6-hour band of the scheduled hub time): volume and delay rates."""
     inbound = F.col("Dest") == p.hub
     minute = hhmm_to_minutes(F.when(inbound, F.col("CRSArrTime")).otherwise(F.col("CRSDepTime")))
-    band = F.floor(minute / 360).cast("int")
+    band = (F.floor(minute / 360) % 4).cast("int")  # 2400 is midnight
     delay = F.when(inbound, F.col("ArrDelay")).otherwise(F.col("DepDelay"))
     labels = F.array(*[F.lit(b) for b in TIME_BANDS])
     return (flights.where(minute.isNotNull())
@@ -154,7 +163,7 @@ def time_band_risk(flights: DataFrame, p: Params) -> DataFrame:
                 F.count(F.lit(1)).alias("flights"),
                 F.avg(F.when(F.col("WeatherDelay") > 0, 1.0).otherwise(0.0)).alias("weather_delay_rate"),
                 F.avg(F.when(F.col("delay") > p.delay_threshold, 1.0).otherwise(0.0)).alias("delay_rate_15"))
-            .withColumn("band", F.element_at(labels, F.col("band_idx") % 4 + 1))
+            .withColumn("band", F.element_at(labels, F.col("band_idx") + 1))
             .drop("band_idx"))
 
 

@@ -1,6 +1,6 @@
 """Airport-pair features per month.
 
-Pairs are the top-N spokes by flight count (N = Params.top_airports); a pair (a, b)
+Pairs are those of all spokes (or the Params.top_airports busiest); a pair (a, b)
 has a = the busier airport. Pairwise statistics come from one self-join of an
 airport-day table on date (at most N rows per date, so the join is bounded by N^2 per
 day and has no hot key) followed by one partial+final hash aggregation.
@@ -22,10 +22,12 @@ STAT_COLS = ("flight_count", "weather_delay_rate", "weather_delay_mean", "weathe
 
 
 def ranked_spokes(flights: DataFrame, p: Params) -> DataFrame:
-    """Top-N spokes by flight count (ties by code) with rank rk = 1..N."""
+    """Spokes by flight count (ties by code) with rank rk = 1..n; with ``top_airports`` the first N only."""
     top = (flights.groupBy(spoke_airport(p.hub).alias("airport")).agg(F.count(F.lit(1)).alias("n_flights"))
-           .orderBy(F.desc("n_flights"), "airport").limit(p.top_airports))
-    # the windows run over at most N rows (after the limit)
+           .orderBy(F.desc("n_flights"), "airport"))
+    if p.top_airports is not None:
+        top = top.limit(p.top_airports)
+    # the windows run over one row per airport
     return (top.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("n_flights"), "airport")))
             .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy())))
 

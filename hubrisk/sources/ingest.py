@@ -3,10 +3,13 @@ arrays, METAR CSVs with 'M'/'T' markers, stage materialisation (A1, A3-A5, A7)."
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubrisk.operators.flights import coerce_flights
+from hubrisk.functions.exprs import number
+from hubrisk.operators.flights import coerce_flights, with_calendar, year_kept
 from hubrisk.params import Params
 
 # Header aliases (lower-case) accepted for each canonical flight column.
@@ -56,31 +59,37 @@ def canonical_names(columns: list[str]) -> dict[str, str]:
 
 
 def read_flight_csvs(spark: SparkSession, paths: list[str], p: Params) -> DataFrame:
-    """Each path is one header group (a folder of CSVs sharing a header). Groups without
-    Origin/Dest are skipped; all are renamed, unioned by name, hub-filtered and coerced."""
+    """All CSV files under the paths, whatever their headers: files with one header are read together,
+    renamed, hub-filtered, coerced and given the calendar columns they lack; the groups are unioned by
+    name and excluded years dropped. Files without Origin and Dest columns are skipped."""
     frames = []
-    for path in paths:
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    for files in header_groups(spark, paths):
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(files)
         names = canonical_names(raw.columns)
         if "Origin" not in names.values() or "Dest" not in names.values():
             continue
-        frames.append(raw.select(*[F.col(f"`{src}`").alias(dst) for src, dst in names.items()]))
-    df = frames[0]
-    for f in frames[1:]:
-        df = df.unionByName(f, allowMissingColumns=True)
-    df = df.where((F.col("Origin") == p.hub) | (F.col("Dest") == p.hub))
-    df = coerce_flights(df)
-    if "Year" not in df.columns and "FlightDate" in df.columns:
-        df = df.withColumns({"Year": F.year("FlightDate"), "Month": F.month("FlightDate"),
-                             "DayofMonth": F.dayofmonth("FlightDate"), "DayOfWeek": F.weekday("FlightDate") + 1})
-    if p.excluded_years and "Year" in df.columns:
-        df = df.where(~F.col("Year").isin(*p.excluded_years))
-    return df
+        df = raw.select(*[F.col(f"`{src}`").alias(dst) for src, dst in names.items()])
+        df = df.where((F.col("Origin") == p.hub) | (F.col("Dest") == p.hub))
+        frames.append(with_calendar(coerce_flights(df)))
+    if not frames:
+        raise ValueError(f"no file with Origin and Dest columns under {paths}")
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return out.where(year_kept(p)) if "Year" in out.columns else out
+
+
+def header_groups(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """The files under the paths, by equal header line (only names and first lines reach the driver)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "length")
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for name in sorted(r.path for r in files.where("length > 0").collect()):
+        header = spark.read.option("header", True).option("inferSchema", False).csv(name).columns
+        groups.setdefault(tuple(header), []).append(name)
+    return list(groups.values())
 
 
 WEATHER_VARS = ("temperature_2m", "dew_point_2m", "relative_humidity_2m", "precipitation", "rain", "snowfall",
                 "snow_depth", "weather_code", "cloud_cover", "cloud_cover_low", "wind_speed_10m", "wind_gusts_10m",
-                "surface_pressure")
+                "wind_direction_10m", "surface_pressure")
 
 
 def read_weather_json(spark: SparkSession, path: str, variables=WEATHER_VARS) -> DataFrame:
@@ -92,7 +101,7 @@ def read_weather_json(spark: SparkSession, path: str, variables=WEATHER_VARS) ->
     z = F.arrays_zip(*[F.col(f"hourly.{c}").alias(c) for c in ("time", *variables)])
     rows = docs.select("airport", "latitude", "longitude", F.explode(z).alias("h"))
     return rows.select("airport", "latitude", "longitude",
-                       F.to_timestamp_ntz(F.col("h.time")).alias("time"),
+                       F.col("h.time").try_cast("timestamp_ntz").alias("time"),
                        *[(F.col(f"h.{v}").cast("int") if v == "weather_code" else F.col(f"h.{v}")).alias(v)
                          for v in variables])
 
@@ -101,18 +110,19 @@ METAR_NUMERIC = ("tmpf", "dwpf", "relh", "drct", "sknt", "p01i", "alti", "mslp",
                  "skyl1", "skyl2", "skyl3", "skyl4")
 
 
-def read_metar_csv(spark: SparkSession, path: str, ts_format: str = "yyyy-MM-dd HH:mm:ss.SSSSSS") -> DataFrame:
-    """METAR CSV folders: 'M' is missing; numeric columns coerced ('T' trace and bad values -> NULL)."""
+def read_metar_csv(spark: SparkSession, path: str) -> DataFrame:
+    """METAR CSV folders: 'M' is missing; numeric columns coerced ('T' trace, bad and non-finite values ->
+    NULL). Times are local ISO times down to minutes or finer, bad ones NULL."""
     raw = spark.read.option("header", True).option("nullValue", "M").csv(path)
-    casts = {c: F.col(c).try_cast("double") for c in raw.columns if c in METAR_NUMERIC}
-    casts["valid"] = F.to_timestamp_ntz(F.col("valid"), F.lit(ts_format))
+    casts = {c: number(c) for c in raw.columns if c in METAR_NUMERIC}
+    casts["valid"] = F.col("valid").try_cast("timestamp_ntz")
     return raw.withColumns(casts)
 
 
 def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> DataFrame:
     """Write a stage as Parquet (optionally partitioned) and return the re-read table; the
     reuse decision is the caller's (explicit mode), never an implicit "file exists"."""
-    w = df.write.mode(mode)
+    w = df.write.mode(mode).option("partitionOverwriteMode", "static")  # overwrite drops all old partitions
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

@@ -53,7 +53,8 @@ SELECT 'NATION_' || (l_partkey % 25) AS airport, l_shipdate + INTERVAL '1' HOUR
        CAST(CASE WHEN l_quantity < 5 THEN 1 ELSE 0 END AS DOUBLE) AS snowfall, CAST(CASE WHEN l_quantity < 5 THEN 2 ELSE 0 END AS DOUBLE) AS snow_depth,
        CAST(split_part('0,3,45,48,63,65,66,73,75,95,96,99', ',', 1 + CAST(l_quantity AS INT) % 12) AS INT) AS weather_code,
        least(CAST(100 AS DOUBLE), 2 * l_quantity + 10) AS cloud_cover, least(CAST(100 AS DOUBLE), 2 * l_quantity) AS cloud_cover_low,
-       CAST(l_suppkey % 30 AS DOUBLE) AS wind_speed_10m, CAST(l_orderkey % 60 AS DOUBLE) AS wind_gusts_10m, 1000 - l_quantity AS surface_pressure
+       CAST(l_suppkey % 30 AS DOUBLE) AS wind_speed_10m, CAST(l_orderkey % 60 AS DOUBLE) AS wind_gusts_10m,
+       CAST((l_orderkey * 7) % 360 AS DOUBLE) AS wind_direction_10m, 1000 - l_quantity AS surface_pressure
 FROM {lineitem}
 """
 
@@ -69,7 +70,22 @@ SELECT 'NATION_' || (user_id % 25) AS station, ts AS valid,
 FROM {events}
 """
 
+# The flights as a file feed has them: all text, with flights that do not touch the hub, an excluded year,
+# missing years, and bad or non-finite values.
+PX_FLIGHT_FEED = """
+WITH f AS (SELECT *, CAST(split_part(flight_id, '-', 1) AS BIGINT) % 50 AS o FROM (""" + PX_FLIGHT + """) x)
+SELECT flight_id, CASE o WHEN 9 THEN '2020-03-05' WHEN 21 THEN 'no date' ELSE CAST(FlightDate AS STRING) END AS FlightDate,
+       CASE o WHEN 9 THEN '2020' WHEN 23 THEN NULL ELSE CAST(Year AS STRING) END AS Year, CAST(Month AS STRING) AS Month,
+       CASE WHEN o = 7 THEN 'NATION_98' ELSE Origin END AS Origin, CASE WHEN o = 7 THEN 'NATION_99' ELSE Dest END AS Dest,
+       CAST(CRSDepTime AS STRING) AS CRSDepTime, CAST(CRSArrTime AS STRING) AS CRSArrTime,
+       CASE o WHEN 11 THEN 'NaN' WHEN 13 THEN 'bad' WHEN 17 THEN 'Infinity' ELSE CAST(ArrDelay AS STRING) END AS ArrDelay,
+       CAST(DepDelay AS STRING) AS DepDelay, CASE WHEN o = 19 THEN 'NaN' ELSE CAST(WeatherDelay AS STRING) END AS WeatherDelay,
+       CAST(LateAircraftDelay AS STRING) AS LateAircraftDelay, CAST(AirTime AS STRING) AS AirTime, CAST(Cancelled AS STRING) AS Cancelled
+FROM f
+"""
+
 PROXY_SQL = {
+    "px_flight_feed": (PX_FLIGHT_FEED, ("lineitem", "supplier")),
     "px_airport": (PX_AIRPORT, ("nation", "region")),
     "px_flight": (PX_FLIGHT, ("lineitem", "supplier")),
     "px_weather_hourly": (PX_WEATHER_HOURLY, ("lineitem",)),

@@ -11,10 +11,11 @@ FLIGHT_SCHEMA = ("flight_id string, FlightDate date, Year int, Month int, Origin
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from hubrisk.session import build_session, checkpoint_root
+def spark(tmp_path_factory):
+    from hubrisk.session import build_session
     s = build_session(master="local[*]", shuffle_partitions=8, driver_memory="8g")
-    checkpoint_root(s)
+    if not s.conf.get("spark.checkpoint.dir", None):
+        s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield s
     s.stop()
 

@@ -1,4 +1,7 @@
-from hubrisk.session import scratch_path
+import pytest
+
+from hubrisk.operators.flights import coerce_flights
+from hubrisk.session import checkpoint_root, scratch_path
 from hubrisk.sources import ingest as IN
 
 
@@ -29,3 +32,63 @@ def test_weather_json_parallel_arrays(spark):
     spark.createDataFrame([(doc,)], "value string").write.text(base)
     rows = IN.read_weather_json(spark, base, variables=("precipitation", "weather_code")).orderBy("time").collect()
     assert [(r.precipitation, r.weather_code) for r in rows] == [(0.5, 95), (None, 3)]
+
+
+def _write(spark, rows, schema, path, mode="append"):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode(mode).option("header", True).csv(path)
+
+
+def test_a_file_without_year_keeps_its_rows(spark, params):
+    base = scratch_path(spark, "t-year")
+    _write(spark, [("2019-01-02", "2019", "HUB", "AAA"), ("2020-01-02", "2020", "HUB", "AAA")],
+           "FlightDate string, Year string, Origin string, Dest string", base)
+    _write(spark, [("2024-01-03", "BBB", "HUB"), ("2020-05-05", "BBB", "HUB"), ("?", "CCC", "HUB")],
+           "fl_date string, origin string, dest string", base)
+    rows = IN.read_flight_csvs(spark, [base], params).collect()
+    assert sorted((r.Origin, r.Year) for r in rows if r.Year) == [("BBB", 2024), ("HUB", 2019)]
+    assert [r.Origin for r in rows if r.Year is None] == ["CCC"]  # no year: not known to be excluded
+
+
+def test_headers_of_one_folder_may_differ_in_order(spark, params):
+    base = scratch_path(spark, "t-order")
+    _write(spark, [("2024-01-02", "HUB", "AAA", "7")], "FlightDate string, Origin string, Dest string, ArrDelay string", base)
+    _write(spark, [("9", "BBB", "HUB", "2024-01-03")], "ArrDelay string, Origin string, Dest string, FlightDate string", base)
+    rows = {r.Origin: r for r in IN.read_flight_csvs(spark, [base], params).collect()}
+    assert rows["HUB"].ArrDelay == 7.0 and rows["BBB"].ArrDelay == 9.0 and rows["BBB"].Dest == "HUB"
+
+
+def test_non_finite_numbers_are_missing(spark):
+    df = spark.createDataFrame([("NaN", "NaN"), ("Infinity", "-inf"), ("x", None), ("16", "3")], "ArrDelay string, WeatherDelay string")
+    assert [tuple(r) for r in coerce_flights(df).collect()] == [(None, 0.0), (None, 0.0), (None, 0.0), (16.0, 3.0)]
+
+
+def test_metar_times_of_any_precision_and_bad_ones(spark):
+    base = scratch_path(spark, "t-metar")
+    _write(spark, [("A", "2024-01-01 00:53", "T"), ("B", "2024-01-01 00:53:07", "M"), ("C", "nonsense", "12"), ("D", "2024-01-01T01:00", "nan")],
+           "station string, valid string, gust string", base)
+    rows = {r.station: r for r in IN.read_metar_csv(spark, base).collect()}
+    assert str(rows["A"].valid) == "2024-01-01 00:53:00" and str(rows["B"].valid) == "2024-01-01 00:53:07"
+    assert rows["C"].valid is None and rows["C"].gust == 12.0 and str(rows["D"].valid) == "2024-01-01 01:00:00"
+    assert rows["A"].gust is None and rows["B"].gust is None and rows["D"].gust is None
+
+
+def test_overwrite_drops_partitions_that_are_gone(spark):
+    path = scratch_path(spark, "t-overwrite")
+    IN.materialize(spark.createDataFrame([(1, 2019), (2, 2020)], "x int, year int"), path, ["year"])
+    out = IN.materialize(spark.createDataFrame([(3, 2019)], "x int, year int"), path, ["year"])
+    assert [(r.x, r.year) for r in out.collect()] == [(3, 2019)]
+
+
+def test_without_a_shared_folder_scratch_paths_are_an_error():
+    class Nothing:
+        def get(self, key, default=None):
+            return default
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = sparkContext = Nothing()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_path(Session(), "x")
+    assert checkpoint_root(Session(), "/shared/x/") == "/shared/x"
