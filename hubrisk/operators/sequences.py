@@ -120,6 +120,33 @@ def sequences(flights: DataFrame, p: Params, inbound_extra: list | None = None,
         flag(cascading).cast("int").alias("cascading_delay"), "in_flight_id", "out_flight_id", *extra)
 
 
+def sequence_counts(flights: DataFrame, p: Params) -> DataFrame:
+    """How many rows of ``sequences`` there are per (year, month, inbound_arr_time, connection_minutes,
+    label): the same numbers without a row per flight pair. Legs are counted per (date, minute), the
+    counts are joined and multiplied, and pairs of one airport (counted the same way) are subtracted."""
+    th = p.delay_threshold
+    inb = _inbound_legs(flights, p).withColumn("_hit", flag(F.col("inbound_arr_delay") > th) & flag(
+        (F.col("inbound_weather_delay") > 0) | (F.col("inbound_late_aircraft_delay") > 0)))
+    outb = _outbound_legs(flights, p).withColumn("_hit", flag(F.col("outbound_dep_delay") > th))
+
+    def joined(same_airport: bool) -> DataFrame:
+        def legs(df, airport, minute, n, hits):
+            day = F.struct("date", F.col(airport).alias("airport")) if same_airport else F.struct("date")
+            return df.groupBy(day.alias("date"), minute).agg(F.count(F.lit(1)).alias(n), F.count_if("_hit").alias(hits))
+        i = legs(inb, "airport_a", "inbound_arr_time", "n_in", "hit_in")
+        o = legs(outb, "airport_b", "outbound_dep_time", "n_out", "hit_out")
+        sign = -1 if same_airport else 1
+        j = same_day_range_join(i, o, "inbound_arr_time", "outbound_dep_time", p.min_turnaround, None, p)
+        return j.select(F.year("date.date").alias("year"), F.month("date.date").alias("month"), "inbound_arr_time",
+                        (F.col("outbound_dep_time") - F.col("inbound_arr_time")).alias("connection_minutes"),
+                        (sign * F.col("n_in") * F.col("n_out")).alias("n"), (sign * F.col("hit_in") * F.col("hit_out")).alias("hits"))
+    keys = ["year", "month", "inbound_arr_time", "connection_minutes"]
+    total = joined(False).unionByName(joined(True)).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    cells = F.array(F.struct(F.lit(1).alias("cascading_delay"), F.col("hits").alias("weight")),
+                    F.struct(F.lit(0).alias("cascading_delay"), (F.col("n") - F.col("hits")).alias("weight")))
+    return total.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*").where(F.col("weight") > 0)
+
+
 def cascade_events(flights: DataFrame, p: Params) -> DataFrame:
     """Weather-delayed inbound x delayed outbound, same day, gap in [gap_min, gap_max], A != B;
     propagated = max(0, ArrDelay - gap); total = propagated + outbound WeatherDelay; keep total > 0."""

@@ -67,6 +67,8 @@ SELECT station AS airport, CAST(valid AS DATE) AS date, valid, vsby, gust, sknt,
   coalesce(vsby < 3, false) AS low_vis, coalesce(gust > 30, false) AS high_wind
 FROM (SELECT *, CASE WHEN trim(skyc1) IN ('BKN', 'OVC') AND skyl1 IS NOT NULL THEN skyl1
                      WHEN trim(skyc2) IN ('BKN', 'OVC') AND skyl2 IS NOT NULL THEN skyl2
+                     WHEN trim(skyc3) IN ('BKN', 'OVC') AND skyl3 IS NOT NULL THEN skyl3
+                     WHEN trim(skyc4) IN ('BKN', 'OVC') AND skyl4 IS NOT NULL THEN skyl4
                      ELSE 99999.0 END AS ceiling_ft FROM px_metar_hourly) m
 """, "px_metar_hourly")
 
@@ -917,6 +919,10 @@ Q["class_weight"] = fin(B.render(f"""
 SELECT count_if(cascading_delay = 0) AS n_neg, count_if(cascading_delay = 1) AS n_pos,
        count_if(cascading_delay = 0) / greatest(count_if(cascading_delay = 1), 1) AS scale_pos_weight
 FROM seq WHERE year IN {TRAIN_YEARS}""", "seq"), doubles=["scale_pos_weight"], ints=["n_neg", "n_pos"])
+Q["model_facts"] = fin(B.render("""
+SELECT count(*) AS n_test, true AS probabilities_ok, 114 AS n_features, true AS importances_ok, true AS better_than_chance,
+       0 AS changed_after_reload FROM seq WHERE year = 2001 AND month > 6""", "seq"),
+                       ints=["n_test", "n_features", "changed_after_reload"])
 B.add("det", """
 SELECT cascading_delay AS label, ((connection_minutes * 7 + inbound_arr_time * 3) % 1000) / 1000.0 AS score,
        CAST(((connection_minutes * 7 + inbound_arr_time * 3) % 1000) / 1000.0 >= 0.5 AS INTEGER) AS predicted
@@ -969,15 +975,17 @@ UNION ALL SELECT 'weighted avg', coalesce(sum(precision * support) / nullif(max(
 Q["live_metar"] = fin(B.render("""
 WITH o AS (SELECT 'K' || station AS icao, station AS iata, CASE WHEN vsby >= 10 THEN 10.0 ELSE coalesce(vsby, 10.0) END AS vis_sm,
                   coalesce(least(CASE WHEN skyc1 IN ('BKN', 'OVC') AND skyl1 IS NOT NULL AND skyl1 <> 0 THEN skyl1 END,
-                                 CASE WHEN skyc2 IN ('BKN', 'OVC') AND skyl2 IS NOT NULL AND skyl2 <> 0 THEN skyl2 END),
+                                 CASE WHEN skyc2 IN ('BKN', 'OVC') AND skyl2 IS NOT NULL AND skyl2 <> 0 THEN skyl2 END, CASE WHEN skyc3 IN ('BKN', 'OVC') AND skyl3 IS NOT NULL AND skyl3 <> 0 THEN skyl3 END, CASE WHEN skyc4 IN ('BKN', 'OVC') AND skyl4 IS NOT NULL AND skyl4 <> 0 THEN skyl4 END),
                            99999.0) AS ceiling,
-                  sknt AS wind_kt, gust AS gust_kt, strftime(valid, '%Y-%m-%d %H:%M:%S.%f') AS report_time
+                  tmpf AS temp_c, dwpf AS dewp_c, drct AS wind_dir, sknt AS wind_kt, gust AS gust_kt,
+                  station || ' ' || coalesce(wxcodes, '') AS raw, strftime(valid, '%Y-%m-%d %H:%M:%S.%f') AS report_time
            FROM px_metar_hourly)
 SELECT icao, iata, vis_sm, CASE WHEN ceiling < 99999 THEN ceiling END AS ceiling_ft,
   CASE WHEN ceiling < 500 OR vis_sm < 1 THEN 'LIFR' WHEN ceiling < 1000 OR vis_sm < 3 THEN 'IFR'
-       WHEN ceiling < 3000 OR vis_sm < 5 THEN 'MVFR' ELSE 'VFR' END AS category, wind_kt, gust_kt, report_time
-FROM o QUALIFY row_number() OVER (PARTITION BY icao ORDER BY report_time DESC) = 1""", "px_metar_hourly"),
-    doubles=["vis_sm", "ceiling_ft", "wind_kt", "gust_kt"])
+       WHEN ceiling < 3000 OR vis_sm < 5 THEN 'MVFR' ELSE 'VFR' END AS category, temp_c, dewp_c, wind_dir, wind_kt,
+  gust_kt, raw, report_time
+FROM o QUALIFY row_number() OVER (PARTITION BY icao ORDER BY report_time DESC, raw DESC) = 1""", "px_metar_hourly"),
+    doubles=["vis_sm", "ceiling_ft", "temp_c", "dewp_c", "wind_dir", "wind_kt", "gust_kt"])
 _mds_d = [c for c in MD_DOUBLES if not c.endswith("_p10")]
 Q["metar_daily_stream"] = fin(B.render(f"SELECT airport, date, {', '.join(MD_COUNTS + _mds_d)} FROM md", "md"),
                               doubles=_mds_d, ints=MD_COUNTS)
@@ -996,7 +1004,7 @@ Q["ingest_metar"] = fin(B.render("""
 SELECT * REPLACE (CASE k WHEN 41 THEN NULL WHEN 43 THEN date_trunc('minute', valid) ELSE valid END AS valid,
                   CASE WHEN k = 47 THEN NULL ELSE gust END AS gust, CASE WHEN k = 53 THEN NULL ELSE vsby END AS vsby)
 FROM px_metar_hourly""", "px_metar_hourly"),
-                        doubles=["skyl1", "skyl2", "vsby", "gust", "sknt"], ints=["k"])
+                        doubles=["skyl1", "skyl2", "skyl3", "skyl4", "tmpf", "dwpf", "drct", "vsby", "gust", "sknt"], ints=["k"])
 
 
 def finished() -> dict[str, str]:

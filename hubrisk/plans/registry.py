@@ -552,8 +552,8 @@ def _q(spark, sf):
 
 # --- enrichment and classifier ------------------------------------------------------------
 
-def seqs(spark, sf) -> DataFrame:
-    return SQ.sequences(data(spark, sf).flights, P)
+def seq_counts(spark, sf) -> DataFrame:
+    return SQ.sequence_counts(data(spark, sf).flights, P)
 
 
 def enriched(spark, sf) -> DataFrame:
@@ -568,17 +568,17 @@ def _q(spark, sf):
 
 @query("temporal_split")
 def _q(spark, sf):
-    s = ML.temporal_split(seqs(spark, sf), P)
-    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("cascading_delay") == 1).alias("n_positive"))
+    s = ML.temporal_split(seq_counts(spark, sf), P)
+    return s.groupBy("split").agg(ML.counted(s, F.lit(True)).alias("n_rows"), ML.counted(s, F.col("cascading_delay") == 1).alias("n_positive"))
 
 
 @query("class_weight")
 def _q(spark, sf):
-    s = ML.temporal_split(seqs(spark, sf), P)
+    s = ML.temporal_split(seq_counts(spark, sf), P)
     return ML.class_weight(s.where(F.col("split") == "train"))
 
 
-SMOKE_TREES = 10  # boosted-tree rounds for the registered smoke run (library default: 500 + early stop)
+FIT_ROWS = 100_000  # bound on the labelled rows that the registered classifier is fitted on
 _MODELS: dict = {}
 
 
@@ -586,7 +586,7 @@ def model(spark, sf):
     key = (spark.sparkContext.applicationId, id(spark), sf)
     if key not in _MODELS:
         enr = stage(spark, sf, "sequences_enriched", lambda: enriched(spark, sf))
-        _MODELS[key] = (*ML.train_classifier(enr, P, max_iter=SMOKE_TREES), enr)
+        _MODELS[key] = (*ML.train_classifier(enr, P, fit_rows=FIT_ROWS), enr)
     return _MODELS[key]
 
 
@@ -616,8 +616,28 @@ def _q(spark, sf):
     return imp.withColumn("hub_weather", F.col("feature").startswith("wx_hub_"))
 
 
+@query("model_facts")
+def _q(spark, sf):
+    """What must hold of any trained classifier: test rows, features used, probabilities and importances in
+    range, ranking better than chance, and equal predictions after saving and reloading it."""
+    m, feats, enr = model(spark, sf)
+    scored = _test_scored(spark, sf)
+    path = scratch_path(spark, "classifier")
+    ML.save_model(m, path)
+    again = ML.score_sequences(ML.load_model(path), ML.temporal_split(enr, P).where(F.col("split") == "test"), feats)
+    ids = ["in_flight_id", "out_flight_id"]
+    changed = scored.select(*ids, "predicted").exceptAll(again.select(*ids, "predicted")).count()
+    imp = ML.feature_importance(m, feats).agg(F.sum("importance").alias("s"), F.min("importance").alias("lo")).first()
+    sc = scored.select(F.col("cascading_delay").alias("label"), F.col("predicted_proba").alias("score"))
+    auc = ML.auc_roc(sc).first()["auc_roc"]
+    return scored.agg(F.count(F.lit(1)).alias("n_test"),
+                      F.coalesce(F.min("predicted_proba").between(0, 1) & F.max("predicted_proba").between(0, 1), F.lit(True)).alias("probabilities_ok"),
+                      F.lit(len(feats)).alias("n_features"), F.lit(abs(imp.s - 1) < 1e-6 and imp.lo >= 0).alias("importances_ok"),
+                      F.lit(auc > 0.5).alias("better_than_chance"), F.lit(changed).alias("changed_after_reload"))
+
+
 def det(spark, sf) -> DataFrame:
-    return ML.deterministic_scores(seqs(spark, sf), P)
+    return ML.deterministic_scores(seq_counts(spark, sf), P)
 
 
 @query("auc_roc")

@@ -63,6 +63,9 @@ SELECT 'NATION_' || (user_id % 25) AS station, ts AS valid,
        split_part('CLR,FEW,SCT,BKN,OVC', ',', CAST(1 + event_id % 5 AS INT)) AS skyc1,
        CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(100 * (1 + event_id % 40) AS DOUBLE) END AS skyl1,
        split_part('OVC,BKN,FEW,CLR', ',', CAST(1 + event_id % 4 AS INT)) AS skyc2, CAST(100 * (10 + event_id % 60) AS DOUBLE) AS skyl2,
+       split_part('CLR,OVC,BKN', ',', CAST(1 + event_id % 3 AS INT)) AS skyc3, CAST(100 * (3 + event_id % 30) AS DOUBLE) AS skyl3,
+       CASE WHEN event_id % 11 = 0 THEN 'OVC' ELSE NULL END AS skyc4, CAST(100 * (1 + event_id % 20) AS DOUBLE) AS skyl4,
+       CAST(event_id % 90 AS DOUBLE) AS tmpf, CAST(event_id % 90 - event_id % 7 AS DOUBLE) AS dwpf, CAST(10 * (event_id % 36) AS DOUBLE) AS drct,
        CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(event_id % 40 AS DOUBLE) / 4 END AS vsby,
        CASE event_type WHEN 'error' THEN '+TSRA' WHEN 'signup' THEN 'BR' WHEN 'click' THEN '-RA' WHEN 'purchase' THEN 'SN FZFG' ELSE NULL END AS wxcodes,
        CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(floor(value) AS DOUBLE) % 50 END AS gust, CAST(event_id % 35 AS DOUBLE) AS sknt,

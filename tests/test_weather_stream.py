@@ -20,7 +20,7 @@ def test_all_null_precip_sums_to_zero_and_single_std_null(spark):
 def _metar_rows(days):
     out = []
     for i, day in enumerate(days):
-        out.append(("AAA", f"{day} 0{i % 9}:00:00.000000", "OVC", 400.0, "CLR", 9000.0, 2.0, "+TSRA", 35.0, 10.0))
+        out.append(("AAA", f"{day} 0{i % 9}:00:00.000000", "FEW", 400.0, "CLR", 9000.0, "OVC", 700.0, None, None, 2.0, "+TSRA", 35.0, 10.0))
     return out
 
 
@@ -37,3 +37,13 @@ def test_stream_daily_rollup_equals_batch_and_drops_late_rows(spark):
     q2 = ST.metar_daily_stream(spark, f"{base}/in/*", f"{base}/out", f"{base}/chk").collect()
     got = {(r.airport, str(r.date)): r.metar_obs_count for r in q2}
     assert got[("AAA", "2024-01-01")] == 2 and got[("AAA", "2024-01-06")] == 1
+
+
+def test_stream_and_batch_agree_on_a_ceiling_in_the_third_layer(spark):
+    base = scratch_path(spark, "t-layer3")
+    rows = spark.createDataFrame(_metar_rows(["2024-02-01", "2024-02-02"]), ST.METAR_SCHEMA)
+    rows.coalesce(1).write.json(f"{base}/in")
+    stream = {str(r.date): r.metar_ceiling_min for r in ST.metar_daily_stream(spark, f"{base}/in", f"{base}/out", f"{base}/chk").collect()}
+    batch = {str(r.date): r.metar_ceiling_min for r in WX.metar_daily(
+        rows.withColumn("valid", rows["valid"].cast("timestamp_ntz"))).collect()}
+    assert stream == batch == {"2024-02-01": 700.0, "2024-02-02": 700.0}
