@@ -17,8 +17,8 @@ smaller doc_id, or an earlier start in one document. All copies but the first ar
    looked up in those of the shards before it by binary search.
 5. Removed runs are joined to the texts by id.
 
-Memory: a shard holds its share of the repeated segments; their number follows the session's shuffle
-partitions. The broadcast bitmaps have a fixed size. Texts travel once, in the join of step 5.
+Memory: a shard holds its share of the repeated segments; the number of shards follows the
+session's shuffle partitions. The broadcast bitmaps have a fixed size. Texts travel once, in the join of step 5.
 
 Defined results: null text is empty (0 bytes, SHA-256 of nothing); texts under ``size`` bytes never
 lose anything; rows repeated in id and text count as one document (both get the same result), rows of
@@ -50,6 +50,7 @@ class SuffixParams:
     gram: int = 24
     salts: int = 16             # shards of a very frequent value
     flush: int = 16 << 20       # segment bytes a task holds before it sends them
+    shard_bits: int = 5         # shards of a hash range: a shard is to hold a few MB at most
     marks: MarkParams = MarkParams(often_bits=20)
 
 
@@ -116,10 +117,11 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Suffix array of symbols below 512 (Larsson-Sadakane: groups tied at depth h are re-sorted by
     the rank h places on)."""
     n = len(symbols)
-    wide = np.concatenate([symbols, np.zeros(7, symbols.dtype)]).astype(np.int64)
+    wide = np.concatenate([symbols, np.zeros(7, symbols.dtype)])
     key = np.zeros(n, np.int64)
     for k in range(7):
-        key = (key << 9) | wide[k:n + k]
+        key <<= 9
+        key |= wide[k:n + k]
     sa = np.argsort(key, kind="stable")
     first = np.ones(n + 1, bool)
     first[1:n] = key[sa[1:]] != key[sa[:-1]]
@@ -275,7 +277,7 @@ def send_segments(texts: DataFrame, p: SuffixParams) -> DataFrame:
     """Segments of windows that may repeat, packed by shard; copies within a task as runs without bytes."""
     marked = repeated_marks(texts.select("text"), lambda: lambda t: anchors(t, p), p.marks)
     sent = texts.sparkSession.sparkContext.broadcast((marked.repeated, marked.often, marked.theta))  # fixed size
-    ranges, mp = log2_ranges(texts, p.marks), p.marks
+    shard_bits, mp = log2_ranges(texts, p.marks) + p.shard_bits, p.marks
     names = [c.split()[0] for c in SENT.split(", ")]
 
     def run(batches: Iterator[list[list]]) -> Iterator[dict]:
@@ -303,7 +305,7 @@ def send_segments(texts: DataFrame, p: SuffixParams) -> DataFrame:
                 v, b = low[a], np.append(a[1:], len(low))
                 level = marks.level(v)
                 for k in np.flatnonzero(~marks.single(v, level)):
-                    shard = int(v[k]) >> (64 - ranges)
+                    shard = int(v[k]) >> (64 - shard_bits)
                     salt = 1 + hash(d) % p.salts if level[k] == 2 else 0
                     piece = text[a[k]:b[k] - 1 + p.size]
                     held.setdefault((shard, salt), []).append((d, t, int(a[k]), piece))
