@@ -920,7 +920,7 @@ SELECT count_if(cascading_delay = 0) AS n_neg, count_if(cascading_delay = 1) AS
        count_if(cascading_delay = 0) / greatest(count_if(cascading_delay = 1), 1) AS scale_pos_weight
 FROM seq WHERE year IN {TRAIN_YEARS}""", "seq"), doubles=["scale_pos_weight"], ints=["n_neg", "n_pos"])
 Q["model_facts"] = fin(B.render("""
-SELECT count(*) AS n_test, true AS probabilities_ok, 114 AS n_features, true AS importances_ok, true AS better_than_chance,
+SELECT count(*) AS n_test, true AS probabilities_ok, 114 AS n_features, true AS importances_ok, true AS auc_in_range,
        0 AS changed_after_reload FROM seq WHERE year = 2001 AND month > 6""", "seq"),
                        ints=["n_test", "n_features", "changed_after_reload"])
 B.add("det", """
