@@ -95,6 +95,24 @@ MODEL_FEATURES = (
 WEATHER_FEATURE_PREFIXES = ("wx_a_", "wx_b_", "wx_hub_")
 
 
+# Climate regions of the airports, and storm corridors by name of their flag column.
+CLIMATE_REGIONS = {
+    "Northeast": ("BOS", "JFK", "LGA", "EWR", "PHL", "DCA", "IAD", "BWI", "BDL", "PVD", "SYR", "ROC", "BUF", "ALB", "PIT"),
+    "Southeast": ("ATL", "CLT", "MIA", "FLL", "MCO", "TPA", "JAX", "RDU", "GSO", "CHS", "SAV", "PBI", "RSW", "SRQ", "MSY", "BNA",
+                  "MEM", "SDF"),
+    "Midwest": ("ORD", "MDW", "DTW", "MSP", "STL", "MCI", "IND", "CMH", "CLE", "MKE", "CVG", "DSM", "OMA", "ICT"),
+    "South_Central": ("DFW", "IAH", "HOU", "AUS", "SAT", "OKC", "TUL", "LIT", "SHV", "ELP"),
+    "Mountain": ("DEN", "SLC", "PHX", "ABQ", "TUS", "BOI", "COS", "BIL"),
+    "Pacific": ("LAX", "SFO", "SEA", "SAN", "PDX", "SJC", "OAK", "SMF", "ONT", "SNA", "BUR"),
+    "Alaska_Hawaii": ("ANC", "HNL", "OGG", "LIH", "KOA"),
+}
+STORM_CORRIDORS = {
+    "in_tornado": ("OKC", "TUL", "ICT", "OMA", "DSM", "MCI", "DFW", "AUS", "SAT", "LIT", "MEM", "SHV"),
+    "in_gulf": ("MSY", "HOU", "IAH", "TPA", "MIA", "FLL", "MCO", "JAX", "PBI", "RSW", "SRQ", "MOB"),
+    "in_winter": ("BOS", "JFK", "LGA", "EWR", "PHL", "DCA", "IAD", "BWI", "BDL", "PVD", "SYR", "ROC", "BUF", "ALB", "PIT"),
+}
+
+
 @dataclass(frozen=True)
 class Params:
     """All tunables of the analysis; defaults are the reference's values."""

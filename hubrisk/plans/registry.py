@@ -27,6 +27,7 @@ from hubrisk.operators import weather as WX
 from hubrisk.session import scratch_path
 from hubrisk.sources import ingest as IN
 from hubrisk.sources import proxy
+from hubrisk.sources import tables as TB
 from hubrisk.streaming import metar_stream as ST
 
 P = proxy.proxy_params()
@@ -770,3 +771,54 @@ def _q(spark, sf):
 def _q(spark, sf):
     daily = WX.weather_daily(source(spark, sf).weather_hourly).withColumn("year", F.year("date"))
     return IN.materialize(daily, scratch_path(spark, "stage-weather-daily"), ["year"]).drop("year")
+
+
+# --- airport files and deliverables (written to a fresh shared folder, then read back) ---------------
+
+@query("airport_csv")
+def _q(spark, sf):
+    a = source(spark, sf).airports
+    base = scratch_path(spark, "airports-csv")
+    a.select("iata", "latitude", "longitude", "tz_offset", "city", F.concat(F.lit("S"), F.length("iata")).alias("state"),
+             "region").write.option("header", True).csv(base)
+    nations = range(25)
+    corridors = {c: tuple(f"NATION_{i}" for i in nations if i % k == 0) for c, k in (("in_tornado", 3), ("in_gulf", 4), ("in_winter", 5))}
+    return TB.airport_dimension(TB.read_airports_csv(spark, base), {"Mapped": ("NATION_7",)}, corridors)
+
+
+def delivered(spark, name: str, df: DataFrame, kind: str) -> DataFrame:
+    base = scratch_path(spark, f"deliver-{name}")
+    TB.write_deliverable(df, name, base)
+    return TB.read_deliverable(spark, name, base, df.schema, kind)
+
+
+@query("deliver_avoid_csv")
+def _q(spark, sf):
+    return delivered(spark, "avoid_list", avoid(spark, sf), "csv")
+
+
+@query("deliver_avoid_parquet")
+def _q(spark, sf):
+    return delivered(spark, "avoid_list", avoid(spark, sf), "parquet")
+
+
+@query("deliver_swaps")
+def _q(spark, sf):
+    return delivered(spark, "swap_recommendations", swaps(spark, sf), "csv")
+
+
+@query("deliver_seasonal")
+def _q(spark, sf):
+    return delivered(spark, "seasonal_summary", RC.seasonal_summary(scores(spark, sf), data(spark, sf).airports, P), "csv")
+
+
+@query("deliver_stratification")
+def _q(spark, sf):
+    return delivered(spark, "hub_stratification", FL.hub_stratification(data(spark, sf).flights, P), "csv")
+
+
+@query("deliver_importance")
+def _q(spark, sf):
+    m, feats, _ = model(spark, sf)
+    back = delivered(spark, "feature_importance", ML.feature_importance(m, feats).orderBy(F.desc("importance"), "feature"), "csv")
+    return back.agg(F.count("feature").alias("n_features"), F.round(F.sum("importance"), 4).alias("total"))
