@@ -47,7 +47,7 @@ NO_ID = -(1 << 63)
 @dataclass(frozen=True)
 class SuffixParams:
     size: int = 100
-    gram: int = 24
+    gram: int = 48              # long enough that equal grams by chance are rare
     salts: int = 16             # shards of a very frequent value
     flush: int = 16 << 20       # segment bytes a task holds before it sends them
     shard_bits: int = 5         # shards of a hash range: a shard is to hold a few MB at most
@@ -181,6 +181,9 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, starts: np.ndarray, win
 Segments = list[tuple[int, int, int, bytes]]
 
 
+STEP = 64  # windows that one run of Kasai's algorithm covers
+
+
 def runs(hit: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
@@ -211,7 +214,11 @@ def repeated_windows(segments: Segments, size: int) -> list[np.ndarray]:
     starts = np.cumsum(sizes + 1) - sizes - 1
     windows = sizes - size + 1
     sa = suffix_array(symbols)
-    equal = common_prefixes(symbols, sa, starts, windows, size) >= size
+    # Long segments move on in parts, so that no few of them set the number of steps.
+    parts = -(-windows // STEP)
+    step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    counts = np.minimum(np.repeat(windows, parts) - step * STEP, STEP)
+    equal = common_prefixes(symbols, sa, np.repeat(starts, parts) + step * STEP, counts, size) >= size
     group = np.cumsum(~equal)
     many = np.flatnonzero(equal | np.append(equal[1:], False))  # places in groups of two or more
     text_at = sa[many]
