@@ -261,3 +261,21 @@ def drop_near_duplicates(docs: DataFrame, params: JoinParams = JoinParams(), doc
         return kept
     again = kept.join(twice, i == F.col("_drop"), "left_semi").dropDuplicates([doc_id, text])
     return kept.join(twice, i == F.col("_drop"), "left_anti").unionByName(again)
+
+
+def oracle_sql(width: int = 5, pct: int = 75) -> str:
+    """The same classes in DuckDB SQL over ``documents`` (distinct, non-null ids)."""
+    return f"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [w]
+      ELSE list_transform(generate_series(1, len(w) - {width - 1}), lambda i: w[i:i + {width - 1}]) END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {pct} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id),
+c AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.root, t.doc_id)::BIGINT AS component_id
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN c ON c.doc_id = t.doc_id"""

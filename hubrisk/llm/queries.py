@@ -68,4 +68,5 @@ QUERIES: Registry = {f.__name__: f for f in (
     op1_quality_rules, op2_secret_scan, op3_warc_archive, op4_decontamination, op5_url_filters, op6_suffix_array_dedup,
     op7_lm_score, op8_license_scan, op9_ngram_jaccard_join, op10_packing)}
 
-ORACLES: dict[str, str] = {"op1_quality_rules": Q.oracle_sql(), "op3_warc_archive": W.oracle_sql()}
+ORACLES: dict[str, str] = {"op1_quality_rules": Q.oracle_sql(), "op3_warc_archive": W.oracle_sql(),
+                           "op9_ngram_jaccard_join": J.oracle_sql()}
