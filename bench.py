@@ -18,7 +18,7 @@ HEADLINE = (
     "weather_daily", "metar_daily", "airport_month_stats", "flights_weather", "sequences", "cascade_events",
     "cascade_propagation", "cascade_airport_days", "greedy_assignment", "pair_features", "risk_scores",
     "impact_by_k", "baseline_comparison", "avoid_list", "swap_recommendations", "seasonal_summary",
-    "case_study_summary", "sequences_enriched", "auc_roc",
+    "case_study_summary", "sequences_enriched", "auc_roc", "temporal_split", "ingest_flights", "metar_daily_stream",
 )
 
 

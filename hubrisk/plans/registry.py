@@ -41,11 +41,14 @@ def round6(c):
     return F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5) / 1e6 + F.lit(0.0)
 
 
-def finalize(df: DataFrame) -> DataFrame:
+def finalize(df: DataFrame, done: Callable[[str], bool] = lambda name: False) -> DataFrame:
+    """Output types and rounding; ``done`` names columns that were finalised on narrower inputs."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+        if done(f.name):
+            cols.append(c)
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             cols.append(round6(c).alias(f.name))
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             cols.append(c.cast("long").alias(f.name))
@@ -54,9 +57,9 @@ def finalize(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def query(key: str):
+def query(key: str, done: Callable[[str], bool] = lambda name: False):
     def deco(fn):
-        QUERIES[key] = lambda spark, sf_dir: finalize(fn(spark, sf_dir))
+        QUERIES[key] = lambda spark, sf_dir: finalize(fn(spark, sf_dir), done)
         QUERIES[key].__name__ = key
         return fn
     return deco
@@ -206,10 +209,11 @@ def _q(spark, sf):
 
 # --- joins ------------------------------------------------------------------------
 
-@query("flights_weather")
+# The copied weather columns are rounded per airport and day, not per flight.
+@query("flights_weather", done=lambda c: c.startswith(("hub_", "other_")))
 def _q(spark, sf):
     d = data(spark, sf)
-    return SQ.flights_weather(d.flights, daily_weather(spark, sf), P)
+    return SQ.flights_weather(d.flights, finalize(daily_weather(spark, sf)), P)
 
 
 @query("sequences")
@@ -562,9 +566,12 @@ def enriched(spark, sf) -> DataFrame:
     return SQ.sequences_enriched(d.flights, pair_feats(spark, sf), daily_weather(spark, sf), P)
 
 
-@query("sequences_enriched")
+# Weather and pair columns are rounded on their own tables, not per flight pair; what is left are the
+# sequence's own columns.
+@query("sequences_enriched", done=lambda c: c not in SQ.SEQUENCE_COLUMNS and c not in ("hour_sin", "hour_cos", "dow_sin", "dow_cos"))
 def _q(spark, sf):
-    return enriched(spark, sf)
+    d = data(spark, sf)
+    return SQ.sequences_enriched(d.flights, finalize(pair_feats(spark, sf)), finalize(daily_weather(spark, sf)), P)
 
 
 @query("temporal_split")
