@@ -9,7 +9,8 @@ smaller doc_id, or an earlier start in one document. All copies but the first ar
 2. Shards. Neighbouring windows with one value form a segment (its bytes once), which goes to the
    shard of its value: equal windows always meet in one shard, wherever they lie. Very frequent
    values are salted into 16 shards by document.
-3. Per shard: identical segments are reduced to the first. The others get a suffix array by
+3. Per shard: identical segments are reduced to the first, and those left without a partner of their
+   value are done. The others get a suffix array by
    Larsson-Sadakane refinement (sort by seven symbols, then double the sorted depth, re-sorting
    only groups still tied) and Kasai's common prefixes (all segments in step); runs of common
    prefixes of ``size`` or more are equal windows, the earliest of which stays.
@@ -206,6 +207,21 @@ def reduce_copies(segments: Segments) -> tuple[Segments, list[tuple[int, int, in
     return [(*o, b) for b, o in first.items()], gone
 
 
+def without_partner(segments: Segments, gram: int) -> np.ndarray:
+    """True for a (distinct) segment whose anchor value no other one has and that holds it once: none of
+    its windows can equal another. The value is the smallest gram hash of the segment."""
+    sizes = np.array([len(b) for *_, b in segments], np.int64)
+    total = int(sizes.sum())
+    h = np.full(total + 1, np.iinfo(np.uint64).max, np.uint64)
+    h[:total - gram + 1] = gram_hashes(np.frombuffer(b"".join(b for *_, b in segments), np.uint8), gram)
+    starts = np.cumsum(sizes) - sizes
+    spans = np.column_stack([starts, starts + sizes - gram + 1]).ravel()  # grams that lie inside a segment
+    value = np.minimum.reduceat(h, spans)[::2]
+    times = np.add.reduceat(np.append(h[:total] == np.repeat(value, sizes), False).astype(np.int64), spans)[::2]
+    _, number, count = np.unique(value, return_inverse=True, return_counts=True)
+    return (count[number] == 1) & (times == 1)
+
+
 def repeated_windows(segments: Segments, size: int) -> list[np.ndarray]:
     """Per (distinct) segment: which of its windows also start earlier, by suffix array."""
     sizes = np.array([len(b) for *_, b in segments], np.int64)
@@ -325,7 +341,7 @@ def send_segments(texts: DataFrame, p: SuffixParams) -> DataFrame:
     return map_batches(texts, run, SENT)
 
 
-def resolve_shard(size: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def resolve_shard(size: int, gram: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         segments: Segments = []
         gone: list[tuple[int, int, int, int]] = []
@@ -340,8 +356,9 @@ def resolve_shard(size: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 at += n
         stay, more = reduce_copies(segments)
         gone += more
-        if stay:
-            for (d, t, s, _), hit in zip(stay, repeated_windows(stay, size)):
+        rest = [x for x, no in zip(stay, without_partner(stay, gram)) if not no] if stay else []
+        if rest:
+            for (d, t, s, _), hit in zip(rest, repeated_windows(rest, size)):
                 gone += [(d, t, s + a, s + b - 1 + size) for a, b in runs(hit)]
         shard, salt = int(pdf["shard"].iloc[0]), int(pdf["salt"].iloc[0])
         rows = [(shard, salt, *g, None) for g in gone]
@@ -375,7 +392,7 @@ def removed_runs(docs: DataFrame, params: SuffixParams = SuffixParams(), doc_id:
                  text: str = "text") -> DataFrame:
     """(doc, hash, start, stop) of removed bytes; runs of one document may overlap. ``hash`` names the text."""
     sent = send_segments(keyed(docs, doc_id, text), params)
-    found = cut(sent.groupBy("shard", "salt").applyInPandas(resolve_shard(params.size), FOUND), "suffix-runs")
+    found = cut(sent.groupBy("shard", "salt").applyInPandas(resolve_shard(params.size, params.gram), FOUND), "suffix-runs")
     again = found.filter("data IS NOT NULL").groupBy("shard").applyInPandas(merge_salts(params.size), FOUND)
     return found.filter("data IS NULL").unionByName(again).select("doc", "hash", "start", "stop")
 
