@@ -19,7 +19,7 @@ from hubrisk.session import scratch_path
 from llm_helpers import words
 
 SF = "/root/testdata/sf0.001"
-RANKS = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+RANKS = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 ITEM = "Tom has 3 apples and buys 5 more apples at the store near Boston for 7 dollars in total today"
 
 
