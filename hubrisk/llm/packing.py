@@ -18,8 +18,10 @@ ties of length keep the input's order; an empty table gives no sequences; extra
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -43,7 +45,8 @@ class WordIds:
     """Subword ids of texts, word by word with a cache. Exact for tokenizers whose pieces never span a
     blank or line feed (they drop white space before merging); ``tokenizers`` sees each new word once.
 
-    New words of letters go to it many at a time, joined by blanks: each ends in exactly one token that
+    New words of small ASCII letters go to its merging model, others of letters to the whole of it, many
+    at a time, joined by blanks: each ends in exactly one token that
     carries the word-end mark, which is where the ids are cut. If the marks do not add up (or the
     tokenizer has none), and for all other words, it gets them one by one."""
 
@@ -89,6 +92,10 @@ class WordIds:
             # The tokenizer lower-cases; letters beyond ASCII are left to it.
             parts.append((core.lower() if core.isascii() else core, tail) if core.isalpha() else (None, ""))
         new = list({core for core, _ in parts if core} - self.cores.keys()) if len(self.tail) > 1 else []
+        # A word of small ASCII letters is one piece as it stands: the merging model alone can take it.
+        model, plain = self.tokenizer.model, [w for w in new if w.isascii()]
+        self.cores.update((w, (array("i", [t.id for t in model.tokenize(w)]).tobytes(), True)) for w in plain)
+        new = [w for w in new if not w.isascii()]
         self.cores.update(zip(new, self.letters(new)))
         ids: list[bytes | None] = []
         for core, tail in parts:
@@ -111,18 +118,22 @@ class WordIds:
         self.index.update(zip(words, range(n, n + len(words))))
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text; the words of one batch are learned together."""
-        split = [[w for w in (t or "").replace("\n", " ").split(" ") if w] for t in texts]
-        words = {w for ws in split for w in ws}
+        """Ids of each text; the words of one batch are learned and looked up together."""
+        split = [list(filter(None, (t or "").replace("\n", " ").split(" "))) for t in texts]
+        words = set().union(*split)
         if len(self.index) + len(words) > self.limit:
             self.reset()
         if new := list(words - self.index.keys()):
             self.learn(new)
-        for ws in split:
-            at = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
-            sizes = self.size[at]
-            ends = np.cumsum(sizes)
-            yield self.flat[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(total)]
+        cuts = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            yield ids[a:b]
 
 
 def pack_pool(docs: list[tuple[int | None, np.ndarray]], p: PackParams, first_sequence: int) -> tuple[dict, int]:
