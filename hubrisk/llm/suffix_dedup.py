@@ -114,15 +114,22 @@ def anchors(text: bytes | None, p: SuffixParams) -> np.ndarray:
 # --- suffix arrays ---------------------------------------------------------------------------
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Suffix array of symbols below 512 (Larsson-Sadakane: groups tied at depth h are re-sorted by
-    the rank h places on)."""
+def sevens(symbols: np.ndarray) -> np.ndarray:
+    """Seven symbols from each place (0 beyond the end) as one number."""
     n = len(symbols)
     wide = np.concatenate([symbols, np.zeros(7, symbols.dtype)])
     key = np.zeros(n, np.int64)
     for k in range(7):
         key <<= 9
         key |= wide[k:n + k]
+    return key
+
+
+def suffix_array(symbols: np.ndarray) -> np.ndarray:
+    """Suffix array of symbols below 512 (Larsson-Sadakane: groups tied at depth h are re-sorted by
+    the rank h places on)."""
+    n = len(symbols)
+    key = sevens(symbols)
     sa = np.argsort(key, kind="stable")
     first = np.ones(n + 1, bool)
     first[1:n] = key[sa[1:]] != key[sa[:-1]]
@@ -153,7 +160,10 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, starts: np.ndarray, win
     n = len(sa)
     place = np.empty(n, np.int64)
     place[sa] = np.arange(n)
-    padded = np.concatenate([symbols, np.zeros(cap + 1, symbols.dtype)])
+    padded = np.concatenate([symbols, np.zeros(cap + 8, symbols.dtype)])
+    key = sevens(padded)
+    zeros = np.append(0, np.cumsum(padded == 0))
+    whole = np.append(zeros[7:-1] == zeros[:-8], np.zeros(7, bool))  # no symbol 0 among the seven
     out = np.zeros(n, np.int64)
     by_length = np.argsort(-windows, kind="stable")
     starts, windows = starts[by_length], windows[by_length]
@@ -166,6 +176,13 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, starts: np.ndarray, win
         l = np.maximum(length[:m] - 1, 0)
         l[at == 0] = 0
         live = np.flatnonzero((at > 0) & (l < cap))
+        while len(live):  # seven symbols at a time, then one by one
+            a = i[live] + l[live]
+            live = live[(key[a] == key[j[live] + l[live]]) & whole[a]]
+            l[live] += 7
+            live = live[l[live] < cap]
+        np.minimum(l, cap, out=l)
+        live = np.flatnonzero((at > 0) & (l < cap))
         while len(live):
             a, b = padded[i[live] + l[live]], padded[j[live] + l[live]]
             live = live[(a == b) & (a != 0)]
