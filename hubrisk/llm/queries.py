@@ -25,7 +25,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.secret_scan(need(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return S.secret_scan(need(table(spark, sf_dir, "documents"), "doc_id", "text")).select(*S.RESULT_NAMES)
 
 
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hubrisk.llm.common import cut, map_batches, need
@@ -170,14 +170,20 @@ def gain(automata: list[list[dict]], s: str) -> float:
 
 # --- Spark ----------------------------------------------------------------------------------
 
-FOUND = ("doc_id long, starts array<int>, kinds array<int>, ends array<int>, values array<string>, base_sha256 string")
+FOUND = ("doc_id long, text_key string, starts array<int>, kinds array<int>, ends array<int>, values array<string>, "
+         "base_sha256 string")
+
+
+def text_key(text: str) -> Column:
+    """SHA-256 of a text: with the id, it tells which rows a scan's spans belong to."""
+    return F.sha2(F.col(f"`{text}`").cast("binary"), 256)
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Base spans and candidates of every document (one row each, in the input's order)."""
     def scan(batches: Iterator[list[list]]) -> Iterator[dict]:
-        for ids, texts in batches:
-            out: dict[str, list] = {"doc_id": ids, "starts": [], "kinds": [], "ends": [], "values": [], "base_sha256": []}
+        for ids, texts, keys in batches:
+            out: dict[str, list] = {"doc_id": ids, "text_key": keys, "starts": [], "kinds": [], "ends": [], "values": [], "base_sha256": []}
             for t in texts:
                 base = base_spans(t or "")
                 found = base + candidates(t or "", base)
@@ -185,7 +191,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                     out[name].append([x[k] for x in found])
                 out["base_sha256"].append(hashlib.sha256(joined([x[:3] for x in base]).encode()).hexdigest())
             yield out
-    src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), text_key(text).alias("text_key"))
     return map_batches(src, scan, FOUND)
 
 
@@ -202,12 +208,15 @@ def train(found: DataFrame, p: SecretParams) -> list[list[dict]]:
 
 
 RESULT_NAMES = ("doc_id", "n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans")
-RESULT = "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string"
+SCANNED_NAMES = (*RESULT_NAMES, "text_key")
+SCANNED = ("doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string, "
+           "text_key string")
 
 
 def secret_scan(docs: DataFrame, params: SecretParams = SecretParams(), doc_id: str = "doc_id",
                 text: str = "text") -> DataFrame:
-    """Per document: counts by kind, the digest of the base spans and all spans (start order)."""
+    """Per document: counts by kind, the digest of the base spans and all spans (start order); and the key
+    of the text, for ``redact``."""
     found = cut(find(docs, doc_id, text), "secret-spans")
     sent = found.sparkSession.sparkContext.broadcast(train(found, params))  # bounded by the sample
 
@@ -215,7 +224,7 @@ def secret_scan(docs: DataFrame, params: SecretParams = SecretParams(), doc_id:
         automata = sent.value
         for cols in batches:
             rows = []
-            for i, a, k, b, v, digest in zip(*cols):
+            for i, key, a, k, b, v, digest in zip(*cols):
                 spans = []
                 for s, kind, e, value in zip(a, k, b, v):
                     if kind == 3:
@@ -224,20 +233,22 @@ def secret_scan(docs: DataFrame, params: SecretParams = SecretParams(), doc_id:
                             continue
                     spans.append((s, kind, e))
                 n = [sum(1 for x in spans if x[1] == kind) for kind in range(4)]
-                rows.append((i, *n, digest, joined(sorted(spans))))
-            yield dict(zip(RESULT_NAMES, zip(*rows) if rows else [[]] * len(RESULT_NAMES)))
-    return map_batches(found, judge, RESULT)
+                rows.append((i, *n, digest, joined(sorted(spans)), key))
+            yield dict(zip(SCANNED_NAMES, zip(*rows) if rows else [[]] * len(SCANNED_NAMES)))
+    return map_batches(found, judge, SCANNED)
 
 
 def redact(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text",
            mark: str = "<secret>", length: str | None = None) -> DataFrame:
     """``docs`` with every span (overlaps merged) of whole texts replaced by ``mark``, and the column
     ``length`` (if any) set to the new text's code points; documents without spans are unchanged, byte
-    for byte. ``spans``: rows of ``secret_scan``. Texts that share an id must be equal."""
+    for byte. ``spans``: rows of ``secret_scan``, joined by id (null ids too) and text, so that rows which share an
+    id are each cut by the spans of their own text."""
     names = docs.columns
-    hit = need(spans.filter("spans <> ''"), "doc_id", "spans").dropDuplicates(["doc_id"]).withColumnsRenamed(
-        {"doc_id": "_id", "spans": "_spans"})
-    both = docs.join(hit, F.col(f"`{doc_id}`") == F.col("_id"), "left").drop("_id")
+    hit = need(spans.filter("spans <> ''"), "doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"]).withColumnsRenamed(
+        {"doc_id": "_id", "text_key": "_key", "spans": "_spans"})
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_id")) & (text_key(text) == F.col("_key"))
+    both = docs.join(hit, same, "left").drop("_id", "_key")
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series, where: pd.Series) -> pd.Series:
