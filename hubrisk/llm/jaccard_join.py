@@ -17,8 +17,11 @@ rare-first, so that prefixes of unrelated documents share nothing:
 4. ``verify``: pairs pass the suffix filter (signatures bound the symmetric difference), then each is
    verified once on the whole sets.
 
-No link between different components is ever skipped, so the components are exact; pairs inside a
-component that is already connected are not all verified (thousands of near copies would square).
+No link between different components is ever skipped, so the components of ``jaccard_components`` are
+exact; pairs inside a component that is already connected are not all verified there. ``jaccard_links``
+skips step 3's components: every pair of different sets that shares a prefix shingle and passes the
+filters is verified, and each row has its number of links. Its work grows with the number of pairs of
+different sets in a group, because each pair is a link of its own; equal sets stay one node.
 
 Broadcast: the two bitmaps, of fixed size. Hot shingles: blocks of ``block`` rows, spread by hash.
 
@@ -136,12 +139,15 @@ def star_pairs(posts: DataFrame, p: JoinParams) -> DataFrame:
     return out.distinct()
 
 
-def cross_pairs(posts: DataFrame, comps: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
+def cross_pairs(posts: DataFrame, comps: DataFrame | None, nodes: DataFrame, p: JoinParams) -> DataFrame:
     """Pairs of different components that share a prefix shingle and pass the length, positional and
-    suffix filters."""
-    named = posts.drop("rare").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn(
-        "component", F.coalesce("component", "key"))
-    named = cut(named, "postings")
+    suffix filters. Without ``comps`` each set is its own component: all such pairs of different sets."""
+    if comps is None:
+        named = posts.drop("rare").withColumn("component", F.col("key"))
+    else:
+        named = posts.drop("rare").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn(
+            "component", F.coalesce("component", "key"))
+        named = cut(named, "postings")
     groups = named.groupBy("gram").agg(F.count("*").alias("rows"), F.min("component").alias("lo"),
                                        F.max("component").alias("hi")).filter("lo <> hi")
     groups = groups.select("gram", F.ceil(F.col("rows") / p.block).cast("int").alias("blocks"))
@@ -230,11 +236,23 @@ def near(prepared: DataFrame, p: JoinParams) -> DataFrame:
     return components(first.unionByName(more))
 
 
+def all_links(prepared: DataFrame, p: JoinParams) -> DataFrame:
+    """(a, b), a < b: every pair of different sets that links, once."""
+    nodes = cut(prepared.filter("prefix IS NOT NULL").drop("doc_id").dropDuplicates(["key"]), "nodes")
+    posts = cut(postings(nodes), "postings")
+    return cut(verify(cross_pairs(posts, None, nodes, p), nodes, p), "links")
+
+
 def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), doc_id: str = "doc_id",
                        text: str = "text") -> DataFrame:
     """Per input row: doc_id, n_shingles, component_id."""
     prepared = prepare(words_of(docs, doc_id, text), params)
-    comps = near(prepared, params).withColumnRenamed("node", "key")
+    return named_rows(prepared, near(prepared, params)).drop("key")
+
+
+def named_rows(prepared: DataFrame, comps: DataFrame) -> DataFrame:
+    """Per input row: key, doc_id, n_shingles, component_id."""
+    comps = comps.withColumnRenamed("node", "key")
     rows = prepared.select("doc_id", "n", "key")
     ids = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     # Classes of one row without links need no name.
@@ -243,7 +261,22 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), doc_i
     lowest = table.groupBy("component").agg(F.min("low").alias("component_id"))
     names = table.join(lowest, "component").select("key", "component_id")
     return rows.join(names, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_links(docs: DataFrame, params: JoinParams = JoinParams(), doc_id: str = "doc_id",
+                  text: str = "text") -> DataFrame:
+    """Per input row: doc_id, n_shingles, component_id and n_links, the number of other rows that it
+    links with (rows with an equal set among them)."""
+    prepared = prepare(words_of(docs, doc_id, text), params)
+    links = all_links(prepared, params)
+    copies = prepared.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("copies"))
+    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = ways.join(copies.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("copies").alias("linked"))
+    counts = copies.join(linked, "key", "left").select("key", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    counts = counts.filter("n_links > 0")
+    return named_rows(prepared, components(links)).join(counts, "key", "left").select(
+        "doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def drop_near_duplicates(docs: DataFrame, params: JoinParams = JoinParams(), doc_id: str = "doc_id", text: str = "text",

@@ -59,6 +59,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.jaccard_components(need(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
+def op9_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.jaccard_links(need(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = need(table(spark, sf_dir, "documents"), "doc_id", "text")
     return P.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -66,7 +70,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: Registry = {f.__name__: f for f in (
     op1_quality_rules, op2_secret_scan, op3_warc_archive, op4_decontamination, op5_url_filters, op6_suffix_array_dedup,
-    op7_lm_score, op8_license_scan, op9_ngram_jaccard_join, op10_packing)}
+    op7_lm_score, op8_license_scan, op9_ngram_jaccard_join, op9_ngram_jaccard_links,
+    op10_packing)}
 
 ORACLES: dict[str, str] = {"op1_quality_rules": Q.oracle_sql(), "op3_warc_archive": W.oracle_sql(),
                            "op9_ngram_jaccard_join": J.oracle_sql()}
