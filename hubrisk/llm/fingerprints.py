@@ -90,8 +90,8 @@ def _bucket(key: Column, splits: list[float]) -> Column:
 
 
 def beside_next(docs: DataFrame, id_: str, order: list[str], p: SketchParams) -> DataFrame:
-    """``docs`` with a struct ``next``: the following row by descending ``id_`` (then ``order``), the last
-    row's being the first one."""
+    """``docs`` with the columns of the following row by descending ``id_`` (then ``order``) as ``next_<name>``;
+    the last row's is the first one."""
     spark, key = docs.sparkSession, F.col(id_).cast("double")
     n = p.buckets * int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = F.percentile_approx(key, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(100 * n))
@@ -112,7 +112,8 @@ def beside_next(docs: DataFrame, id_: str, order: list[str], p: SketchParams) ->
         F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("copy"))))
     dealt = placed.withColumn("_to", F.explode(copies)).drop("_bucket")
     line = Window.partitionBy("_to.b").orderBy("_to.copy", F.desc_nulls_last(id_), *order)
-    return dealt.withColumn("next", F.lead(F.struct(*[F.col(c) for c in docs.columns])).over(line)).where(~F.col("_to.copy")).drop("_to")
+    # A lead for each column: one of a struct would send every column twice.
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(line) for c in docs.columns}).where(~F.col("_to.copy")).drop("_to")
 
 
 def fingerprints(docs: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:
@@ -122,8 +123,8 @@ def fingerprints(docs: DataFrame, p: SketchParams = SketchParams()) -> DataFrame
     beside = beside_next(rows.withColumn("sketch", sketch(F.col("text"), p)), "doc_id", ["text"], p)
     n = F.length("text").cast("long")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - half).cast("int")), F.substring(F.col("next.text"), F.lit(1), half))
-    own, new, following = F.col("sketch"), F.col("edited_sketch"), F.col("next.sketch")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half))
+    own, new, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
     return beside.withColumn("n_chars", n).withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited"), p)).select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         F.array_join(own, "").alias("fingerprint"), F.array_join(new, "").alias("edited_fingerprint"),
