@@ -10,7 +10,7 @@ replicated per salt, which splits a hot (date, bin) key further.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubrisk.functions.exprs import (cyclic_cos, cyclic_sin, direction, flag, hhmm_to_minutes,
@@ -18,6 +18,7 @@ from hubrisk.functions.exprs import (cyclic_cos, cyclic_sin, direction, flag, hh
 from hubrisk.params import Params
 
 DAY_MINUTES = 1440
+MINUTE_COUNTS = ("n_in", "hit_in", "n_out", "hit_out")
 
 
 def _bin(t, width: int, cap: int):
@@ -147,6 +148,40 @@ def sequence_counts(flights: DataFrame, p: Params) -> DataFrame:
     return total.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*").where(F.col("weight") > 0)
 
 
+def sequence_totals(flights: DataFrame, p: Params) -> DataFrame:
+    """``sequence_counts`` without the minutes: rows of ``sequences`` per (year, month, label), as ``weight``.
+
+    No legs are joined. Arrivals, moved on by the turnaround, and departures are counted per minute; the running
+    sum of a day's departures from its last minute backwards tells each minute's arrivals how many departures
+    they can reach. Pairs of one airport are counted the same way within (date, airport) and taken off. A window
+    holds one row per minute of a day, whatever the number of flights."""
+    th = p.delay_threshold
+    hit_in = flag(F.col("inbound_arr_delay") > th) & flag(
+        (F.col("inbound_weather_delay") > 0) | (F.col("inbound_late_aircraft_delay") > 0))
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def events(legs: DataFrame, airport: str, minute: Column, hit: Column, arrives: bool) -> DataFrame:
+        n, hits = one, hit.cast("long")
+        counts = (n, hits, none, none) if arrives else (none, none, n, hits)
+        return legs.select("date", F.col(airport).alias("airport"), minute.alias("minute"),
+                           *[c.alias(k) for c, k in zip(counts, MINUTE_COUNTS, strict=True)]).dropna(subset=["date", "airport", "minute"])
+    ev = events(_inbound_legs(flights, p), "airport_a", F.col("inbound_arr_time") + p.min_turnaround, hit_in, True).unionByName(
+        events(_outbound_legs(flights, p), "airport_b", F.col("outbound_dep_time"), flag(F.col("outbound_dep_delay") > th), False))
+    by_airport = ev.groupBy("date", "airport", "minute").agg(*[F.sum(c).alias(c) for c in MINUTE_COUNTS])
+    by_day = by_airport.groupBy("date", "minute").agg(*[F.sum(c).alias(c) for c in MINUTE_COUNTS])
+
+    def pairs(counted: DataFrame, part: list[str], sign: int) -> DataFrame:
+        later = Window.partitionBy(*part).orderBy(F.desc("minute")).rowsBetween(Window.unboundedPreceding, 0)
+        reached = counted.select("date", "n_in", "hit_in", F.sum("n_out").over(later).alias("n_later"), F.sum("hit_out").over(later).alias("hit_later"))
+        return reached.groupBy(F.year("date").alias("year"), F.month("date").alias("month")).agg(
+            (sign * F.sum(F.col("n_in") * F.col("n_later"))).alias("n"), (sign * F.sum(F.col("hit_in") * F.col("hit_later"))).alias("hits"))
+    total = pairs(by_day, ["date"], 1).unionByName(pairs(by_airport, ["date", "airport"], -1)).groupBy(
+        "year", "month").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    cells = F.array(F.struct(F.lit(1).alias("cascading_delay"), F.col("hits").alias("weight")),
+                    F.struct(F.lit(0).alias("cascading_delay"), (F.col("n") - F.col("hits")).alias("weight")))
+    return total.select("year", "month", F.explode(cells).alias("c")).select("year", "month", "c.*").where(F.col("weight") > 0)
+
+
 def cascade_events(flights: DataFrame, p: Params) -> DataFrame:
     """Weather-delayed inbound x delayed outbound, same day, gap in [gap_min, gap_max], A != B;
     propagated = max(0, ArrDelay - gap); total = propagated + outbound WeatherDelay; keep total > 0."""

@@ -561,6 +561,10 @@ def seq_counts(spark, sf) -> DataFrame:
     return SQ.sequence_counts(data(spark, sf).flights, P)
 
 
+def seq_totals(spark, sf) -> DataFrame:
+    return SQ.sequence_totals(data(spark, sf).flights, P)
+
+
 def enriched(spark, sf) -> DataFrame:
     d = data(spark, sf)
     return SQ.sequences_enriched(d.flights, pair_feats(spark, sf), daily_weather(spark, sf), P)
@@ -576,13 +580,13 @@ def _q(spark, sf):
 
 @query("temporal_split")
 def _q(spark, sf):
-    s = ML.temporal_split(seq_counts(spark, sf), P)
+    s = ML.temporal_split(seq_totals(spark, sf), P)
     return s.groupBy("split").agg(ML.counted(s, F.lit(True)).alias("n_rows"), ML.counted(s, F.col("cascading_delay") == 1).alias("n_positive"))
 
 
 @query("class_weight")
 def _q(spark, sf):
-    s = ML.temporal_split(seq_counts(spark, sf), P)
+    s = ML.temporal_split(seq_totals(spark, sf), P)
     return ML.class_weight(s.where(F.col("split") == "train"))
 
 

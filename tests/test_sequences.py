@@ -124,3 +124,28 @@ def test_replicated_side_choice_same_result(make_flights, params):
                 j = SQ.same_day_range_join(inb, outb, "inbound_arr_time", "outbound_dep_time", lo, hi, p, side)
                 results.append(sorted((r.in_flight_id, r.out_flight_id) for r in j.collect()))
         assert all(r == results[0] for r in results) and results[0]
+
+
+def test_totals_without_pairs_equal_the_pairs(make_flights, params):
+    """Odd minutes, shared minutes, airports on both sides, missing delays, days at the year's ends."""
+    rnd = random.Random(11)
+    fl = []
+    for i in range(500):
+        spoke = rnd.choice(["AAA", "BBB", "CCC", "DDD", None])
+        day = rnd.choice(["2019-12-31", "2024-01-01", "2024-01-02", "2024-07-09"])
+        crs = rnd.choice([None, 0.0, 5.0, 59.0, 1000.0, 1059.0, 1100.0, 1159.0, 2359.0, 2400.0, float(rnd.randrange(24) * 100 + rnd.randrange(60))])
+        delay = rnd.choice([None, 0.0, 15.0, 16.0, 90.0])
+        ends = (spoke, "HUB") if rnd.random() < 0.5 else ("HUB", spoke)
+        fl.append(flight(f"f{i}", day, *ends, crs=crs, arr_delay=delay, dep_delay=delay, wx=rnd.choice([None, 0.0, 3.0]), late=rnd.choice([None, 0.0, 2.0])))
+    flights = make_flights(fl)
+    keys = ["year", "month", "cascading_delay"]
+    want = {tuple(r)[:3]: r["count"] for r in SQ.sequences(flights, params).groupBy(*keys).count().collect()}
+    got = {(r.year, r.month, r.cascading_delay): r.weight for r in SQ.sequence_totals(flights, params).collect()}
+    assert got == want and len(want) > 4
+    counted = {}
+    for r in SQ.sequence_counts(flights.dropna(subset=["Origin", "Dest"]), params).collect():
+        k = (r.year, r.month, r.cascading_delay)
+        counted[k] = counted.get(k, 0) + r.weight
+    assert counted == want
+    assert SQ.sequence_totals(flights.limit(0), params).count() == 0
+    assert "Join" not in SQ.sequence_totals(flights, params)._jdf.queryExecution().optimizedPlan().toString()
