@@ -27,3 +27,36 @@ def test_train_score_save_and_reload(spark, params):
     ML.save_model(model, path)
     again = PipelineModel.load(path)
     assert ML.score_sequences(again, test, feats).select("predicted").collect() == scored.select("predicted").collect()
+
+
+def test_crowded_scores_spread_evenly(spark):
+    """All scores within [0, 0.001], most of them tiny: equal-width bands would put them into one task."""
+    from pyspark.sql import functions as F
+    from hubrisk.operators.common import balanced_chunk
+    rnd = random.Random(2)
+    rows = [(rnd.random() ** 6 / 1000, int(rnd.random() < 0.2)) for _ in range(20_000)]
+    df = spark.createDataFrame(rows, "score double, label int")
+    chunked = balanced_chunk(df.select("score").distinct(), "score", 128)
+    sizes = [r["count"] for r in chunked.groupBy("_chunk").count().collect()]
+    assert len(sizes) == 128 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    tasks = [r["count"] for r in ML._score_table(df, "label", "score").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) < 2 or max(tasks) <= 2 * sum(tasks) / len(tasks)
+    ordered = sorted(rows)
+    positives = sum(y for _, y in rows)
+    below, wins = 0, 0.0
+    for _, y in ordered:  # distinct scores: no ties
+        wins += below if y else 0
+        below += 1 - y
+    assert abs(ML.auc_roc(df).first().auc_roc - wins / positives / (len(rows) - positives)) < 1e-12
+
+
+def test_score_table_by_part_equals_each_part_alone(spark):
+    rnd = random.Random(4)
+    rows = [(p, rnd.choice([0.0, -0.0, 0.1, 0.1, rnd.random()]), rnd.randrange(2)) for p in range(3) for _ in range(300 * p + 1)]
+    df = spark.createDataFrame(rows, "p int, score double, label int")
+    names = ["score", "pos", "neg", "pos_below", "neg_below"]
+    got = ML._score_table(df, "label", "score", ["p"], chunks=7)
+    for p in range(3):
+        alone = ML._score_table(df.where(f"p = {p}"), "label", "score", chunks=3)
+        assert sorted(map(tuple, got.where(f"p = {p}").select(names).collect())) == sorted(map(tuple, alone.select(names).collect()))
+    assert ML._score_table(df.limit(0), "label", "score").count() == 0
