@@ -591,6 +591,7 @@ def _q(spark, sf):
 
 
 FIT_ROWS = 100_000  # bound on the labelled rows that the registered classifier is fitted on
+PATIENCE = 10  # rounds without a better average precision after which training ends
 _MODELS: dict = {}
 
 
@@ -598,21 +599,21 @@ def model(spark, sf):
     key = (spark.sparkContext.applicationId, id(spark), sf)
     if key not in _MODELS:
         enr = stage(spark, sf, "sequences_enriched", lambda: enriched(spark, sf))
-        _MODELS[key] = (*ML.train_classifier(enr, P, fit_rows=FIT_ROWS), enr)
+        _MODELS[key] = (ML.train_trees(enr, P, fit_rows=FIT_ROWS, patience=PATIENCE), enr)
     return _MODELS[key]
 
 
 def _test_scored(spark, sf) -> DataFrame:
-    m, feats, enr = model(spark, sf)
-    test = ML.temporal_split(enr, P).where(F.col("split") == "test")
-    return ML.score_sequences(m, test, feats)
+    m, enr = model(spark, sf)
+    return m.score(ML.temporal_split(enr, P).where(F.col("split") == "test"))
 
 
 @query("train_classifier")
 def _q(spark, sf):
     sc = _test_scored(spark, sf).select(F.col("cascading_delay").alias("label"), F.col("predicted_proba").alias("score"))
     ap = ML.average_precision(sc).first()["average_precision"]
-    return ML.auc_roc(sc).select("auc_roc", F.lit(ap).alias("average_precision"))
+    m, _ = model(spark, sf)
+    return ML.auc_roc(sc).select("auc_roc", F.lit(ap).alias("average_precision"), F.lit(m.rounds()).alias("stop_round"))
 
 
 @query("score_sequences")
@@ -623,28 +624,27 @@ def _q(spark, sf):
 
 @query("feature_importance")
 def _q(spark, sf):
-    m, feats, _ = model(spark, sf)
-    imp = ML.feature_importance(m, feats)
-    return imp.withColumn("hub_weather", F.col("feature").startswith("wx_hub_"))
+    m, _ = model(spark, sf)
+    return m.importances().withColumn("hub_weather", F.col("feature").startswith("wx_hub_"))
 
 
 @query("model_facts")
 def _q(spark, sf):
     """What must hold of any trained classifier: test rows, features used, probabilities and importances in
     range, an AUC between 0 and 1, and equal predictions after saving and reloading it."""
-    m, feats, enr = model(spark, sf)
+    m, enr = model(spark, sf)
     scored = _test_scored(spark, sf)
     path = scratch_path(spark, "classifier")
-    ML.save_model(m, path)
-    again = ML.score_sequences(ML.load_model(path), ML.temporal_split(enr, P).where(F.col("split") == "test"), feats)
+    m.save(path)
+    again = ML.TreeModel.load(spark, path).score(ML.temporal_split(enr, P).where(F.col("split") == "test"))
     ids = ["in_flight_id", "out_flight_id"]
     changed = scored.select(*ids, "predicted").exceptAll(again.select(*ids, "predicted")).count()
-    imp = ML.feature_importance(m, feats).agg(F.sum("importance").alias("s"), F.min("importance").alias("lo")).first()
+    imp = m.importances().agg(F.sum("importance").alias("s"), F.min("importance").alias("lo")).first()
     sc = scored.select(F.col("cascading_delay").alias("label"), F.col("predicted_proba").alias("score"))
     auc = ML.auc_roc(sc).first()["auc_roc"]
     return scored.agg(F.count(F.lit(1)).alias("n_test"),
                       F.coalesce(F.min("predicted_proba").between(0, 1) & F.max("predicted_proba").between(0, 1), F.lit(True)).alias("probabilities_ok"),
-                      F.lit(len(feats)).alias("n_features"), F.lit(abs(imp.s - 1) < 1e-6 and imp.lo >= 0).alias("importances_ok"),
+                      F.lit(len(m.features)).alias("n_features"), F.lit(abs(imp.s - 1) < 1e-6 and imp.lo >= 0).alias("importances_ok"),
                       F.lit(0 < auc < 1).alias("auc_in_range"), F.lit(changed).alias("changed_after_reload"))
 
 
@@ -830,6 +830,6 @@ def _q(spark, sf):
 
 @query("deliver_importance")
 def _q(spark, sf):
-    m, feats, _ = model(spark, sf)
-    back = delivered(spark, "feature_importance", ML.feature_importance(m, feats).orderBy(F.desc("importance"), "feature"), "csv")
+    m, _ = model(spark, sf)
+    back = delivered(spark, "feature_importance", m.importances().orderBy(F.desc("importance"), "feature"), "csv")
     return back.agg(F.count("feature").alias("n_features"), F.round(F.sum("importance"), 4).alias("total"))

@@ -60,3 +60,67 @@ def test_score_table_by_part_equals_each_part_alone(spark):
         alone = ML._score_table(df.where(f"p = {p}"), "label", "score", chunks=3)
         assert sorted(map(tuple, got.where(f"p = {p}").select(names).collect())) == sorted(map(tuple, alone.select(names).collect()))
     assert ML._score_table(df.limit(0), "label", "score").count() == 0
+
+
+def _labelled(spark, n=700, seed=5):
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        year, month = (2019, 3) if i < n // 2 else (2024, 3 if i < 3 * n // 4 else 9)
+        x, y = rnd.random(), rnd.choice([None, float("nan"), rnd.gauss(0, 1), rnd.gauss(0, 1)])
+        rows.append((year, month, float(rnd.randrange(97)), x, y, int(x + (y or 0.0) * 0.2 + rnd.gauss(0, 0.3) > 0.7), f"k{i}"))
+    return spark.createDataFrame(rows, "year int, month int, connection_minutes double, wx_a_precip_total double, wx_b_x double, cascading_delay int, _row string")
+
+
+def test_node_table_scores_like_spark(spark, params):
+    df = _labelled(spark)
+    fitted, feats = ML.train_classifier(df, params, max_iter=8, max_depth=4, subsample=0.9)
+    trees = ML.TreeModel.of(fitted, feats)
+    assert trees.rounds() == fitted.stages[-1].getNumTrees
+    want = {r._row: r for r in ML.score_sequences(fitted, df, feats).collect()}
+    got = trees.score(df)
+    assert got.columns == [*df.columns, "predicted_proba", "predicted"]
+    for r in got.collect():
+        assert abs(r.predicted_proba - want[r._row].predicted_proba) < 1e-9 and r.predicted == want[r._row].predicted
+    assert got.where("wx_b_x is null").count() == df.where("wx_b_x is null").count() > 0  # features come back as they were
+    imp = {r.feature: r.importance for r in ML.feature_importance(fitted, feats).collect()}
+    assert all(abs(r.importance - imp[r.feature]) < 1e-9 for r in trees.importances().collect()) and len(imp) == len(feats)
+    cover = trees.nodes.where("node = 0").agg({"cover": "min"}).first()[0]
+    assert cover > 0 and trees.nodes.where("(feature is null) != (left is null)").count() == 0
+    path = scratch_path(spark, "t-trees")
+    trees.save(path)
+    again = ML.TreeModel.load(spark, path)
+    assert again.features == trees.features and again.score(df).exceptAll(got).count() == 0
+
+
+def test_training_stops_at_the_best_precision(spark, params):
+    """Precision by rounds, in one pass, against a loop over the cut models; the stop against a plain one."""
+    df = _labelled(spark, 900, 6)
+    model = ML.train_trees(df, params, max_iter=24, patience=4, max_depth=3)
+    stages = {r.rounds: r.average_precision for r in model.stages.collect()}
+    validation = ML.temporal_split(df, params).where("split = 'validation'")
+    longest = len(stages)
+    assert longest in (8, 16, 24) and sorted(stages) == list(range(1, longest + 1))
+    full = ML.train_trees(df, params, max_iter=longest, patience=longest, max_depth=3)
+    whole = full if full.rounds() == longest else None
+    best, best_at, stop = -1.0, 0, longest
+    for k in range(1, longest + 1):
+        if stages[k] > best:
+            best, best_at = stages[k], k
+        elif k - best_at >= 4:
+            stop = k
+            break
+    assert model.rounds() == best_at and (stop < longest or longest in (8, 16, 24))
+    for k in range(1, best_at + 1):
+        scored = model.cut(k).score(validation).select("cascading_delay", "predicted_proba")
+        assert abs(ML.average_precision(scored, "cascading_delay", "predicted_proba").first()[0] - stages[k]) < 1e-9
+    if whole is not None:  # a longer run begins with the same trees
+        assert whole.cut(best_at).nodes.drop("weight").exceptAll(model.nodes.drop("weight")).count() == 0
+
+
+def test_stop_round_and_no_validation(spark, params):
+    assert ML.stop_round([0.1, 0.3, 0.2, 0.3, 0.2], 3) == (2, True) and ML.stop_round([0.1, 0.3, 0.2], 3) == (2, False)
+    assert ML.stop_round([0.0] * 6, 5) == (1, True)
+    df = _labelled(spark).where("year = 2019")
+    model = ML.train_trees(df, params, max_iter=6, patience=2, max_depth=2)
+    assert model.rounds() == 4 and model.stages is None
