@@ -3,7 +3,9 @@ arrays, METAR CSVs with 'M'/'T' markers, stage materialisation (A1, A3-A5, A7)."
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,12 +65,15 @@ def read_flight_csvs(spark: SparkSession, paths: list[str], p: Params) -> DataFr
     renamed, hub-filtered, coerced and given the calendar columns they lack; the groups are unioned by
     name and excluded years dropped. Files without Origin and Dest columns are skipped."""
     frames = []
-    for files in header_groups(spark, paths):
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(files)
-        names = canonical_names(raw.columns)
+    for header, files in header_groups(spark, paths):
+        names = canonical_names(header)
         if "Origin" not in names.values() or "Dest" not in names.values():
             continue
-        df = raw.select(*[F.col(f"`{src}`").alias(dst) for src, dst in names.items()])
+        # Columns are read by place: the header is known, so that no job reads it again.
+        places = {f"_c{header.index(src)}": dst for src, dst in names.items()}
+        schema = ", ".join(f"_c{i} string" for i in range(len(header)))
+        raw = spark.read.schema(schema).option("header", True).csv(files)
+        df = raw.select(*[F.col(place).alias(dst) for place, dst in places.items()])
         df = df.where((F.col("Origin") == p.hub) | (F.col("Dest") == p.hub))
         frames.append(with_calendar(coerce_flights(df)))
     if not frames:
@@ -77,14 +82,20 @@ def read_flight_csvs(spark: SparkSession, paths: list[str], p: Params) -> DataFr
     return out.where(year_kept(p)) if "Year" in out.columns else out
 
 
-def header_groups(spark: SparkSession, paths: list[str]) -> list[list[str]]:
-    """The files under the paths, by equal header line (only names and first lines reach the driver)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "length")
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for name in sorted(r.path for r in files.where("length > 0").collect()):
-        header = spark.read.option("header", True).option("inferSchema", False).csv(name).columns
-        groups.setdefault(tuple(header), []).append(name)
-    return list(groups.values())
+def header_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file, header``: the first line with text of every file under the paths, in one scan. Only a file's
+    first block can hold it, within which lines are read in order."""
+    lines = spark.read.option("recursiveFileLookup", True).text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    first = lines.where((F.col("start") == 0) & (F.trim("value") != "")).withColumn("_at", F.monotonically_increasing_id())
+    return first.groupBy("file").agg(F.min_by("value", "_at").alias("header"))
+
+
+def header_groups(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], list[str]]]:
+    """(columns, files) by equal header line. The lines are found and grouped by Spark; a row for each
+    different header reaches the driver, which needs the files' names to read them."""
+    groups = header_lines(spark, paths).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header")
+    return [(next(csv.reader([r.header.removeprefix("\ufeff")], escapechar="\\")), [unquote(f) for f in r.files]) for r in groups.collect()]
 
 
 WEATHER_VARS = ("temperature_2m", "dew_point_2m", "relative_humidity_2m", "precipitation", "rain", "snowfall",

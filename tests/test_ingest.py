@@ -92,3 +92,46 @@ def test_without_a_shared_folder_scratch_paths_are_an_error():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_path(Session(), "x")
     assert checkpoint_root(Session(), "/shared/x/") == "/shared/x"
+
+
+def _files(folder, texts):
+    from pathlib import Path
+    Path(folder).mkdir(parents=True)
+    for name, text in texts.items():
+        Path(folder, name).write_bytes(text.encode())
+
+
+def test_headers_of_many_files_take_one_scan(spark, params, tmp_path):
+    """200 files, three headers (quoted commas, a byte order mark, blank lines before, quoted names), names with
+    blanks and signs; the number of Spark jobs does not depend on the number of files."""
+    heads = ['FlightDate,Origin,Dest,"a, b",ArrDelay', '﻿\r\nDEST,"fl_date","ORIGIN",arr_delay', 'foo,"origin, dest",bar']
+    rows = ['2024-01-02,HUB,S{i},"x, y",{i}', 'HUB,2024-01-03,T{i},{i}', '1,2,3']
+
+    def make(folder, n):
+        ends = ["\n", "\r\n"]
+        _files(folder, {f"f {i}%20+{i}.csv": ends[i % 2].join([heads[i % 3], rows[i % 3].format(i=i), ""]) for i in range(n)})
+        return str(folder)
+
+    def jobs(folder):
+        tag = f"headers-{folder}"
+        spark.sparkContext.setJobGroup(tag, tag)
+        try:
+            got = IN.read_flight_csvs(spark, [folder], params).select("Origin", "Dest", "ArrDelay", "Year").collect()
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
+    got, many = jobs(make(tmp_path / "many", 200))
+    want = [("HUB", f"S{i}", float(i), 2024) if i % 3 == 0 else (f"T{i}", "HUB", float(i), 2024) for i in range(200) if i % 3 < 2]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    few_got, few = jobs(make(tmp_path / "few", 110))  # over 32 files a header, from which Spark lists them in a job
+    assert len(few_got) == 74 and many == few < 12
+    assert sorted(len(files) for _, files in IN.header_groups(spark, [str(tmp_path / "many")])) == [66, 67, 67]
+
+
+def test_empty_and_blank_files_have_no_header(spark, params, tmp_path):
+    _files(tmp_path / "x", {"empty.csv": "", "blank.csv": "\n \n", "one.csv": "Origin,Dest,FlightDate"})
+    assert IN.header_groups(spark, [str(tmp_path / "x")])[0][0] == ["Origin", "Dest", "FlightDate"]
+    assert IN.read_flight_csvs(spark, [str(tmp_path / "x")], params).count() == 0
+    with pytest.raises(ValueError, match="no file"):
+        _files(tmp_path / "y", {"blank.csv": "\n"})
+        IN.read_flight_csvs(spark, [str(tmp_path / "y")], params)
