@@ -86,14 +86,24 @@ METAR_COUNTS = (
 )
 
 
+#: Size of the streaming quantile sketches, and a bound on their rank error (that of one in a hundred sketches is larger).
+SKETCH_K, SKETCH_RANK_ERROR = 800, 0.005
+
+
+def sketched_quantile(column: str, q: float):
+    """A value of the group whose rank is about ``q``, from a mergeable sketch; null where all values are."""
+    found = F.call_function("kll_sketch_agg_double", F.col(column), F.lit(SKETCH_K))
+    return F.when(F.min(column).isNotNull(), F.call_function("kll_sketch_get_quantile_double", found, F.lit(q)))
+
+
 def metar_daily_aggs(exact_quantiles: bool = True) -> list:
+    """The measures of ``metar_daily``; without exact quantiles these are sketched, as streams need."""
+    p10 = lambda c: F.percentile(c, 0.1) if exact_quantiles else sketched_quantile(c, 0.1)
     aggs = [F.count_if(F.col(src)).alias(name) for name, src in METAR_COUNTS]
     aggs += [F.min("ceiling_ft").alias("metar_ceiling_min"), F.avg("ceiling_ft").alias("metar_ceiling_mean")]
-    if exact_quantiles:
-        aggs.append(F.percentile("ceiling_ft", 0.1).alias("metar_ceiling_p10"))
+    aggs.append(p10("ceiling_ft").alias("metar_ceiling_p10"))
     aggs += [F.min("vsby").alias("metar_vis_min"), F.avg("vsby").alias("metar_vis_mean")]
-    if exact_quantiles:
-        aggs.append(F.percentile("vsby", 0.1).alias("metar_vis_p10"))
+    aggs.append(p10("vsby").alias("metar_vis_p10"))
     aggs += [F.max("gust").alias("metar_gust_max"), F.max("sknt").alias("metar_wind_max"),
              F.count(F.lit(1)).alias("metar_obs_count")]
     return aggs

@@ -987,8 +987,12 @@ SELECT icao, iata, vis_sm, CASE WHEN ceiling < 99999 THEN ceiling END AS ceiling
 FROM o QUALIFY row_number() OVER (PARTITION BY icao ORDER BY report_time DESC, raw DESC) = 1""", "px_metar_hourly"),
     doubles=["vis_sm", "ceiling_ft", "temp_c", "dewp_c", "wind_dir", "wind_kt", "gust_kt"])
 _mds_d = [c for c in MD_DOUBLES if not c.endswith("_p10")]
-Q["metar_daily_stream"] = fin(B.render(f"SELECT airport, date, {', '.join(MD_COUNTS + _mds_d)} FROM md", "md"),
-                              doubles=_mds_d, ints=MD_COUNTS)
+# The stream's 10th percentiles are values of the day (sketches are exact at these sizes), not interpolated ones.
+Q["metar_daily_stream"] = fin(B.render(f"""
+SELECT airport, date, {', '.join(MD_COUNTS + _mds_d)}, q.metar_ceiling_p10, q.metar_vis_p10
+FROM md JOIN (SELECT airport, date, quantile_disc(ceiling_ft, 0.1) AS metar_ceiling_p10, quantile_disc(vsby, 0.1) AS metar_vis_p10
+              FROM mobs GROUP BY airport, date) q USING (airport, date)""",
+                                      "md", "mobs"), doubles=MD_DOUBLES, ints=MD_COUNTS)
 Q["stream_risk_screen"] = fin(B.render("""
 SELECT m.airport, CAST(month(m.valid) AS INTEGER) AS month, strftime(m.valid, '%Y-%m-%d %H:%M:%S.%f') AS valid,
        r.airport_a, r.airport_b, r.risk_score
