@@ -1,14 +1,16 @@
 """Airport-pair features per month.
 
 Pairs are those of all spokes (or the Params.top_airports busiest); a pair (a, b)
-has a = the busier airport. Pairwise statistics come from one self-join of an
-airport-day table on date (at most N rows per date, so the join is bounded by N^2 per
-day and has no hot key) followed by one partial+final hash aggregation.
+has a = the busier airport. Days that two airports share come from bitmaps: one per airport
+and year-month, joined to the pair-months and counted as ``bit_count(a & b)``, without a row
+per pair and day. Correlations come from one self-join of an airport-day table on date (at most
+N rows per date, so the join is bounded by N^2 per day and has no hot key) followed by one
+partial+final hash aggregation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubrisk.functions.exprs import (cyclic_cos, cyclic_sin, haversine_miles, hhmm_to_minutes,
@@ -71,28 +73,49 @@ def _pair_self_join(fact: DataFrame, value_cols: list[str]) -> DataFrame:
     return a.join(b, "date").where(F.col("rk_a") < F.col("rk_b"))
 
 
+def day_bitmaps(days: DataFrame, flags: list[Column]) -> DataFrame:
+    """Per (airport, calendar month) of ``days`` (airport, date, ...): a map from year to one bitmap per flag, whose
+    bit d - 1 tells whether the flag holds on day d. Bits are set within tasks before rows meet."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.dayofmonth("date") - 1)
+    by_year = days.where(F.col("date").isNotNull()).groupBy("airport", F.month("date").alias("month"), F.year("date").alias("year")).agg(
+        F.array(*[F.coalesce(F.bit_or(F.when(f, bit)), F.lit(0).cast("long")) for f in flags]).alias("bits"))
+    return by_year.groupBy("airport", "month").agg(F.map_from_entries(F.collect_list(F.struct("year", "bits"))).alias("_bits"))
+
+
+def _with_bitmaps(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Pair-months with both airports' bitmaps (``_bits_a``, ``_bits_b``); the bitmaps are a row per airport-month."""
+    def side(s: str) -> DataFrame:
+        return bitmaps.select(F.col("airport").alias(f"airport_{s}"), "month", F.col("_bits").alias(f"_bits_{s}"))
+    return pairs.join(side("a"), ["airport_a", "month"], "left").join(side("b"), ["airport_b", "month"], "left")
+
+
+def _days(flag: int, other: str | None = None) -> Column:
+    """Days of the month, over all years, with a flag at airport a (and, with ``other``, at b too)."""
+    def bits(e: Column) -> Column:
+        own = F.get(e["value"], flag)
+        return own if other is None else own.bitwiseAND(F.coalesce(F.get(F.try_element_at(F.col(other), e["key"]), flag), F.lit(0).cast("long")))
+    n = F.aggregate(F.map_entries("_bits_a"), F.lit(0).cast("long"), lambda s, e: s + F.bit_count(bits(e)))
+    return F.coalesce(n, F.lit(0).cast("long"))
+
+
+def with_joint_delay(spine: DataFrame, flights: DataFrame, p: Params) -> DataFrame:
+    """``spine`` with joint / conditional delay probabilities. The denominator is the number of flight dates in
+    the calendar month (any airport); missing airport-days count as no delay."""
+    legs = flights.select(spoke_airport(p.hub).alias("airport"), F.col("FlightDate").alias("date"), "WeatherDelay", "DepDelay")
+    bitmaps = day_bitmaps(legs, [F.col("WeatherDelay") > 0, F.col("DepDelay") > p.delay_threshold])
+    counts = _with_bitmaps(spine, bitmaps).withColumns({"_both_wx": _days(0, "_bits_b"), "_both_d15": _days(1, "_bits_b"), "_a_wx": _days(0)})
+    return counts.withColumns({
+        "joint_weather_delay_prob": F.col("_both_wx") / F.col("n_overlap_days"),
+        "joint_delay_15_prob": F.col("_both_d15") / F.col("n_overlap_days"),
+        "conditional_delay_prob": F.when(F.col("_a_wx") > 0, F.col("_both_wx") / F.col("_a_wx")).otherwise(F.lit(0.0)),
+    }).drop("_bits_a", "_bits_b", "_both_wx", "_both_d15", "_a_wx")
+
+
 def pair_joint_delay(flights: DataFrame, p: Params, spine: DataFrame | None = None) -> DataFrame:
-    """Joint / conditional delay probabilities per pair-month. The denominator is the number of
-    flight dates in the calendar month (any airport); missing airport-days count as no delay."""
+    """Joint / conditional delay probabilities per pair-month."""
     spine = spine if spine is not None else pair_spine(flights, p)
-    ranked = ranked_spokes(flights, p).select("airport", "rk")
-    fact = airport_day_delay(flights, p).join(ranked, "airport")
-    positive = fact.where(F.col("has_weather_delay") | F.col("has_delay_15"))
-    both = (_pair_self_join(positive, ["has_weather_delay", "has_delay_15"])
-            .groupBy("airport_a", "airport_b", "month").agg(
-                F.count_if(F.col("has_weather_delay_a") & F.col("has_weather_delay_b")).alias("both_wx"),
-                F.count_if(F.col("has_delay_15_a") & F.col("has_delay_15_b")).alias("both_d15")))
-    a_days = (fact.groupBy(F.col("airport").alias("airport_a"), "month")
-              .agg(F.count_if("has_weather_delay").alias("a_wx_days")))
-    j = (spine.join(both, ["airport_a", "airport_b", "month"], "left")
-         .join(a_days, ["airport_a", "month"], "left")
-         .fillna(0, ["both_wx", "both_d15", "a_wx_days"]))
-    return j.select(
-        "airport_a", "airport_b", "month", "n_overlap_days",
-        (F.col("both_wx") / F.col("n_overlap_days")).alias("joint_weather_delay_prob"),
-        (F.col("both_d15") / F.col("n_overlap_days")).alias("joint_delay_15_prob"),
-        F.when(F.col("a_wx_days") > 0, F.col("both_wx") / F.col("a_wx_days")).otherwise(F.lit(0.0))
-        .alias("conditional_delay_prob"))
+    return with_joint_delay(spine, flights, p).select(
+        "airport_a", "airport_b", "month", "n_overlap_days", "joint_weather_delay_prob", "joint_delay_15_prob", "conditional_delay_prob")
 
 
 def _pearson(x: str, y: str, min_days: int):
@@ -103,8 +126,7 @@ def _pearson(x: str, y: str, min_days: int):
     return F.when(F.count_if(both) > min_days, F.coalesce(r, F.lit(0.0))).otherwise(F.lit(0.0)), F.count_if(both)
 
 
-def pair_weather_corr(daily: DataFrame, dates: DataFrame, ranked: DataFrame, spine: DataFrame,
-                      p: Params) -> DataFrame:
+def weather_corr(daily: DataFrame, dates: DataFrame, ranked: DataFrame, p: Params) -> DataFrame:
     """Pearson correlation of daily precipitation and of daily max gust per pair-month, over
     flight dates on which both airports have weather rows."""
     fact = (daily.join(dates.select("date", "month"), "date", "inner").join(ranked.select("airport", "rk"), "airport")
@@ -112,36 +134,34 @@ def pair_weather_corr(daily: DataFrame, dates: DataFrame, ranked: DataFrame, spi
     j = _pair_self_join(fact, ["precip_total", "wind_gusts_max"])
     pc, n_p = _pearson("precip_total_a", "precip_total_b", p.min_corr_days)
     wc, _ = _pearson("wind_gusts_max_a", "wind_gusts_max_b", p.min_corr_days)
-    agg = j.groupBy("airport_a", "airport_b", "month").agg(
+    return j.groupBy("airport_a", "airport_b", "month").agg(
         pc.alias("precip_correlation"), wc.alias("wind_correlation"), n_p.alias("n_common_days"))
+
+
+def pair_weather_corr(daily: DataFrame, dates: DataFrame, ranked: DataFrame, spine: DataFrame,
+                      p: Params) -> DataFrame:
+    """The correlations of ``weather_corr`` per pair-month of ``spine``; 0 without common days."""
+    agg = weather_corr(daily, dates, ranked, p)
     return (spine.select("airport_a", "airport_b", "month").join(agg, ["airport_a", "airport_b", "month"], "left")
             .fillna({"precip_correlation": 0.0, "wind_correlation": 0.0, "n_common_days": 0}))
 
 
-def pair_cooccurrence(daily: DataFrame, values: dict[str, str], date_spine: DataFrame,
-                      ranked: DataFrame, spine: DataFrame) -> DataFrame:
-    """Share of days with value > 0 at both airports, per pair-month and named output.
+def with_cooccurrence(pairs: DataFrame, daily: DataFrame, values: dict[str, str], date_spine: DataFrame) -> DataFrame:
+    """Pair-months with the share of days with value > 0 at both airports, per named output.
     Denominator: spine dates of the month that also appear in ``daily`` (any airport);
     an empty denominator or an airport without rows gives 0."""
     days = date_spine.select("date", "month").distinct().join(daily.select("date").distinct(), "date")
-    n_days = month_date_counts(days)
-    pos_cond = None
-    for src in values.values():
-        c = F.col(src) > 0
-        pos_cond = c if pos_cond is None else (pos_cond | c)
-    fact = (daily.join(days, "date").join(ranked.select("airport", "rk"), "airport")
-            .where(pos_cond).select("airport", "rk", "date", "month", *set(values.values())))
-    srcs = sorted(set(values.values()))
-    j = _pair_self_join(fact, srcs)
-    agg = j.groupBy("airport_a", "airport_b", "month").agg(
-        *[F.count_if((F.col(f"{src}_a") > 0) & (F.col(f"{src}_b") > 0)).alias(f"_n_{name}")
-          for name, src in values.items()])
-    out = (spine.select("airport_a", "airport_b", "month")
-           .join(agg, ["airport_a", "airport_b", "month"], "left").join(n_days, "month", "left"))
-    return out.select("airport_a", "airport_b", "month",
-                      *[F.coalesce(F.try_divide(F.coalesce(F.col(f"_n_{name}"), F.lit(0)).cast("double"),
-                                                F.col("n_dates").cast("double")), F.lit(0.0)).alias(name)
-                        for name in values])
+    bitmaps = day_bitmaps(daily.join(days.select("date"), "date", "left_semi"), [F.col(src) > 0 for src in values.values()])
+    counts = _with_bitmaps(pairs, bitmaps).join(month_date_counts(days).withColumnRenamed("n_dates", "_n_dates"), "month", "left")
+    shares = {name: F.coalesce(F.try_divide(_days(k, "_bits_b").cast("double"), F.col("_n_dates").cast("double")), F.lit(0.0))
+              for k, name in enumerate(values)}
+    return counts.withColumns(shares).drop("_bits_a", "_bits_b", "_n_dates")
+
+
+def pair_cooccurrence(daily: DataFrame, values: dict[str, str], date_spine: DataFrame, spine: DataFrame) -> DataFrame:
+    """The shares of ``with_cooccurrence`` alone, per pair-month of ``spine``."""
+    return with_cooccurrence(spine.select("airport_a", "airport_b", "month"), daily, values, date_spine).select(
+        "airport_a", "airport_b", "month", *values)
 
 
 def pair_operational_risk(flights: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
@@ -233,23 +253,21 @@ def pair_features(flights: DataFrame, daily: DataFrame, airports: DataFrame, p:
     spine = pair_spine(flights, p)
     ranked = ranked_spokes(flights, p).select("airport", "rk")
     dates = flight_dates(flights)
-    pairs = spine.select("airport_a", "airport_b").distinct()
-    joint = pair_joint_delay(flights, p, spine)
-    corr = pair_weather_corr(daily, dates, ranked, spine, p).drop("n_common_days")
-    storms = pair_cooccurrence(daily, {"thunderstorm_co_occurrence": "thunderstorm_hours",
-                                       "severe_weather_co_occurrence": "severe_weather_hours"},
-                               dates, ranked, spine)
+    pairs = enumerate_pairs(ranked_spokes(flights, p)).select("airport_a", "airport_b")
+    # The spine is computed once; each branch adds its columns to it.
+    f = with_joint_delay(spine, flights, p)
+    storms = {"thunderstorm_co_occurrence": "thunderstorm_hours", "severe_weather_co_occurrence": "severe_weather_hours"}
     if metar_day is not None:
-        ifr = pair_cooccurrence(metar_day, {"ifr_co_occurrence": "metar_ifr_hours",
-                                            "metar_thunderstorm_co": "metar_thunderstorm_hours",
-                                            "metar_low_vis_co": "metar_low_vis_hours"}, dates, ranked, spine)
+        f = with_cooccurrence(with_cooccurrence(f, daily, storms, dates), metar_day, {
+            "ifr_co_occurrence": "metar_ifr_hours", "metar_thunderstorm_co": "metar_thunderstorm_hours", "metar_low_vis_co": "metar_low_vis_hours"}, dates)
     else:
-        ifr = (pair_cooccurrence(daily, {"ifr_co_occurrence": "ifr_hours"}, dates, ranked, spine)
-               .withColumns({"metar_thunderstorm_co": F.lit(0.0), "metar_low_vis_co": F.lit(0.0)}))
+        f = with_cooccurrence(f, daily, {**storms, "ifr_co_occurrence": "ifr_hours"}, dates).withColumns(
+            {"metar_thunderstorm_co": F.lit(0.0), "metar_low_vis_co": F.lit(0.0)})
+    corr = weather_corr(daily, dates, ranked, p).drop("n_common_days")
     ops = pair_operational_risk(flights, pairs, p)
     geo = pair_geography(pairs, airports)
     key = ["airport_a", "airport_b", "month"]
-    f = (joint.join(corr, key, "left").join(storms, key, "left").join(ifr, key, "left")
+    f = (f.join(corr, key, "left").fillna(0.0, ["precip_correlation", "wind_correlation"])
          .join(ops, ["airport_a", "airport_b"], "left").join(geo, ["airport_a", "airport_b"], "left")
          .withColumns({"month_sin": cyclic_sin("month", 12.0), "month_cos": cyclic_cos("month", 12.0)}))
     f = pair_stats_join(f.select(*PAIR_FEATURE_ORDER), airport_month_stats(flights, p))

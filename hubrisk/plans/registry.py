@@ -268,7 +268,7 @@ def _q(spark, sf):
     return PR.pair_cooccurrence(daily_weather(spark, sf),
                                 {"thunderstorm_co_occurrence": "thunderstorm_hours",
                                  "severe_weather_co_occurrence": "severe_weather_hours"},
-                                FL.flight_dates(d.flights), PR.ranked_spokes(d.flights, P), spine)
+                                FL.flight_dates(d.flights), spine)
 
 
 @query("pair_ifr_cooccur")
@@ -283,7 +283,7 @@ def _q(spark, sf):
              .join(dates.select("month").distinct(), "month", "left_semi"))
     return PR.pair_cooccurrence(md, {"ifr_co_occurrence": "metar_ifr_hours",
                                      "metar_thunderstorm_co": "metar_thunderstorm_hours",
-                                     "metar_low_vis_co": "metar_low_vis_hours"}, dates, ranked, spine)
+                                     "metar_low_vis_co": "metar_low_vis_hours"}, dates, spine)
 
 
 @query("pair_operational_risk")

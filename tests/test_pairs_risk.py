@@ -74,3 +74,41 @@ def test_risk_score_range_and_top_rank(spark):
     out = RK.risk_scores(df).collect()
     assert min(r.risk_score for r in out) >= 0 and max(r.risk_score for r in out) <= 100
     assert all(r.risk_score == 100.0 for r in out if r.risk_rank == 1)
+
+
+def test_day_bitmaps_equal_a_plain_count(make_flights, spark, params):
+    """Joint delays and co-occurrences over years and months, first and last days, against loops over the dates."""
+    import datetime as dt
+    import random
+    from collections import defaultdict
+    from tests.conftest import flight
+    rnd = random.Random(8)
+    dates = [dt.date(y, m, d) for y in (2019, 2021, 2024) for m in (1, 2) for d in (1, 2, 3, 15, 28, 29, 30, 31)
+             if m == 1 or d <= 28 or (d == 29 and y == 2024)]
+    rows, wx, late, seen = [], defaultdict(set), defaultdict(set), defaultdict(set)
+    for i in range(400):
+        a, d = rnd.choice(["AAA", "AAA", "BBB", "CCC"]), rnd.choice(dates)
+        w, delay = rnd.choice([None, 0.0, 9.0]), rnd.choice([None, 0.0, 15.0, 40.0])
+        rows.append(flight(f"f{i}", str(d), a, "HUB", wx=w, dep_delay=delay))
+        seen[d.month].add(d)
+        if w:
+            wx[a].add(d)
+        if delay and delay > 15:
+            late[a].add(d)
+    fl = make_flights(rows)
+    got = {(r.airport_a, r.airport_b, r.month): r for r in PR.pair_joint_delay(fl, params).collect()}
+    assert len(got) == 6
+    for (a, b, m), r in got.items():
+        of = lambda s, m=m: {d for d in s if d.month == m}
+        n, both = len(seen[m]), len(of(wx[a] & wx[b]))
+        assert r.n_overlap_days == n and abs(r.joint_weather_delay_prob - both / n) < 1e-12
+        assert abs(r.joint_delay_15_prob - len(of(late[a] & late[b])) / n) < 1e-12
+        assert abs(r.conditional_delay_prob - (both / len(of(wx[a])) if of(wx[a]) else 0.0)) < 1e-12
+    daily = spark.createDataFrame([(a, d, float(rnd.randrange(2)), None) for a in ("AAA", "CCC") for d in dates + [dt.date(2019, 5, 1)]],
+                                  "airport string, date date, x double, y double")
+    spine = PR.pair_spine(fl, params)
+    from hubrisk.operators.flights import flight_dates
+    hits = {(r.airport, r.date) for r in daily.where("x > 0").collect()}
+    for r in PR.pair_cooccurrence(daily, {"cx": "x", "cy": "y"}, flight_dates(fl), spine).collect():
+        both = [d for d in seen[r.month] if (r.airport_a, d) in hits and (r.airport_b, d) in hits]
+        assert abs(r.cx - len(both) / len(seen[r.month])) < 1e-12 and r.cy == 0.0
