@@ -3,21 +3,26 @@ airport-day cascade events, greedy one-to-one matching, enrichment (C1-C5, C9, C
 
 Same-day range joins are equi-joins on (date, time bin): the outbound side sits in one
 bin of width ``Params.time_bin_minutes``; each inbound row is replicated over the bins its
-window can reach, so a busy day spreads over many join keys instead of one task. With
-``Params.salt_buckets > 1`` the inbound side is additionally salted and the outbound side
-replicated per salt, which splits a hot (date, bin) key further.
+window can reach, so a busy day spreads over many join keys instead of one task. A (date, bin)
+whose counted pairs exceed ``Params.pairs_per_key`` is salted into as many keys as its count asks for:
+one side is dealt to the salts by hash, the other copied to each. Days without a hot bin are joined as
+they are. ``Params.salt_buckets > 1`` salts every key alike instead.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubrisk.functions.exprs import (cyclic_cos, cyclic_sin, direction, flag, hhmm_to_minutes,
                                      pair_hi, pair_lo, spoke_airport)
+from hubrisk.operators.common import written
 from hubrisk.params import Params
 
 DAY_MINUTES = 1440
+HOT_BROADCAST = 100_000  # counted (date, bin) rows up to which the table of hot keys is broadcast
 MINUTE_COUNTS = ("n_in", "hit_in", "n_out", "hit_out")
 
 
@@ -26,26 +31,38 @@ def _bin(t, width: int, cap: int):
 
 
 def same_day_range_join(inbound: DataFrame, outbound: DataFrame, t_in: str, t_out: str,
-                        lo: int, hi: int | None, p: Params, replicate: str = "in") -> DataFrame:
+                        lo: int, hi: int | None, p: Params, replicate: str = "in",
+                        narrow: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Pairs (inbound, outbound) of the same ``date`` with lo <= t_out - t_in <= hi (hi None: unbounded).
 
     One side sits in exactly one time bin; the other is replicated over the bins its window
     can reach, so every matching pair meets in exactly one (date, bin) key. ``replicate``
-    names the replicated side ("in" or "out"): the one with the smaller rows, where they differ."""
+    names the replicated side ("in" or "out"): the one with the smaller rows, where they differ.
+    ``narrow``: the same rows before wide columns were joined to them, to count bins from."""
     width = max(1, int(p.time_bin_minutes))
     cap = DAY_MINUTES // width + 1
-    if replicate == "in":
-        start = _bin(F.col(t_in) + lo, width, cap)
-        end = F.lit(cap) if hi is None else _bin(F.col(t_in) + hi, width, cap)
-        inb = inbound.withColumn("_bin", F.explode(F.sequence(start, end)))
-        outb = outbound.withColumn("_bin", _bin(F.col(t_out), width, cap))
-    else:
+    def binned(i: DataFrame, o: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if replicate == "in":
+            start = _bin(F.col(t_in) + lo, width, cap)
+            end = F.lit(cap) if hi is None else _bin(F.col(t_in) + hi, width, cap)
+            return i.withColumn("_bin", F.explode(F.sequence(start, end))), o.withColumn("_bin", _bin(F.col(t_out), width, cap))
         start = F.lit(0) if hi is None else _bin(F.col(t_out) - hi, width, cap)
         end = _bin(F.col(t_out) - lo, width, cap)
-        inb = inbound.withColumn("_bin", _bin(F.col(t_in), width, cap))
-        outb = outbound.withColumn("_bin", F.explode(F.sequence(start, F.greatest(start, end))))
+        return i.withColumn("_bin", _bin(F.col(t_in), width, cap)), o.withColumn("_bin", F.explode(F.sequence(start, F.greatest(start, end))))
+    inb, outb = binned(inbound, outbound)
     keys = ["date", "_bin"]
-    if p.salt_buckets > 1:
+    if p.salt_buckets == 1 and p.pairs_per_key is not None:
+        hot = hot_bins(*binned(*(narrow or (inbound, outbound))), p.pairs_per_key)
+        if hot is not None:
+            salts = F.coalesce("_salts", F.lit(1))
+
+            def salted(df: DataFrame, columns: list[str], deal: bool) -> DataFrame:
+                salt = F.pmod(F.xxhash64(*columns), salts).cast("int") if deal else F.explode(F.sequence(F.lit(0), salts - 1))
+                return df.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
+            inb = salted(inb, inbound.columns, replicate == "in")
+            outb = salted(outb, outbound.columns, replicate != "in")
+            keys = [*keys, "_salt"]
+    elif p.salt_buckets > 1:
         # split the bin-replicated side by a hash salt; copy the single-bin side once per salt
         n = p.salt_buckets
         salt = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -61,6 +78,18 @@ def same_day_range_join(inbound: DataFrame, outbound: DataFrame, t_in: str, t_ou
     return inb.join(outb, keys, "inner").where(cond).drop(*keys[1:])
 
 
+def hot_bins(inb: DataFrame, outb: DataFrame, most: int) -> DataFrame | None:
+    """``date, _bin, _salts`` of the join keys with more than ``most`` pairs, counted from both sides; None if
+    there are none. The histogram has one row per date and bin; hot keys are broadcast if they are few."""
+    n = (inb.groupBy("date", "_bin").agg(F.count(F.lit(1)).alias("_n_in"))
+         .join(outb.groupBy("date", "_bin").agg(F.count(F.lit(1)).alias("_n_out")), ["date", "_bin"]))
+    salts = F.ceil(F.col("_n_in") * F.col("_n_out") / most).cast("int")
+    hot = n.withColumn("_salts", salts).where(F.col("_salts") > 1).select("date", "_bin", "_salts")
+    hot = written(hot, "hot-bins")
+    found = hot.count()
+    return None if found == 0 else F.broadcast(hot) if found <= HOT_BROADCAST else hot
+
+
 def flights_weather(flights: DataFrame, daily: DataFrame, p: Params) -> DataFrame:
     """Each flight with the hub's daily weather (hub_*) and the spoke's (other_*)."""
     measures = [c for c in daily.columns if c not in ("airport", "date")]
@@ -106,7 +135,7 @@ def sequences(flights: DataFrame, p: Params, inbound_extra: list | None = None,
         outb = outb.join(lookup, keys, "left")
         extra += [c for c in lookup.columns if c not in keys]
     j = (same_day_range_join(inb, outb, "inbound_arr_time", "outbound_dep_time", p.min_turnaround, None, p,
-                             replicate)
+                             replicate, (_inbound_legs(flights, p), _outbound_legs(flights, p)))
          .where(F.col("airport_a") != F.col("airport_b")))
     th = p.delay_threshold
     cascading = (flag(F.col("inbound_arr_delay") > th) & flag(F.col("outbound_dep_delay") > th)
@@ -137,7 +166,7 @@ def sequence_counts(flights: DataFrame, p: Params) -> DataFrame:
         i = legs(inb, "airport_a", "inbound_arr_time", "n_in", "hit_in")
         o = legs(outb, "airport_b", "outbound_dep_time", "n_out", "hit_out")
         sign = -1 if same_airport else 1
-        j = same_day_range_join(i, o, "inbound_arr_time", "outbound_dep_time", p.min_turnaround, None, p)
+        j = same_day_range_join(i, o, "inbound_arr_time", "outbound_dep_time", p.min_turnaround, None, replace(p, pairs_per_key=None))
         return j.select(F.year("date.date").alias("year"), F.month("date.date").alias("month"), "inbound_arr_time",
                         (F.col("outbound_dep_time") - F.col("inbound_arr_time")).alias("connection_minutes"),
                         (sign * F.col("n_in") * F.col("n_out")).alias("n"), (sign * F.col("hit_in") * F.col("hit_out")).alias("hits"))

@@ -145,5 +145,6 @@ class Params:
     default_p90: float = 30.0
     # physical layout knobs (no effect on results)
     time_bin_minutes: int = 60             # width of the time-of-day bins of the range joins
-    salt_buckets: int = 1                  # >1 salts the probe side of the same-day range joins
+    pairs_per_key: int | None = 4_000_000  # counted pairs of a (date, bin) above which it is salted; None: never
+    salt_buckets: int = 1                  # >1 salts all keys of the same-day range joins alike instead
     seasons: dict = field(default_factory=lambda: dict(SEASONS))

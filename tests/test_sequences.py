@@ -149,3 +149,38 @@ def test_totals_without_pairs_equal_the_pairs(make_flights, params):
     assert counted == want
     assert SQ.sequence_totals(flights.limit(0), params).count() == 0
     assert "Join" not in SQ.sequence_totals(flights, params)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_salts_follow_the_counted_pairs(make_flights, params, spark):
+    """90 % of the flights in one bin: its pairs spread evenly over tasks, other keys stay whole, rows are the same."""
+    from pyspark.sql import functions as F
+    rnd = random.Random(12)
+    rows = []
+    for k in range(1200):
+        hot = rnd.random() < 0.9
+        t = rnd.randrange(600, 660) if hot else rnd.randrange(1440)
+        rows.append(flight(f"i{k}", "2024-05-05", f"A{k % 5}", "HUB", crs=float((t // 60) * 100 + t % 60), arr_delay=300.0, wx=3.0))
+        t = rnd.randrange(720, 780) if hot else rnd.randrange(1440)
+        rows.append(flight(f"o{k}", "2024-05-05", "HUB", f"B{k % 7}", crs=float((t // 60) * 100 + t % 60), dep_delay=30.0))
+    fl = make_flights(rows)
+    inb, outb = SQ._inbound_legs(fl, params), SQ._outbound_legs(fl, params)
+    for side in ("in", "out"):
+        results = []
+        for most in (None, 4_000_000, 5_000):
+            p = params.__class__(**{**params.__dict__, "pairs_per_key": most})
+            j = SQ.same_day_range_join(inb, outb, "inbound_arr_time", "outbound_dep_time", 60, None, p, side)
+            results.append(j)
+        want = results[0].select("in_flight_id", "out_flight_id")
+        for j in results[1:]:
+            assert j.columns == results[0].columns and j.count() == want.count()
+            assert j.select("in_flight_id", "out_flight_id").exceptAll(want).count() == 0
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            tasks = sorted(r["count"] for r in results[2].groupBy(F.spark_partition_id()).count().collect())
+            before = sorted(r["count"] for r in results[0].groupBy(F.spark_partition_id()).count().collect())
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert len(tasks) == 8 and tasks[-1] <= 2 * tasks[len(tasks) // 2] < before[-1]
+    assert SQ.hot_bins(inb.limit(0).withColumn("_bin", F.lit(1)), outb.withColumn("_bin", F.lit(1)), 1) is None
