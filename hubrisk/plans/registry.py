@@ -24,9 +24,10 @@ from hubrisk.operators import pairs as PR
 from hubrisk.operators import risk as RK
 from hubrisk.operators import sequences as SQ
 from hubrisk.operators import weather as WX
-from hubrisk.session import scratch_path
+from hubrisk.session import checkpoint_root, scratch_path
 from hubrisk.sources import ingest as IN
 from hubrisk.sources import proxy
+from hubrisk.sources import stages as SG
 from hubrisk.sources import tables as TB
 from hubrisk.streaming import metar_stream as ST
 
@@ -85,14 +86,13 @@ _STAGES: dict = {}
 
 
 def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Materialise a reused intermediate once per (application, input) as a Parquet table in
-    the shared checkpoint folder: one job (no recompute, unlike an un-persisted RDD
-    checkpoint), cuts lineage, survives executor loss, and re-reads prune columns."""
+    """Materialise a reused intermediate as a Parquet table in the shared checkpoint folder: one job (no
+    recompute, unlike an un-persisted RDD checkpoint), cuts lineage, survives executor loss, and re-reads prune
+    columns. Later processes with the same checkpoint folder, inputs, parameters and code reuse it."""
     key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
     if key not in _STAGES:
-        path = scratch_path(spark, f"stage-{name}")
-        build().write.parquet(path)
-        _STAGES[key] = spark.read.parquet(path)
+        inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in sorted({t for _, tables in proxy.PROXY_SQL.values() for t in tables})]
+        _STAGES[key] = SG.reused(spark, f"{checkpoint_root(spark)}/stages", name, inputs, P, build)
     return _STAGES[key]
 
 
