@@ -1,10 +1,12 @@
 """Operator 5, URL filters: fixed host and path rules first, then a path-template tree.
 
 Per host, the paths form a tree of segments. Typed segments (numbers, hex ids, dates) become
-placeholders at once; level by level, a node with more than ``fan_out`` different children gets one
-wildcard child, and siblings whose counts are statistically compatible with their node's pooled ones
-(Hoeffding test on the share of bad labels and on the share of paths that end there) merge into one
-branch. A template is rejected when its labelled purity, smoothed towards the overall rate of bad
+placeholders at once; level by level, siblings whose counts are statistically compatible with their
+node's pooled ones (Hoeffding test on the share of bad labels and on the share of paths that end there)
+merge into one wildcard branch, and those that differ stay branches of their own, however many siblings
+there are. Thinly seen segments differ from nothing, so names that occur once are one wildcard. Levels
+go on until no path has a further segment; below ``single`` segments a level takes 2, 4, 8, ... segments
+together, so very long paths need few levels and still differ where their segments do. A template is rejected when its labelled purity, smoothed towards the overall rate of bad
 labels, reaches ``reject``.
 
 Everything is DataFrame code over distinct typed paths: pages are pre-aggregated (map side) before
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +51,7 @@ RULES: tuple[UrlRule, ...] = (
 
 @dataclass(frozen=True)
 class TreeParams:
-    depth: int = 6          # deeper segments count as one
-    fan_out: int = 32
+    single: int = 12        # segments with a level of their own
     alpha: float = 0.05     # Hoeffding test level of a merge
     prior_weight: float = 10.0
     reject: float = 0.5
@@ -82,13 +84,19 @@ def rule_of(rules: tuple[UrlRule, ...], host: Column, path: Column) -> tuple[Col
     return found, verdict
 
 
-def typed_segments(path: Column, depth: int) -> Column:
-    """Array of segments with variable ones typed; those below ``depth`` become ``{rest}``."""
+def typed_segments(path: Column, single: int) -> Column:
+    """Array of segments with variable ones typed; those after the first ``single`` in runs of 2, 4, 8, ..."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     typed = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(
         s, r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", "{date}"),
         r"\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{8,}\b", "{hex}"), r"[0-9]+", "{num}"))
-    return F.when(F.size(typed) > depth, F.concat(F.slice(typed, 1, depth), F.array(F.lit("{rest}")))).otherwise(typed)
+
+    def runs(t: Column) -> Column:
+        ends = F.sequence(F.lit(1), F.ceil(F.log2(F.size(t) - single + 2)).cast("int"))  # run k begins after single + 2**k - 2
+        deep = F.transform(ends, lambda k: F.array_join(F.slice(t, (F.pow(F.lit(2), k) - 1 + single).cast("int"), F.pow(F.lit(2), k).cast("int")), "/"))
+        return F.when(F.size(t) > single, F.concat(F.slice(t, 1, single), F.filter(deep, lambda s: s != ""))).otherwise(t)
+    # The typed segments are made once: a one-element array hands them on.
+    return F.get(F.transform(F.array(typed), runs), 0)
 
 
 def _bound(alpha: float, n: Column, m: Column) -> Column:
@@ -97,12 +105,13 @@ def _bound(alpha: float, n: Column, m: Column) -> Column:
 
 def template_tree(counts: DataFrame, p: TreeParams) -> DataFrame:
     """``counts``: host, typed (array), n, labelled, bad, one row per distinct typed path. Adds ``template``."""
-    work = counts.withColumn("template", F.lit(""))
-    for level in range(p.depth + 1):
-        at = work.withColumn("seg", F.get("typed", F.lit(level))).withColumn(
+    work, done, level = counts.withColumn("template", F.lit("")), [], 0
+    while True:
+        more = F.size("typed") > level
+        done.append(work.filter(~more))
+        at = work.filter(more).withColumn("seg", F.get("typed", F.lit(level))).withColumn(
             "stops", F.when(F.size("typed") == level + 1, F.col("n")).otherwise(F.lit(0)))
-        inside = at.filter("seg IS NOT NULL")
-        child = inside.groupBy("host", "template", "seg").agg(
+        child = at.groupBy("host", "template", "seg").agg(
             *[F.sum(c).alias(c) for c in ("n", "labelled", "bad", "stops")])
         node = child.groupBy("host", "template").agg(
             F.count("*").alias("children"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad", "stops")])
@@ -110,14 +119,14 @@ def template_tree(counts: DataFrame, p: TreeParams) -> DataFrame:
         same_bad = F.coalesce(F.abs(rate("bad", "labelled") - rate("all_bad", "all_labelled")) <= _bound(
             p.alpha, F.col("labelled"), F.col("all_labelled")), F.lit(True))
         same_stop = F.abs(rate("stops", "n") - rate("all_stops", "all_n")) <= _bound(p.alpha, F.col("n"), F.col("all_n"))
-        new = (F.when(F.col("children") > p.fan_out, F.lit("{*}"))
-               .when((F.col("children") > 1) & same_bad & same_stop, F.lit("{~}")).otherwise(F.col("seg")))
+        new = F.when((F.col("children") > 1) & same_bad & same_stop, F.lit("{~}")).otherwise(F.col("seg"))
         names = child.join(node, ["host", "template"]).select("host", "template", "seg", new.alias("new"))
-        work = at.join(names, ["host", "template", "seg"], "left").withColumn(
-            "template", F.when(F.col("new").isNotNull(), F.concat("template", F.lit("/"), "new")).otherwise(
-                F.col("template"))).drop("seg", "stops", "new")
-        work = cut(work, "url-tree")  # each level reads the one before it several times
-    return work
+        # Each level reads the one before it several times.
+        work = cut(at.join(names, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.lit("/"), "new")).drop(
+            "seg", "stops", "new"), "url-tree")
+        level += 1
+        if not work.take(1):
+            return reduce(DataFrame.unionByName, done)
 
 
 def rejected(templates: DataFrame, p: TreeParams) -> DataFrame:
@@ -137,7 +146,7 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: tuple[UrlRule, ...] =
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"))
     found, verdict = rule_of(rules, F.col("host"), F.col("path"))
     rows = rows.withColumns({"rule": found, "ruled": verdict})
-    typed = typed_segments(F.col("path"), params.depth)
+    typed = typed_segments(F.col("path"), params.single)
     key = F.regexp_extract("path", r"([^/.]+)(?:\.[^/]*)?/*$", 1)
     marks = labels.filter("url_key IS NOT NULL").groupBy("url_key").agg(
         F.max(F.col("bad").cast("int")).alias("bad"))  # one row a key: a repeated label counts once
