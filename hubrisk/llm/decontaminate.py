@@ -1,12 +1,14 @@
 """Operator 4, benchmark decontamination: template canonicalisation.
 
-Texts become token sequences in which numbers, units after numbers and names (capitalised words
-inside a sentence) are typed placeholders. Windows of ``window`` tokens are hash-joined with those of
-the benchmark items; a second set of windows keeps names as lower-case words, so that leaks whose
-capitals changed are found too. In the joined windows each placeholder's value in the item must map
-to one value in the document (slot consistency): a passage with new numbers is found, an accidental
-mix of values is not. A document is contaminated by an item when consistent windows cover at least
-``min_cover`` per cent of the item's windows.
+Texts become token sequences in which numbers, units after numbers and names (capitalised words,
+those that begin a sentence too) are typed placeholders. Windows of ``window`` tokens are hash-joined
+with those of the benchmark items; a second set of windows keeps names as lower-case words, so that
+leaks whose capitals changed are found too. Windows with fewer literal than placeholder tokens are
+matched by their exact values instead. Within a joined window each placeholder's value in the item must
+map to one value in the document (slot consistency): a passage with new numbers is found, an accidental
+mix of values is not; a window that fails does not spoil the others. A document is contaminated by an item
+when consistent windows cover at least ``min_cover`` per cent of the item's windows, or ``run_tokens``
+consecutive tokens of it.
 
 A fixed-size bitmap of the benchmark's window hashes goes to every task, so only windows that may
 match leave the tasks; it loses none. The join is on the hash; the benchmark side is broadcast when
@@ -14,8 +16,8 @@ counted to be small, else joined by shuffle (split by adaptive execution when sk
 (document, item), never larger than the document's own matches.
 
 Defined results: null, empty or tokenless texts and items match nothing; items of fewer than
-``min_tokens`` tokens are not searched, items shorter than a window match as a whole; windows with
-fewer literal than placeholder tokens are not used; rows that share an id are judged together;
+``min_tokens`` tokens are not searched, items shorter than a window match as a whole; very long texts
+are read whole; rows that share an id are judged together; ties cannot arise, every item is judged alone;
 repeated items give a row each; empty tables give an empty result; extra columns are ignored.
 """
 
@@ -27,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hubrisk.llm.common import cut, map_batches, need, sized_hint
@@ -39,6 +41,7 @@ class LeakParams:
     window: int = 8
     min_tokens: int = 4
     min_cover: int = 50            # per cent of an item's windows
+    run_tokens: int = 40           # consecutive tokens of a longer item that are a leak whatever they cover
     bitmap_bits: int = 24
     broadcast_rows: int = 1_000_000
 
@@ -73,9 +76,8 @@ class Tokens:
         low = core.lower()
         number = bool(core) and core[0].isdigit() and NUMBER.fullmatch(core) is not None
         self.hash[k] = xxhash.xxh3_64_intdigest(low.encode())
-        # 1 number, 2 unit, 4 capitalised, 8 ends a sentence, 16 no token
-        self.flags[k] = (number | (low in UNITS) << 1 | (core[:1].isupper() and not number) << 2
-                         | (word.rstrip("\"')]»”")[-1:] in ".!?:") << 3 | (not core) << 4)
+        # 1 number, 2 unit, 4 capitalised, 16 no token
+        self.flags[k] = (number | (low in UNITS) << 1 | (core[:1].isupper() and not number) << 2 | (not core) << 4)
         self.values.append(low)
         self.index[word] = k
         return k
@@ -88,17 +90,16 @@ class Tokens:
         at = np.array([learn(w) if (k := get(w)) is None else k for w in (text or "").split()], np.int64)
         at = at[(self.flags[at] & 16) == 0]
         flags = self.flags[at]
-        ended = np.ones(len(at), bool)
-        ended[1:] = (flags[:-1] & 8) > 0
         after_number = np.zeros(len(at), bool)
         after_number[1:] = (flags[:-1] & 1) > 0
         kinds = np.where(flags & 1, NUM, np.where((flags & 2 > 0) & after_number, UNIT, np.where(
-            (flags & 4 > 0) & ~ended, NAME, LITERAL))).astype(np.uint8)
+            flags & 4 > 0, NAME, LITERAL))).astype(np.uint8)
         return at, self.hash[at], kinds
 
 
 def windows(hashes: np.ndarray, kinds: np.ndarray, size: int, names: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each window, whether it has at least as many literal tokens as placeholders)."""
+    """(hash of each window, whether it has at least as many literal tokens as placeholders). With names as
+    words, the other windows' hashes are those of their exact values."""
     slot = kinds if names else np.where(kinds == NAME, LITERAL, kinds)
     tokens = np.where(slot == LITERAL, hashes, SLOT[slot])
     n = len(tokens) - size + 1
@@ -107,7 +108,15 @@ def windows(hashes: np.ndarray, kinds: np.ndarray, size: int, names: bool) -> tu
         h = (h ^ tokens[k:n + k]) * P2
         h ^= h >> SHIFT
     literal = np.concatenate([[0], np.cumsum(slot == LITERAL)])
-    return h * P1, 2 * (literal[size:] - literal[:-size]) >= size
+    ok = 2 * (literal[size:] - literal[:-size]) >= size
+    if not names and not ok.all():
+        exact = np.flatnonzero(~ok)
+        x = np.full(len(exact), 64 + size, np.uint64) * P1
+        for k in range(size):
+            x = (x ^ hashes[exact + k]) * P2
+            x ^= x >> SHIFT
+        h[exact] = x
+    return h * P1, ok
 
 
 FOUND = "id long, hash array<long>, place array<int>, slots array<array<string>>, tokens int"
@@ -132,14 +141,15 @@ def find(rows: DataFrame, sizes: list[int], bitmap: bytes | None, p: LeakParams)
                         if n < size:
                             continue
                         h, ok = windows(hashes, kinds, size, names)
+                        used = ok if names else np.ones(len(ok), bool)
                         if bits is not None:
                             b = (h >> np.uint64(64 - p.bitmap_bits)).astype(np.int64)
-                            ok &= (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 > 0
-                        for k in np.nonzero(ok)[0]:
+                            used = used & ((bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 > 0)
+                        for k in np.nonzero(used)[0]:
                             found[0].append(int(h[k].view(np.int64)))
                             found[1].append(int(k))
                             found[2].append([seen.values[at[j]] for j in range(k, k + size)
-                                             if kinds[j] and (names or kinds[j] != NAME)])
+                                             if kinds[j] and (names or kinds[j] != NAME)] if ok[k] else [])
                 if found[0]:
                     for c, v in zip(out, (i, *found, n)):
                         out[c].append(v)
@@ -178,17 +188,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams
     wanted = sized_hint(wanted, wanted.count(), p.broadcast_rows)
     found = flat(find(rows(docs, doc_id, text), sizes, bitmap_of(wanted, p.bitmap_bits), p), "doc")
     met = found.join(wanted, "hash").withColumn("shift", F.col("doc_place") - F.col("item_place"))
-    slots = F.zip_with("item_slots", "doc_slots", lambda x, y: F.struct(x.alias("i"), y.alias("d")))
-    runs = met.groupBy("doc_id", "item_id", "item_windows", "shift").agg(
-        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"))
+    slots = F.array_distinct(F.zip_with("item_slots", "doc_slots", lambda x, y: F.struct(x.alias("i"), y.alias("d"))))
     consistent = F.size(F.array_distinct(F.transform("slots", lambda s: s["i"]))) == F.size("slots")
-    out = runs.filter(consistent).groupBy("doc_id", "item_id", "item_windows").agg(
+    met = met.withColumn("slots", slots).filter(consistent)
+    runs = met.groupBy("doc_id", "item_id", "item_windows", "shift").agg(
+        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    out = runs.withColumn("run", longest_run(F.sort_array("places"))).groupBy("doc_id", "item_id", "item_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"),
+        F.max("run").cast("long").alias("n_run_windows"),
         F.max(F.size("slots")).cast("long").alias("n_slots"),
         F.max(F.size(F.filter("slots", lambda s: s["i"] != s["d"]))).cast("long").alias("n_changed"))
     out = out.withColumn("cover_pct", F.floor(F.col("n_windows") * 100 / F.col("item_windows")))
-    return out.filter(F.col("cover_pct") >= p.min_cover).select(
-        "doc_id", "item_id", "n_windows", "item_windows", "cover_pct", "n_slots", "n_changed")
+    return out.filter((F.col("cover_pct") >= p.min_cover) | (F.col("n_run_windows") + p.window - 1 >= p.run_tokens)).select(
+        "doc_id", "item_id", "n_windows", "item_windows", "cover_pct", "n_slots", "n_changed", "n_run_windows")
+
+
+def longest_run(places: Column) -> Column:
+    """Length of the longest run of consecutive numbers in a sorted array."""
+    zero = F.struct(F.lit(0).alias("best"), F.lit(0).alias("now"), F.lit(-2).alias("last"))
+
+    def step(acc: Column, x: Column) -> Column:
+        now = F.when(x == acc["last"] + 1, acc["now"] + 1).otherwise(1)
+        return F.struct(F.greatest(acc["best"], now).alias("best"), now.alias("now"), x.alias("last"))
+    return F.aggregate(places, zero, step, lambda acc: acc["best"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams(), doc_id: str = "doc_id",
