@@ -8,7 +8,7 @@ fits nowhere is cut, so those sequences end full. What is left of a pool (less t
 becomes sequences of power-of-two lengths, which need no padding.
 
 Nothing is shuffled and no key is grouped, so hot sources cost nothing; a task holds one pool of ids
-(4 bytes each) and a bounded word cache. Sequence ids are the task's partition number and a counter,
+(4 bytes each), the texts of one look-up and a bounded word cache. Sequence ids are the task's partition number and a counter,
 so a task that runs again after a lost executor gives the same rows.
 
 Defined results: a null or empty text has the end id alone; repeated rows are packed one by one;
@@ -17,13 +17,14 @@ ties of length keep the input's order; an empty table gives no sequences; extra
 
 from __future__ import annotations
 
+import json
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,14 +39,97 @@ class PackParams:
     linear: float = 1.0            # cost of a token outside attention
     quadratic: float = 1.0 / 4096  # cost of a token pair inside one piece, in the same unit
     pool_tokens: int = 1 << 21
-    cache_words: int = 700_000
+    cache_words: int = 400_000
+    batch_chars: int = 1 << 22     # characters whose words are looked up together
+
+
+LETTERS = np.zeros(256, bool)
+LETTERS[ord("A"):ord("Z") + 1] = LETTERS[ord("a"):ord("z") + 1] = True
+
+
+class Merges:
+    """The tokenizer's merges for words of small ASCII letters, many words at a time: one row of symbols a
+    word, one merge a row and step (the lowest rank, leftmost among equals), rows without a merge are done."""
+
+    WIDTHS, NONE = (7, 12, 24), np.iinfo(np.int32).max
+    LONGEST = WIDTHS[-1]
+
+    def __init__(self, model: dict):
+        vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        left = np.array([vocab[a] for a, _ in pairs], np.int64)
+        right = np.array([vocab[b] for _, b in pairs], np.int64)
+        key = left << 32 | right
+        by = np.argsort(key, kind="stable")
+        self.key, self.rank = np.append(key[by], np.iinfo(np.int64).max), np.append(by, 0).astype(np.int32)
+        # A merge drops the prefix of its right part; there is none (else this class is not used).
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.inner, self.last = np.zeros(256, np.int32), np.zeros(256, np.int32)
+        for c in map(chr, range(ord("a"), ord("z") + 1)):
+            self.inner[ord(c)], self.last[ord(c)] = vocab[c], vocab[c + suffix]
+
+    @classmethod
+    def of(cls, path: str) -> Merges | None:
+        """None if the tokenizer's merging model has parts that this class does not follow."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") and not (
+            model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges"))
+        return cls(model) if plain else None
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.key, key)
+        return np.where(self.key[at] == key, self.rank[at], self.NONE)
+
+    def encode(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids) for words of 1 to ``LONGEST`` bytes of small letters in ``data``."""
+        counts, parts = np.zeros(len(starts), np.int64), []
+        for least, most in zip((0, *self.WIDTHS), self.WIDTHS):
+            rows = np.flatnonzero((sizes > least) & (sizes <= most))
+            if not len(rows):
+                continue
+            place = np.arange(most)
+            text = data[np.minimum(starts[rows, None] + place, len(data) - 1)]
+            end = sizes[rows, None] - 1
+            symbols = np.where(place < end, self.inner[text], np.where(place == end, self.last[text], np.int32(-1)))
+            ranks = self.ranks(symbols[:, :-1], symbols[:, 1:])
+            while len(rows):
+                at = ranks.argmin(1)
+                low = np.take_along_axis(ranks, at[:, None], 1)[:, 0]
+                if (done := low == self.NONE).any():
+                    final = symbols[done]
+                    inside = final >= 0
+                    counts[rows[done]] = inside.sum(1)
+                    parts.append((rows[done], final[inside]))
+                    rows, symbols, ranks, at, low = (x[~done] for x in (rows, symbols, ranks, at, low))
+                row, after = np.arange(len(rows)), np.arange(symbols.shape[1] - 1) >= at[:, None]
+                ranks = np.append(np.where(after[:, :-1], ranks[:, 1:], ranks[:, :-1]),
+                                  np.full((len(rows), 1), self.NONE), 1)
+                symbols = np.append(np.where(after, symbols[:, 1:], symbols[:, :-1]),
+                                    np.full((len(rows), 1), np.int32(-1)), 1)
+                symbols[row, at] = self.made[low]
+                for k, j in ((row[at > 0], at[at > 0] - 1), (row, at)):  # the pairs that end and start in the new symbol
+                    ranks[k, j] = self.ranks(symbols[k, j], symbols[k, j + 1])
+        starts = np.cumsum(counts) - counts
+        flat = np.empty(int(counts.sum()), np.int32)
+        for rows, ids in parts:
+            flat[spread(starts[rows], counts[rows])] = ids
+        return counts, flat
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each range."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class WordIds:
     """Subword ids of texts, word by word with a cache. Exact for tokenizers whose pieces never span a
-    blank or line feed (they drop white space before merging); ``tokenizers`` sees each new word once.
+    blank or line feed (they drop white space before merging); each new word is seen once.
 
-    New words of small ASCII letters go to its merging model, others of letters to the whole of it, many
+    Arrow splits the texts of a batch and numbers their different words. New words of small ASCII letters
+    (capitals are made small, one mark at the end is put apart) are merged together (``Merges``); others of letters go to the tokenizer many
     at a time, joined by blanks: each ends in exactly one token that
     carries the word-end mark, which is where the ids are cut. If the marks do not add up (or the
     tokenizer has none), and for all other words, it gets them one by one."""
@@ -55,15 +139,19 @@ class WordIds:
     def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.merges = Tokenizer.from_file(path), limit, Merges.of(path)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(self.MARK) for i in range(size)])
         self.tail = {c: self.alone([c])[0] for c in self.TAIL} if self.ends.any() else {}
         self.tail[""] = b""
+        self.mark_id = np.full(256, -1, np.int32)  # marks whose ids are one
+        for c, ids in self.tail.items():
+            if len(ids) == 4:
+                self.mark_id[ord(c)] = np.frombuffer(ids, np.int32)[0]
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = {"": 0}
         self.cores: dict[str, tuple[bytes, bool]] = {}  # ids, whether in one piece
         self.flat, self.start = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
         self.size, self.used = np.zeros(1 << 14, np.int64), 0
@@ -85,17 +173,14 @@ class WordIds:
                 out += [(i, np.count_nonzero(self.ends[np.frombuffer(i, np.int32)]) == 1) for i in self.alone(group)]
         return out
 
-    def learn(self, words: list[str]) -> None:
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids (int32 bytes) of words of any kind."""
         parts = []
         for w in words:
             core, tail = (w[:-1], w[-1]) if w[-1] in self.tail else (w, "")
             # The tokenizer lower-cases; letters beyond ASCII are left to it.
             parts.append((core.lower() if core.isascii() else core, tail) if core.isalpha() else (None, ""))
         new = list({core for core, _ in parts if core} - self.cores.keys()) if len(self.tail) > 1 else []
-        # A word of small ASCII letters is one piece as it stands: the merging model alone can take it.
-        model, plain = self.tokenizer.model, [w for w in new if w.isascii()]
-        self.cores.update((w, (array("i", [t.id for t in model.tokenize(w)]).tobytes(), True)) for w in plain)
-        new = [w for w in new if not w.isascii()]
         self.cores.update(zip(new, self.letters(new)))
         ids: list[bytes | None] = []
         for core, tail in parts:
@@ -105,33 +190,64 @@ class WordIds:
         other = [k for k, x in enumerate(ids) if x is None]
         for k, x in zip(other, self.alone([words[k] for k in other])):
             ids[k] = x
-        n, sizes = len(self.index), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        while n + len(words) > len(self.start):
+        return ids
+
+    def plain(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are ASCII letters of a length that ``Merges`` takes, but for one mark at the end, and whether
+        they have that mark."""
+        if self.merges is None:
+            return np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+        marked = (sizes > 1) & (self.mark_id[data[starts + sizes - 1]] >= 0)
+        core, letters = sizes - marked, np.append(0, np.cumsum(LETTERS[data]))
+        return (core <= Merges.LONGEST) & (letters[starts + core] - letters[starts] == core), marked
+
+    def learn(self, words: pa.Array) -> None:
+        """Enter new words (not empty)."""
+        texts = words.to_numpy(zero_copy_only=False).tolist()
+        _, offsets, data = words.buffers()
+        data = np.frombuffer(data, np.uint8)
+        cuts = np.frombuffer(offsets, np.int64)[words.offset:words.offset + len(words) + 1]
+        starts, lengths = cuts[:-1], np.diff(cuts)
+        plain, marked = self.plain(data, starts, lengths)
+        easy, hard = np.flatnonzero(plain), np.flatnonzero(~plain)
+        sizes, n = np.zeros(len(texts), np.int64), len(self.index)
+        if len(easy):  # a letter's small form differs in one bit
+            counts, found = self.merges.encode(data | np.uint8(32), starts[easy], (lengths - marked)[easy])
+            sizes[easy] = counts + marked[easy]
+        ids = self.ids_of([texts[k] for k in hard.tolist()])
+        sizes[hard] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = self.used + np.cumsum(sizes) - sizes
+        self.used += int(sizes.sum())
+        while n + len(texts) > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
+        while self.used > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used:self.used + total] = np.frombuffer(b"".join(ids), np.int32)
-        self.size[n:n + len(words)] = sizes
-        self.start[n:n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
-        self.index.update(zip(words, range(n, n + len(words))))
+        if len(easy):
+            self.flat[spread(first[easy], counts)] = found
+            ends = np.flatnonzero(plain & marked)
+            self.flat[first[ends] + sizes[ends] - 1] = self.mark_id[data[starts[ends] + lengths[ends] - 1]]
+        self.flat[spread(first[hard], sizes[hard])] = np.frombuffer(b"".join(ids), np.int32)
+        self.start[n:n + len(texts)], self.size[n:n + len(texts)] = first, sizes
+        self.index.update(zip(texts, range(n, n + len(texts))))
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text; the words of one batch are learned and looked up together."""
-        split = [list(filter(None, (t or "").replace("\n", " ").split(" "))) for t in texts]
-        words = set().union(*split)
+        lines = pc.replace_substring(pc.fill_null(pa.array(texts, pa.large_string()), ""), "\n", " ")
+        split = pc.split_pattern(lines, " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.index) + len(words) > self.limit:
             self.reset()
-        if new := list(words - self.index.keys()):
-            self.learn(new)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        known = list(map(self.index.get, words))
+        if new := [k for k, x in enumerate(known) if x is None]:
+            known_before = len(self.index)
+            self.learn(coded.dictionary.take(pa.array(new, pa.int64())))
+            for k, x in zip(new, range(known_before, len(self.index))):
+                known[k] = x
+        at = np.array(known, np.int64)[coded.indices.to_numpy()]
         sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(total)]
-        cuts = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
+        ids = self.flat[spread(self.start[at], sizes)]
+        cuts = np.append(0, np.cumsum(sizes))[split.offsets.to_numpy()].tolist()
         for a, b in zip(cuts, cuts[1:]):
             yield ids[a:b]
 
@@ -195,6 +311,18 @@ def pack_pool(docs: list[tuple[int | None, np.ndarray]], p: PackParams, first_se
     return out, sequences
 
 
+def joined(batches: Iterator[list[list]], chars: int) -> Iterator[tuple[list, list]]:
+    """Ids and texts of batches put together up to a number of characters, so that a word is looked up less often."""
+    ids, texts, size = [], [], 0
+    for more, found in batches:
+        ids, texts, size = ids + more, texts + found, size + sum(len(t) for t in found if t)
+        if size >= chars:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 PIECES = ", ".join(f"{n} long" for n in NAMES)
 
@@ -208,7 +336,7 @@ def pack(docs: DataFrame, tokenizer: str, params: PackParams = PackParams(), doc
         pool: list[tuple[int | None, np.ndarray]] = []
         held = 0
         end = np.array([params.end_id], np.int32)
-        for ids, texts in batches:
+        for ids, texts in joined(batches, params.batch_chars):
             for i, found in zip(ids, words.encode(texts)):
                 pool.append((i, np.concatenate([found, end])))
                 held += len(pool[-1][1])

@@ -104,3 +104,14 @@ def test_costs_are_balanced():
         fill[s] += n
     assert sum(fill.values()) == sum(len(x) for _, x in docs) and used == len(fill)
     assert sum(n == 2048 for n in fill.values()) == sum(len(x) for _, x in docs) // 2048
+
+
+def test_merges_follow_the_tokenizer_word_by_word():
+    import random
+    rnd = random.Random(6)
+    words = P.WordIds(PATH, 10_000)
+    texts = [" ".join("".join(rnd.choice("etaoinshrdluETAOINzq") for _ in range(rnd.randint(1, 30))) + rnd.choice(["", "", ".", "?!", ",", "'s"])
+                      for _ in range(60)) for _ in range(100)] + ["the theme THE The, the. there", "a", "", "   "]
+    assert words.merges is not None
+    for t, ids in zip(texts, words.encode(texts), strict=True):
+        assert ids.tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
