@@ -7,15 +7,19 @@ become revisits without payload. The exact record headers go to a separate table
 
 Files are gzip WARC, written by Spark's text writer with CRLF ends, a bounded number of records
 each. ``read_archive`` parses them by content length and verifies every stored payload against its
-digest; ``reconstruct`` joins revisits to the payloads of their responses.
+published digest; ``reconstruct`` joins revisits to the payloads of their responses. ``rebuild`` goes the
+whole way: the payloads read from the files, each once under the SHA-256 of its bytes, are joined to the
+table of exact headers, which gives every original record back; a header whose strong digest no stored
+payload has fails the job. Sizes and digests of its rows are taken from the stored bytes, never from headers.
 
 A third of all pages may share one payload: its keys are pre-aggregated before the shuffle, and the
-join of revisits to owners carries keys only (sort-merge, split by adaptive execution when skewed).
+joins of headers to owners and payloads carry keys only (sort-merge, split by adaptive execution when
+skewed), unless full records are asked for.
 
 Defined results: a null payload counts as empty; records under ``least_bytes`` are always responses;
 rows that repeat the largest id of their payload are all responses; a null id is always a response;
 line ends and blanks in urls are percent-encoded; an empty table gives an empty archive; extra
-columns are ignored.
+columns are ignored. Payloads of any length are kept whole (a task holds one file of records).
 """
 
 from __future__ import annotations
@@ -122,12 +126,13 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
 
 
 RECORD = ("page_id long, url string, record_type string, payload_digest string, refers_to long, stored_bytes long, "
-          "header binary, payload binary")
+          "stored_sha256 string, header binary, payload binary")
 
 
 def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records of an archive. The payload of each response is checked against its digest: a mismatch
-    fails the job. ``with_payload=False`` leaves header and payload bytes null after that check."""
+    fails the job. ``stored_bytes`` and ``stored_sha256`` are those of the stored bytes (null for revisits).
+    ``with_payload=False`` leaves header and payload bytes null after that check."""
     def number(s: str | None) -> int | None:
         s = s and s.removeprefix("<urn:page:").removesuffix(">")
         return int(s) if s and s != "null" else None
@@ -142,7 +147,7 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> D
                         raise ValueError(f"payload of {f['WARC-Record-ID']} does not have its digest")
                     row = (number(f["WARC-Record-ID"]), f.get("WARC-Target-URI"), f["WARC-Type"], digest,
                            number(f.get("WARC-Refers-To")), None if revisit else len(payload),
-                           header if with_payload else None, payload if with_payload and not revisit else None)
+                           None if revisit else hashlib.sha256(payload).hexdigest(), header if with_payload else None, payload if with_payload and not revisit else None)
                     for n, v in zip(RECORD_NAMES, row):
                         out[n].append(v)
                 yield out
@@ -165,14 +170,30 @@ def reconstruct(records: DataFrame) -> DataFrame:
     return responses.unionByName(revisit.select(responses.columns))
 
 
+def rebuild(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """Every original record: the table of exact headers joined by strong digest to the payloads read back from
+    the files. ``record`` is header and payload; ``payload_bytes`` and ``payload_digest`` are those of the stored
+    bytes. ``with_payload=False`` moves digests and sizes only (``record`` is null)."""
+    read = read_archive(spark, path, with_payload).filter("record_type = 'response'")
+    stored = (read.select(F.col("stored_sha256").alias("sha256"), F.col("stored_bytes").alias("payload_bytes"),
+                          "payload_digest", "payload")
+              .groupBy("sha256").agg(*[F.first(c).alias(c) for c in ("payload_bytes", "payload_digest", "payload")]))
+    if not with_payload:
+        stored = cut(stored.drop("payload"), "warc-stored").withColumn("payload", F.lit(None).cast("binary"))
+    missing = F.raise_error(F.concat(F.lit("no stored payload has the digest "), F.col("sha256"))).cast("long")
+    return (spark.read.parquet(f"{path}/headers").join(stored, "sha256", "left")
+            .select("page_id", F.coalesce("payload_bytes", missing).alias("payload_bytes"), "payload_digest",
+                    F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to",
+                    F.concat(F.col("header").cast("binary"), "payload").alias("record")))
+
+
 def round_trip(pages: DataFrame, params: WarcParams = WarcParams(), page_id: str = "page_id", url: str = "url",
                payload: str = "html") -> DataFrame:
-    """Write the archive in the shared folder, read it back: one row per page with the payload's size and digest."""
+    """Write the archive in the shared folder, read it back: one row per page with the size and digest of the
+    payload that its rebuilt record has."""
     path = scratch_path(pages.sparkSession, "warc")
     write_archive(pages, path, params, page_id, url, payload)
-    # The parsed records (without their bytes) are kept, so the files are read once.
-    records = cut(read_archive(pages.sparkSession, path, with_payload=False), "warc-records")
-    return reconstruct(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return rebuild(pages.sparkSession, path, with_payload=False).drop("record")
 
 
 def oracle_sql(least_bytes: int = 1000) -> str:

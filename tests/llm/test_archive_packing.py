@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import zlib
 
 import numpy as np
@@ -36,6 +37,30 @@ def test_archive_round_trip_restores_payloads(spark):
     assert W.round_trip(pages.limit(0)).count() == 0
 
 
+def test_records_are_rebuilt_from_headers_and_payloads(spark):
+    long = "z\r\n\r\n" * 60_000
+    rows = [(1, "http://a/1", long), (2, "http://a/2", long), (3, None, None), (4, "u", "x"), (5, "u", "x"), (None, "n", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = scratch_path(spark, "t-rebuild")
+    W.write_archive(pages, path)
+    got = W.rebuild(spark, path).collect()
+    headers = {r.page_id: r.header.encode() for r in spark.read.parquet(f"{path}/headers").collect()}
+    texts = {i: (h or "").encode() for i, _, h in rows}
+    assert {r.page_id: bytes(r.record) for r in got} == {i: headers[i] + texts[i] for i in texts}
+    assert all(r.payload_digest == hashlib.sha1(texts[r.page_id]).hexdigest() and r.payload_bytes == len(texts[r.page_id]) for r in got)
+    short = {tuple(r) for r in W.rebuild(spark, path, with_payload=False).drop("record").collect()}
+    assert short == {tuple(r)[:-1] for r in got}
+
+
+def test_a_header_without_its_payload_fails(spark):
+    path, other = scratch_path(spark, "t-missing"), scratch_path(spark, "t-missing-other")
+    W.write_archive(spark.createDataFrame([(1, "u", "a" * 2000)], "page_id long, url string, html string"), path)
+    W.write_archive(spark.createDataFrame([(1, "u", "b" * 2000)], "page_id long, url string, html string"), other)
+    spark.read.parquet(f"{other}/headers").write.mode("append").parquet(f"{path}/headers")
+    with pytest.raises(Exception, match="no stored payload"):
+        W.rebuild(spark, path, with_payload=False).collect()
+
+
 def test_a_changed_payload_is_noticed():
     import gzip
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 6\r\n\r\nH\r\n\r\nx\r\n\r\n"
