@@ -18,6 +18,20 @@ def worst_day(flights: DataFrame, p: Params) -> DataFrame:
             .orderBy(F.desc("wx_inbound"), "date").limit(1))
 
 
+def cascade_impact_by_day(flights: DataFrame, p: Params) -> DataFrame:
+    """Per day with a cascade: one-to-one matched cascades over all flights, their propagated and total minutes.
+    The matching runs on all days at once; its minutes are summed before anything is ranked."""
+    propagated = F.greatest(F.lit(0.0), F.col("inbound_arr_delay") - F.col("turnaround_gap"))
+    return (greedy_assignment(flights, p).groupBy("date")
+            .agg(F.count(F.lit(1)).alias("cascades"), F.sum(propagated).alias("propagated_delay"),
+                 F.sum(propagated + F.col("outbound_dep_delay")).alias("total_cascade_minutes")))
+
+
+def worst_cascade_day(flights: DataFrame, p: Params) -> DataFrame:
+    """The date whose matched cascades cost the most minutes (ties: earliest)."""
+    return cascade_impact_by_day(flights, p).orderBy(F.desc_nulls_last("total_cascade_minutes"), "date").limit(1)
+
+
 def risk_lookup(scores: DataFrame) -> DataFrame:
     return scores.select(pair_lo("airport_a", "airport_b").alias("_lo"), pair_hi("airport_a", "airport_b").alias("_hi"),
                          "month", "risk_score")

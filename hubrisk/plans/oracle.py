@@ -644,6 +644,12 @@ B.add("worst", f"""
 SELECT FlightDate AS date, count(*) AS wx_inbound FROM px_flight WHERE Dest = {H} AND WeatherDelay > 0
 GROUP BY FlightDate ORDER BY wx_inbound DESC, date LIMIT 1
 """, "px_flight")
+B.add("impact_days", """
+SELECT date, count(*) AS cascades, sum(greatest(0.0, inbound_arr_delay - turnaround_gap)) AS propagated_delay,
+       sum(greatest(0.0, inbound_arr_delay - turnaround_gap) + outbound_dep_delay) AS total_cascade_minutes
+FROM greedy GROUP BY date
+""", "greedy")
+B.add("worst_impact", "SELECT * FROM impact_days ORDER BY total_cascade_minutes DESC NULLS LAST, date LIMIT 1", "impact_days")
 B.add("cc", """
 SELECT g.date, origin, dest, inbound_weather_delay, inbound_arr_delay, turnaround_gap,
   greatest(0.0, inbound_arr_delay - turnaround_gap) AS propagated_delay, outbound_dep_delay,
@@ -653,6 +659,7 @@ FROM greedy g JOIN worst w ON g.date = w.date
 LEFT JOIN rs r ON least(r.airport_a, r.airport_b) = least(g.origin, g.dest)
   AND greatest(r.airport_a, r.airport_b) = greatest(g.origin, g.dest) AND r.month = g.month
 """, "greedy", "worst", "rs")
+B.add("cc_impact", B.sql["cc"].replace("JOIN worst w", "JOIN worst_impact w"), "greedy", "worst_impact", "rs")
 B.add("avoid", f"""
 WITH f AS (SELECT *, {SEASON_CASE} AS season FROM rs WHERE risk_score >= 65),
  hc AS (SELECT airport_a AS lo, airport_b AS hi, month, cascade_cost FROM cprop WHERE cascade_cost > 10000),
@@ -727,8 +734,11 @@ CC_D = ["inbound_weather_delay", "inbound_arr_delay", "propagated_delay", "outbo
         "risk_score"]
 Q["case_cascades"] = fin(B.render("SELECT * FROM cc", "cc"), doubles=CC_D,
                          ints=["turnaround_gap", "inbound_arr_time", "outbound_dep_time"])
-Q["case_study_summary"] = fin(B.render(f"""
-WITH d AS (SELECT * FROM px_flight WHERE FlightDate IN (SELECT date FROM worst)),
+
+
+def case_summary_sql(worst: str, cascades: str) -> str:
+    return f"""
+WITH d AS (SELECT * FROM px_flight WHERE FlightDate IN (SELECT date FROM {worst})),
  tr AS (SELECT FlightDate AS date, count(*) AS total_flights, count_if(Dest = {H}) AS inbound_flights,
                count_if(Origin = {H}) AS outbound_flights, count_if(Dest = {H} AND WeatherDelay > 0) AS wx_inbound,
                coalesce(sum(CASE WHEN Dest = {H} AND WeatherDelay > 0 THEN WeatherDelay END), 0.0) AS wx_delay_total,
@@ -738,9 +748,9 @@ WITH d AS (SELECT * FROM px_flight WHERE FlightDate IN (SELECT date FROM worst))
         FROM d GROUP BY FlightDate),
  th AS (SELECT k, min(score) AS threshold FROM topk CROSS JOIN {KS} ks WHERE pos <= k GROUP BY k),
  pk AS (SELECT date, count(*) AS cascading_sequences, count_if(propagated_delay > 0) AS propagated_sequences,
-               sum(total_cascade_minutes) AS total_cascade_minutes FROM cc GROUP BY date),
+               sum(total_cascade_minutes) AS total_cascade_minutes FROM {cascades} GROUP BY date),
  flg AS (SELECT date, th.k, count(*) AS flagged_sequences, sum(total_cascade_minutes) AS flagged_minutes
-         FROM cc JOIN th ON cc.risk_score >= th.threshold GROUP BY date, th.k)
+         FROM {cascades} AS cc JOIN th ON cc.risk_score >= th.threshold GROUP BY date, th.k)
 SELECT tr.date, ks.k, total_flights, inbound_flights, outbound_flights, wx_inbound,
   wx_inbound / nullif(inbound_flights, 0) * 100 AS wx_inbound_pct, wx_delay_total, wx_delay_mean, delayed_outbound,
   delayed_outbound / nullif(outbound_flights, 0) * 100 AS delayed_outbound_pct, dep_delay_total,
@@ -749,12 +759,24 @@ SELECT tr.date, ks.k, total_flights, inbound_flights, outbound_flights, wx_inbou
   coalesce(flagged_sequences, 0) AS flagged_sequences, coalesce(flagged_minutes, 0.0) AS flagged_minutes,
   coalesce(flagged_minutes, 0.0) / greatest(coalesce(total_cascade_minutes, 0.0), 1.0) * 100 AS flagged_pct,
   coalesce(flagged_minutes, 0.0) * 75.0 AS flagged_savings
-FROM tr CROSS JOIN {KS} ks LEFT JOIN pk ON pk.date = tr.date LEFT JOIN flg ON flg.date = tr.date AND flg.k = ks.k""",
+FROM tr CROSS JOIN {KS} ks LEFT JOIN pk ON pk.date = tr.date LEFT JOIN flg ON flg.date = tr.date AND flg.k = ks.k"""
+
+
+Q["case_study_summary"] = fin(B.render(case_summary_sql("worst", "cc"),
     "worst", "px_flight", "topk", "cc"),
     doubles=["wx_inbound_pct", "wx_delay_total", "wx_delay_mean", "delayed_outbound_pct", "dep_delay_total",
              "total_cascade_minutes", "total_cost", "flagged_minutes", "flagged_pct", "flagged_savings"],
     ints=["k", "total_flights", "inbound_flights", "outbound_flights", "wx_inbound", "delayed_outbound",
           "cascading_sequences", "propagated_sequences", "flagged_sequences"])
+Q["worst_cascade_summary"] = fin(B.render(case_summary_sql("worst_impact", "cc_impact"),
+    "worst_impact", "px_flight", "topk", "cc_impact"),
+    doubles=["wx_inbound_pct", "wx_delay_total", "wx_delay_mean", "delayed_outbound_pct", "dep_delay_total",
+             "total_cascade_minutes", "total_cost", "flagged_minutes", "flagged_pct", "flagged_savings"],
+    ints=["k", "total_flights", "inbound_flights", "outbound_flights", "wx_inbound", "delayed_outbound",
+          "cascading_sequences", "propagated_sequences", "flagged_sequences"])
+IMPACT_D = ["propagated_delay", "total_cascade_minutes"]
+Q["cascade_impact_by_day"] = fin(B.render("SELECT * FROM impact_days", "impact_days"), doubles=IMPACT_D, ints=["cascades"])
+Q["worst_cascade_day"] = fin(B.render("SELECT * FROM worst_impact", "worst_impact"), doubles=IMPACT_D, ints=["cascades"])
 Q["case_pair_summary"] = fin(B.render("""
 SELECT date, origin, dest, count(*) AS n_sequences, sum(total_cascade_minutes) AS total_cascade,
        avg(total_cascade_minutes) AS avg_cascade, avg(risk_score) AS risk_score,

@@ -423,6 +423,24 @@ def _q(spark, sf):
     return worst(spark, sf)
 
 
+@query("cascade_impact_by_day")
+def _q(spark, sf):
+    return CS.cascade_impact_by_day(data(spark, sf).flights, P)
+
+
+@query("worst_cascade_day")
+def _q(spark, sf):
+    return CS.worst_cascade_day(data(spark, sf).flights, P)
+
+
+@query("worst_cascade_summary")
+def _q(spark, sf):
+    """The case study of the day with the greatest cascade impact."""
+    flights, rs = data(spark, sf).flights, scores(spark, sf)
+    day = stage(spark, sf, "worst_cascade_day", lambda: CS.worst_cascade_day(flights, P)).select("date")
+    return CS.case_study_summary(flights, rs, CS.case_cascades(flights, rs, P, day), P, day)
+
+
 @query("case_cascades")
 def _q(spark, sf):
     return case_rows(spark, sf)
@@ -628,6 +646,14 @@ def _q(spark, sf):
     return m.importances().withColumn("hub_weather", F.col("feature").startswith("wx_hub_"))
 
 
+@query("risk_scores_learned")
+def _q(spark, sf):
+    """Risk scores reweighted by the importances of the classifier trained on the same data."""
+    m, _ = model(spark, sf)
+    return (RK.risk_scores_reweighted(pair_feats(spark, sf), m.importances(), P)
+            .select("airport_a", "airport_b", "month", "risk_score", "risk_rank"))
+
+
 @query("model_facts")
 def _q(spark, sf):
     """What must hold of any trained classifier: test rows, features used, probabilities and importances in
