@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from hubrisk.llm.common import cut, map_batches, sized_hint
+from hubrisk.llm.common import cut, give_back, map_batches, sized_hint
 from hubrisk.llm.components import components
 from hubrisk.llm.marks import MarkParams, Marks, repeated_marks
 from hubrisk.llm.shingles import WordHash, set_key, shingle_set
@@ -104,7 +104,11 @@ def prepare(words: DataFrame, p: JoinParams) -> DataFrame:
                 out["shingles"].append(s.tobytes() if found else None)
                 out["signature"].append(signature(s) if found else None)
             yield out
-    return cut(map_batches(words, run, PREPARED), "shingle-sets")
+        del seen, marks
+        give_back()
+    prepared = cut(map_batches(words, run, PREPARED), "shingle-sets")
+    sent.destroy()
+    return prepared
 
 
 # --- candidates ------------------------------------------------------------------------------

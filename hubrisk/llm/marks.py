@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from hubrisk.llm.common import map_batches
+from hubrisk.llm.common import give_back, map_batches
 
 
 @dataclass(frozen=True)
@@ -87,6 +87,8 @@ def repeated_marks(texts: DataFrame, reader: Callable[[], Callable[[bytes | None
                 held, size = [], 0
         if size:
             yield out()
+        del read, held
+        give_back()
 
     mark_bits, often_bits, often = p.mark_bits, p.often_bits, p.often
 

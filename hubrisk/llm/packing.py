@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubrisk.llm.common import map_batches
+from hubrisk.llm.common import give_back, map_batches
 
 
 @dataclass(frozen=True)
@@ -346,5 +346,7 @@ def pack(docs: DataFrame, tokenizer: str, params: PackParams = PackParams(), doc
                     sequence, pool, held = sequence + used, [], 0
         if pool:
             yield pack_pool(pool, params, sequence)[0]
+        del words, pool
+        give_back()
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return map_batches(src, run, PIECES)
