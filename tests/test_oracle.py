@@ -11,7 +11,7 @@ import __spark_entry__ as E
 SF = os.environ.get("HUBRISK_TEST_SF", "/root/testdata/sf0.001")
 FAST_KEYS = ["weather_daily", "metar_daily", "airport_month_stats", "sequences", "cascade_events",
              "cascade_airport_days", "greedy_assignment", "pair_features", "risk_scores", "avoid_list",
-             "swap_recommendations", "impact_by_k", "baseline_comparison", "auc_roc", "average_precision"]
+             "swap_recommendations", "impact_by_k", "cascade_impact_by_day", "worst_cascade_day", "worst_cascade_summary", "baseline_comparison", "auc_roc", "average_precision"]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 

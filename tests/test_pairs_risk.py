@@ -112,3 +112,11 @@ def test_day_bitmaps_equal_a_plain_count(make_flights, spark, params):
     for r in PR.pair_cooccurrence(daily, {"cx": "x", "cy": "y"}, flight_dates(fl), spine).collect():
         both = [d for d in seen[r.month] if (r.airport_a, d) in hits and (r.airport_b, d) in hits]
         assert abs(r.cx - len(both) / len(seen[r.month])) < 1e-12 and r.cy == 0.0
+
+
+def test_weights_from_an_importance_table_equal_those_of_a_dict(spark):
+    known = {"conditional_delay_prob": 0.4, "joint_weather_delay_prob": 0.1, "wx_hub_precip": 0.5}
+    rows = spark.createDataFrame(list(known.items()), "feature string, importance double")
+    weights = RK.importance_weights(rows)
+    assert weights == RK.importance_weights(known) and abs(sum(weights.values()) - 1.0) < 1e-12
+    assert weights["conditional_delay_prob"] > weights["joint_weather_delay_prob"] > weights["thunderstorm_co_occurrence"]

@@ -184,3 +184,18 @@ def test_salts_follow_the_counted_pairs(make_flights, params, spark):
             spark.conf.set("spark.sql.adaptive.enabled", "true")
         assert len(tasks) == 8 and tasks[-1] <= 2 * tasks[len(tasks) // 2] < before[-1]
     assert SQ.hot_bins(inb.limit(0).withColumn("_bin", F.lit(1)), outb.withColumn("_bin", F.lit(1)), 1) is None
+
+
+def test_worst_cascade_day_counts_minutes_not_flights(make_flights, params):
+    from hubrisk.operators import casestudy as CS
+    from tests.conftest import flight
+    hub = params.hub
+    # many weather-delayed arrivals that delay nothing, against one that costs much
+    many = [flight(f"a{i}", "2024-03-01", "AAA", hub, crs=600.0 + i, arr_delay=20.0, wx=20.0) for i in range(5)]
+    one = [flight("b", "2024-03-02", "AAA", hub, crs=600.0, arr_delay=200.0, wx=200.0),
+           flight("c", "2024-03-02", hub, "BBB", crs=730.0, dep_delay=120.0)]
+    f = make_flights(many + one)
+    assert str(CS.worst_day(f, params).first().date) == "2024-03-01"
+    worst = CS.worst_cascade_day(f, params).first()
+    assert (str(worst.date), worst.cascades, worst.propagated_delay, worst.total_cascade_minutes) == ("2024-03-02", 1, 110.0, 230.0)
+    assert CS.cascade_impact_by_day(make_flights([]), params).count() == 0
