@@ -6,16 +6,18 @@ smaller doc_id, or an earlier start in one document. All copies but the first ar
 1. Sieve. In each window of ``size`` bytes the smallest hash of its ``gram``-byte grams is its anchor
    value. Equal windows have equal anchor values, so a window whose value occurs once in the corpus
    repeats nowhere. ``marks`` counts all values; only windows with repeated values go on.
+   (Anchors are minima, so they crowd at low numbers: ``spread`` mixes them before anything is dealt by them.)
 2. Shards. Neighbouring windows with one value form a segment (its bytes once), which goes to the
    shard of its value: equal windows always meet in one shard, wherever they lie. Very frequent
-   values are salted into 16 shards by document.
+   values are salted by document into ``salts`` shards, or more where the session has many shuffle partitions.
 3. Per shard: identical segments are reduced to the first, and those left without a partner of their
    value are done. The others get a suffix array by
    Larsson-Sadakane refinement (sort by seven symbols, then double the sorted depth, re-sorting
    only groups still tied) and Kasai's common prefixes (all segments in step); runs of common
    prefixes of ``size`` or more are equal windows, the earliest of which stays.
-4. Merge. What stays of salted shards meets again per value range: each shard's sorted windows are
-   looked up in those of the shards before it by binary search.
+4. Merge. The first windows of salted shards meet again, dealt anew by the anchors of longer grams
+   (``fine`` bytes): the many different texts around one hot passage go to as many ranges. In a range each
+   shard's sorted windows are looked up in those of the shards before it by binary search.
 5. Removed runs are joined to the texts by id.
 
 Memory: a shard holds its share of the repeated segments; the number of shards follows the
@@ -31,7 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -49,7 +51,9 @@ NO_ID = -(1 << 63)
 class SuffixParams:
     size: int = 100
     gram: int = 48              # long enough that equal grams by chance are rare
-    salts: int = 16             # shards of a very frequent value
+    fine: int = 88              # grams by which the first windows of salted shards are dealt anew
+    salts: int = 16             # shards of a very frequent value, at least
+    salt_share: int = 32        # shuffle partitions of the session that give one salt
     flush: int = 16 << 20       # segment bytes a task holds before it sends them
     shard_bits: int = 5         # shards of a hash range: a shard is to hold a few MB at most
     marks: MarkParams = MarkParams(often_bits=20)
@@ -102,13 +106,23 @@ def window_values(text: bytes, p: SuffixParams) -> tuple[np.ndarray, np.ndarray]
     return h, sliding(h, p.size - p.gram + 1, np.minimum)
 
 
+def spread(values: np.ndarray) -> np.ndarray:
+    """A one-to-one mix: minima of many hashes lie near 0 and would fill the first ranges, shards and slices of
+    bitmaps; their mixed values lie evenly."""
+    v = values ^ (values >> np.uint64(32))
+    v *= MULTIPLIER
+    v ^= v >> np.uint64(29)
+    v *= P1
+    return v ^ (v >> np.uint64(32))
+
+
 def anchors(text: bytes | None, p: SuffixParams) -> np.ndarray:
-    """The anchor values of a text, once for each place where one lies."""
+    """The spread anchor values of a text, once for each place where one lies."""
     if text is None or len(text) < p.size:
         return np.empty(0, np.uint64)
     h, low = window_values(text, p)
     pad = np.zeros(p.size - p.gram, np.uint64)
-    return h[sliding(np.concatenate([pad, low, pad]), p.size - p.gram + 1, np.maximum) == h]
+    return spread(h[sliding(np.concatenate([pad, low, pad]), p.size - p.gram + 1, np.maximum) == h])
 
 
 # --- suffix arrays ---------------------------------------------------------------------------
@@ -318,6 +332,7 @@ def send_segments(texts: DataFrame, p: SuffixParams) -> DataFrame:
     marked = repeated_marks(texts.select("text"), lambda: lambda t: anchors(t, p), p.marks)
     sent = texts.sparkSession.sparkContext.broadcast((marked.repeated, marked.often, marked.theta))  # fixed size
     shard_bits, mp = log2_ranges(texts, p.marks) + p.shard_bits, p.marks
+    salts = max(p.salts, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // p.salt_share)
     names = [c.split()[0] for c in SENT.split(", ")]
 
     def run(batches: Iterator[list[list]]) -> Iterator[dict]:
@@ -342,11 +357,11 @@ def send_segments(texts: DataFrame, p: SuffixParams) -> DataFrame:
                     continue
                 low = window_values(text, p)[1]
                 a = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-                v, b = low[a], np.append(a[1:], len(low))
+                v, b = spread(low[a]), np.append(a[1:], len(low))
                 level = marks.level(v)
                 for k in np.flatnonzero(~marks.single(v, level)):
                     shard = int(v[k]) >> (64 - shard_bits)
-                    salt = 1 + hash(d) % p.salts if level[k] == 2 else 0
+                    salt = 1 + hash(d) % salts if level[k] == 2 else 0
                     piece = text[a[k]:b[k] - 1 + p.size]
                     held.setdefault((shard, salt), []).append((d, t, int(a[k]), piece))
                     size += len(piece)
@@ -358,7 +373,22 @@ def send_segments(texts: DataFrame, p: SuffixParams) -> DataFrame:
     return map_batches(texts, run, SENT)
 
 
-def resolve_shard(size: int, gram: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def dealt_anew(segment: tuple[int, int, int, bytes], hit: np.ndarray | None, p: SuffixParams,
+               bits: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(range, id, hash, start, bytes) of the windows of a segment that are not ``hit``: neighbours with one
+    anchor of ``fine`` bytes together, since equal windows have equal ones."""
+    d, t, s, b = segment
+    low = spread(window_values(b, replace(p, gram=p.fine))[1])
+    open_ = np.ones(len(low), bool) if hit is None else ~hit
+    a = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (open_[1:] != open_[:-1])]))
+    for x, y in zip(a.tolist(), np.append(a[1:], len(low)).tolist()):
+        if open_[x]:
+            yield int(low[x]) >> (64 - bits), d, t, s + x, b[x:y - 1 + p.size]
+
+
+def resolve_shard(p: SuffixParams, bits: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    size = p.size
+
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         segments: Segments = []
         gone: list[tuple[int, int, int, int]] = []
@@ -373,14 +403,16 @@ def resolve_shard(size: int, gram: int) -> Callable[[pd.DataFrame], pd.DataFrame
                 at += n
         stay, more = reduce_copies(segments)
         gone += more
-        rest = [x for x, no in zip(stay, without_partner(stay, gram)) if not no] if stay else []
-        if rest:
-            for (d, t, s, _), hit in zip(rest, repeated_windows(rest, size)):
-                gone += [(d, t, s + a, s + b - 1 + size) for a, b in runs(hit)]
+        alone = without_partner(stay, p.gram) if stay else []
+        rest = [x for x, no in zip(stay, alone) if not no]
+        hits = repeated_windows(rest, size) if rest else []
+        for (d, t, s, _), hit in zip(rest, hits):
+            gone += [(d, t, s + a, s + b - 1 + size) for a, b in runs(hit)]
         shard, salt = int(pdf["shard"].iloc[0]), int(pdf["salt"].iloc[0])
         rows = [(shard, salt, *g, None) for g in gone]
-        if salt:  # meets the other salts again
-            rows += [(shard, salt, d, t, s, s + len(b), b) for d, t, s, b in stay]
+        if salt:  # its first windows meet those of the other salts
+            first = [(x, None) for x, no in zip(stay, alone) if no] + list(zip(rest, hits))
+            rows += [(g, salt, d, t, s, s + len(b), b) for x, hit in first for g, d, t, s, b in dealt_anew(x, hit, p, bits)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
     return resolve
 
@@ -409,7 +441,8 @@ def removed_runs(docs: DataFrame, params: SuffixParams = SuffixParams(), doc_id:
                  text: str = "text") -> DataFrame:
     """(doc, hash, start, stop) of removed bytes; runs of one document may overlap. ``hash`` names the text."""
     sent = send_segments(keyed(docs, doc_id, text), params)
-    found = cut(sent.groupBy("shard", "salt").applyInPandas(resolve_shard(params.size, params.gram), FOUND), "suffix-runs")
+    bits = log2_ranges(docs, params.marks) + params.shard_bits
+    found = cut(sent.groupBy("shard", "salt").applyInPandas(resolve_shard(params, bits), FOUND), "suffix-runs")
     again = found.filter("data IS NOT NULL").groupBy("shard").applyInPandas(merge_salts(params.size), FOUND)
     return found.filter("data IS NULL").unionByName(again).select("doc", "hash", "start", "stop")
 

@@ -143,3 +143,30 @@ def test_suffix_arrays_and_prefixes():
     for _ in range(20):
         s = bytes(rnd.choice(b"ab\x00") for _ in range(rnd.randint(1, 150)))
         assert X.suffix_array(np.frombuffer(s, np.uint8).astype(np.uint16) + 1).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_anchor_values_lie_evenly():
+    """Minima of hashes crowd near 0; marks and shards are dealt by their mixed values."""
+    import numpy as np
+    rnd = random.Random(8)
+    p = X.SuffixParams()
+    v = X.anchors(bytes(rnd.choice(b"abcdefgh ") for _ in range(200_000)), p)
+    slices = np.bincount((v >> np.uint64(60)).astype(np.int64), minlength=16)
+    assert slices.max() < 1.3 * slices.mean() and slices.min() > 0.7 * slices.mean()
+    raw = np.arange(1000, dtype=np.uint64)
+    assert len(np.unique(X.spread(raw))) == 1000
+
+
+def test_windows_around_a_hot_passage_are_dealt_to_many_ranges():
+    """Segments of one anchor value with different texts around it: no range gets a large share of their windows."""
+    rnd = random.Random(9)
+    p = X.SuffixParams()
+    core, sizes = "".join(rnd.choice("abcdefgh ") for _ in range(60)), {}
+    for d in range(300):
+        edge = "".join(rnd.choice("abcdefgh ") for _ in range(46))
+        text = (edge + core + edge[::-1]).encode()
+        for g, _, _, s, b in X.dealt_anew((d, 0, 0, text), None, p, 8):
+            assert text[s:s + len(b)] == b
+            sizes[g] = sizes.get(g, 0) + len(b) - p.size + 1
+    total = 300 * (60 + 92 - p.size + 1)
+    assert sum(sizes.values()) == total and max(sizes.values()) < total / 20
