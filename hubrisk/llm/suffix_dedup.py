@@ -167,6 +167,10 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         h *= 2
 
 
+#: The lowest bits of the seven symbols of a key, last symbol first.
+SYMBOL_BITS = np.int64(1) << np.arange(0, 63, 9, dtype=np.int64)
+
+
 def common_prefixes(symbols: np.ndarray, sa: np.ndarray, starts: np.ndarray, windows: np.ndarray, cap: int) -> np.ndarray:
     """Kasai: by suffix-array place, the common prefix (at most ``cap``, not across symbol 0) with the
     suffix before it, for the first ``windows`` places of each segment. All segments move in step,
@@ -176,32 +180,30 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, starts: np.ndarray, win
     place[sa] = np.arange(n)
     padded = np.concatenate([symbols, np.zeros(cap + 8, symbols.dtype)])
     key = sevens(padded)
-    zeros = np.append(0, np.cumsum(padded == 0))
-    whole = np.append(zeros[7:-1] == zeros[:-8], np.zeros(7, bool))  # no symbol 0 among the seven
+    # From each place, symbols before the next separator (7 at most are looked at).
+    to_zero = np.minimum.accumulate(np.where(padded == 0, np.arange(len(padded)), len(padded))[::-1])[::-1] - np.arange(len(padded))
     out = np.zeros(n, np.int64)
     by_length = np.argsort(-windows, kind="stable")
     starts, windows = starts[by_length], windows[by_length]
     length = np.zeros(len(starts), np.int64)
-    for t in range(int(windows[0]) if len(windows) else 0):
-        m = int(np.searchsorted(-windows, -t, side="left"))  # segments with more than t windows
+    ends = np.searchsorted(-windows, -np.arange(int(windows[0])), side="left") if len(windows) else []
+    for t, m in enumerate(ends):  # m segments have more than t windows
         i = starts[:m] + t
         at = place[i]
         j = sa[at - 1]
         l = np.maximum(length[:m] - 1, 0)
         l[at == 0] = 0
-        live = np.flatnonzero((at > 0) & (l < cap))
-        while len(live):  # seven symbols at a time, then one by one
-            a = i[live] + l[live]
-            live = live[(key[a] == key[j[live] + l[live]]) & whole[a]]
-            l[live] += 7
-            live = live[l[live] < cap]
+        live = at.nonzero()[0]
+        a, b = i + l, j + l
+        if len(live) < m:
+            a, b = a[live], b[live]
+        while len(live):  # equal symbols among the next seven: read off the highest bit that differs
+            same = np.minimum(7 - SYMBOL_BITS.searchsorted(key[a] ^ key[b], side="right"), to_zero[a])
+            now = l[live] + same
+            l[live] = now
+            on = ((same == 7) & (now < cap)).nonzero()[0]
+            live, a, b = live[on], a[on] + 7, b[on] + 7
         np.minimum(l, cap, out=l)
-        live = np.flatnonzero((at > 0) & (l < cap))
-        while len(live):
-            a, b = padded[i[live] + l[live]], padded[j[live] + l[live]]
-            live = live[(a == b) & (a != 0)]
-            l[live] += 1
-            live = live[l[live] < cap]
         out[at] = l
         length[:m] = l
     return out
@@ -213,7 +215,7 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, starts: np.ndarray, win
 Segments = list[tuple[int, int, int, bytes]]
 
 
-STEP = 64  # windows that one run of Kasai's algorithm covers
+STEP = 32  # windows that one run of Kasai's algorithm covers
 
 
 def runs(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -253,8 +255,9 @@ def without_partner(segments: Segments, gram: int) -> np.ndarray:
     return (count[number] == 1) & (times == 1)
 
 
-def repeated_windows(segments: Segments, size: int) -> list[np.ndarray]:
-    """Per (distinct) segment: which of its windows also start earlier, by suffix array."""
+def repeated_windows(segments: Segments, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per (distinct) segment: which of its windows also start earlier, by suffix array; and the bytes
+    that they cover as rows (id, hash, from, to)."""
     sizes = np.array([len(b) for *_, b in segments], np.int64)
     symbols = np.frombuffer(b"".join(b for *_, b in segments), np.uint8).astype(np.uint16) + np.uint16(1)
     symbols = np.insert(symbols, np.cumsum(sizes), 0)  # a separator after each segment
@@ -271,8 +274,8 @@ def repeated_windows(segments: Segments, size: int) -> list[np.ndarray]:
     text_at = sa[many]
     owner = np.searchsorted(starts, text_at, side="right") - 1
     offset = text_at - starts[owner]
-    d, t, s = (np.array([x[k] for x in segments], np.int64) for k in range(3))
-    d, t, s, g = d[owner], t[owner], s[owner] + offset, group[many]
+    ids, texts, first = (np.array([x[k] for x in segments], np.int64) for k in range(3))
+    d, t, s, g = ids[owner], texts[owner], first[owner] + offset, group[many]
     order = np.lexsort((s, t, d, g))
     head = np.ones(len(order), bool)
     head[1:] = g[order][1:] != g[order][:-1]
@@ -281,7 +284,13 @@ def repeated_windows(segments: Segments, size: int) -> list[np.ndarray]:
     later[order] = (d[order] != d[lead]) | (t[order] != t[lead]) | (s[order] != s[lead])
     hit = np.zeros(len(symbols), bool)
     hit[text_at[later]] = True
-    return [hit[a:a + w] for a, w in zip(starts, windows)]
+    # No window starts in a segment's last bytes, so runs end with their segment.
+    edge = np.flatnonzero(hit[1:] != hit[:-1]) + 1
+    a, b = (edge[::2], edge[1::2]) if not hit[0] else (np.append(0, edge[1::2]), edge[::2])
+    owner = np.searchsorted(starts, a, side="right") - 1
+    to = first[owner] - starts[owner]
+    covered = np.column_stack([ids[owner], texts[owner], a + to, b + to - 1 + size])
+    return [hit[x:x + w] for x, w in zip(starts, windows)], covered
 
 
 def merged_windows(shards: list[Segments], size: int) -> list[list[np.ndarray]]:
@@ -324,6 +333,7 @@ def merged_windows(shards: list[Segments], size: int) -> list[list[np.ndarray]]:
 # --- Spark -----------------------------------------------------------------------------------
 
 SENT = "shard int, salt int, docs array<long>, hashes array<long>, starts array<int>, sizes array<int>, data binary"
+RUN = ("doc", "hash", "start", "stop")
 FOUND = "shard int, salt int, doc long, hash long, start long, stop long, data binary"
 
 
@@ -405,15 +415,16 @@ def resolve_shard(p: SuffixParams, bits: int) -> Callable[[pd.DataFrame], pd.Dat
         gone += more
         alone = without_partner(stay, p.gram) if stay else []
         rest = [x for x, no in zip(stay, alone) if not no]
-        hits = repeated_windows(rest, size) if rest else []
-        for (d, t, s, _), hit in zip(rest, hits):
-            gone += [(d, t, s + a, s + b - 1 + size) for a, b in runs(hit)]
+        hits, covered = repeated_windows(rest, size) if rest else ([], np.empty((0, 4), np.int64))
         shard, salt = int(pdf["shard"].iloc[0]), int(pdf["salt"].iloc[0])
-        rows = [(shard, salt, *g, None) for g in gone]
-        if salt:  # its first windows meet those of the other salts
-            first = [(x, None) for x, no in zip(stay, alone) if no] + list(zip(rest, hits))
-            rows += [(g, salt, d, t, s, s + len(b), b) for x, hit in first for g, d, t, s, b in dealt_anew(x, hit, p, bits)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
+        spans = np.concatenate([np.array(gone, np.int64).reshape(-1, 4), covered])
+        out = pd.DataFrame({"shard": shard, "salt": salt, **{n: spans[:, k] for k, n in enumerate(RUN)}, "data": None})
+        if not salt:
+            return out
+        # The first windows of a salted shard meet those of the other salts.
+        first = [(x, None) for x, no in zip(stay, alone) if no] + list(zip(rest, hits))
+        again = [(g, salt, d, t, s, s + len(b), b) for x, hit in first for g, d, t, s, b in dealt_anew(x, hit, p, bits)]
+        return pd.concat([out, pd.DataFrame(again, columns=out.columns)]) if again else out
     return resolve
 
 
