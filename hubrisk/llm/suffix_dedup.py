@@ -32,6 +32,7 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -56,6 +57,7 @@ class SuffixParams:
     salt_share: int = 32        # shuffle partitions of the session that give one salt
     flush: int = 16 << 20       # segment bytes a task holds before it sends them
     shard_bits: int = 5         # shards of a hash range: a shard is to hold a few MB at most
+    merge_bits: int = 2         # ranges of a hash range for the first windows of salted shards
     marks: MarkParams = MarkParams(often_bits=20)
 
 
@@ -299,15 +301,15 @@ def merged_windows(shards: list[Segments], size: int) -> list[list[np.ndarray]]:
     texts, owners = np.empty(0, f"S{size}"), np.empty((0, 5), np.int64)  # owner: id, hash, start, shard, window number
     hits = []
     for k, segments in enumerate(shards):
-        own, where = [], []
-        for d, t, s, b in segments:
-            view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b, np.uint8), size)
-            own.append(np.ascontiguousarray(view).view(f"S{size}").ravel())
-            where += [(d, t, s + j) for j in range(len(own[-1]))]
-        words = np.concatenate(own)
+        windows = np.array([len(b) - size + 1 for *_, b in segments])
+        words = np.concatenate([np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(
+            np.frombuffer(b, np.uint8), size)).view(f"S{size}").ravel() for *_, b in segments])
+        number = np.arange(len(words))
+        step = number - np.repeat(np.cumsum(windows) - windows, windows)
+        d, t, s = (np.repeat(np.array([x[c] for x in segments], np.int64), windows) for c in range(3))
+        mine = np.column_stack([d, t, s + step, np.full(len(words), k), number])
         hit = np.zeros(len(words), bool)
         hits.append(hit)
-        mine = np.column_stack([np.array(where, np.int64), np.full(len(words), k), np.arange(len(words))])
         at = np.searchsorted(texts, words)
         known = np.zeros(len(words), bool)
         inside = at < len(texts)
@@ -347,7 +349,7 @@ def send_segments(texts: DataFrame, p: SuffixParams) -> DataFrame:
 
     def run(batches: Iterator[list[list]]) -> Iterator[dict]:
         marks = Marks(*sent.value, mp.mark_bits, mp.often_bits)
-        held: dict[tuple[int, int], Segments] = {}
+        held: defaultdict[tuple[int, int], Segments] = defaultdict(list)
         size = 0
 
         def out() -> dict:
@@ -369,15 +371,16 @@ def send_segments(texts: DataFrame, p: SuffixParams) -> DataFrame:
                 a = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
                 v, b = spread(low[a]), np.append(a[1:], len(low))
                 level = marks.level(v)
-                for k in np.flatnonzero(~marks.single(v, level)):
-                    shard = int(v[k]) >> (64 - shard_bits)
-                    salt = 1 + hash(d) % salts if level[k] == 2 else 0
-                    piece = text[a[k]:b[k] - 1 + p.size]
-                    held.setdefault((shard, salt), []).append((d, t, int(a[k]), piece))
-                    size += len(piece)
+                k = np.flatnonzero(~marks.single(v, level))
+                salt = 1 + hash(d) % salts
+                places = zip((v[k] >> np.uint64(64 - shard_bits)).tolist(), np.where(level[k] == 2, salt, 0).tolist(),
+                             a[k].tolist(), (b[k] - 1 + p.size).tolist())
+                for *key, x, y in places:
+                    held[*key].append((d, t, x, text[x:y]))
+                    size += y - x
             if size >= p.flush:
                 yield out()
-                held, size = {}, 0
+                held, size = defaultdict(list), 0
         if size:
             yield out()
     return map_batches(texts, run, SENT)
@@ -428,10 +431,16 @@ def resolve_shard(p: SuffixParams, bits: int) -> Callable[[pd.DataFrame], pd.Dat
     return resolve
 
 
-def merge_salts(size: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def merge_salts(p: SuffixParams) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    size = p.size
+
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        shards = [list(zip(g["doc"].tolist(), g["hash"].tolist(), g["start"].tolist(), g["data"]))
-                  for _, g in pdf.groupby("salt")]
+        segments = list(zip(*(pdf[c].tolist() for c in RUN[:3]), pdf["data"]))
+        by_salt: defaultdict[int, Segments] = defaultdict(list)
+        for salt, segment, alone in zip(pdf["salt"].tolist(), segments, without_partner(segments, p.fine).tolist()):
+            if not alone:  # most texts around a hot passage are
+                by_salt[salt].append(segment)
+        shards = [by_salt[k] for k in sorted(by_salt)]
         rows = [(-1, 0, d, t, s + a, s + b - 1 + size, None)
                 for segments, hits in zip(shards, merged_windows(shards, size))
                 for (d, t, s, _), hit in zip(segments, hits) for a, b in runs(hit)]
@@ -452,9 +461,9 @@ def removed_runs(docs: DataFrame, params: SuffixParams = SuffixParams(), doc_id:
                  text: str = "text") -> DataFrame:
     """(doc, hash, start, stop) of removed bytes; runs of one document may overlap. ``hash`` names the text."""
     sent = send_segments(keyed(docs, doc_id, text), params)
-    bits = log2_ranges(docs, params.marks) + params.shard_bits
+    bits = log2_ranges(docs, params.marks) + params.merge_bits
     found = cut(sent.groupBy("shard", "salt").applyInPandas(resolve_shard(params, bits), FOUND), "suffix-runs")
-    again = found.filter("data IS NOT NULL").groupBy("shard").applyInPandas(merge_salts(params.size), FOUND)
+    again = found.filter("data IS NOT NULL").groupBy("shard").applyInPandas(merge_salts(params), FOUND)
     return found.filter("data IS NULL").unionByName(again).select("doc", "hash", "start", "stop")
 
 
