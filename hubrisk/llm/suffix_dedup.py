@@ -55,7 +55,7 @@ class SuffixParams:
     fine: int = 88              # grams by which the first windows of salted shards are dealt anew
     salts: int = 16             # shards of a very frequent value, at least
     salt_share: int = 32        # shuffle partitions of the session that give one salt
-    flush: int = 16 << 20       # segment bytes a task holds before it sends them
+    flush: int = 32 << 20       # segment bytes a task holds before it sends them
     shard_bits: int = 5         # shards of a hash range: a shard is to hold a few MB at most
     merge_bits: int = 2         # ranges of a hash range for the first windows of salted shards
     marks: MarkParams = MarkParams(often_bits=20)
