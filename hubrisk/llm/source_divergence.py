@@ -146,7 +146,8 @@ NO_TERM = -1  # leaf beyond a block's last term
 
 
 def block_distances(pdf: pd.DataFrame, p: DivergenceParams) -> pd.DataFrame:
-    """Distances over one block between the sources of two tiles (each pair once, smaller name first)."""
+    """Distances over one block between the sources of two tiles (each pair once, smaller name first:
+    a group's rows come in any order, another in each block)."""
     width = int(pdf["width"].iloc[0])
     leaves = np.full((len(pdf), 1 << (width - 1).bit_length()), NO_TERM, np.int64)
     leaves[:, :width] = 0
@@ -164,7 +165,7 @@ def block_distances(pdf: pd.DataFrame, p: DivergenceParams) -> pd.DataFrame:
                 continue
             def price(a: np.ndarray, b: np.ndarray, wi: int = int(whole[i]), wj: int = int(whole[j])) -> np.ndarray:
                 return np.where(a == NO_TERM, 0, np.abs(shares(a, wi, p) - shares(b, wj, p)))
-            rows.append((names[i], names[j], priced(root[i], root[j], values, children, price)))
+            rows.append((*sorted((names[i], names[j])), priced(root[i], root[j], values, children, price)))
     out = pd.DataFrame(rows, columns=["one", "other", "value"])
     out.insert(0, "lang", pdf["lang"].iloc[0])
     return out

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from hubrisk.llm import source_divergence as V
@@ -82,3 +83,11 @@ def test_shares_are_exact():
     counts = np.array([0, 1, 7, 10**9, 2 * 10**14])
     for whole in (int(counts.sum()) + 35, 28 * 10**13):
         assert V.shares(counts, whole, p).tolist() == [1 + V.UNIT * (int(c) + 5) // whole for c in counts]
+
+
+def test_blocks_name_a_pair_alike_whatever_the_order_of_rows():
+    rows = pd.DataFrame({"lang": "en", "source": ["b", "a", "é"], "tile": 0, "low": 0, "high": 0, "width": 2, "kept": 2, "total": [3, 1, 0],
+                         "places": [[0, 1], [1], None], "counts": [[1, 2], [1], None]})
+    one, other = (V.block_distances(x.reset_index(drop=True), V.DivergenceParams()) for x in (rows, rows[::-1]))
+    assert sorted(one.itertuples(index=False)) == sorted(other.itertuples(index=False))
+    assert sorted(zip(one["one"], one["other"], strict=True)) == [("a", "b"), ("a", "é"), ("b", "é")]
