@@ -124,3 +124,21 @@ def test_stop_round_and_no_validation(spark, params):
     df = _labelled(spark).where("year = 2019")
     model = ML.train_trees(df, params, max_iter=6, patience=2, max_depth=2)
     assert model.rounds() == 4 and model.stages is None
+
+
+def test_fit_rows_are_chosen_before_wide_columns_are_joined(spark, monkeypatch):
+    from hubrisk.operators import ml as ML
+    from hubrisk.operators import sequences as SQ
+    from hubrisk.plans import registry as R
+    sf = "/root/testdata/sf0.001"
+    d = R.data(spark, sf)
+    whole = ML.temporal_split(SQ.sequences_enriched(d.flights, R.pair_feats(spark, sf), R.daily_weather(spark, sf), R.P), R.P)
+    labelled, unseen = whole.where("split IN ('train', 'validation')").drop("split"), whole.where("split = 'test'").drop("split")
+    ids = ["in_flight_id", "out_flight_id"]
+    for most in (100, 100_000):
+        monkeypatch.setattr(R, "FIT_ROWS", most)
+        got, want = R.fit_rows(spark, sf), ML.fit_sample(labelled, most)
+        assert sorted(got.columns) == sorted(want.columns)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert sorted(map(str, R.unseen_rows(spark, sf).select(*unseen.columns).collect())) == sorted(map(str, unseen.collect()))
+    assert got.select(*ids).count() == labelled.count() > 100
