@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from hubrisk.operators import sequences as SQ
 from tests.conftest import flight
 
@@ -199,3 +201,23 @@ def test_worst_cascade_day_counts_minutes_not_flights(make_flights, params):
     worst = CS.worst_cascade_day(f, params).first()
     assert (str(worst.date), worst.cascades, worst.propagated_delay, worst.total_cascade_minutes) == ("2024-03-02", 1, 110.0, 230.0)
     assert CS.cascade_impact_by_day(make_flights([]), params).count() == 0
+
+
+def test_cascade_totals_equal_paired_events(make_flights, params):
+    pick = random.Random(7)
+    values = [0.0, 5.0, 50.0, 45.0, 60.5, 120.0, 480.0, 600.0, -30.0, None]
+    rows = []
+    for i in range(400):
+        spoke = pick.choice(["A", "B", "C", None])
+        inbound = pick.random() < 0.5
+        odd = float("nan") if i == 7 else float("inf") if i == 8 else pick.choice(values)
+        rows.append(flight(f"f{i % 390}", pick.choice(["2019-01-01", "2019-01-02", "2019-02-01"]), *((spoke, "HUB") if inbound else ("HUB", spoke)),
+                           pick.choice([None, *(100.0 * h + m for h in range(24) for m in (0, 15, 59))]), odd,
+                           pick.choice(values), pick.choice(values), pick.choice(values)))
+    df = make_flights(rows)
+    got = {r[:3]: r[3:] for r in map(tuple, SQ.cascade_totals(df, params).collect())}
+    want = {r[:3]: r[3:] for r in map(tuple, SQ.cascade_propagation(SQ.cascade_events(df, params), params).collect())}
+    assert got.keys() == want.keys() and len(want) > 4
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, nan_ok=True), k
+    assert SQ.cascade_totals(make_flights([]), params).count() == 0
