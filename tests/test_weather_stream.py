@@ -47,3 +47,12 @@ def test_stream_and_batch_agree_on_a_ceiling_in_the_third_layer(spark):
     batch = {str(r.date): r.metar_ceiling_min for r in WX.metar_daily(
         rows.withColumn("valid", rows["valid"].cast("timestamp_ntz"))).collect()}
     assert stream == batch == {"2024-02-01": 700.0, "2024-02-02": 700.0}
+
+
+def test_cascade_stream_lands_and_keeps_little(spark, tmp_path, monkeypatch):
+    from hubrisk.plans import registry as R
+    monkeypatch.setattr(R, "scratch_path", lambda spark, label: str(tmp_path / label))
+    R.QUERIES["stream_cascade"](spark, "/root/testdata/sf0.001")
+    assert all(f.name.endswith(".json.gz") for f in (tmp_path / "cascade-stream/input").glob("part-*"))
+    assert list((tmp_path / "cascade-stream/out").glob("part-*.zstd.parquet"))
+
