@@ -49,6 +49,17 @@ def test_stream_and_batch_agree_on_a_ceiling_in_the_third_layer(spark):
     assert stream == batch == {"2024-02-01": 700.0, "2024-02-02": 700.0}
 
 
+def test_queries_on_weather_do_not_build_the_flights(spark, monkeypatch):
+    from hubrisk.plans import registry as R
+    sf = "/root/testdata/sf0.001"
+
+    def flights(spark, sf_dir):
+        raise AssertionError("flights are not read")
+    monkeypatch.setattr(R, "data", flights)
+    assert R.QUERIES["ingest_weather_json"](spark, sf).count() == R.source(spark, sf).weather_hourly.count() > 0
+    assert R.QUERIES["ingest_metar"](spark, sf).count() == R.source(spark, sf).metar_hourly.count() > 0
+
+
 def test_cascade_stream_lands_and_keeps_little(spark, tmp_path, monkeypatch):
     from hubrisk.plans import registry as R
     monkeypatch.setattr(R, "scratch_path", lambda spark, label: str(tmp_path / label))
