@@ -221,3 +221,37 @@ def test_cascade_totals_equal_paired_events(make_flights, params):
     for k, v in want.items():
         assert got[k] == pytest.approx(v, nan_ok=True), k
     assert SQ.cascade_totals(make_flights([]), params).count() == 0
+
+
+def test_enriched_joins_carry_few_columns_and_legs_are_finished_before(make_flights, params, spark):
+    from pyspark.sql import functions as F
+    measures = [f"m{k}" for k in range(30)]
+    rows = [flight("i1", "2024-03-01", "AAA", "HUB", crs=600.0, arr_delay=20.0, wx=5.0), flight("i2", "2024-03-01", "CCC", "HUB", crs=700.0, arr_delay=None),
+            flight("o1", "2024-03-01", "HUB", "BBB", crs=900.0, dep_delay=30.0), flight("o2", "2024-03-01", "HUB", "AAA", crs=900.0, dep_delay=30.0)]
+    fl = make_flights(rows)
+    days = [(a, k) for k, a in enumerate(("AAA", "HUB", "BBB"))]
+    daily = spark.createDataFrame(days, "airport string, k int").select(
+        "airport", F.lit("2024-03-01").cast("date").alias("date"), *[(F.col("k") * 100.0 + i).alias(m) for i, m in enumerate(measures)])
+    pairs = spark.createDataFrame([("BBB", "AAA", 3, 0.5)], "airport_a string, airport_b string, month int, risk double")
+    marked = lambda df: df.withColumns({c: F.col(c) + 1000 for c in ("inbound_arr_delay", "outbound_dep_delay") if c in df.columns})
+    out = SQ.sequences_enriched(fl, pairs, daily, params, marked)
+    assert out.columns[:3] == ["month", "date", "year"] and out.columns[-4:] == ["hour_sin", "hour_cos", "dow_sin", "dow_cos"]
+    got = {(r.in_flight_id, r.out_flight_id): r for r in out.collect()}
+    assert set(got) == {("i1", "o1"), ("i2", "o1"), ("i2", "o2")}
+    r = got["i1", "o1"]
+    assert (r.cascading_delay, r.inbound_arr_delay, r.outbound_dep_delay) == (1, 1020.0, 1030.0)  # judged before, copied after
+    assert (r.wx_a_m3, r.wx_hub_m3, r.wx_b_m3, r.risk, r.pair_airport_a) == (3.0, 103.0, 203.0, 0.5, "BBB")
+    assert got["i2", "o2"].risk is None and got["i2", "o2"].wx_a_m3 is None and got["i2", "o2"].wx_b_m3 == 3.0
+    plain = SQ.enriched_rows(SQ.sequences(fl, params), pairs, daily, params)
+    assert sorted(map(str, (r.asDict() for r in plain.select(*out.columns).collect()))) == sorted(
+        str(r.asDict()) for r in SQ.sequences_enriched(fl, pairs, daily, params).collect())
+    plan = out._jdf.queryExecution().optimizedPlan()
+    joined, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Join":
+            names = [node.output().apply(k).name() for k in range(node.output().size())]
+            if "airport_a" in names and "airport_b" in names:
+                joined.append(len(names))
+    assert joined and max(joined) < 20  # pairs of flights: not the 90 weather columns one by one
