@@ -40,7 +40,7 @@ class PackParams:
     quadratic: float = 1.0 / 4096  # cost of a token pair inside one piece, in the same unit
     pool_tokens: int = 1 << 21
     cache_words: int = 400_000
-    batch_chars: int = 1 << 22     # characters whose words are looked up together
+    batch_chars: int = 1 << 20     # characters whose words are looked up together
 
 
 LETTERS = np.zeros(256, bool)
@@ -53,6 +53,7 @@ class Merges:
 
     WIDTHS, NONE = (7, 12, 24), np.iinfo(np.int32).max
     LONGEST = WIDTHS[-1]
+    ROWS = 1 << 13  # words merged at a time: a few arrays of that many rows, however many words are new
 
     def __init__(self, model: dict):
         vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
@@ -86,37 +87,41 @@ class Merges:
         """(number of ids of each word, all ids) for words of 1 to ``LONGEST`` bytes of small letters in ``data``."""
         counts, parts = np.zeros(len(starts), np.int64), []
         for least, most in zip((0, *self.WIDTHS), self.WIDTHS):
-            rows = np.flatnonzero((sizes > least) & (sizes <= most))
-            if not len(rows):
-                continue
+            fitting = np.flatnonzero((sizes > least) & (sizes <= most))
             place = np.arange(most)
-            text = data[np.minimum(starts[rows, None] + place, len(data) - 1)]
-            end = sizes[rows, None] - 1
-            symbols = np.where(place < end, self.inner[text], np.where(place == end, self.last[text], np.int32(-1)))
-            ranks = self.ranks(symbols[:, :-1], symbols[:, 1:])
-            while len(rows):
-                at = ranks.argmin(1)
-                low = np.take_along_axis(ranks, at[:, None], 1)[:, 0]
-                if (done := low == self.NONE).any():
-                    final = symbols[done]
-                    inside = final >= 0
-                    counts[rows[done]] = inside.sum(1)
-                    parts.append((rows[done], final[inside]))
-                    rows, symbols, ranks, at, low = (x[~done] for x in (rows, symbols, ranks, at, low))
-                row, after = np.arange(len(rows)), np.arange(symbols.shape[1] - 1) >= at[:, None]
-                ranks = np.append(np.where(after[:, :-1], ranks[:, 1:], ranks[:, :-1]),
-                                  np.full((len(rows), 1), self.NONE), 1)
-                symbols = np.append(np.where(after, symbols[:, 1:], symbols[:, :-1]),
-                                    np.full((len(rows), 1), np.int32(-1)), 1)
-                symbols[row, at] = self.made[low]
-                for k, j in ((row[at > 0], at[at > 0] - 1), (row, at)):  # the pairs that end and start in the new symbol
-                    ranks[k, j] = self.ranks(symbols[k, j], symbols[k, j + 1])
+            for rows in (fitting[k:k + self.ROWS] for k in range(0, len(fitting), self.ROWS)):
+                self.merge(rows, place, data, starts, sizes, counts, parts)
         starts = np.cumsum(counts) - counts
         flat = np.empty(int(counts.sum()), np.int32)
         for rows, ids in parts:
             flat[spread(starts[rows], counts[rows])] = ids
         return counts, flat
 
+    def merge(self, rows: np.ndarray, place: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
+              counts: np.ndarray, parts: list) -> None:
+        """Merge the words ``rows`` to their end; enters ``counts`` and adds (rows, ids) to ``parts``."""
+        text = data[np.minimum(starts[rows, None] + place, len(data) - 1)]
+        end = sizes[rows, None] - 1
+        symbols = np.where(place < end, self.inner[text], np.where(place == end, self.last[text], np.int32(-1)))
+        ranks = self.ranks(symbols[:, :-1], symbols[:, 1:])
+        while len(rows):
+            at = ranks.argmin(1)
+            low = np.take_along_axis(ranks, at[:, None], 1)[:, 0]
+            if (done := low == self.NONE).any():
+                final = symbols[done]
+                inside = final >= 0
+                counts[rows[done]] = inside.sum(1)
+                parts.append((rows[done], final[inside]))
+                rows, symbols, ranks, at, low = (x[~done] for x in (rows, symbols, ranks, at, low))
+            row, after = np.arange(len(rows)), np.arange(symbols.shape[1] - 1) >= at[:, None]
+            ranks = np.append(np.where(after[:, :-1], ranks[:, 1:], ranks[:, :-1]),
+                              np.full((len(rows), 1), self.NONE), 1)
+            symbols = np.append(np.where(after, symbols[:, 1:], symbols[:, :-1]),
+                                np.full((len(rows), 1), np.int32(-1)), 1)
+            symbols[row, at] = self.made[low]
+            for k, j in ((row[at > 0], at[at > 0] - 1), (row, at)):  # the pairs that end and start in the new symbol
+                ranks[k, j] = self.ranks(symbols[k, j], symbols[k, j + 1])
+
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of each range."""
@@ -332,6 +337,7 @@ def pack(docs: DataFrame, tokenizer: str, params: PackParams = PackParams(), doc
     """Pieces of packed sequences; ``tokenizer`` is the path of a tokenizers file on the executors."""
     def run(batches: Iterator[list[list]]) -> Iterator[dict]:
         words = WordIds(tokenizer, params.cache_words)
+        give_back()  # what reading the tokenizer took besides
         sequence = TaskContext.get().partitionId() << 32
         pool: list[tuple[int | None, np.ndarray]] = []
         held = 0
@@ -344,9 +350,9 @@ def pack(docs: DataFrame, tokenizer: str, params: PackParams = PackParams(), doc
                     out, used = pack_pool(pool, params, sequence)
                     yield out
                     sequence, pool, held = sequence + used, [], 0
+                    give_back()
         if pool:
             yield pack_pool(pool, params, sequence)[0]
         del words, pool
-        give_back()
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return map_batches(src, run, PIECES)

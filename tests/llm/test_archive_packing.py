@@ -140,3 +140,22 @@ def test_merges_follow_the_tokenizer_word_by_word():
     assert words.merges is not None
     for t, ids in zip(texts, words.encode(texts), strict=True):
         assert ids.tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_new_words_are_merged_in_bounded_memory():
+    import tracemalloc
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 25, 240_000)
+    starts = np.cumsum(sizes) - sizes
+    data = rng.integers(ord("a"), ord("z") + 1, int(sizes.sum())).astype(np.uint8)
+    merges = P.Merges.of(PATH)
+    tracemalloc.start()
+    counts, ids = merges.encode(data, starts, sizes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20  # all words at once take about twice that
+    words = P.WordIds(PATH, 100)
+    some = [*range(0, 240_000, 3989), 8191, 8192, 239_999]
+    want = [np.frombuffer(x, np.int32).tolist() for x in words.alone([data[starts[k]:starts[k] + sizes[k]].tobytes().decode() for k in some])]
+    at = np.cumsum(counts) - counts
+    assert [ids[at[k]:at[k] + counts[k]].tolist() for k in some] == want
