@@ -40,7 +40,7 @@ class PackParams:
     quadratic: float = 1.0 / 4096  # cost of a token pair inside one piece, in the same unit
     pool_tokens: int = 1 << 21
     cache_words: int = 400_000
-    batch_chars: int = 1 << 20     # characters whose words are looked up together
+    batch_chars: int = 1 << 21     # characters whose words are looked up together
 
 
 LETTERS = np.zeros(256, bool)
@@ -350,7 +350,6 @@ def pack(docs: DataFrame, tokenizer: str, params: PackParams = PackParams(), doc
                     out, used = pack_pool(pool, params, sequence)
                     yield out
                     sequence, pool, held = sequence + used, [], 0
-                    give_back()
         if pool:
             yield pack_pool(pool, params, sequence)[0]
         del words, pool
