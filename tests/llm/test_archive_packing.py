@@ -142,6 +142,25 @@ def test_merges_follow_the_tokenizer_word_by_word():
         assert ids.tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_accented_words_and_marks_at_the_end_are_merged_together(monkeypatch):
+    import random
+    rnd = random.Random(7)
+    words = P.WordIds(PATH, 10_000)
+    letters = "eaoinslrtEAON" + "".join(P.ACCENTED)
+    made = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 14))) + rnd.choice(["", "***", "%%%", ",&&&", "!", "-)"])
+            for _ in range(2000)]
+    made = [w for w in made if len(w.rstrip("*%&,!-)").encode()) <= P.Merges.LONGEST]
+    odd = ["a×b", "a÷b", "×", "é\u0301a", "œuvre", "ÿŸ", "ß", "Straße", "é's", "é***'s", "a*****", "****", "***é", "Ç'", "ª", "éº", "é1", "é" * 13]
+    slow = []
+    one_by_one = words.ids_of
+    monkeypatch.setattr(words, "ids_of", lambda new: slow.extend(new) or one_by_one(new))
+    for text, ids in zip([" ".join(made), " ".join(odd)], words.encode([" ".join(made), " ".join(odd)]), strict=True):
+        assert ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    for w, ids in zip(made + odd, words.encode(made + odd), strict=True):
+        assert ids.tolist() == words.tokenizer.encode(w, add_special_tokens=False).ids, w
+    assert not set(slow) & set(made) and {"a×b", "a÷b", "œuvre", "é's"} <= set(slow)
+
+
 def test_new_words_are_merged_in_bounded_memory():
     import tracemalloc
     rng = np.random.default_rng(1)
