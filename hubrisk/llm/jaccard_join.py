@@ -151,7 +151,7 @@ def cross_pairs(posts: DataFrame, comps: DataFrame | None, nodes: DataFrame, p:
     else:
         named = posts.drop("rare").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn(
             "component", F.coalesce("component", "key"))
-        named = cut(named, "postings")
+        named = cut(named, "postings", posts.count())
     groups = named.groupBy("gram").agg(F.count("*").alias("rows"), F.min("component").alias("lo"),
                                        F.max("component").alias("hi")).filter("lo <> hi")
     groups = groups.select("gram", F.ceil(F.col("rows") / p.block).cast("int").alias("blocks"))
@@ -228,12 +228,18 @@ def verify(pairs: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
     return map_batches(both.select("a", "b", "shingles_a", "shingles_b"), compare, "a binary, b binary")
 
 
+def written_nodes(prepared: DataFrame) -> DataFrame:
+    """One row of each set that may have a partner; rows hold whole sets, so files have fewer of them."""
+    nodes = prepared.filter("prefix IS NOT NULL").drop("doc_id")
+    return cut(nodes.dropDuplicates(["key"]), "nodes", nodes.count(), 4096)
+
+
 def near(prepared: DataFrame, p: JoinParams) -> DataFrame:
     """(node, component) of every set that links with a different one."""
-    nodes = cut(prepared.filter("prefix IS NOT NULL").drop("doc_id").dropDuplicates(["key"]), "nodes")
+    nodes = written_nodes(prepared)
     posts = cut(postings(nodes), "postings")
     first = cut(verify(star_pairs(posts, p), nodes, p), "links")
-    comps = cut(components(first), "components")
+    comps = cut(components(first), "components", 2 * first.count())
     more = cut(verify(cross_pairs(posts, comps, nodes, p), nodes, p), "links")
     if more.isEmpty():
         return comps
@@ -242,7 +248,7 @@ def near(prepared: DataFrame, p: JoinParams) -> DataFrame:
 
 def all_links(prepared: DataFrame, p: JoinParams) -> DataFrame:
     """(a, b), a < b: every pair of different sets that links, once."""
-    nodes = cut(prepared.filter("prefix IS NOT NULL").drop("doc_id").dropDuplicates(["key"]), "nodes")
+    nodes = written_nodes(prepared)
     posts = cut(postings(nodes), "postings")
     return cut(verify(cross_pairs(posts, None, nodes, p), nodes, p), "links")
 
@@ -290,7 +296,8 @@ def drop_near_duplicates(docs: DataFrame, params: JoinParams = JoinParams(), doc
     classes = cut(jaccard_components(docs, params, doc_id, text), "classes")
     drop = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
     twice = classes.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_drop")).count().filter("count > 1").drop("count")
-    drop, twice = cut(drop, "drop"), cut(twice, "twice")
+    rows = classes.count()
+    drop, twice = cut(drop, "drop", rows), cut(twice, "twice", rows)
     i = F.col(f"`{doc_id}`")
     drop = sized_hint(drop, drop.count(), broadcast_rows)
     kept = docs.join(drop, i == F.col("_drop"), "left_anti")

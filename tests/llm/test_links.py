@@ -1,5 +1,7 @@
 """Every link of the Jaccard join is counted, inside connected groups too."""
 
+import os
+
 from hubrisk.llm import jaccard_join as J
 from hubrisk.llm import queries
 
@@ -33,3 +35,25 @@ def test_all_links_of_near_copies(spark, odd, nothing):
 
 def test_links_query(spark, sf_docs):
     check(queries.QUERIES["op9_ngram_jaccard_links"](spark, SF).collect(), list(sf_docs.items()))
+
+
+def test_small_tables_are_written_as_few_files(spark, monkeypatch):
+    """Not one file a shuffle partition: on a local disk each file written takes a process of its own."""
+    from hubrisk.llm import common, components as C
+
+    written = []
+    path_of = common.scratch_path
+    monkeypatch.setattr(common, "scratch_path", lambda *a: written.append(path_of(*a)) or written[-1])
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(k, k + 1) for k in range(0, 400) if k % 10 != 9], "a long, b long")
+        got = {r.node: r.component for r in C.components(edges).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {k: k // 10 * 10 for k in range(400)}
+    files = [sum(n.startswith("part-") for n in os.listdir(p.removeprefix("file:"))) for p in written]
+    assert len(files) > 4 and max(files) <= 2, files
