@@ -4,8 +4,8 @@ Two sets of word shingles link when ``100 * intersection >= pct * union``. Then
 first n - ceil(pct * n / 100) + 1 shingles in one global order) share a shingle. The order is
 rare-first, so that prefixes of unrelated documents share nothing:
 
-1. ``marks``: shingles of two documents or more are marked in a fixed-size bitmap, very frequent
-   ones in a second one. The order is: unmarked, marked, frequent; by hash within each.
+1. ``marks``: shingles of two documents or more are marked in a bitmap (16 MB, growing with the text up to
+   128 MB), very frequent ones in a second one. The order is: unmarked, marked, frequent; by hash within each.
 2. ``prepare``: per document its set's size, 128-bit name, prefix and 512-bit signature. An unmarked
    shingle of a range with theta 2 occurs in one document only, so it needs no partner search.
    Documents whose prefix has no other shingles drop out here. Equal sets share their name: copies
@@ -23,7 +23,8 @@ skips step 3's components: every pair of different sets that shares a prefix shi
 filters is verified, and each row has its number of links. Its work grows with the number of pairs of
 different sets in a group, because each pair is a link of its own; equal sets stay one node.
 
-Broadcast: the two bitmaps, of fixed size. Hot shingles: blocks of ``block`` rows, spread by hash.
+Broadcast: the two bitmaps, of bounded size. A full one would mark shingles of one document, so that all
+documents had prefixes to send. Hot shingles: blocks of ``block`` rows, spread by hash.
 
 Defined results: a null, empty or wordless text has 0 shingles and is its own component; repeated
 rows (also of one id) are nodes of their sets like any others; a null id takes part in links, and a
@@ -51,7 +52,7 @@ from hubrisk.llm.shingles import WordHash, set_key, shingle_set
 class JoinParams:
     width: int = 5
     pct: int = 75
-    marks: MarkParams = MarkParams()
+    marks: MarkParams = MarkParams(spare=0, most_bits=30)
     block: int = 1500          # rows of one block of a hot shingle
 
 
@@ -80,10 +81,11 @@ def prepare(words: DataFrame, p: JoinParams) -> DataFrame:
         seen = WordHash()
         return lambda t: shingle_set(seen.of(t), width)
     m = repeated_marks(words.select("text"), reader, mp)
-    sent = words.sparkSession.sparkContext.broadcast((m.repeated, m.often, m.theta))  # fixed size
+    sent = words.sparkSession.sparkContext.broadcast((m.repeated, m.often, m.theta))  # bounded size
+    sizes = m.mark_bits, m.often_bits
 
     def run(batches: Iterator[list[list]]) -> Iterator[dict]:
-        seen, marks = WordHash(), Marks(*sent.value, mp.mark_bits, mp.often_bits)
+        seen, marks = WordHash(), Marks(*sent.value, *sizes)
         for ids, texts in batches:
             out: dict[str, list] = {c.split()[0]: [] for c in PREPARED.split(", ")}
             out["doc_id"] = ids

@@ -1,20 +1,24 @@
 """Marks of repeated 64-bit values: which of the corpus' shingles or anchors occur more than once.
 
 Every task sends the sorted 32-bit prefixes of its values, delta coded, to hash ranges (about 2
-bytes a value are shuffled). A range counts them and marks in its slice of a fixed-size bitmap those
-found ``theta`` times or more; theta is 2 unless a quarter of the slice's bits would be set, then the
+bytes a value are shuffled). A range counts them and marks in its slice of a bitmap those
+found ``theta`` times or more; theta is 2 unless a quarter of the slice's bits (``spare``) would be set, then the
 next power of two that fits. A second, smaller bitmap marks very frequent values. Counts cover all
 values of all rows; a chance match of prefixes can only mark more.
+
+The bitmap has a fixed size, or (``most_bits``) grows with the text up to a bound; prefixes are then of 40 bits
+from ``wide`` bytes on, as those of 32 bits meet by chance as soon as there are many values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hubrisk.llm.common import give_back, map_batches
 
@@ -25,17 +29,38 @@ class MarkParams:
     often_bits: int = 22       # of the bitmap of very frequent values
     often: int = 64            # "very frequent": theta * often occurrences
     flush: int = 1 << 22       # values a task holds before it sends them
+    spare: int = 2             # theta rises where more than 1 of 2**spare bits of a slice would be set
+    prefix: int = 32           # bits of a value that are counted: 32 or 40
+    most_bits: int | None = None  # log2 of the size that the bitmap may grow to with the text; None: it does not
+    wide: int = 1 << 30        # bytes of text from which a growing bitmap's prefixes have 40 bits
+
+
+TEXT_A_BIT = 32  # bytes of text for a bit of a growing bitmap: some 5 shingles, of which most occur once
+
+
+def fitted(texts: DataFrame, p: MarkParams) -> MarkParams:
+    """``p`` for the bytes of a one-column text table."""
+    if p.most_bits is None:
+        return p
+    size = texts.agg(F.sum(F.octet_length(F.col(texts.columns[0])))).first()[0] or 0
+    more = min(p.most_bits, max(p.mark_bits, (size // TEXT_A_BIT).bit_length())) - p.mark_bits
+    return replace(p, mark_bits=p.mark_bits + more, often_bits=p.often_bits + more, prefix=40 if size >= p.wide else p.prefix)
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted uint32 values as byte planes of their differences (high planes are nearly all zero)."""
-    deltas = np.diff(values, prepend=np.uint32(0)).astype("<u4")
-    return deltas.view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Sorted uint32 values, or uint64 ones of 40 bits, as byte planes of their differences (high planes are nearly
+    all zero)."""
+    wide = values.dtype.itemsize
+    deltas = np.diff(values, prepend=values.dtype.type(0)).astype(f"<u{wide}")
+    return deltas.view(np.uint8).reshape(-1, wide).T[:min(wide, 5)].tobytes()
 
 
-def unpack_sorted(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+def unpack_sorted(blob: bytes, planes: int = 4) -> np.ndarray:
+    rows = np.frombuffer(blob, np.uint8).reshape(planes, -1)
+    wide = 4 if planes == 4 else 8
+    deltas = np.zeros((rows.shape[1], wide), np.uint8)
+    deltas[:, :planes] = rows.T
+    return np.cumsum(deltas.view(f"<u{wide}").ravel(), dtype=f"u{wide}")
 
 
 @dataclass(frozen=True)
@@ -68,19 +93,21 @@ def log2_ranges(df: DataFrame, p: MarkParams) -> int:
 
 def repeated_marks(texts: DataFrame, reader: Callable[[], Callable[[bytes | None], np.ndarray]], p: MarkParams) -> Marks:
     """Marks of the values that ``reader()`` (made once per task) finds in each row of the one column."""
-    ranges = log2_ranges(texts, p)
+    least, p = p, fitted(texts, p)
+    ranges = min(log2_ranges(texts, p) + p.mark_bits - least.mark_bits, p.often_bits - 3)
+    prefix, kind = p.prefix, np.uint32 if p.prefix == 32 else np.uint64
 
     def send(batches: Iterator[list[list]]) -> Iterator[dict]:
         read, held, size = reader(), [], 0
 
         def out() -> dict:
             values = np.sort(np.concatenate(held))
-            ends = np.searchsorted(values, np.arange(1, 1 << ranges, dtype=np.uint64) << np.uint64(32 - ranges))
+            ends = np.searchsorted(values, np.arange(1, 1 << ranges, dtype=np.uint64) << np.uint64(prefix - ranges))
             parts = np.split(values, ends)
             return {"part": range(len(parts)), "hashes": [pack_sorted(x) for x in parts]}
         for (rows,) in batches:
             for t in rows:
-                held.append((read(t) >> np.uint64(32)).astype(np.uint32))
+                held.append((read(t) >> np.uint64(64 - prefix)).astype(kind))
                 size += len(held[-1])
             if size >= p.flush:
                 yield out()
@@ -90,19 +117,19 @@ def repeated_marks(texts: DataFrame, reader: Callable[[], Callable[[bytes | None
         del read, held
         give_back()
 
-    mark_bits, often_bits, often = p.mark_bits, p.often_bits, p.often
+    mark_bits, often_bits, often, spare = p.mark_bits, p.often_bits, p.often, p.spare
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["part"].iloc[0])
-        values, n = np.unique(np.concatenate([unpack_sorted(b) for b in pdf["hashes"]]), return_counts=True)
+        values, n = np.unique(np.concatenate([unpack_sorted(b, prefix // 8) for b in pdf["hashes"]]), return_counts=True)
 
         def bitmap(chosen: np.ndarray, log2: int) -> bytes:
             size = 1 << (log2 - ranges)
             bits = np.zeros(size, np.uint8)
-            bits[(chosen >> np.uint32(32 - log2)).astype(np.int64) - part * size] = 1
+            bits[(chosen >> kind(prefix - log2)).astype(np.int64) - part * size] = 1
             return np.packbits(bits, bitorder="little").tobytes()
         theta = 2
-        while np.count_nonzero(n >= theta) > 1 << (mark_bits - ranges - 2):  # a quarter of the slice
+        while np.count_nonzero(n >= theta) > 1 << (mark_bits - ranges - spare):
             theta *= 2
         return pd.DataFrame({"part": [part], "theta": [theta], "repeated": [bitmap(values[n >= theta], mark_bits)],
                              "often": [bitmap(values[n >= theta * often], often_bits)]})
